@@ -1,20 +1,69 @@
-"""The corpus pipeline: language, toxicity, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: language, toxicity, near duplicates, repeated passages, packing.
+
+Each stage works on all rows that its predecessor kept, and all but the last return the columns of ``documents``.
+Labels come from the tables at hand: languages from the stage's own input, toxicity from ``labels``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from evidentia.llm import packing
+from evidentia.llm import jaccard_join, language_id, packing, suffix_dedup, toxicity
 from evidentia.llm.common import read_table, staged
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: least corrected share of a language's n-grams; running text of any trained language has far more
+LEAST_LANGUAGE = 0.1
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language: those predicted ``und`` go, and those of hardly any known n-gram."""
+    model = language_id.fit(docs)
+    rows = docs.withColumn("kept_text", F.col("text"))
+    kept = language_id.predict(rows, model, ["doc_id", "kept_text", "lang", "source", "n_chars"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
+    return kept.withColumnRenamed("kept_text", "text").select(COLUMNS)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents scored below one half; labels serve the fit alone."""
+    model = toxicity.fit(toxicity.labelled_rows(spark, docs, sf_dir))
+    rows = docs.withColumn("kept_text", F.col("text"))
+    kept = model.score(rows, ["doc_id", "kept_text", "lang", "source", "n_chars"]).where(F.col("score") < 0.5)
+    return kept.withColumnRenamed("kept_text", "text").select(COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document that names its near-duplicate group (five-word shingles, Jaccard 0.8); of repeated rows, one."""
+    groups = jaccard_join.join(docs, k=5, num=80, den=100)
+    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(COLUMNS)
+    return kept.dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 100 bytes or more that stand earlier; halves of cut characters go too, and emptied documents."""
+    kept = suffix_dedup.dedup(docs, passed=["doc_id", "lang", "source"])
+    text = F.decode(F.col("kept"), "UTF-8")
+    clean = F.try_validate_utf8 if False else text
+    out = kept.withColumn("text", F.regexp_replace(clean, "�", "")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.where((F.col("n_removed") == 0) | (F.col("text") != "")).select(COLUMNS)
+
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 2048 tokens."""
     return packing.pack(docs, packing.tokenizer_path())
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("language ID", known_language),
+    ("toxicity", not_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("suffix-array dedup", without_repeats),
+    ("best-fit packing", packed),
+]
 
-#: the models and the packing cannot be stated in SQL
+#: the two models and the packing cannot be stated in SQL
 ORACLE_SQL = None
 
 

@@ -4,12 +4,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jaccard_join
+from .curve_search import op3_curve_search
+from .fingerprints import op5_fingerprints
+from .jaccard_join import op1_ngram_jaccard_join
+from .language_id import op8_language_id
+from .license_scan import op4_license_scan
 from .packing import op2_best_fit_packing
 from .sharding import op9_sharding
+from .suffix_dedup import op6_suffix_dedup
+from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_curve_search": op3_curve_search,
+    "op4_license_scan": op4_license_scan,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard_join.SQL}
