@@ -6,7 +6,7 @@ Labels come from the tables at hand: languages from the stage's own input, toxic
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import jaccard_join, language_id, packing, suffix_dedup, toxicity
@@ -43,11 +43,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 100 bytes or more that stand earlier; halves of cut characters go too, and emptied documents."""
-    kept = suffix_dedup.dedup(docs, passed=["doc_id", "lang", "source"])
-    text = F.decode(F.col("kept"), "UTF-8")
-    clean = F.try_validate_utf8 if False else text
-    out = kept.withColumn("text", F.regexp_replace(clean, "�", "")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.where((F.col("n_removed") == 0) | (F.col("text") != "")).select(COLUMNS)
+    kept = suffix_dedup.dedup(docs, passed=["doc_id", "lang", "source"]).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
+    return kept.where((F.col("n_removed") == 0) | (F.col("text") != "")).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

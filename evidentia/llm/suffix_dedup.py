@@ -141,8 +141,9 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     return whole.union(late.select("doc", "tkey", "low", (F.col("low") + length).alias("end")))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, passed: list[str] | None = None) -> DataFrame:
-    """``passed`` columns of every row of ``docs(doc_id, text)``, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes)."""
+def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, passed: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """``passed`` columns of every row of ``docs(doc_id, text)``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked
+    for, kept_text: the remaining bytes as text, without the halves of characters that a cut went through."""
     passed = passed or ["doc_id"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(_doc_order("doc_id").alias("doc"), F.xxhash64(text).alias("tkey"), *[F.col(c).alias(f"passed_{i}") for i, c in enumerate(passed)], text.alias("text"))
@@ -167,13 +168,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, passed: list[
                 gone.append(int(out.sum()))
                 runs.append(int((out & ~np.concatenate([[False], out[:-1]])).sum()) if len(out) else 0)
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept_columns), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=[*kept_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                kept.append(rest.decode("utf-8", "ignore") if with_text else None)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept_columns), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=[*kept_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     chosen = joined.select(*kept_columns, "packed", "spans")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in kept_columns) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in kept_columns) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return chosen.mapInArrow(run, schema).withColumnsRenamed(dict(zip(kept_columns, passed)))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+    return dedup(read_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
