@@ -11,6 +11,7 @@ from .jaccard_join import op1_ngram_jaccard_join
 from .language_id import op8_language_id
 from .license_scan import op4_license_scan
 from .packing import op2_best_fit_packing
+from .pieces import op7_sentencepiece
 from .sharding import op9_sharding
 from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op10_toxicity
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_fingerprints": op5_fingerprints,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
