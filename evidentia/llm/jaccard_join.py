@@ -4,15 +4,19 @@ A document's set is its distinct word shingles.  Documents link when their sets'
 threshold; the result names each document's connected component.  Nothing is lost and no group is expanded into pairs:
 
 1. *Equal sets* share all answers: documents are classed by a 64-bit name of their set, and only classes go on.
-2. *Index lists*: the shingles of a class are ordered from rare to frequent (by a count sketch over all documents, then
-   by hash; any order gives right results) and the first ``n - ceil(t n) + 1`` of them, with their positions, form the
-   index.  Lists with one class are dropped.
-3. *Answers derived from a similar set*: each list's first and last class are its leaders.  Members are compared with
+2. *Block-skipped index lists*: a set, ordered by hash, is cut by position into blocks, one more than two linked sets of
+   its size can differ in, so linked sets have a block in common.  A list holds the sets with one and the same block;
+   lists of one set are skipped, and with them all that a set merely shares with others (passages, frequent words).
+   Sets of one size class and of the next smaller one meet on the larger one's blocks.
+3. *Answers derived from a similar set*: each list's first and last set are its leaders.  Members are compared with
    them and verified; what links to a leader takes over the leader's component, and two members of one component are
    never compared again.
-4. *Block skipping by position*: what is left joins within blocks of a list (one size class next to another), skipping
-   equal components; size, position and a parity sketch, whose differing bits are a lower bound of the sets' symmetric
-   difference, are part of the join condition, so that only near-certain links are verified on whole texts.
+4. What is left joins within its lists, skipping equal components; size and a parity sketch, whose differing bits are a
+   lower bound of the sets' symmetric difference, are part of the join condition, and a four times wider sketch follows,
+   so that hardly any pair but links is verified on whole texts.
+
+Empty blocks are no signature.  A few are allowed for by as many more blocks; sets with more of them than that share one
+further list per size class, so that no link hangs on an empty block alone.
 
 Defined cases: null or empty texts have an empty set and link with nothing; texts of fewer words than a shingle have
 their whole word sequence as one shingle; repeated rows are copies; a null id never becomes a component's name unless
@@ -29,13 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, byte_chunks, column, connected_components, gram_hash, mix, prefix_hash, read_table, span_hash, staged, table, unstage, words
+from .common import ASCII_LOWER, byte_chunks, column, connected_components, gram_hash, mix, prefix_hash, read_table, span_hash, staged, table, words
 
 IS_WORD = np.ones(256, dtype=bool)
+NO_ID = -(1 << 63)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
-#: buckets of the count sketch, and of one row of it
-SKETCH_BITS, BLOCK = 20, 1024
 PARITY = ["p0", "p1", "p2", "p3"]
 
 
@@ -62,79 +65,98 @@ def _name(shingles: np.ndarray) -> int:
 
 
 def _parity(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the number of elements that hash to it."""
-    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
+    """1024 bits, each the parity of the number of elements that hash to it."""
+    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) & 1023, minlength=1024).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
-def _described(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document (its set's size, name and parity sketch), and this task's part of the count sketch."""
-    schema = "doc_id long, n int, sid long, " + ", ".join(f"{p} long" for p in PARITY) + ", block int, counts binary"
+class Levels:
+    """Size classes and their numbers of blocks, for the threshold ``num / den``.
+
+    A class ends where its smallest set cannot link any more, so linked sets are of one class or of neighbouring ones.
+    """
+
+    def __init__(self, num: int, den: int, largest: int = 1 << 40):
+        first = [1]
+        while first[-1] < largest:
+            first.append(first[-1] * den // num + 1)
+        self.first = np.array(first)
+        differ = [2 * (b - 1) * (den - num) // (den + num) for b in first[1:]]
+        smallest = [first[max(i - 1, 0)] for i in range(len(differ))]
+        self.spare = np.array([3 + int(2 * (d + 1) * np.exp(-n / (d + 1))) for d, n in zip(differ, smallest)])
+        self.blocks = np.array(differ) + 1 + self.spare
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, n, side="right") - 1
+
+
+def signatures(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """Set number and signature of every block of every set, on its own level and on the next."""
+    sizes = np.array([len(s) for s in sets])
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    if not len(token):
+        return owner, token
+    weight = np.zeros(len(token) + 1, dtype=np.uint64)
+    np.cumsum(mix(token ^ np.uint64(0x5851F42D4C957F2D)), out=weight[1:])
+    owners, names = [], []
+    for up in (0, 1):
+        level = levels.of(np.maximum(sizes, 1)) + up
+        blocks = levels.blocks[level].astype(np.uint64)
+        block = ((token >> np.uint64(32)) * blocks[owner]) >> np.uint64(32)
+        head = np.concatenate([[0], np.flatnonzero((np.diff(owner) != 0) | (np.diff(block) != 0)) + 1])
+        content = weight[np.concatenate([head[1:], [len(token)]])] - weight[head]
+        own = owner[head]
+        names.append(mix(mix(content + block[head]) + level[own].astype(np.uint64)))
+        owners.append(own)
+        used = np.bincount(own, minlength=len(sets))
+        thin = np.flatnonzero((sizes > 0) & (levels.blocks[level] - used > levels.spare[level]))
+        names.append(mix(level[thin].astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
+        owners.append(thin)
+    return np.concatenate(owners), np.concatenate(names)
+
+
+def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """A row per document (its set's size, name and parity sketch) and a row per block (``block``: its signature)."""
+    schema = "doc_id long, n int, sid long, parity array<long>, block long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        levels = Levels(num, den)
         for rows, data, bounds in byte_chunks(batches):
             sets = shingle_sets(data, bounds, k)
-            np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            sketch = np.stack([_parity(s) for s in sets])
-            yield table({"doc_id": (column(rows, "doc_id"), pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "sid": ([_name(s) for s in sets], pa.int64())} | {p: (sketch[:, i].copy(), pa.int64()) for i, p in enumerate(PARITY)} | {"block": (pa.nulls(len(sets), pa.int32()), None), "counts": (pa.nulls(len(sets), pa.binary()), None)})
-        parts = total.reshape(-1, BLOCK)
-        used = np.flatnonzero(parts.any(axis=1))
-        none = pa.nulls(len(used), pa.int64())
-        yield table({"doc_id": (none, None), "n": (pa.nulls(len(used), pa.int32()), None), "sid": (none, None)} | {p: (none, None) for p in PARITY} | {"block": (used.astype(np.int32), pa.int32()), "counts": ([parts[i].tobytes() for i in used], pa.binary())})
+            names = np.array([_name(s) for s in sets], dtype=np.int64)
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_parity(s) for s in sets])), 16).cast(pa.list_(pa.int64()))
+            yield table({"doc_id": (column(rows, "doc_id"), pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "sid": (names, pa.int64()), "parity": (sketch, None), "block": (pa.nulls(len(sets), pa.int64()), None)})
+            owner, name = signatures(sets, levels)
+            none = lambda kind: (pa.nulls(len(owner), kind), None)
+            yield table({"doc_id": none(pa.int64()), "n": none(pa.int32()), "sid": (names[owner], pa.int64()), "parity": none(pa.list_(pa.int64())), "block": (name.view(np.int64), pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _frequency_classes(parts: DataFrame) -> np.ndarray:
-    """Per bucket, how many times (as a power of two) it exceeds the mean bucket.  Its size is fixed."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, packed): the compressed text of every document; a null id is compared as a value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(column(batch, "block").to_pylist(), column(batch, "counts").to_pylist()):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, dtype=np.int32).astype(np.int64)
-        yield table({"block": (list(total), pa.int32()), "counts": ([c.tobytes() for c in total.values()], pa.binary())})
-
-    out = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, dtype=np.int64).reshape(-1, BLOCK)
-    for r in parts.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary").toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    ratio = out.ravel() / max(out.mean(), 1.0)
-    return np.where(ratio < 2, 0, np.floor(np.log2(np.maximum(ratio, 1)))).astype(np.uint8)
+        press = zstandard.ZstdCompressor(level=1)
+        for rows, data, bounds in byte_chunks(batches):
+            yield table({"id": (column(rows, "id"), pa.int64()), "packed": ([press.compress(data[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, packed binary")
 
-def _postings(docs: DataFrame, classes: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(token, sid, n, pos): the rarest shingles of every document's set, as many as a link can miss, and one."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
-        for _, data, bounds in byte_chunks(batches):
-            tokens, sids, sizes, places = [], [], [], []
-            for s in shingle_sets(data, bounds, k):
-                if len(s):
-                    p = len(s) - -(-num * len(s) // den) + 1
-                    rank = (classes[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
-                    tokens.append(s[np.argsort(rank)[:p]])
-                    sids.append(np.full(p, _name(s), dtype=np.int64))
-                    sizes.append(np.full(p, len(s), dtype=np.int32))
-                    places.append(np.arange(p, dtype=np.int32))
-            if tokens:
-                yield table({"token": (np.concatenate(tokens).view(np.int64), pa.int64()), "sid": (np.concatenate(sids), pa.int64()), "n": (np.concatenate(sizes), pa.int32()), "pos": (np.concatenate(places), pa.int32())})
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, sid long, n int, pos int")
-
-
-def _packed(docs: DataFrame, k: int) -> DataFrame:
-    """(sid, doc_id, packed): the compressed text of every document with a set."""
+def _of_class(texts: DataFrame, k: int) -> DataFrame:
+    """Rows of ``texts(sid, packed)`` whose text has the set of that name: where ids repeat, others come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for rows, data, bounds in byte_chunks(batches):
-            sets = shingle_sets(data, bounds, k)
-            yield table({"sid": ([_name(s) if len(s) else None for s in sets], pa.int64()), "doc_id": (column(rows, "doc_id"), pa.int64()), "packed": ([press.compress(data[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            kept = []
+            for sid, packed in zip(column(batch, "sid").to_pylist(), column(batch, "packed").to_pylist()):
+                data = np.frombuffer(unpress.decompress(packed), dtype=np.uint8)
+                kept.append(_name(shingle_sets(data, np.array([0, len(data)]), k)[0]) == sid)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "sid long, doc_id long, packed binary").where("sid is not null")
+    return texts.select("sid", "packed").mapInArrow(run, "sid long, packed binary")
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -167,46 +189,48 @@ def _verified(pairs: DataFrame, packed: DataFrame, k: int, num: int, den: int) -
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``; threshold ``num / den``."""
-    described = staged(_described(docs, k), "sets")
-    rows = described.where("block is null")
-    classes = _frequency_classes(described)
-    own = staged(rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *[F.max(p).alias(p) for p in PARITY]), "set-classes")
-
-    # index lists with two classes at least, and their two leaders
-    postings = staged(_postings(docs, classes, k, num, den), "postings")
-    leaders = postings.groupBy("token").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last")
-    lists = staged(postings.join(leaders.hint("merge"), "token").distinct(), "lists")
-    unstage(postings)
-
-    involved = lists.select("sid").distinct().join(own.select("sid", "doc_id").hint("merge"), "sid")
-    # by name and id, so that copies of one text don't meet in one task; a null id is compared as a value
-    safe = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    texts = _packed(docs, k).withColumn("id", safe).join(involved.select("sid", safe.alias("id")).hint("merge"), ["sid", "id"])
-    texts = staged(texts.dropDuplicates(["sid"]).select("sid", "packed"), "texts")
+    described = staged(_described(docs, k, num, den), "sets")
+    rows = described.where("block is null").select("doc_id", "n", "sid", "parity")
+    own = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("parity").alias("parity"))
+    # four xor-ed quarters of the parity sketch are the sketch of a quarter of its bits
+    own = staged(own.withColumns({p: F.col("parity")[i].bitwiseXOR(F.col("parity")[i + 4]).bitwiseXOR(F.col("parity")[i + 8]).bitwiseXOR(F.col("parity")[i + 12]) for i, p in enumerate(PARITY)}), "set-classes")
+
+    # lists with two rows at least, then those with two sets at least, and their two leaders
+    blocks = described.where("block is not null").select("block", "sid")
+    shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("block")
+    lists = staged(blocks.join(shared.hint("merge"), "block").distinct(), "shared-blocks")
+    leaders = lists.groupBy("block").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last")
+    lists = staged(lists.join(leaders.hint("merge"), "block"), "lists")
+
+    involved = lists.select("sid").distinct().join(own.select("sid", F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).hint("merge"), "sid")
+    texts = _of_class(_packed(docs).join(involved.hint("merge"), "id"), k)
+    texts = staged(texts.dropDuplicates(["sid"]), "texts")
 
     side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(p).alias(f"{p}_{s}") for p in PARITY])
     differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY[1:]), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
     size_ok = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
     close = (differ * (den + num)) <= (F.col("n_a") + F.col("n_b")) * (den - num)
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that the whole parity sketches allow; what they refuse cannot link."""
+        wide = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
+        bits = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = pairs.select("a", "b").join(wide("a").hint("merge"), "a").join(wide("b").hint("merge"), "b")
+        return both.where(bits * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+
     to_leader = lists.select(F.explode(F.array("first", "last")).alias("a"), F.col("sid").alias("b")).where("a <> b")
     to_leader = to_leader.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     to_leader = to_leader.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(size_ok & close)
-    links = staged(_verified(to_leader, texts, k, num, den), "leader-links")
+    links = staged(_verified(likely(to_leader), texts, k, num, den), "leader-links")
     component = staged(connected_components(links), "leader-components")
 
-    # lists that still hold two components; a block is a size class, and its neighbour the next smaller one
-    labelled = lists.select("token", "sid", "n", "pos").join(component.select(F.col("node").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    step = float(np.log(den / num)) or 1.0
-    rest = labelled.join(open_lists.hint("merge"), "token").join(own.select("sid", *PARITY).hint("merge"), "sid").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    rest = staged(rest, "open-lists")
-    named = lambda s: rest.select("token", "block", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "pos", "component", *PARITY)])
-    smaller = named("b").withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    within = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("sid_a") > F.col("sid_b")))
-    found = named("a").hint("merge").join(smaller, ["token", "block"]).where((F.col("component_a") != F.col("component_b")) & within & size_ok & close & (most * (den + num) >= num * (F.col("n_a") + F.col("n_b"))))
-    more = _verified(found.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), texts, k, num, den)
+    # lists that still hold two components
+    labelled = lists.select("block", "sid").join(component.select(F.col("node").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    open_lists = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("block")
+    rest = staged(labelled.join(open_lists.hint("merge"), "block").join(own.select("sid", "n", *PARITY).hint("merge"), "sid"), "open-lists")
+    named = lambda s: rest.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "component", *PARITY)])
+    found = named("a").hint("merge").join(named("b"), "block").where((F.col("component_a") != F.col("component_b")) & (F.col("sid_a") < F.col("sid_b")) & size_ok & close)
+    more = _verified(likely(found.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()), texts, k, num, den)
 
     whole = connected_components(links.union(more)).withColumnsRenamed({"node": "sid"})
     ids = own.select("sid", "doc_id").join(whole.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
