@@ -37,11 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: lets Spark drop a job's shuffle files when the job ends
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives true sizes."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives true sizes.
+
+    The job's shuffle files go when it ends, as whatever follows reads the written table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

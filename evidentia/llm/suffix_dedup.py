@@ -10,8 +10,11 @@ itself selects, and a position leaves as soon as its rank is unique or the thres
 * *Round 1* ranks positions by ``seed`` bytes.  Positions of a unique rank are dropped with all their windows.
 * *Round 2* pairs that rank with the rank of the whole stretch that the position's windows span.  In a tie, every
   occurrence but the first loses all its windows at once.
-* *Round 3* reranks, at the threshold, the single windows of the first occurrences whose first rank is tied while the
-  second differs (where copies begin, end or are edited).
+* *Round 3* takes the first occurrences whose first rank is tied while the second differs (where copies begin, end or are
+  edited, and lines shorter than the threshold that many texts share).  Their windows are dealt into four by how far they
+  begin before the position; what the windows of a quarter have in common, 83 bytes or more, is ranked, and quarters of a
+  unique rank are dropped.
+* *Round 4* ranks what is left at the threshold, window by window.
 
 Ranks are 64-bit names of byte strings (fingerprints), so that no round needs a renumbering sort; Spark groups and joins
 them.  A window is a repeat if it also starts in a document of smaller id, or earlier in its own; repeats' bytes go.
@@ -38,10 +41,10 @@ LENGTH, SEED = 100, 32
 
 
 def selected(data: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Row, first and last window start (in the row), first and second rank of every selected position."""
+    """Row, first and last window start (in the row), the string's own start, first and second rank of every selected position."""
     n, none = len(data), np.zeros(0, dtype=np.int64)
     if n < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     run = prefix_hash(data)
     at = np.arange(n - seed + 1)
     gram = span_hash(run, at, at + seed)
@@ -58,13 +61,13 @@ def selected(data: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> tu
         inside[max(end - length + 1, 0) : end] = False
     start = np.flatnonzero(inside)
     if not len(start):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     place = (best[start] & low_bits).astype(np.int64)
     head = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
     low, high, place = start[head], start[np.concatenate([head[1:] - 1, [len(start) - 1]])], place[head]
     row = np.searchsorted(bounds, low, side="right") - 1
     second = mix(span_hash(run, low, high + length) + (place - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return row, low - bounds[row], high - bounds[row], gram[place], second
+    return row, low - bounds[row], high - bounds[row], place - bounds[row], gram[place], second
 
 
 def _first_in_row(row: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
@@ -80,31 +83,58 @@ def _first_in_row(row: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
 def _positions(keyed: DataFrame, length: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in byte_chunks(batches):
-            row, low, high, first, second = selected(data, bounds, length, seed)
+            row, low, high, at, first, second = selected(data, bounds, length, seed)
             if len(row):
                 new = _first_in_row(row, first, second)
-                yield table({"rank1": (first.view(np.int64), pa.int64()), "rank2": (second.view(np.int64), pa.int64()), "doc": (rows.column(0).take(pa.array(row)), None), "tkey": (rows.column(1).take(pa.array(row)), None), "low": (low.astype(np.int32), pa.int32()), "high": (high.astype(np.int32), pa.int32()), "again": (~new, pa.bool_())})
+                yield table({"rank1": (first.view(np.int64), pa.int64()), "rank2": (second.view(np.int64), pa.int64()), "doc": (rows.column(0).take(pa.array(row)), None), "tkey": (rows.column(1).take(pa.array(row)), None), "place": (low << 32 | (at - low) << 16 | (high - low) << 1 | ~new, pa.int64())})
 
-    return keyed.select("doc", "tkey", "text").mapInArrow(run, "rank1 long, rank2 long, doc long, tkey long, low int, high int, again boolean")
+    return keyed.select("doc", "tkey", "text").mapInArrow(run, "rank1 long, rank2 long, doc long, tkey int, place long")
+
+
+def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Rows of (doc, tkey, packed, spans) one by one: the row, its bytes, and its spans."""
+    unpress = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            yield row, np.frombuffer(unpress.decompress(column(row, "packed")[0].as_py()), dtype=np.uint8), column(row, "spans")[0].values
+
+
+def _repeat(row: pa.RecordBatch, name: str, n: int) -> tuple[pa.Array, None]:
+    return pa.repeat(column(row, name)[0], n), None
+
+
+def _quarters(joined: DataFrame, length: int, seed: int) -> DataFrame:
+    """(name, doc, tkey, low, high): the quarters of the windows of every listed position, named by what a quarter's have in common."""
+    extra = length - seed
+    step = -(-(extra + 1) // 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, data, spans in _each_text(batches):
+            running = prefix_hash(data)
+            low, high, at = (spans.field(c).to_numpy().astype(np.int64) for c in ("low", "high", "at"))
+            for i in range(4):
+                first, last = i * step, min((i + 1) * step - 1, extra)
+                nearest, farthest = np.maximum(at - high, first), np.minimum(at - low, last)
+                some = nearest <= farthest
+                name = mix(span_hash(running, (at - first)[some], (at - last + length)[some]) + np.uint64(i))
+                yield table({"name": (name.view(np.int64), pa.int64()), "doc": _repeat(row, "doc", len(name)), "tkey": _repeat(row, "tkey", len(name)), "low": ((at - farthest)[some].astype(np.int32), pa.int32()), "high": ((at - nearest)[some].astype(np.int32), pa.int32())})
+
+    return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey int, low int, high int")
 
 
 def _windows(joined: DataFrame, length: int) -> DataFrame:
     """(name, doc, tkey, low, again) of the single windows listed in ``spans`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(unpress.decompress(column(batch, "packed")[i].as_py()), dtype=np.uint8)
-                spans = column(batch, "spans")[i].values
-                low, high = spans.field("low").to_numpy(), spans.field("high").to_numpy()
-                start = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist())]))
-                name = span_hash(prefix_hash(data), start, start + length)
-                new = _first_in_row(np.zeros(len(start), dtype=np.int64), name)
-                same = lambda c: pa.array([column(batch, c)[i].as_py()] * len(start), pa.int64())
-                yield table({"name": (name.view(np.int64), pa.int64()), "doc": (same("doc"), None), "tkey": (same("tkey"), None), "low": (start.astype(np.int32), pa.int32()), "again": (~new, pa.bool_())})
+        for row, data, spans in _each_text(batches):
+            low, high = spans.field("low").to_numpy(), spans.field("high").to_numpy()
+            start = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist())]))
+            name = span_hash(prefix_hash(data), start, start + length)
+            new = _first_in_row(np.zeros(len(start), dtype=np.int64), name)
+            yield table({"name": (name.view(np.int64), pa.int64()), "doc": _repeat(row, "doc", len(name)), "tkey": _repeat(row, "tkey", len(name)), "low": (start.astype(np.int32), pa.int32()), "again": (~new, pa.bool_())})
 
-    return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey long, low int, again boolean")
+    return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey int, low int, again boolean")
 
 
 def _pack(keyed: DataFrame) -> DataFrame:
@@ -126,7 +156,12 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """(doc, tkey, low, end) of ``keyed(doc, tkey, text)``: byte stretches that repeat, possibly overlapping."""
     positions = _positions(keyed, length, seed)
     tied = positions.groupBy("rank1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank1")
-    tied = staged(positions.join(tied.hint("merge"), "rank1"), "round-1")
+    # a position's place: its first window start, where its string begins after it, how many more windows it has, and
+    # whether its text has the same earlier
+    part = lambda shift, mask: F.shiftright("place", shift).bitwiseAND(mask).cast("int")
+    low = F.shiftright("place", 32).cast("int")
+    placed = {"low": low, "high": low + part(1, 32767), "at": low + part(16, 65535), "again": F.col("place").bitwiseAND(1) == 1}
+    tied = staged(positions.join(tied.hint("merge"), "rank1"), "round-1").withColumns(placed)
 
     classes = staged(tied.where("not again").groupBy("rank1", "rank2").agg(F.min("doc").alias("first_doc")), "round-2")
     ranked = tied.join(classes.hint("merge"), ["rank1", "rank2"])
@@ -134,11 +169,15 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
     open_ranks = classes.groupBy("rank1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank1")
     open_spans = ranked.where("not again and doc = first_doc").join(open_ranks.hint("merge"), "rank1")
-    listed = open_spans.groupBy("doc", "tkey").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # at most a text's own positions
-    windows = staged(_windows(_pack(keyed).join(listed.hint("merge"), ["doc", "tkey"]), length), "round-3")
+    spans_of = lambda df, *cols: df.groupBy("doc", "tkey").agg(F.collect_list(F.struct(*cols)).alias("spans"))  # noqa: E731  at most a text's own positions
+    with_text = lambda listed: _pack(keyed).join(listed.hint("merge"), ["doc", "tkey"])
+    quarters = staged(_quarters(with_text(spans_of(open_spans, "low", "high", "at")), length, seed), "round-3")
+    tied_quarters = quarters.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    quarters = quarters.join(tied_quarters.hint("merge"), "name")
+    windows = staged(_windows(with_text(spans_of(quarters, "low", "high")), length), "round-4")
     first = windows.where("not again").groupBy("name").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").select("name", "first_doc")
     late = windows.where("not again").join(first.hint("merge"), "name").where("doc > first_doc").select("doc", "tkey", "low").union(windows.where("again").select("doc", "tkey", "low"))
-    return whole.union(late.select("doc", "tkey", "low", (F.col("low") + length).alias("end")))
+    return staged(whole.union(late.select("doc", "tkey", "low", (F.col("low") + length).alias("end"))), "removed")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, passed: list[str] | None = None, with_text: bool = True) -> DataFrame:
@@ -146,7 +185,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, passed: list[
     for, kept_text: the remaining bytes as text, without the halves of characters that a cut went through."""
     passed = passed or ["doc_id"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(_doc_order("doc_id").alias("doc"), F.xxhash64(text).alias("tkey"), *[F.col(c).alias(f"passed_{i}") for i, c in enumerate(passed)], text.alias("text"))
+    keyed = docs.select(_doc_order("doc_id").alias("doc"), F.hash(text).alias("tkey"), *[F.col(c).alias(f"passed_{i}") for i, c in enumerate(passed)], text.alias("text"))
     spans = removed_spans(keyed.select("doc", "tkey", "text"), length, seed)
     listed = spans.groupBy("doc", "tkey").agg(F.collect_list(F.struct("low", "end")).alias("spans"))  # at most a text's own positions
     joined = _pack(keyed).join(listed.hint("merge"), ["doc", "tkey"], "left").drop("doc", "tkey")
