@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import column, read_table, staged, table
 
 CURVES, BLOCKS, DIRECTIONS, BITS, CHUNK = 10, 12, 4, 8, 8192
+#: rows that a block holds at least
+LEAST_BLOCK = 256
 
 
 def hilbert_key(point: np.ndarray, bits: int) -> np.ndarray:
@@ -112,6 +114,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int =
     facts = valid.agg(F.max(F.size("x")).alias("dim"), F.max(norm).alias("largest")).first()
     dim, largest = facts["dim"] or 1, facts["largest"] or 1.0
     valid = valid.where(F.size("x") == dim)
+    directions = min(directions, dim + 1)
     # equal vectors: the k + 1 smallest ids stand for all; the partial limit runs before the shuffle
     members = valid.distinct().withColumn("turn", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("turn") <= k + 1)
     members = staged(members.withColumn("point", F.min("vec_id").over(Window.partitionBy("x"))), "members")
@@ -137,10 +140,11 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int =
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("curve")))
     starts = starts.select(F.col("curve").alias("c"), F.col("part").alias("p"), "head", "start", "total")  # a row per partition and curve
     ranked = line.withColumn("part", part).join(starts.hint("shuffle_hash"), (F.col("curve") == F.col("c")) & (F.col("part") == F.col("p"))).withColumn("rank", F.col("start") + F.col("at") - F.col("head"))
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") * blocks / F.col("total")).cast("int"))
-    chunks = F.ceil(F.col("total") / blocks / chunk).cast("int")
+    ranked = ranked.withColumn("blocks", F.least(F.lit(blocks), F.greatest(F.lit(1), F.floor(F.col("total") / LEAST_BLOCK))).cast("int"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") * F.col("blocks") / F.col("total")).cast("int"))
+    chunks = F.ceil(F.col("total") / F.col("blocks") / chunk).cast("int")
     data = ranked.where("not is_query").select("curve", "block", F.pmod("rank", chunks).cast("int").alias("part"), F.lit(False).alias("is_query"), "point", "x")
-    probes = F.filter(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1), lambda b: (b >= 0) & (b < blocks))
+    probes = F.filter(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1), lambda b: (b >= 0) & (b < F.col("blocks")))
     probing = ranked.where("is_query").select("curve", F.explode(probes).alias("block"), chunks.alias("chunks"), F.lit(True).alias("is_query"), "point", "x")
     probing = probing.select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "is_query", "point", "x")
     group = ["curve", "block", "part"]
