@@ -2,7 +2,7 @@
 
 Labelled rows (at most ``sample``, those with the smallest hash of doc_id; a documented bound of the fit) are dealt in
 three by a hash: the lexicon is learned on the first part, the trees on the second, the calibration on the third, so no
-part judges what it has itself chosen.
+part judges what it has itself chosen.  Scoring uses the lexicon learned in the same way on all parts.
 
 Lexicon: words and word beginnings whose share among toxic rows is many times that among the rest, in three grades.
 Features: density and number of hits of each grade, hits near a second-person word, capitals, punctuation, and
@@ -31,7 +31,7 @@ from .common import column, read_table, staged, table, texts
 
 SAMPLE, LEXICON = 30_000, 3_000
 #: least occurrences among toxic rows, and least log ratio of shares, of the grades 1 to 3
-GRADES = ((5, 2.0), (8, 3.0), (12, 4.0))
+GRADES = ((3, 2.0), (6, 3.0), (12, 4.0))
 PREFIXES = (4, 5)
 NEAR = 5
 
@@ -182,7 +182,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     booster = booster.setProbabilityCol("_probability").setRawPredictionCol("_margin")
     trees = booster.fit(featured.where("part in (2, 3)").withColumn("_features", array_to_vector("x")))
     held = _raw(trees, featured.where("part = 4"), ["label"])
-    return Model(lexicon, trees, IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="calibrated").fit(held))
+    # the trees know what hits of a lexicon of strange rows mean; scoring takes the fuller lexicon of all parts
+    return Model(learn_lexicon(known), trees, IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="calibrated").fit(held))
 
 
 def remainder(doc_id: str, of: int) -> Column:
