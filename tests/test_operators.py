@@ -131,5 +131,14 @@ def test_ledger_sink_is_idempotent(spark, tmp_path):
 
 def test_stream_reassembly(spark, tmp_path):
     frames = spark.createDataFrame([(1, 0, 2, "a"), (1, 1, 2, "b"), (2, 0, 2, "x"), (3, 5, 2, "bad"), (3, 0, 1, "c")], "message long, seq int, total int, body string")
-    got = run_stream(streaming.reassemble(stream_of(spark, frames, str(tmp_path / "f"))), "messages", "append")
-    assert sorted((r["message"], r["body"]) for r in got.where("outcome = 'complete'").collect()) == [(1, "ab"), (3, "c")]
+    messages = streaming.reassemble(stream_of(spark, frames, str(tmp_path / "f")))
+    q = messages.writeStream.format("memory").queryName("messages").outputMode("append").start()
+    try:  # time-outs keep such a query running for ever, so it is watched rather than drained
+        for _ in range(60):
+            done = sorted((r["message"], r["body"]) for r in spark.table("messages").where("outcome = 'complete'").collect())
+            if len(done) == 2:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert done == [(1, "ab"), (3, "c")]
