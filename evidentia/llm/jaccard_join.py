@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, byte_chunks, column, connected_components, gram_hash, mix, prefix_hash, read_table, span_hash, staged, table, words
@@ -121,12 +121,18 @@ def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
+        seen = np.zeros(0, dtype=np.int64)  # sets of this task whose blocks are out: copies don't repeat them
         for rows, data, bounds in byte_chunks(batches):
             sets = shingle_sets(data, bounds, k)
             names = np.array([_name(s) for s in sets], dtype=np.int64)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_parity(s) for s in sets])), 16).cast(pa.list_(pa.int64()))
             yield table({"doc_id": (column(rows, "doc_id"), pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "sid": (names, pa.int64()), "parity": (sketch, None), "block": (pa.nulls(len(sets), pa.int64()), None)})
-            owner, name = signatures(sets, levels)
+            first = np.zeros(len(sets), dtype=bool)
+            first[np.unique(names, return_index=True)[1]] = True
+            new = np.flatnonzero(first & ~np.isin(names, seen))
+            seen = np.concatenate([seen, names[new]])
+            owner, name = signatures([sets[i] for i in new], levels) if len(new) else (new, np.zeros(0, dtype=np.uint64))
+            owner = new[owner]
             none = lambda kind: (pa.nulls(len(owner), kind), None)
             yield table({"doc_id": none(pa.int64()), "n": none(pa.int32()), "sid": (names[owner], pa.int64()), "parity": none(pa.list_(pa.int64())), "block": (name.view(np.int64), pa.int64())})
 
@@ -195,12 +201,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     # four xor-ed quarters of the parity sketch are the sketch of a quarter of its bits
     own = staged(own.withColumns({p: F.col("parity")[i].bitwiseXOR(F.col("parity")[i + 4]).bitwiseXOR(F.col("parity")[i + 8]).bitwiseXOR(F.col("parity")[i + 12]) for i, p in enumerate(PARITY)}), "set-classes")
 
-    # lists with two rows at least, then those with two sets at least, and their two leaders
-    blocks = described.where("block is not null").select("block", "sid")
-    shared = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("block")
-    lists = staged(blocks.join(shared.hint("merge"), "block").distinct(), "shared-blocks")
-    leaders = lists.groupBy("block").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first <> last")
-    lists = staged(lists.join(leaders.hint("merge"), "block"), "lists")
+    # lists with two sets at least, and their two leaders; within a task a set is listed once, whatever its copies
+    whole_list = Window.partitionBy("block")
+    lists = described.where("block is not null").select("block", "sid").withColumns({"first": F.min("sid").over(whole_list), "last": F.max("sid").over(whole_list)}).where("first <> last")
+    lists = staged(lists.distinct(), "lists")
 
     involved = lists.select("sid").distinct().join(own.select("sid", F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).hint("merge"), "sid")
     texts = _of_class(_packed(docs).join(involved.hint("merge"), "id"), k)
