@@ -3,11 +3,14 @@
 A text is cut into paragraphs (up to a line break or a sentence mark, at most 200 characters).  Each distinct
 paragraph's 64-bit digest goes into one cell of each of three tables; a cell holds a count and the xor of the digests
 and of their check hashes.  Two sketches subtract cell by cell; peeling cells that hold a single digest recovers the
-paragraphs that one side has and the other lacks.  Where peeling stops early, it is tried again on sketches of three
-times as many tables, and after the last size on the digests themselves, so a likeness is always exact for the digests:
-the share of distinct paragraphs that both texts have.
+paragraphs that one side has and the other lacks.  Comparisons that cannot be peeled are retried on larger sketches
+(one bucket of three tables for every five paragraphs, then for every two), and what is still left is counted on the
+digests themselves, so a likeness is always exact for the digests: the share of distinct paragraphs that both texts have.
 
-The fingerprint is the sketch of the smallest size; its length is fixed.
+The fingerprint lists the non-empty cells of the smallest sketch; its length is bounded.
+
+All groupings are by document, so after one deal by document the cells are made, subtracted and peeled without another
+shuffle, as plain sums and xors.
 
 Order of documents: descending id; documents of equal id by descending hash of their text.
 
@@ -23,119 +26,121 @@ from pyspark.sql import functions as F
 
 from .common import read_table, staged
 
-#: cells of one of the three tables; sketch sizes tried, in buckets of three tables
-CELLS, SIZES, ROUNDS = 6, (1, 3, 9, 27, 81, 243), 18
+#: cells of one of a bucket's three tables
+CELLS = 6
+#: paragraphs of both texts for which a larger sketch has a bucket; peeling rounds by size
+LARGER, ROUNDS = (5, 2), (4, 7, 7)
+DOCS_A_TASK = 2000
 PARAGRAPH = r"[^\n.!?]{1,200}[\n.!?]*|[\n.!?]+"
-
-
-def digests(text: Column) -> Column:
-    """Array of (k, g): digest and check hash of every distinct paragraph."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
-    return F.transform(found, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("g")))
-
-
-def _place(g: Column, table: Column) -> Column:
-    """Cell of a digest in a table, from its check hash."""
-    return (F.call_function("shiftright", g, (table * 9).cast("int")).bitwiseAND(F.lit(511)) % CELLS).cast("int")
-
-
-def _cell(c: Column, k: Column, g: Column) -> Column:
-    return F.struct(c.cast("int").alias("c"), k.cast("long").alias("k"), g.cast("long").alias("g"))
-
-
-def sketch(elements: Column) -> Column:
-    """The 3 x CELLS cells of an array of digests."""
-    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
-
-    def cell(j: Column) -> Column:
-        own = F.filter(elements, lambda e: _place(e["g"], F.floor(j / CELLS)) == j % CELLS)
-        return F.aggregate(own, zero, lambda a, e: _cell(a["c"] + 1, a["k"].bitwiseXOR(e["k"]), a["g"].bitwiseXOR(e["g"])))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * CELLS - 1)), cell)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["g"].bitwiseXOR(y["g"])))
-
-
-def peel(cells: Column) -> Column:
-    """Number of digests recovered from a difference, null if cells are left over."""
-
-    def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (F.xxhash64(x["k"]) == x["g"])))
-
-        # one lambda variable holds the pure cells, so that they are found once a round
-        after = F.transform(F.array(pure), lambda pure_: F.struct(F.transform(state["cells"], lambda x, j: _without(x, j, pure_)).alias("cells"), (state["found"] + F.size(pure_)).alias("found")))[0]
-        idle = F.forall(state["cells"], lambda x: x["c"] == 0) & F.forall(state["cells"], lambda x: x["k"] == 0)
-        return F.when(idle, state).otherwise(after)
-
-    def _without(x: Column, j: Column, pure: Column) -> Column:
-        own = F.filter(pure, lambda p: _place(p["g"], F.floor(j / CELLS)) == j % CELLS)
-        return F.aggregate(own, x, lambda a, p: _cell(a["c"] - p["c"], a["k"].bitwiseXOR(p["k"]), a["g"].bitwiseXOR(p["g"])))
-
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
-    end = lambda s: F.when(F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["g"] == 0)), s["found"])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, end)
-
-
-def differing(a: Column, b: Column) -> Column:
-    """Number of digests that only one of two arrays has."""
-
-    def attempt(done: Column, buckets: Column) -> Column:
-        def of(bucket: Column) -> Column:
-            own = lambda side: F.filter(side, lambda e: F.pmod(F.call_function("shiftright", e["k"], F.lit(5)), buckets) == bucket)
-            return peel(subtract(sketch(own(a)), sketch(own(b))))
-
-        parts = F.transform(F.sequence(F.lit(0), buckets - 1), of)
-        whole = F.aggregate(parts, F.lit(0), lambda s, x: s + x)  # null if a part is
-        hopeless = F.abs(F.size(a) - F.size(b)) > buckets * 3 * CELLS
-        return F.when(done.isNotNull(), done).when(~hopeless, whole)
-
-    tried = F.aggregate(F.array(*[F.lit(s) for s in SIZES]), F.lit(None).cast("int"), attempt)
-    return F.coalesce(tried, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
-
-
-def rendered(cells: Column) -> Column:
-    """Fixed-length hexadecimal text of a sketch."""
-    part = lambda x: F.concat(F.lpad(F.hex(F.pmod(x["c"], F.lit(65536))), 4, "0"), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["g"]), 16, "0"))
-    return F.lower(F.array_join(F.transform(cells, part), ""))
-
-
-def successors(keys: DataFrame) -> DataFrame:
-    """(doc, th, need, next_doc, next_th) of ``keys(doc, th, need)``: the next key in descending order, after the last the first."""
-    line = staged(keys.distinct().repartitionByRange(F.desc("doc"), F.desc("th")).sortWithinPartitions(F.desc("doc"), F.desc("th")).withColumn("at", F.monotonically_increasing_id()), "order")
+DOC = ["doc", "th"]
+NO_ID = -(1 << 63)
+
+
+def digests(text: str) -> Column:
+    """Digests of the distinct paragraphs of a text column."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
+
+
+def _cell(g: Column, table: int) -> Column:
+    """Cell of a digest within its bucket, from its check hash."""
+    return F.lit(table * CELLS) + F.pmod(F.shiftright(g, 9 * table).bitwiseAND(511), F.lit(CELLS)).cast("int")
+
+
+def in_cells(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cell, c, k, g): cells of ``elements(keys, buckets, sign, k)``."""
+    e = elements.withColumn("g", F.xxhash64("k"))
+    base = F.pmod(F.shiftright("k", 3), F.col("buckets")) * (3 * CELLS)
+    spread = e.withColumn("cell", F.explode(F.array(*[(base + _cell(F.col("g"), t)).cast("int") for t in range(3)])))
+    return spread.groupBy(*keys, "cell").agg(F.sum("sign").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("g").alias("g"))
+
+
+def peel(cells: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """(keys, found, left): digests recovered from differences and cells that could not be emptied.
+
+    A round removes every digest that stands alone in some cell from its three cells; the cell -1 counts them.  A digest
+    that stands alone in several cells is removed once, because removals are first made distinct by its check hash.
+    """
+    for _ in range(rounds):
+        alone = (F.abs("c") == 1) & (F.col("cell") >= 0) & (F.xxhash64("k") == F.col("g"))
+        entry = lambda cell, own, tag, c, k, g: F.struct(cell.cast("int").alias("cell"), F.lit(own).alias("own"), tag.cast("long").alias("tag"), c.cast("int").alias("c"), k.cast("long").alias("k"), g.cast("long").alias("g"))
+        base = F.col("cell") - F.col("cell") % (3 * CELLS)
+        itself = entry(F.col("cell"), True, F.lit(0), F.col("c"), F.col("k"), F.col("g"))
+        gone = [entry(base + _cell(F.col("g"), t), False, F.col("g"), -F.col("c"), F.col("k"), F.col("g")) for t in range(3)]
+        counted = entry(F.lit(-1), False, F.col("g"), F.lit(1), F.lit(0), F.lit(0))
+        rows = cells.select(*keys, F.explode(F.when(alone, F.array(itself, *gone, counted)).otherwise(F.array(itself))).alias("x")).select(*keys, "x.*")
+        once = rows.groupBy(*keys, "cell", "own", "tag").agg(F.max("c").alias("c"), F.max("k").alias("k"), F.max("g").alias("g"))
+        cells = once.groupBy(*keys, "cell").agg(F.sum("c").cast("int").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("g").alias("g")).where("c <> 0 or k <> 0 or g <> 0")
+    return cells.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("cell") == -1, F.col("c"))), F.lit(0)).cast("int").alias("found"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+
+
+def _compared(rows: DataFrame, buckets: Column, due: tuple[Column, Column], rounds: int) -> DataFrame:
+    """(doc, th, d_edited, d_next): recovered differences of both comparisons of ``rows``, null where peeling stops early."""
+    side = lambda kind, sign, ids: F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign"), F.when(due[kind], F.col(ids)).alias("ids"))
+    sides = rows.select(*DOC, buckets.alias("buckets"), F.explode(F.array(side(0, 1, "own"), side(0, -1, "after"), side(1, 1, "own"), side(1, -1, "following"))).alias("s"))
+    elements = sides.select(*DOC, "buckets", "s.kind", "s.sign", F.explode("s.ids").alias("k"))
+    cells = in_cells(elements, [*DOC, "kind"]).where("c <> 0 or k <> 0 or g <> 0")
+    ended = peel(cells, [*DOC, "kind"], rounds)
+    # no cell at all: nothing differs
+    number = lambda kind: F.max(F.when((F.col("kind") == kind) & (F.col("left") == 0), F.col("found")))
+    seen = lambda kind: F.max((F.col("kind") == kind).cast("int"))
+    per_doc = ended.groupBy(*DOC).agg(number(0).alias("n0"), number(1).alias("n1"), seen(0).alias("s0"), seen(1).alias("s1"))
+    joined = rows.select(*DOC).join(per_doc.hint("merge"), DOC, "left")
+    return joined.select(*DOC, *[F.when(F.coalesce(F.col(f"s{kind}"), F.lit(0)) == 0, 0).otherwise(F.col(f"n{kind}")).alias(name) for kind, name in ((0, "d_edited"), (1, "d_next"))])
+
+
+def order_of(keys: DataFrame) -> DataFrame:
+    """(doc, th, copies, need, prev_doc, prev_th, give) of ``keys(doc, th, need)``.
+
+    prev: the key whose next document this is, in descending order and round the end; give: the characters that it needs.
+    """
+    counted = keys.groupBy(*DOC).agg(F.count(F.lit(1)).cast("int").alias("copies"), F.max("need").alias("need"))
+    line = staged(counted.repartitionByRange(F.desc("doc"), F.desc("th")).sortWithinPartitions(F.desc("doc"), F.desc("th")).withColumn("at", F.monotonically_increasing_id()), "order")
     part = F.shiftright("at", 33)
     sizes = line.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("head"))  # a row per partition
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     total = sizes.agg(F.sum("n")).first()[0] or 1
     ranked = line.withColumn("p", part).join(starts.hint("shuffle_hash"), "p").withColumn("rank", F.col("start") + F.col("at") - F.col("head"))
-    following = ranked.select(F.col("doc").alias("next_doc"), F.col("th").alias("next_th"), F.pmod(F.col("rank") - 1, F.lit(total)).alias("rank"))
-    return ranked.select("doc", "th", "need", "rank").join(following.hint("merge"), "rank").drop("rank")
+    previous = ranked.select(F.col("doc").alias("prev_doc"), F.col("th").alias("prev_th"), F.col("need").alias("give"), F.pmod(F.col("rank") + 1, F.lit(total)).alias("rank"))
+    return ranked.select(*DOC, "copies", "need", "rank").join(previous.hint("merge"), "rank").drop("rank")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs(doc_id, text)``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
-    order = successors(keyed.select("doc", "th", F.floor(F.length("text") / 3).cast("int").alias("need")))
-    donors = keyed.select(F.col("doc").alias("next_doc"), F.col("th").alias("next_th"), "text").join(order.hint("merge"), ["next_doc", "next_th"])
-    donors = donors.select("doc", "th", "need", F.expr("substring(text, 1, need)").alias("head"), digests(F.col("text")).alias("next_digests")).dropDuplicates(["doc", "th"])
-    joined = keyed.join(donors.hint("merge"), ["doc", "th"])
-    with_edit = joined.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - need)"), F.col("head")))
-    d = with_edit.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("after"), F.col("next_digests").alias("following"),
-    )
-    d = d.withColumns({"d_edited": differing(F.col("own"), F.col("after")), "d_next": differing(F.col("own"), F.col("following"))})
-
-    def share(other: str, diff: str) -> Column:
-        total = (F.size("own") + F.size(other)).cast("double")
-        return F.when(total == 0, 1.0).otherwise((total - F.col(diff)) / (total + F.col(diff)))
-
-    return d.select(
-        "doc_id", "n_chars", "edited_sha256", rendered(sketch(F.col("own"))).alias("fingerprint"), rendered(sketch(F.col("after"))).alias("edited_fingerprint"),
-        share("after", "d_edited").alias("near_edited"), share("following", "d_next").alias("near_next"),
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+    order = staged(order_of(keyed.select(*DOC, F.floor(F.length("text") / 3).cast("int").alias("need"))), "order")
+    once = keyed.join(order.hint("merge"), DOC).dropDuplicates(DOC)
+    donors = once.select(F.col("prev_doc").alias("doc"), F.col("prev_th").alias("th"), F.expr("substring(text, 1, give)").alias("head"), digests("text").alias("following"))
+    edited = once.select(*DOC, "copies", "need", "text").join(donors.hint("merge"), DOC).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - need)"), F.col("head")))
+    digested = staged(edited.select(
+        *DOC, "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("after"), "following",
+    ), "digests")
+    # cells take far more room than the digests that they are made of, so a task gets a bounded number of documents
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), digested.count() // DOCS_A_TASK)
+    rows = digested.repartition(tasks, *DOC)
+
+    total = lambda other: F.size("own") + F.size(other)
+    yes = F.lit(True)
+    found = staged(_compared(rows, F.lit(1), (yes, yes), ROUNDS[0]), "peeled")
+    for share, rounds in zip(LARGER, ROUNDS[1:]):
+        open_ = rows.join(found.where("d_edited is null or d_next is null").hint("merge"), DOC)
+        again = _compared(open_, F.ceil(F.greatest(total("after"), total("following")) / share).cast("int"), (F.col("d_edited").isNull(), F.col("d_next").isNull()), rounds).withColumnsRenamed({"d_edited": "e", "d_next": "n"})
+        found = staged(found.join(again.hint("merge"), DOC, "left").select(*DOC, F.coalesce("d_edited", "e").alias("d_edited"), F.coalesce("d_next", "n").alias("d_next")), "peeled")
+
+    sides = rows.select(*DOC, F.lit(1).alias("buckets"), F.lit(1).alias("sign"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("ids")), F.struct(F.lit(1).alias("side"), F.col("after").alias("ids")))).alias("s"))
+    cells = in_cells(sides.select(*DOC, "buckets", "sign", "s.side", F.explode("s.ids").alias("k")), [*DOC, "side"])
+    shown = F.lower(F.concat(F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("c"), 4, "0"), F.lpad(F.hex("k"), 16, "0"), F.lpad(F.hex("g"), 16, "0")))
+    listed = lambda side: F.array_join(F.sort_array(F.collect_list(F.when(F.col("side") == side, shown))), "")  # noqa: E731  at most 18 cells
+    prints = cells.groupBy(*DOC).agg(listed(0).alias("fingerprint"), listed(1).alias("edited_fingerprint"))
+
+    differing = lambda known, other: F.coalesce(F.col(known), F.size(F.array_except("own", other)) + F.size(F.array_except(other, "own")))
+    share_of = lambda known, other: F.when(total(other) == 0, 1.0).otherwise((total(other) - differing(known, other)) / (total(other) + differing(known, other)))
+    joined = rows.join(found.hint("merge"), DOC).join(prints.hint("merge"), DOC, "left")
+    every = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return every.select(
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+        share_of("d_edited", "after").alias("near_edited"), share_of("d_next", "following").alias("near_next"),
     )
 
 
