@@ -34,11 +34,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document that names its near-duplicate group (five-word shingles, Jaccard 0.8); of repeated rows, one."""
-    groups = jaccard_join.join(docs, k=5, num=80, den=100)
-    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(COLUMNS)
-    return kept.dropDuplicates(["doc_id"])
+    """Keep one document of each near-duplicate group (five-word shingles, Jaccard 0.8); of repeated rows (id and text), one.
+
+    It is the one of least id; ids may be null or repeat, so rows are told apart by id and text together.
+    """
+    groups = jaccard_join.keyed(docs, k=5, num=80, den=100)
+    named = groups.select(F.col("keeper.doc_id").alias("kept_id"), F.col("keeper.text_key").alias("kept_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    kept = jaccard_join.with_text_key(docs).join(named.hint("merge"), same)
+    return kept.dropDuplicates(["doc_id", "text_key"]).select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,9 +115,14 @@ def signatures(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.n
     return np.concatenate(owners), np.concatenate(names)
 
 
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text_key``: rows that share it and their id (a null one too) repeat each other."""
+    return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+
+
 def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """A row per document (its set's size, name and parity sketch) and a row per block (``block``: its signature)."""
-    schema = "doc_id long, n int, sid long, parity array<long>, block long"
+    schema = "doc_id long, text_key long, n int, sid long, parity array<long>, block long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
@@ -126,7 +131,7 @@ def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             sets = shingle_sets(data, bounds, k)
             names = np.array([_name(s) for s in sets], dtype=np.int64)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_parity(s) for s in sets])), 16).cast(pa.list_(pa.int64()))
-            yield table({"doc_id": (column(rows, "doc_id"), pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "sid": (names, pa.int64()), "parity": (sketch, None), "block": (pa.nulls(len(sets), pa.int64()), None)})
+            yield table({"doc_id": (column(rows, "doc_id"), pa.int64()), "text_key": (column(rows, "text_key"), pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "sid": (names, pa.int64()), "parity": (sketch, None), "block": (pa.nulls(len(sets), pa.int64()), None)})
             first = np.zeros(len(sets), dtype=bool)
             first[np.unique(names, return_index=True)[1]] = True
             new = np.flatnonzero(first & ~np.isin(names, seen))
@@ -134,24 +139,24 @@ def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             owner, name = signatures([sets[i] for i in new], levels) if len(new) else (new, np.zeros(0, dtype=np.uint64))
             owner = new[owner]
             none = lambda kind: (pa.nulls(len(owner), kind), None)
-            yield table({"doc_id": none(pa.int64()), "n": none(pa.int32()), "sid": (names[owner], pa.int64()), "parity": none(pa.list_(pa.int64())), "block": (name.view(np.int64), pa.int64())})
+            yield table({"doc_id": none(pa.int64()), "text_key": none(pa.int64()), "n": none(pa.int32()), "sid": (names[owner], pa.int64()), "parity": none(pa.list_(pa.int64())), "block": (name.view(np.int64), pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return with_text_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(id, packed): the compressed text of every document; a null id is compared as a value."""
+    """(id, text_key, packed): the compressed text of every document; a null id is compared as a value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for rows, data, bounds in byte_chunks(batches):
-            yield table({"id": (column(rows, "id"), pa.int64()), "packed": ([press.compress(data[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
+            yield table({"id": (column(rows, "id"), pa.int64()), "text_key": (column(rows, "text_key"), pa.int64()), "packed": ([press.compress(data[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, packed binary")
+    return with_text_key(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string"))).mapInArrow(run, "id long, text_key long, packed binary")
 
 
 def _of_class(texts: DataFrame, k: int) -> DataFrame:
-    """Rows of ``texts(sid, packed)`` whose text has the set of that name: where ids repeat, others come along."""
+    """Rows of ``texts(sid, packed)`` whose text has the set of that name: hashes of texts may collide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -193,11 +198,16 @@ def _verified(pairs: DataFrame, packed: DataFrame, k: int, num: int, den: int) -
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``; threshold ``num / den``."""
+def keyed(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, keeper) for every row of ``docs(doc_id, text)``; threshold ``num / den``.
+
+    ``keeper(doc_id, text_key)`` is the same for all rows of a component and of one component only: its row of least id
+    (one without an id only if all are), and of those the least ``text_key``.  A row of an empty set is its own.
+    """
     described = staged(_described(docs, k, num, den), "sets")
-    rows = described.where("block is null").select("doc_id", "n", "sid", "parity")
-    own = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("parity").alias("parity"))
+    rows = described.where("block is null").select("doc_id", "text_key", "n", "sid", "parity")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    own = rows.where("n > 0").groupBy("sid").agg(F.min(key).alias("keeper"), F.max("n").alias("n"), F.first("parity").alias("parity"))
     # four xor-ed quarters of the parity sketch are the sketch of a quarter of its bits
     own = staged(own.withColumns({p: F.col("parity")[i].bitwiseXOR(F.col("parity")[i + 4]).bitwiseXOR(F.col("parity")[i + 8]).bitwiseXOR(F.col("parity")[i + 12]) for i, p in enumerate(PARITY)}), "set-classes")
 
@@ -206,8 +216,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     lists = described.where("block is not null").select("block", "sid").withColumns({"first": F.min("sid").over(whole_list), "last": F.max("sid").over(whole_list)}).where("first <> last")
     lists = staged(lists.distinct(), "lists")
 
-    involved = lists.select("sid").distinct().join(own.select("sid", F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).hint("merge"), "sid")
-    texts = _of_class(_packed(docs).join(involved.hint("merge"), "id"), k)
+    involved = lists.select("sid").distinct().join(own.select("sid", F.coalesce("keeper.doc_id", F.lit(NO_ID)).alias("id"), "keeper.text_key").hint("merge"), "sid")
+    texts = _of_class(_packed(docs).join(involved.hint("merge"), ["id", "text_key"]), k)
     texts = staged(texts.dropDuplicates(["sid"]), "texts")
 
     side = lambda s: own.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(p).alias(f"{p}_{s}") for p in PARITY])
@@ -237,11 +247,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     more = _verified(likely(found.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()), texts, k, num, den)
 
     whole = connected_components(links.union(more)).withColumnsRenamed({"node": "sid"})
-    ids = own.select("sid", "doc_id").join(whole.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    answer = staged(ids.select("sid", "component").join(least.hint("merge"), "component").select("sid", "component_id"), "answers")
-    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sid").join(answer.hint("merge"), "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    ids = own.select("sid", "keeper").join(whole.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    least = ids.groupBy("component").agg(F.min("keeper").alias("keeper"))
+    answer = staged(ids.select("sid", "component").join(least.hint("merge"), "component").select("sid", "keeper.doc_id", "keeper.text_key").toDF("sid", "keeper_id", "keeper_key"), "answers")
+    out = rows.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "sid").join(answer.hint("merge"), "sid", "left")
+    of = lambda own, shared: F.when(F.col("n_shingles") == 0, F.col(own)).otherwise(F.col(shared))
+    keeper = F.struct(of("doc_id", "keeper_id").alias("doc_id"), of("text_key", "keeper_key").alias("text_key"))
+    return out.select("doc_id", "text_key", "n_shingles", of("doc_id", "keeper_id").alias("component_id"), keeper.alias("keeper"))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``; threshold ``num / den``."""
+    return keyed(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

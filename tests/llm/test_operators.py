@@ -387,3 +387,40 @@ def test_sharding_weights(spark):
 def test_empty_tables(empty):
     for frame in (jaccard_join.join(empty), packing.pack(empty, packing.tokenizer_path()), license_scan.scan(empty), fingerprints.fingerprint(empty), suffix_dedup.dedup(empty), pieces.encode(empty, pieces.model_path()), sharding.shard(empty)):
         assert rows(frame) == []
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def brute_groups(table, k, num, den):
+    """Row numbers of every group of linked rows; rows without a word are in none."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lowered(row[1])) for row in table]
+    sets = [{tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set() for w in words]
+    group = {i: {i} for i, s in enumerate(sets) if s}
+    for i, j in itertools.combinations(group, 2):
+        both = len(sets[i] & sets[j])
+        if group[i] is not group[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+            group[i] |= group[j]
+            for x in group[j]:
+                group[x] = group[i]
+    return list({id(g): g for g in group.values()}.values())
+
+
+def test_stage_keeps_one_row_of_each_group(spark, corpus):
+    """Null and repeated ids: one row of every group of linked texts, and all texts that link with nothing."""
+    import corpus_pipeline
+
+    a, b, c, d = (prose(80) for _ in range(4))
+    odd = [(5, a), (5, b), (3, b), (None, c), (None, d), (None, d), (9, d + " end"), (None, ""), (None, None), (None, "  "), (4, ""), (4, "")]
+    table = [*corpus, *((i, t, "en", "s", len(t or "")) for i, t in odd)]
+    got = Counter((r["doc_id"], r["text"]) for r in rows(corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(table, DOC).repartition(3), "")))
+    assert got[5, a] == got[3, b] == got[None, c] == got[9, d + " end"] == 1 and (5, b) not in got and (None, d) not in got
+
+    groups = brute_groups(table, 5, 80, 100)
+    assert set(got.values()) == {1} and set(got) <= {r[:2] for r in table}
+    for members in groups:
+        ids = [table[i][0] for i in members if table[i][0] is not None]
+        kept = {table[i][:2] for i in members} & set(got)
+        assert len(kept) == 1 and next(iter(kept))[0] == min(ids, default=None)
+    linked = {table[i][:2] for g in groups for i in g}
+    assert {r[:2] for r in table} - linked == set(got) - linked
