@@ -1,11 +1,13 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds, for each slot, a mask with one bit per language.  An n-gram's masks in its slots are
+A bit-sliced Bloom filter holds, for each slot, a mask with one bit per language (a word for every 64 languages).  An n-gram's masks in its slots are
 and-ed, and what is left names every language whose n-grams contain it.  A text's share of n-grams per language is
 corrected for the language's false-positive rate, and the largest corrected share decides.
 
-Training: occurrences of character n-grams per language, counted by Spark over at most ``sample`` labelled rows (those
-with the smallest hash of doc_id; a documented bound of the fit).  An n-gram belongs to a language if it makes up at
+Training: occurrences of character n-grams per language, counted by Spark over at most ``sample`` labelled rows, a
+documented bound of the fit.  They are drawn per language: every language has the same quota, those with fewer rows give
+all of them and leave the rest of their quota to the others, and larger ones give the rows with the smallest hashes of
+id and text.  So a language's rows in the fit never shrink because other languages have more.  An n-gram belongs to a language if it makes up at
 least ``floor`` of the language's n-grams and at least ``ratio`` of its share in the language where it is most common;
 at most ``keep`` n-grams a language enter the filter.  The filter's size is a parameter, so what is broadcast is fixed.
 
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,59 +89,85 @@ def gram_counts(rows: DataFrame, n: int = N) -> DataFrame:
 
 
 class Filter:
-    """The bit-sliced Bloom filter: ``slots`` masks, one bit per language."""
+    """The bit-sliced Bloom filter: ``slots`` masks, one bit per language, in as many words as there are 64 languages."""
 
     def __init__(self, langs: list[str], grams: list[np.ndarray], slot_bits: int = SLOT_BITS, probes: int = PROBES):
-        if len(langs) > 64:
-            raise ValueError("a mask holds 64 languages")
         self.langs, self.probes, self.slot_bits = langs, probes, slot_bits
-        self.slots = np.zeros(1 << slot_bits, dtype=np.uint8 if len(langs) <= 8 else np.uint64)
-        for bit, own in enumerate(grams):
+        kind = np.uint8 if len(langs) <= 8 else np.uint64
+        self.slots = np.zeros((max(-(-len(langs) // 64), 1), 1 << slot_bits), dtype=kind)
+        for i, own in enumerate(grams):
             for at in self.places(own):
-                self.slots[at] |= self.slots.dtype.type(1 << bit)
-        self.false_rate = np.array([float(((self.slots >> self.slots.dtype.type(b)) & self.slots.dtype.type(1)).mean()) ** probes for b in range(len(langs))])
+                self.slots[i // 64][at] |= kind(1 << i % 64)
+        self.false_rate = np.array([float(((self.slots[i // 64] >> kind(i % 64)) & kind(1)).mean()) ** probes for i in range(len(langs))])
 
     def places(self, gram: np.ndarray) -> list[np.ndarray]:
         shift = np.uint64(64 - self.slot_bits)
         return [((gram * np.uint64(odd)) >> shift).astype(np.int64) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[: self.probes]]
 
-    def masks(self, gram: np.ndarray) -> np.ndarray:
+    def masks(self, gram: np.ndarray, word: int = 0) -> np.ndarray:
         out = None
         for at in self.places(gram):
-            out = self.slots[at] if out is None else out & self.slots[at]
+            out = self.slots[word][at] if out is None else out & self.slots[word][at]
         return out
 
     def shares(self, gram: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Corrected share of each row's n-grams per language (rows x languages)."""
-        mask = self.masks(gram)
         n = np.maximum(np.diff(first), 1)
         out = np.zeros((len(n), len(self.langs)))
-        for bit in range(len(self.langs)):
-            total = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(bit)) & mask.dtype.type(1), dtype=np.int64)])
+        for i in range(len(self.langs)):
+            if i % 64 == 0:
+                mask = self.masks(gram, i // 64)
+            total = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), dtype=np.int64)])
             share = (total[first[1:]] - total[first[:-1]]) / n
-            out[:, bit] = (share - self.false_rate[bit]) / (1 - self.false_rate[bit])
+            out[:, i] = (share - self.false_rate[i]) / (1 - self.false_rate[i])
         return np.clip(out, 0, 1)
 
 
+def quota(sizes: list[int], sample: int) -> int:
+    """The largest number of rows a language, one at least, with which languages of these sizes give ``sample`` rows at most."""
+    left = sample
+    for i, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if size > share:
+            return max(share, 1)
+        left -= size
+    return max(sizes)
+
+
+def drawn(known: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows of ``known(lang, text, draw)`` (or one a language), the same number of every language that has it.
+
+    Above its quota a language gives the rows with the smallest ``draw``, which is a uniform hash: a share of the hashes
+    that surely holds the quota is ranked without texts, and the draw of the quota's last row is the language's limit.
+    """
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
+        return known
+    rows = quota(list(sizes.values()), sample)
+    share = {x: min((rows + 8 * rows**0.5 + 40) / n, 1.0) for x, n in sizes.items()}
+    least, most = -(1 << 63), (1 << 63) - 1
+    upto = [(x, min(least + int(share[x] * 2.0**64), most) if n > rows else most, n > rows) for x, n in sizes.items()]
+    if not any(over for *_, over in upto):
+        return known
+    few = F.broadcast(known.sparkSession.createDataFrame(upto, "lang string, upto long, over boolean"))
+    near = known.join(few, "lang").where("over and draw <= upto").select("lang", "draw")
+    last = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("r") == rows).select("lang", F.col("draw").alias("last"))
+    limits = few.join(F.broadcast(last), "lang", "left").select("lang", F.coalesce("last", "upto").alias("last"))
+    return known.join(F.broadcast(limits), "lang").where(F.col("draw") <= F.col("last")).drop("last")
+
+
 def fit(labelled: DataFrame, n: int = N, sample: int = SAMPLE, keep: int = KEEP, floor: float = FLOOR, ratio: float = RATIO) -> Filter:
     """Fit on at most ``sample`` rows of ``labelled(doc_id, lang, text)``."""
-    known = labelled.where(F.col("lang").isNotNull()).withColumn("draw", F.xxhash64("doc_id"))
-    total = known.count()
-    if not total:
-        return Filter([], [])
-    rows = known
-    if total > sample:
-        rows = known.where(F.col("draw") <= known.agg(F.percentile_approx("draw", sample / total, 10_000)).first()[0])
+    known = labelled.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("draw"))
+    rows = drawn(known, sample)
     counts = gram_counts(rows, n).where("n > 1")
     share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     best = share.withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     fit_in = best.where((F.col("share") >= floor) & (F.col("share") >= ratio * F.col("most")))
     top = fit_in.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).where(F.col("r") <= keep)
-    found: dict[str, list[int]] = {}
-    for r in top.select("lang", "gram").collect():  # at most keep x languages values
-        found.setdefault(r["lang"], []).append(r["gram"])
-    langs = sorted(found)
-    return Filter(langs, [np.array(found[x], dtype=np.int64).view(np.uint64) for x in langs])
+    found = top.select("lang", "gram").toArrow()  # at most keep x languages values
+    langs = sorted(found["lang"].unique().to_pylist())
+    return Filter(langs, [found.filter(pc.equal(found["lang"], x))["gram"].to_numpy().view(np.uint64) for x in langs])
 
 
 def predict(docs: DataFrame, model: Filter, passed: list[str], n: int = N) -> DataFrame:

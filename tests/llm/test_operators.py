@@ -325,6 +325,34 @@ def test_language_id_defined_cases(spark, docs, empty):
     assert rows(language_id.predict(empty, model, ["doc_id"])) == []
 
 
+def test_language_fit_draws_per_language(spark):
+    """A language of few rows among many of another is learned in full, and the others fill the sample."""
+    own = ["фыва олдж", "шгнек апро", "тьбю йцук"]
+    table = [(i if i % 3 else None, f"common words of the large language {i}", "en") for i in range(2000)]
+    table += [(i, f"weitere Wörter der zweiten Sprache {i}", "de") for i in range(300)]
+    table += [(i, own[i % 3], "ru") for i in range(6)]
+    frame = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3)
+    keyed = frame.selectExpr("lang", "text", "xxhash64(doc_id, text) draw")
+    assert Counter(r["lang"] for r in language_id.drawn(keyed, 100).collect()) == {"en": 47, "de": 47, "ru": 6}
+    assert language_id.drawn(keyed, 1 << 20).count() == len(table)
+    assert Counter(r["lang"] for r in language_id.drawn(keyed, 2).collect()) == {"en": 1, "de": 1, "ru": 1}
+    assert [language_id.quota([6, 300, 2000], x) for x in (2, 100, 700, 5000)] == [1, 47, 394, 2000]
+    model = language_id.fit(frame, sample=100)
+    assert {r["lang_pred"] for r in rows(language_id.predict(frame.where("lang = 'ru'"), model, ["doc_id"]))} == {"ru"}
+
+
+def test_language_fit_of_more_than_64_languages(spark):
+    """Each has letters of its own, so that none can stand for another."""
+    letters = [c for c in map(chr, range(0x4E00, 0x4E00 + 400))]
+    word = lambda i: " ".join("".join(letters[4 * i : 4 * i + 4]) for _ in range(9))
+    table = [(i, word(i % 100), f"l{i % 100:03}") for i in range(300)]
+    frame = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+    assert len(model.langs) == 100
+    got = rows(language_id.predict(frame, model, ["lang"]))
+    assert len(got) == 300 and all(r["lang"] == r["lang_pred"] and r["score"] > 0.9 for r in got)
+
+
 def test_bloom_filter_rates():
     rng = np.random.default_rng(1)
     grams = [rng.integers(0, 1 << 63, 30_000, dtype=np.uint64) for _ in range(3)]
