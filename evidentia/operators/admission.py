@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clamp, first_reason, sha, slice_text, squash, top
+from .fold import fold
 
 #: weights of the score's components
 WEIGHTS = {"semantic": 0.25, "structural": 0.30, "sequence": 0.15, "authority": 0.20, "recency": 0.10, "stale": -0.45, "conflict": -0.40, "redundant": -0.20}
@@ -27,24 +28,26 @@ def collapse_duplicates(df: DataFrame) -> DataFrame:
     return df.select("request_id", "id", first_reason((body == "", "empty"), (nth > 1, "duplicate"), otherwise="kept").alias("reason"))
 
 
-def admit(df: DataFrame, tokens: int = 500, cap: int = 1200, page: int = 512) -> DataFrame:
+def admit(df: DataFrame, tokens: int = 500, cap: int = 1200, page: int | None = None) -> DataFrame:
     """(request_id, id, decision): mandatory rows, then by section, score and id, those that fit ``4 * tokens`` characters; skips ahead.
 
-    A fold over one request's page of at most ``page`` candidates.
+    Every candidate gets a decision; with a ``page``, only the first so many of a request are looked at.
     """
     order = F.coalesce(*[F.when(F.col("section") == s, F.lit(i)) for i, s in enumerate(SECTIONS)], F.lit(len(SECTIONS)))
-    placed = top(df.withColumn("place", order), ["request_id"], [F.desc("mandatory"), "place", F.desc("score"), "id"], page, "nth")
-    rows = placed.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "mandatory", "size"))).alias("rows"))
+    placed = df.withColumn("place", order)
+    ranks = [F.desc("mandatory"), "place", F.desc("score"), "id"]
+    if page is not None:
+        placed = top(placed, ["request_id"], ranks, page, "nth")
     budget = 4 * min(tokens, cap)
 
-    def step(s: Column, r: Column) -> Column:
-        fits = s["used"] + r["size"] <= budget
-        takes = r["mandatory"] | fits
-        decision = F.when(r["mandatory"], "mandatory").when(fits, "admitted").otherwise("budget")
-        return F.struct((s["used"] + F.when(takes, r["size"]).otherwise(0)).cast("long").alias("used"), F.concat(s["out"], F.array(F.struct(r["id"].cast("long").alias("id"), decision.alias("decision")))).alias("out"))
+    def step(used: list, r: dict) -> tuple:
+        fits = r["size"] is not None and used[0] + r["size"] <= budget
+        if r["mandatory"] or fits:
+            used[0] += r["size"] or 0
+        return r["id"], "mandatory" if r["mandatory"] else "admitted" if fits else "budget"
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,decision:string>>").alias("out"))
-    return rows.select("request_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("request_id", "o.id", "o.decision")
+    rows = placed.select("request_id", F.col("id").cast("long").alias("id"), "mandatory", "place", "score", "size")
+    return fold(rows, "request_id", ranks, lambda: [0], step, "id long, decision string")
 
 
 def close_dependencies(selected: DataFrame, edges: DataFrame, available: DataFrame, depth: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import if_small, top
+from .fold import fold
 
 
 def full_by_id(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -58,16 +59,19 @@ def cross(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(if_small(b))
 
 
-def greedy_match(pairs: DataFrame, case: str = "case_id", limit: int = 1024) -> DataFrame:
-    """One-to-one matches in order: a pair of ``(case_id, left, right, turn)`` is kept if both sides are still free.
+def greedy_match(pairs: DataFrame, case: str = "case_id") -> DataFrame:
+    """One-to-one matches in order: a pair of ``(case_id, left, right, turn)`` is kept if both sides are known and still free."""
+    def step(taken: tuple, r: dict) -> tuple:
+        lefts, rights = taken
+        free = r["left"] not in lefts and r["right"] not in rights
+        if free:
+            lefts.add(r["left"])
+            rights.add(r["right"])
+        return r["left"], r["right"], r["turn"], free
 
-    A fold over one case's candidate pairs, of which there are at most ``limit``.
-    """
-    gathered = pairs.groupBy(case).agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "left", "right"))), 1, limit).alias("rows"))
-    empty = F.array().cast("array<struct<turn:bigint,left:bigint,right:bigint>>")
-    free = lambda kept, r: ~F.exists(kept, lambda k: (k["left"] == r["left"]) | (k["right"] == r["right"]))
-    kept = F.aggregate("rows", empty, lambda s, r: F.when(free(s, r), F.concat(s, F.array(F.struct(r["turn"].cast("long").alias("turn"), r["left"].cast("long").alias("left"), r["right"].cast("long").alias("right"))))).otherwise(s))
-    return gathered.select(case, F.explode(kept).alias("k")).select(case, "k.left", "k.right", "k.turn")
+    known = pairs.where("left is not null and right is not null").select(case, *[F.col(c).cast("long").alias(c) for c in ("left", "right", "turn")])
+    decided = fold(known, case, [F.asc_nulls_last("turn"), "left", "right"], lambda: (set(), set()), step, "left long, right long, turn long, free boolean")
+    return decided.where("free").drop("free")
 
 
 def fixpoint(start: DataFrame, edges: DataFrame, max_depth: int = 7) -> DataFrame:

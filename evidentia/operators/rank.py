@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import RRF_K, W_LEAF, clamp, cosine, dot, if_small, norm, numbered, rrf_term, sha, squash, top, union
+from .fold import fold
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 16) -> DataFrame:
@@ -140,23 +141,25 @@ def prefix_budget(ranked: DataFrame, max_chars: int, k: int) -> DataFrame:
     return cut.withColumn("text", F.expr(f"substring(text, 1, {max_chars} - before)")).withColumn("chars", F.length("text"))
 
 
-def greedy_budget(ranked: DataFrame, max_chars: int, limit: int = 64, page_size: int = 512) -> DataFrame:
+def greedy_budget(ranked: DataFrame, max_chars: int, limit: int = 64) -> DataFrame:
     """Skip-ahead budget over ``(query_id, id, size, rank)``: a row that does not fit is skipped, later ones may enter.
 
-    A fold over one query's page (at most ``page_size`` rows, the bound of the page that ranking hands on).
+    Every row gets a reason; one of unknown size takes nothing.
     """
-    page_rows = ranked.where(F.col("rank") <= page_size).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "size"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,rank:int,reason:string>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        reason = F.when(s["n"] >= limit, "limit").when(s["used"] + r["size"] > max_chars, "budget").otherwise("admitted")
-        takes = (s["n"] < limit) & (s["used"] + r["size"] <= max_chars)
-        return F.struct(
-            (s["used"] + F.when(takes, r["size"]).otherwise(0)).cast("long").alias("used"), (s["n"] + takes.cast("int")).alias("n"),
-            F.concat(s["out"], F.array(F.struct(r["id"].cast("long").alias("id"), r["rank"].cast("int").alias("rank"), reason.alias("reason")))).alias("out"),
-        )
-
-    return page_rows.select("query_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("query_id", "o.id", "o.rank", "o.reason")
+    def step(s: list, r: dict) -> tuple:
+        used, n = s
+        if n >= limit:
+            reason = "limit"
+        elif r["size"] is None:
+            reason = "admitted"
+        elif used + r["size"] > max_chars:
+            reason = "budget"
+        else:
+            reason, s[:] = "admitted", [used + r["size"], n + 1]
+        return r["id"], r["rank"], reason
+
+    rows = ranked.select("query_id", F.col("id").cast("long").alias("id"), F.col("rank").cast("int").alias("rank"), "size")
+    return fold(rows, "query_id", ["rank", "id", "size"], lambda: [0, 0], step, "id long, rank int, reason string")
 
 
 def merge_duplicate_units(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia import sources, streaming
-from evidentia.operators import admission, graphs, ledger, rank, text
+from evidentia.operators import admission, graphs, joins, ledger, rank, text
 
 
 def rows(df):
@@ -30,6 +30,39 @@ def test_admission_keeps_mandatory_rows(spark):
     assert rows(admission.admit(df)) == [(1, 1, "mandatory"), (1, 2, "budget")]
 
 
+def test_greedy_choices_have_no_page(spark):
+    """One key with more rows than the pages that the folds once had, against plain loops, beside a small one."""
+    n = 3000
+    budget = spark.range(n).selectExpr("id % 2 * (id % 3) query_id", "id", "id * 7919 % 211 + 1 size", "cast(id as int) rank").repartition(5)
+    for limit, most in ((64, 900), (4000, 5000)):
+        want, state = [], {}
+        for r in budget.orderBy("query_id", "rank").collect():
+            used, k = state.get(r["query_id"], (0, 0))
+            reason = "limit" if k >= limit else "budget" if used + r["size"] > most else "admitted"
+            state[r["query_id"]] = (used + r["size"], k + 1) if reason == "admitted" else (used, k)
+            want.append((r["query_id"], r["id"], r["rank"], reason))
+        assert rows(rank.greedy_budget(budget, most, limit)) == sorted(want)
+
+    asked = spark.range(n).selectExpr("id % 2 request_id", "id", "id % 4 = 0 mandatory", "array('history', 'authority', 'other')[id % 3] section", "cast(id * 31 % 101 as double) score", "id % 7 * 40 + 3 size").repartition(5)
+    place = {"authority": 0, "history": 4, "other": 5}
+    want, used = [], {}
+    for r in sorted(asked.collect(), key=lambda r: (r["request_id"], not r["mandatory"], place[r["section"]], -r["score"], r["id"])):
+        fits = used.get(r["request_id"], 0) + r["size"] <= 2000
+        if r["mandatory"] or fits:
+            used[r["request_id"]] = used.get(r["request_id"], 0) + r["size"]
+        want.append((r["request_id"], r["id"], "mandatory" if r["mandatory"] else "admitted" if fits else "budget"))
+    assert rows(admission.admit(asked)) == sorted(want)
+
+    pairs = spark.range(n).selectExpr("id % 10 div 9 case_id", "id div 2 left", "(id + 1) div 2 right", "id turn").repartition(5)
+    want, taken = [], set()
+    for r in pairs.orderBy("case_id", "turn").collect():
+        sides = {(r["case_id"], "l", r["left"]), (r["case_id"], "r", r["right"])}
+        if not sides & taken:
+            taken |= sides
+            want.append(tuple(r[c] for c in ("case_id", "left", "right", "turn")))
+    assert rows(joins.greedy_match(pairs)) == sorted(want)
+
+
 def test_token_chunks_cover(spark):
     docs = spark.createDataFrame([(1, "One two three. " * 200), (2, "x"), (3, ""), (4, None)], "doc_id long, text string")
     chunks = text.token_chunks(docs, 50, 10, 20).withColumn("sha", F.lit(None).cast("string"))
