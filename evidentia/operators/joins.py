@@ -74,11 +74,33 @@ def greedy_match(pairs: DataFrame, case: str = "case_id") -> DataFrame:
     return decided.where("free").drop("free")
 
 
-def fixpoint(start: DataFrame, edges: DataFrame, max_depth: int = 7) -> DataFrame:
+def fixpoint(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(origin, last, depth, cycle): where each origin's chain of ``edges(a, b)`` ends; one successor a node.
 
-    Each step is a join; rows leave as their chain ends, so the frontier shrinks.  A visited node ends a chain as a cycle.
+    Pointers are doubled (a node's pointer becomes its pointer's pointer), so rounds grow with the logarithm of the
+    longest chain, until no more nodes reach an end.  What then has none runs into a cycle: ``last`` and ``depth`` are null.
+    With a ``max_depth``, chains are walked so many steps at most, ``last`` is the node reached and a cycle's last new one.
     """
+    if max_depth is not None:
+        return _walked(start, edges, max_depth)
+    step = edges.groupBy("a").agg(F.min("b").alias("b")).where("b is not null")
+    ends = step.select(F.col("a").alias("b"), F.lit(True).alias("goes_on"))
+    at = step.join(ends, "b", "left").select("a", "b", F.lit(1).cast("long").alias("n"), F.coalesce("goes_on", F.lit(False)).alias("open")).localCheckpoint()
+    left = at.where("open").count()
+    while left:
+        further = at.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"), F.col("open").alias("goes_on"))
+        moved = at.where("open").join(further, "b").select("a", F.col("c").alias("b"), (F.col("n") + F.col("m")).alias("n"), F.col("goes_on").alias("open"))
+        at = at.where("not open").unionByName(moved).localCheckpoint()
+        before, left = left, at.where("open").count()
+        if left == before:  # a longer chain would have nodes that end in this round
+            break
+    found = start.join(at.withColumnRenamed("a", "origin"), "origin", "left")
+    cycle = F.coalesce("open", F.lit(False))
+    return found.select("origin", F.when(~cycle, F.coalesce("b", "origin")).alias("last"), F.when(~cycle, F.coalesce("n", F.lit(0).cast("long"))).alias("depth"), cycle.alias("cycle"))
+
+
+def _walked(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """Each step is a join; rows leave as their chain ends, so the frontier shrinks.  A visited node ends a chain as a cycle."""
     frontier = start.select("origin", F.col("origin").alias("last"), F.array("origin").alias("path"))
     done = None
     step = edges.groupBy("a").agg(F.min("b").alias("b"))

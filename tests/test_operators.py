@@ -63,6 +63,15 @@ def test_greedy_choices_have_no_page(spark):
     assert rows(joins.greedy_match(pairs)) == sorted(want)
 
 
+def test_fixpoint_reaches_the_end(spark):
+    """Long chains, a cycle longer than the former cap with a tail into it, a self link and a node without a successor."""
+    edges = [(i, i + 1) for i in range(45)] + [(100 + i, 100 + (i + 1) % 20) for i in range(20)] + [(150, 151), (151, 103), (200, 200)]
+    origins = [*range(0, 46, 5), 100, 119, 150, 200, 300]
+    want = [(i, 45, 45 - i, False) for i in range(0, 46, 5)] + [(i, None, None, True) for i in (100, 119, 150, 200)] + [(300, 300, 0, False)]
+    got = joins.fixpoint(spark.createDataFrame([(i,) for i in origins], "origin long"), spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_token_chunks_cover(spark):
     docs = spark.createDataFrame([(1, "One two three. " * 200), (2, "x"), (3, ""), (4, None)], "doc_id long, text string")
     chunks = text.token_chunks(docs, 50, 10, 20).withColumn("sha", F.lit(None).cast("string"))
