@@ -4,10 +4,11 @@ A text's lattice has an edge for every piece of the vocabulary that matches at a
 and byte pieces for a character that is no piece.  The best path is found forwards (Viterbi); its scores of all prefixes
 then are an exact heuristic for an A* search backwards from the end, which pops the N best paths in order.
 
-No piece has a visible character before a blank, so every path goes through the blanks that begin words: a lattice falls
-apart into words.  A word's best path and the loss of its second best are found once and remembered (about ``keep`` words
-a task); the A* search runs for the N - 1 words of a text with the smallest loss, which alone can leave their best path
-in the text's N best, and these are merged.
+Where two characters follow each other in no piece, every path has a border, so a lattice falls apart into words there
+(at blanks, above all).  The forward and backward passes run for many words at once, step by step over their places;
+a word's best path and the loss of its second best are remembered (words of ``LONG`` characters at most, ``keep`` bytes a
+task).  The A* search runs for the N - 1 words of a text with the smallest loss, which alone can leave their best path in
+the text's N best, and these are merged.  Equal words are told by a 64-bit hash.
 
 Decoding joins the pieces, turns marks back into blanks and takes away the one that encoding put in front.  It gives back
 any text that does not itself hold the mark character.
@@ -20,7 +21,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, table, texts
+from .common import _ODD, _power, byte_chunks, mix, read_table, span_hash, table, texts
 
 MARK = "▁"
 N_BEST = 3
 #: what a character that is no piece costs below the worst score
 UNKNOWN_PENALTY = 10.0
 
-_units = re.compile(" *[^ ]+| +")
+#: words of more characters are passed through one at a time, and not remembered
+LONG = 200
 
 
 class Lattice:
@@ -143,61 +144,215 @@ class Lattice:
         return array("I", ids).tobytes()
 
 
-class Encoder(dict):
-    """Word -> number of its entry in the tables below."""
-
-    def __init__(self, model_file: str, n: int = N_BEST, keep: int = 400_000):
+class Trie:
+    """A lattice's pieces as arrays, for passes over many words at once."""
+
+    PAIRS = 1 << 20
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        chars = sorted({c for p in lattice.ids for c in p})
+        number = {c: i + 1 for i, c in enumerate(chars)}
+        self.width = len(chars) + 1
+        #: number of every character that is in a piece; 0 for others
+        self.number = np.zeros(0x110000, dtype=np.int64)
+        self.number[[ord(c) for c in chars]] = np.arange(1, self.width)
+        #: whether two characters may follow each other in a piece (a table of hashes: if in doubt, they may)
+        self.joined = np.zeros(self.PAIRS, dtype=bool)
+        for p in lattice.ids:
+            for x, y in zip(p, p[1:]):
+                self.joined[self.pair(number[x], number[y])] = True
+        self.joined[self.pair(0, 0)] = False
+        nodes = {b: i + 1 for i, b in enumerate(sorted(lattice.beginnings, key=len))} | {"": 0}
+        steps = sorted((nodes[b[:-1]] * self.width + number[b[-1]], i) for b, i in nodes.items() if b)
+        self.steps, self.to = np.array([k for k, _ in steps]), np.array([i for _, i in steps])
+        self.piece = np.full(len(nodes), -1, dtype=np.int64)
+        self.piece[[nodes[p] for p in lattice.ids]] = list(lattice.ids.values())
+
+    def pair(self, x, y):
+        return (x * 40503 + y) & (self.PAIRS - 1)
+
+    def cuts(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where words begin: at every text's first character, and between characters that no piece joins."""
+        number = self.number[codes]
+        at = np.ones(len(codes), dtype=bool)
+        at[1:] = ~self.joined[self.pair(number[:-1], number[1:])] | (number[:-1] == 0) | (number[1:] == 0)
+        at[first] = True
+        return np.flatnonzero(at)
+
+    def edges(self, codes: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece (-1: unknown character) of every edge, by start; ``behind``: each character's word's end."""
+        number = self.number[codes]
+        at, node, length = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), 0
+        starts, ends, found = [], [], []
+        single = np.zeros(len(codes), dtype=bool)
+        while len(at):
+            key = node * self.width + number[at + length]
+            place = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            ok = self.steps[place] == key
+            at, node, length = at[ok], self.to[place[ok]], length + 1
+            piece = self.piece[node]
+            ends_here = piece >= 0
+            starts.append(at[ends_here])
+            ends.append(at[ends_here] + length)
+            found.append(piece[ends_here])
+            if length == 1:
+                single[at[ends_here]] = True
+            more = at + length < behind[at]
+            at, node = at[more], node[more]
+        unknown = np.flatnonzero(~single)
+        start = np.concatenate([*starts, unknown])
+        order = np.argsort(start, kind="stable")
+        return start[order], np.concatenate([*ends, unknown + 1])[order], np.concatenate([*found, np.full(len(unknown), -1)])[order]
+
+    def passes(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words laid end to end: best score, loss of the second best, ids of the best path, and number of ids.
+
+        The result is that of ``Lattice.viterbi``; place p of word w has one cell more than characters.
+        """
+        lattice, words = self.lattice, len(sizes)
+        last = np.cumsum(sizes)
+        begin = last - sizes
+        word = np.repeat(np.arange(words), sizes)
+        start, end, piece = self.edges(codes, last[word])
+        score = np.where(piece >= 0, lattice.scores[piece], lattice.unknown)
+        own = word[start]
+        start, end = start + own, end + own  # cells
+        head, tail = begin + np.arange(words), last + np.arange(words)
+        step = start - head[own]
+        by_step = np.argsort(step, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(step))])
+        forward = np.full(len(codes) + words, -np.inf)
+        forward[head] = 0.0
+        came, via = np.zeros(len(forward), dtype=np.int64), np.zeros(len(forward), dtype=np.int64)
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            e = by_step[i:j]
+            total = forward[start[e]] + score[e]
+            better = total > forward[end[e]]
+            e = e[better]
+            forward[end[e]], came[end[e]], via[end[e]] = total[better], start[e], e
+        backward = np.full(len(forward), -np.inf)
+        backward[tail] = 0.0
+        for i, j in zip(bounds[-2::-1], bounds[:0:-1]):
+            e = by_step[i:j]
+            groups = np.concatenate([[0], np.flatnonzero(np.diff(start[e])) + 1])
+            backward[start[e][groups]] = np.maximum.reduceat(score[e] + backward[end[e]], groups)
+        taken, is_head = np.zeros((2, len(forward)), dtype=bool)
+        is_head[head] = True
+        at = tail
+        while len(at):
+            taken[at] = True
+            at = came[at]
+            at = at[~is_head[at]]
+        edge = via[taken]  # the best paths' edges, word by word
+        through = score + backward[end] + forward[start]
+        through[edge] = -np.inf
+        loss = forward[tail] - np.maximum.reduceat(through, np.searchsorted(own, np.arange(words)))
+        ids, count = piece[edge], np.ones(len(edge), dtype=np.int64)
+        odd = np.flatnonzero(ids < 0)
+        owner = own[edge]
+        if len(odd):
+            raw = [chr(codes[i]).encode("utf-8", "surrogatepass") for i in (start - own)[edge[odd]].tolist()]
+            count[odd] = list(map(len, raw))
+            spread = np.repeat(ids, count)
+            spread[spread < 0] = np.array(lattice.byte_ids)[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+            ids = spread
+        return forward[tail], loss, ids.astype("<u4"), np.bincount(owner, weights=count, minlength=words).astype(np.int64)
+
+
+class Encoder:
+    """Segments texts, and remembers words by their hash: best score, loss, and place of the ids in one long array."""
+
+    def __init__(self, model_file: str, n: int = N_BEST, keep: int = 100_000_000):
         self.lattice, self.n, self.keep = Lattice(model_file, n), n, keep
+        self.trie = Trie(self.lattice)
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.top: list[float] = []
-        self.loss: list[float] = []
-        self.path: list[bytes] = []
+        self.known: dict[int, int] = {}
+        self.top, self.loss = np.zeros(0), np.zeros(0)
+        self.size, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
         self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
-    def __missing__(self, word: str) -> int:
-        top, loss, path = self.lattice.viterbi(word.replace(" ", MARK))
-        number = self[word] = len(self.top)
-        self.top.append(top)
-        self.loss.append(loss)
-        self.path.append(path)
-        return number
-
     def several(self, word: str) -> list[tuple[float, bytes]]:
-        if word not in self.lists:
-            self.lists[word] = self.lattice.best(word.replace(" ", MARK))
-        return self.lists[word]
-
-    def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """The N best segmentations of a whole text: score and ids."""
-        if not text:
-            return [(0.0, b"")]
-        if len(self) > self.keep:
+        found = self.lists.get(word)
+        if found is None:
+            found = self.lattice.best(word)
+            if len(word) <= LONG:
+                self.lists[word] = found
+        return found
+
+    def learn(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add the words that stand there to the arrays."""
+        sizes = ends - starts
+        short = np.flatnonzero(sizes <= LONG)
+        tops, losses, counts = np.zeros(len(starts)), np.zeros(len(starts)), np.zeros(len(starts), dtype=np.int64)
+        parts: dict[int, np.ndarray] = {}
+        for at in range(0, len(short), 20_000):
+            own = short[at : at + 20_000]
+            place = np.arange(sizes[own].sum()) + np.repeat(starts[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own])
+            tops[own], losses[own], ids, counts[own] = self.trie.passes(codes[place], sizes[own])
+            parts |= zip(own.tolist(), np.split(ids, np.cumsum(counts[own])[:-1]))
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            tops[i], losses[i], ids = self.lattice.viterbi(codes[starts[i] : ends[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"))
+            parts[i] = np.frombuffer(ids, dtype="<u4")
+            counts[i] = len(parts[i])
+        self.top, self.loss, self.size = np.append(self.top, tops), np.append(self.loss, losses), np.append(self.size, counts)
+        self.ids = np.concatenate([self.ids, *(parts[i] for i in range(len(starts)))])
+
+    def encode_all(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
+        """The N best segmentations of each whole text: score and ids."""
+        if len(self.known) * 200 + self.ids.nbytes > self.keep:
             self.reset()
-        words = _units.findall(" " + text)
-        numbers = list(map(self.__getitem__, words))
-        score = sum(map(self.top.__getitem__, numbers))
-        parts = list(map(self.path.__getitem__, numbers))
-        paths: list[tuple[float, tuple]] = [(score, ())]
-        if self.n > 1:
-            loss = np.array(list(map(self.loss.__getitem__, numbers)))
-            least = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) <= 64 else np.argpartition(loss, self.n - 1)[: self.n - 1]
-            for at in least.tolist():
-                own = self.several(words[at])
-                merged = [(s + alt - own[0][0], (*swap, (at, i)) if i else swap) for s, swap in paths for i, (alt, _) in enumerate(own)]
-                paths = heapq.nlargest(self.n, merged, key=lambda x: x[0])
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        if not len(codes):
+            return [[(0.0, b"")] for _ in texts]
+        bound = np.concatenate([[0], np.cumsum([len(m) for m in marked])])
+        starts = self.trie.cuts(codes, bound[:-1][np.diff(bound) > 0])
+        ends = np.append(starts[1:], len(codes))
+        running = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * _power(_ODD, len(codes), "odd"), out=running[1:])
+        name, first, inverse = np.unique(span_hash(running, starts, ends), return_index=True, return_inverse=True)
+        number = np.array([self.known.get(h, -1) for h in name.tolist()], dtype=np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.top) + np.arange(len(new))
+            self.learn(codes, starts[first[new]], ends[first[new]])
+            short = new[(ends - starts)[first[new]] <= LONG]
+            self.known |= zip(name[short].tolist(), number[short].tolist())
+        number = number[inverse]
+        size, place = self.size[number], (np.cumsum(self.size) - self.size)[number]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(place - upto[:-1], size)]
+        top, loss = self.top[number], self.loss[number]
+        word_of = np.searchsorted(starts, bound)
         out = []
-        for s, swaps in paths:
-            changed = parts
-            if swaps:
-                changed = parts.copy()
-                for at, i in swaps:
-                    changed[at] = self.several(words[at])[i][1]
-            out.append((s, b"".join(changed)))
+        for text, a, b, at in zip(marked, word_of[:-1].tolist(), word_of[1:].tolist(), bound[:-1].tolist()):
+            if a == b:
+                out.append([(0.0, b"")])
+                continue
+            word = lambda i: text[starts[a + i] - at : ends[a + i] - at]  # noqa: B023, E731
+            paths: list[tuple[float, tuple]] = [(float(top[a:b].sum()), ())]
+            own_loss = loss[a:b]
+            least = np.argsort(own_loss, kind="stable")[: self.n - 1] if b - a <= 64 else np.argpartition(own_loss, self.n - 1)[: self.n - 1]
+            for i in least.tolist() if self.n > 1 else []:
+                own = self.several(word(i))
+                merged = [(s + alt - own[0][0], (*swap, (i, j)) if j else swap) for s, swap in paths for j, (alt, _) in enumerate(own)]
+                paths = heapq.nlargest(self.n, merged, key=lambda x: x[0])
+            results = []
+            for s, swaps in paths:
+                parts, done = [], upto[a]
+                for i, j in sorted(swaps):
+                    parts += [ids[done : upto[a + i]].tobytes(), self.several(word(i))[j][1]]
+                    done = upto[a + i + 1]
+                results.append((s, b"".join([*parts, ids[done : upto[b]].tobytes()])))
+            out.append(results)
         return out
 
+    def encode(self, text: str) -> list[tuple[float, bytes]]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: bytes) -> str:
         raw = self.lattice.raw
         return b"".join([raw[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")[1:]
@@ -215,10 +370,9 @@ def encode(docs: DataFrame, model_file: str, n: int = N_BEST, with_ids: bool = T
         encoder = Encoder(model_file, n)
         numbers = lambda b: np.frombuffer(b, dtype="<i4").tolist() if with_ids else []
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in _parts(batch):
                 own = texts(part)
-                paths = [encoder.encode(t) for t in own]
+                paths = encoder.encode_all(own)
                 yield table({
                     "doc_id": (part.column(0), None), "n_pieces": ([len(p[0][1]) // 4 for p in paths], pa.int64()), "ids_crc32": ([zlib.crc32(p[0][1]) for p in paths], pa.int64()),
                     "scores": ([[s for s, _ in p] for p in paths], pa.list_(pa.float64())), "decodes": ([encoder.decode(p[0][1]) == t for p, t in zip(paths, own)], pa.bool_()),
@@ -228,6 +382,11 @@ def encode(docs: DataFrame, model_file: str, n: int = N_BEST, with_ids: bool = T
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for part, _, _ in byte_chunks([batch]):
+        yield part
+
+
 def decode(rows: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, text) of ``rows(doc_id, ids)``."""
 

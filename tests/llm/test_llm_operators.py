@@ -106,6 +106,24 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert got == brute_components(corpus, 3, 80, 100)
 
 
+def test_jaccard_join_of_copies_of_many_sizes(spark):
+    """Cut, extended and edited copies, so that linked sets are of different size classes."""
+    r = random.Random(11)
+    texts = []
+    for g in range(25):
+        base = [f"{g}_{r.randrange(10**6)}" for _ in range(r.choice([12, 40, 90, 300]))]
+        for _ in range(12):
+            w = base[: len(base) - r.randrange(1 + len(base) // 6)] + [f"x{r.random()}" for _ in range(r.randrange(1 + len(base) // 10))]
+            for _ in range(r.randrange(1 + len(w) // 40)):
+                w[r.randrange(len(w))] = f"e{r.randrange(50)}"
+            texts.append(" ".join(w))
+    corpus = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(corpus, DOC)
+    for k, num in ((3, 90), (5, 80)):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(jaccard_join.join(frame, k, num, 100)))
+        assert got == brute_components(corpus, k, num, 100)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (300, 300)] + [(500, x) for x in range(501, 530)]
     got = {r["node"]: r["component"] for r in rows(connected_components(spark.createDataFrame(edges, "a long, b long")))}
@@ -299,6 +317,27 @@ def test_n_best_is_exact():
         assert [s for s, _ in encoder.encode(text)] == [s for s, _ in lattice.best((" " + text).replace(" ", "▁"))]
 
 
+def test_passes_over_many_words_equal_those_over_one():
+    lattice = pieces.Lattice(pieces.model_path(), 3)
+    trie = pieces.Trie(lattice)
+    words = ["▁the", "a", "\n", "▁▁▁ab", "日本", "▁éèauß.", "😀x", *(w.replace(" ", "▁") for w in prose(300, "|").split("|"))]
+    codes = np.array([ord(c) for c in "".join(words)], dtype=np.int64)
+    top, loss, ids, count = trie.passes(codes, np.array(list(map(len, words))))
+    upto = np.concatenate([[0], np.cumsum(count)])
+    for i, w in enumerate(words):
+        assert (top[i], loss[i], ids[upto[i] : upto[i + 1]].tobytes()) == lattice.viterbi(w)
+
+
+def test_sentencepiece_of_one_long_word_and_of_other_scripts():
+    encoder = pieces.Encoder(pieces.model_path(), 2, keep=1)  # forgets after every call
+    r = random.Random(5)
+    for text in ["ab" * 150_000, "".join(r.choice("abcdexyz") for _ in range(50_000)), "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(50_000)), "😀\n" * 3, "\x00 \t▂"]:
+        best = encoder.encode_all([text, "", text])
+        assert best[0] == best[2] and encoder.decode(best[0][0][1]) == text
+        assert abs(best[0][0][0] - encoder.lattice.viterbi("▁" + text.replace(" ", "▁"))[0]) < 1e-6 * abs(best[0][0][0])
+        assert best[1] == [(0.0, b"")]
+
+
 def test_sentencepiece_round_trip(docs, corpus):
     out = pieces.encode(docs, pieces.model_path())
     assert all(r["decodes"] and r["scores"] == sorted(r["scores"], reverse=True) for r in rows(out))
