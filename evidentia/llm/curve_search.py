@@ -2,18 +2,20 @@
 
 Vectors are projected to a few random directions, shifted and put on a Hilbert curve; several curves, each with its own
 directions and shift.  Spark range-partitions every curve's keys, which gives each vector its rank on the curve; a curve
-is cut by rank into ``BLOCKS`` blocks, a query looks through its own and the two neighbouring blocks of every curve, and
-the blocks' best candidates are merged and ranked by the exact inner product of the original vectors.
+is cut by rank into blocks of about ``block`` rows, a query looks through its own and the two neighbouring blocks of every
+curve, and the blocks' best candidates are merged and ranked by the exact inner product of the original vectors.
 
-A block is a share of the curve and not a number of rows, as the data may have no low-dimensional structure; blocks are
-compared in chunks of at most ``CHUNK`` rows, so a task's memory doesn't grow with the table.  Equal vectors are searched
-once, as one row with its ``k + 1`` smallest ids, which is all that a result can name.
+A query is compared with at most ``3 * curves * block`` rows, however large the table is.  Recall at that cost depends on
+the data: the fewer directions they really vary in, the better a curve keeps neighbours together.  Candidates are chosen
+in single precision, four more than are needed.  Equal vectors are searched once, as one row with its ``k + 1`` smallest
+ids, which is all that a result can name.
 
 Largest inner product is made nearest by the usual added component ``sqrt(M^2 - |x|^2)`` (M: the largest norm).
 
-Defined cases: vectors null, zero, of another than the largest dimension, or with null or non-finite components take no
-part, nor do rows without id; rows that repeat an id are not candidates for one another; ties go to the smaller id; with
-fewer candidates than ``k`` all of them return; an empty table gives no rows.
+Defined cases: vectors null, zero, of another than the most frequent dimension (of equally frequent ones the largest), with
+null or non-finite components or a squared length beyond double precision take no part, nor do rows without id; rows that
+repeat an id are not candidates for one another; ties go to the smaller id; with fewer candidates than ``k`` all of them
+return; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import column, read_table, staged, table
 
-CURVES, BLOCKS, DIRECTIONS, BITS, CHUNK = 10, 12, 4, 8, 8192
-#: rows that a block holds at least
-LEAST_BLOCK = 256
+CURVES, BLOCK, DIRECTIONS, BITS = 32, 448, 12, 5
+#: candidates taken beyond those needed, as they are chosen in single precision
+MARGIN = 4
 
 
 def hilbert_key(point: np.ndarray, bits: int) -> np.ndarray:
@@ -58,8 +60,8 @@ def hilbert_key(point: np.ndarray, bits: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
-    return np.asarray(column(batch, name).flatten(), dtype=np.float64).reshape(-1, dim)
+def _matrix(batch: pa.RecordBatch, name: str, dim: int, kind=np.float64) -> np.ndarray:
+    return np.asarray(column(batch, name).flatten(), dtype=kind).reshape(-1, dim)
 
 
 class Curves:
@@ -104,15 +106,16 @@ def _fit(points: DataFrame, dim: int, largest: float, curves: int, directions: i
     return model
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int = CURVES, blocks: int = BLOCKS, directions: int = DIRECTIONS, bits: int = BITS, chunk: int = CHUNK, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int = CURVES, block: int = BLOCK, directions: int = DIRECTIONS, bits: int = BITS, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score) of ``vectors(vec_id, embedding)``; queries: ids divisible by ``query_every``."""
     x = F.col("x")
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(
         F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(x, lambda v: v != 0)
     )
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    facts = valid.agg(F.max(F.size("x")).alias("dim"), F.max(norm).alias("largest")).first()
-    dim, largest = facts["dim"] or 1, facts["largest"] or 1.0
+    valid = valid.where(norm < float("inf"))
+    facts = valid.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).orderBy(F.desc("n"), F.desc("dim")).first()
+    dim, largest = (facts["dim"], facts["largest"]) if facts else (1, 1.0)
     valid = valid.where(F.size("x") == dim)
     directions = min(directions, dim + 1)
     # equal vectors: the k + 1 smallest ids stand for all; the partial limit runs before the shuffle
@@ -128,9 +131,9 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int =
         for batch in batches:
             key = model.keys(model.project(_matrix(batch, "x", dim), column(batch, "is_query").to_numpy(zero_copy_only=False)), bits)
             for c in range(curves):
-                yield table({"curve": (np.full(batch.num_rows, c, dtype=np.int32), pa.int32()), "key": (key[:, c].copy(), pa.int64()), "point": (column(batch, "point"), None), "is_query": (column(batch, "is_query"), None), "x": (column(batch, "x"), None)})
+                yield table({"curve": (np.full(batch.num_rows, c, dtype=np.int32), pa.int32()), "key": (key[:, c].copy(), pa.int64()), "point": (column(batch, "point"), None), "is_query": (column(batch, "is_query"), None)})
 
-    keyed = both.mapInArrow(place, "curve int, key long, point long, is_query boolean, x array<double>")
+    keyed = both.mapInArrow(place, "curve int, key long, point long, is_query boolean")
     order = ["curve", "key", "point", "is_query"]
     line = staged(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "curves")
     # rank on the curve: rows of the curve in earlier partitions, and the place within the partition
@@ -140,22 +143,22 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int =
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy("curve")))
     starts = starts.select(F.col("curve").alias("c"), F.col("part").alias("p"), "head", "start", "total")  # a row per partition and curve
     ranked = line.withColumn("part", part).join(starts.hint("shuffle_hash"), (F.col("curve") == F.col("c")) & (F.col("part") == F.col("p"))).withColumn("rank", F.col("start") + F.col("at") - F.col("head"))
-    ranked = ranked.withColumn("blocks", F.least(F.lit(blocks), F.greatest(F.lit(1), F.floor(F.col("total") / LEAST_BLOCK))).cast("int"))
+    # as many blocks as make them about equal; 1 at least
+    ranked = ranked.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("total") / block)).cast("int"))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") * F.col("blocks") / F.col("total")).cast("int"))
-    chunks = F.ceil(F.col("total") / F.col("blocks") / chunk).cast("int")
-    data = ranked.where("not is_query").select("curve", "block", F.pmod("rank", chunks).cast("int").alias("part"), F.lit(False).alias("is_query"), "point", "x")
-    probes = F.filter(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1), lambda b: (b >= 0) & (b < F.col("blocks")))
-    probing = ranked.where("is_query").select("curve", F.explode(probes).alias("block"), chunks.alias("chunks"), F.lit(True).alias("is_query"), "point", "x")
-    probing = probing.select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "is_query", "point", "x")
-    group = ["curve", "block", "part"]
-    dealt = data.union(probing).repartition(*group).sortWithinPartitions(*group, "is_query")
+    near = F.filter(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1), lambda b: (b >= 0) & (b < F.col("blocks")))
+    visits = F.when(F.col("is_query"), near).otherwise(F.array("block"))
+    single = points.select("point", F.col("x").cast("array<float>").alias("x"))
+    group = ["curve", "block"]
+    dealt = ranked.select("point", "curve", "is_query", F.explode(visits).alias("block")).join(single.hint("merge"), "point")
+    dealt = dealt.select(*group, "is_query", "point", "x").repartition(*group).sortWithinPartitions(*group, "is_query")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, ids, rows = None, [], []  # the chunk's vectors come first, then its queries stream by
+        here, ids, rows = None, [], []  # the block's vectors come first, then its queries stream by
         for batch in batches:
             where = np.stack([column(batch, g).to_numpy() for g in group])
             query = column(batch, "is_query").to_numpy(zero_copy_only=False)
-            point, vector = column(batch, "point").to_numpy(), _matrix(batch, "x", dim)
+            point, vector = column(batch, "point").to_numpy(), _matrix(batch, "x", dim, np.float32)
             edges = np.flatnonzero(np.any(np.diff(where, axis=1), axis=0) | np.diff(query)) + 1
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 key = tuple(where[:, a].tolist())
@@ -171,7 +174,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int =
                 ids, rows = [names], [matrix]
                 for s in range(a, b, 256):
                     score = vector[s : min(s + 256, b)] @ matrix.T
-                    take = min(k + 1, len(names))
+                    take = min(k + 1 + MARGIN, len(names))
                     # the take largest, ties by id
                     least = np.partition(score, len(names) - take, axis=1)[:, len(names) - take]
                     q, n = np.nonzero(score >= least[:, None])
@@ -179,11 +182,14 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int =
                     q, n = q[top], n[top]
                     turn = np.arange(len(q)) - np.searchsorted(q, q)
                     q, n = q[turn < take], n[turn < take]
-                    yield table({"query": (point[s + q], pa.int64()), "found": (names[n], pa.int64()), "score": (score[q, n], pa.float64())})
+                    yield table({"query": (point[s + q], pa.int64()), "found": (names[n], pa.int64()), "score": (score[q, n].astype(np.float64), pa.float64())})
 
     found = dealt.mapInArrow(best, "query long, found long, score double").groupBy("query", "found").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query").orderBy(F.desc("score"), "found")
-    found = staged(found.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= k + 1).drop("turn"), "found")
+    found = found.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= k + 1 + MARGIN)
+    exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    pair = found.select("query", "found").join(points.select(F.col("point").alias("query"), "x").hint("merge"), "query").join(points.select(F.col("point").alias("found"), F.col("x").alias("y")).hint("merge"), "found")
+    found = staged(pair.select("query", "found", exact.alias("score")), "found")
     named = found.join(members.select(F.col("point").alias("found"), "vec_id").hint("merge"), "found")
     answer = asked.join(named.withColumnRenamed("query", "point").hint("merge"), "point").where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
