@@ -86,8 +86,9 @@ def with_group_rank(df: DataFrame, group: str, tie: list[str], name: str, bucket
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Alternates the large-star and small-star steps, each one grouping and one join; a hub's rows are only ever
-    pre-aggregated minima.  Stops when the edge set no longer changes.
+    Alternates the large-star and small-star steps, each one grouping and one join.  Minima are combined before the
+    shuffle; those of the large-star step, where a hub has its rows, are written before they are joined, so that Spark can
+    split the hub.  Stops when the edge set no longer changes.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
@@ -95,8 +96,8 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while True:
         # large star: every neighbour larger than a node points to the node's smallest neighbour
         near = both(current)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = staged(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        large = near.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node and its smaller neighbours point to the smallest of them
         large = staged(large.where("a <> b").distinct(), name)
         low = large.groupBy("a").agg(F.min("b").alias("m"))

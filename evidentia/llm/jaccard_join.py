@@ -4,16 +4,21 @@ A document's set is its distinct word shingles.  Documents link when their sets'
 threshold; the result names each document's connected component.  Nothing is lost and no group is expanded into pairs:
 
 1. *Equal sets* share all answers: documents are classed by a 64-bit name of their set, and only classes go on.
-2. *Block-skipped index lists*: a set, ordered by hash, is cut by position into blocks, one more than two linked sets of
-   its size can differ in, so linked sets have a block in common.  A list holds the sets with one and the same block;
-   lists of one set are skipped, and with them all that a set merely shares with others (passages, frequent words).
-   Sets of one size class and of the next smaller one meet on the larger one's blocks.
-3. *Answers derived from a similar set*: each list's first and last set are its leaders.  Members are compared with
-   them and verified; what links to a leader takes over the leader's component, and two members of one component are
-   never compared again.
-4. What is left joins within its lists, skipping equal components; size and a parity sketch, whose differing bits are a
-   lower bound of the sets' symmetric difference, are part of the join condition, and a four times wider sketch follows,
-   so that hardly any pair but links is verified on whole texts.
+2. *Block-skipped index lists*: a set, ordered by hash, is cut by position into blocks, more than two linked sets of its
+   size can differ in, so linked sets have blocks in common.  A list holds the sets with one and the same block; lists of
+   one set are skipped, and with them all that a set merely shares with others (passages, frequent words).  Linked sets
+   have as many blocks in common as exceed the most they can differ in, so each set leaves as many lists but one, its
+   longest.  Sets of one size class and of the next smaller one meet on the larger one's blocks.
+3. *Answers derived from a similar set*: each list has two leaders.  Members are compared with them and verified; what
+   links to a leader takes over the leader's component, and two members of one component are never compared again.
+4. Sets of lists that still hold two components are cut anew into three times the blocks, which makes the lists they may
+   leave many more.  What is left joins within its lists, in the first list that a pair shares, skipping equal components;
+   size and a parity sketch, whose differing bits are a lower bound of the sets' symmetric difference, are part of the join
+   condition, and a four times wider sketch follows, so that hardly any pair but links is verified on whole texts.
+
+Rows of a list meet in one task while it is counted (20 bytes each, and they spill); afterwards lists are written before
+they are joined, so that Spark can split them.  What still grows with the square of a group are pairs of sets just below
+the threshold that no list tells apart.
 
 Empty blocks are no signature.  A few are allowed for by as many more blocks; sets with more of them than that share one
 further list per size class, so that no link hangs on an empty block alone.
@@ -40,6 +45,10 @@ NO_ID = -(1 << 63)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 PARITY = ["p0", "p1", "p2", "p3"]
+#: the second cut into blocks has so many times more of them
+FINER = 2
+#: so many of a set's shorter lists tell whether a pair met there already
+EARLIER = 8
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -76,29 +85,36 @@ class Levels:
     A class ends where its smallest set cannot link any more, so linked sets are of one class or of neighbouring ones.
     """
 
-    def __init__(self, num: int, den: int, largest: int = 1 << 40):
+    def __init__(self, num: int, den: int, finer: int = 0, largest: int = 1 << 40):
         first = [1]
         while first[-1] < largest:
             first.append(first[-1] * den // num + 1)
-        self.first = np.array(first)
-        differ = [2 * (b - 1) * (den - num) // (den + num) for b in first[1:]]
-        smallest = [first[max(i - 1, 0)] for i in range(len(differ))]
-        self.spare = np.array([3 + int(2 * (d + 1) * np.exp(-n / (d + 1))) for d, n in zip(differ, smallest)])
-        self.blocks = np.array(differ) + 1 + self.spare
+        self.num, self.den, self.first = num, den, np.array(first)
+        self.differ = np.array([2 * (b - 1) * (den - num) // (den + num) for b in first[1:]])
+        smallest = np.array([first[max(i - 1, 0)] for i in range(len(self.differ))])
+        spare = 3 + (2 * (self.differ + 1) * np.exp(-smallest / (self.differ + 1))).astype(np.int64)
+        self.blocks = (finer + 1) * (self.differ + 1) + spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, n, side="right") - 1
 
+    def most(self, sizes: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """In how many elements a set can differ from one that it links with on a level."""
+        partner = np.minimum(sizes * self.den // self.num, self.first[level + 1] - 1)
+        return np.minimum((sizes + partner) * (self.den - self.num) // (self.den + self.num), self.differ[level])
 
-def signatures(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Set number and signature of every block of every set, on its own level and on the next."""
+
+def signatures(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every block of every set, on its own level and on the next: set number, signature, level (0 own, 1 next), and
+    how many of its longest lists the set may leave there.
+    """
     sizes = np.array([len(s) for s in sets])
     token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     if not len(token):
-        return owner, token
+        return owner, token, owner, owner
     weight = np.zeros(len(token) + 1, dtype=np.uint64)
     np.cumsum(mix(token ^ np.uint64(0x5851F42D4C957F2D)), out=weight[1:])
-    owners, names = [], []
+    owners, names, ups, leaves = [], [], [], []
     for up in (0, 1):
         level = levels.of(np.maximum(sizes, 1)) + up
         blocks = levels.blocks[level].astype(np.uint64)
@@ -106,13 +122,13 @@ def signatures(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.n
         head = np.concatenate([[0], np.flatnonzero((np.diff(owner) != 0) | (np.diff(block) != 0)) + 1])
         content = weight[np.concatenate([head[1:], [len(token)]])] - weight[head]
         own = owner[head]
-        names.append(mix(mix(content + block[head]) + level[own].astype(np.uint64)))
-        owners.append(own)
-        used = np.bincount(own, minlength=len(sets))
-        thin = np.flatnonzero((sizes > 0) & (levels.blocks[level] - used > levels.spare[level]))
-        names.append(mix(level[thin].astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
-        owners.append(thin)
-    return np.concatenate(owners), np.concatenate(names)
+        spare = np.bincount(own, minlength=len(sets)) - levels.most(sizes, level) - 1
+        thin = np.flatnonzero((sizes > 0) & (spare < 0))
+        names += [mix(mix(content + block[head]) + level[own].astype(np.uint64)), mix(level[thin].astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))]
+        owners += [own, thin]
+        ups.append(np.full(len(own) + len(thin), up))
+        leaves += [np.maximum(spare, 0)[own], np.zeros(len(thin), dtype=np.int64)]
+    return np.concatenate(owners), np.concatenate(names), np.concatenate(ups), np.concatenate(leaves)
 
 
 def with_text_key(docs: DataFrame) -> DataFrame:
@@ -120,28 +136,62 @@ def with_text_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
 
 
-def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """A row per document (its set's size, name and parity sketch) and a row per block (``block``: its signature)."""
-    schema = "doc_id long, text_key long, n int, sid long, parity array<long>, block long"
+def _described(docs: DataFrame, k: int) -> DataFrame:
+    """A row per document: its set's size, name and parity sketch."""
+    schema = "doc_id long, text_key long, n int, sid long, parity array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(num, den)
-        seen = np.zeros(0, dtype=np.int64)  # sets of this task whose blocks are out: copies don't repeat them
         for rows, data, bounds in byte_chunks(batches):
             sets = shingle_sets(data, bounds, k)
-            names = np.array([_name(s) for s in sets], dtype=np.int64)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([_parity(s) for s in sets])), 16).cast(pa.list_(pa.int64()))
-            yield table({"doc_id": (column(rows, "doc_id"), pa.int64()), "text_key": (column(rows, "text_key"), pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "sid": (names, pa.int64()), "parity": (sketch, None), "block": (pa.nulls(len(sets), pa.int64()), None)})
+            yield table({"doc_id": (column(rows, "doc_id"), pa.int64()), "text_key": (column(rows, "text_key"), pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "sid": ([_name(s) for s in sets], pa.int64()), "parity": (sketch, None)})
+
+    return with_text_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
+
+
+def _blocks(texts: DataFrame, k: int, num: int, den: int, finer: int = 0) -> DataFrame:
+    """(block, sid, tag): a row per block of the sets of ``texts(text or packed)``, of copies within a task once.
+
+    tag: twice the number of lists that the set may leave, plus its level (0 own, 1 next).
+    """
+    plain = "text" in texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels(num, den, finer)
+        seen = np.zeros(0, dtype=np.int64)
+        for data, bounds in ((d, b) for _, d, b in byte_chunks(batches)) if plain else _unpacked(batches):
+            sets = shingle_sets(data, bounds, k)
+            names = np.array([_name(s) for s in sets], dtype=np.int64)
             first = np.zeros(len(sets), dtype=bool)
             first[np.unique(names, return_index=True)[1]] = True
             new = np.flatnonzero(first & ~np.isin(names, seen))
             seen = np.concatenate([seen, names[new]])
-            owner, name = signatures([sets[i] for i in new], levels) if len(new) else (new, np.zeros(0, dtype=np.uint64))
-            owner = new[owner]
-            none = lambda kind: (pa.nulls(len(owner), kind), None)
-            yield table({"doc_id": none(pa.int64()), "text_key": none(pa.int64()), "n": none(pa.int32()), "sid": (names[owner], pa.int64()), "parity": none(pa.list_(pa.int64())), "block": (name.view(np.int64), pa.int64())})
+            if len(new):
+                owner, name, up, leaves = signatures([sets[i] for i in new], levels)
+                yield table({"block": (name.view(np.int64), pa.int64()), "sid": (names[new[owner]], pa.int64()), "tag": (leaves << 1 | up, pa.int32())})
+
+    return texts.select(F.col("text").cast("string") if plain else "packed").mapInArrow(run, "block long, sid long, tag int")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    unpress = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for packed in column(batch, "packed").to_pylist():
+            data = np.frombuffer(unpress.decompress(packed), dtype=np.uint8)
+            yield data, np.array([0, len(data)])
 
-    return with_text_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
+
+def _lists(blocks: DataFrame) -> DataFrame:
+    """(block, sid, up, c) of lists with two sets at least, without those that a set may leave; c: the list's rows.
+
+    Nearly all blocks are of one set, so rows are sorted into lists once; counting first would shuffle them twice.
+    """
+    whole_list = Window.partitionBy("block")
+    counted = blocks.withColumns({"lo": F.min("sid").over(whole_list), "hi": F.max("sid").over(whole_list), "lowest": F.min(F.col("tag") % 2).over(whole_list), "c": F.count(F.lit(1)).over(whole_list)})
+    members = counted.where("lo < hi and lowest = 0").select("block", "sid", "tag", "c").distinct()
+    up = (F.col("tag") % 2).alias("up")
+    longest_first = Window.partitionBy("sid", up).orderBy(F.desc("c"), "block")
+    return members.withColumn("_at", F.row_number().over(longest_first)).where("_at > shiftright(tag, 1)").select("block", "sid", up, "c")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -204,17 +254,17 @@ def keyed(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFra
     ``keeper(doc_id, text_key)`` is the same for all rows of a component and of one component only: its row of least id
     (one without an id only if all are), and of those the least ``text_key``.  A row of an empty set is its own.
     """
-    described = staged(_described(docs, k, num, den), "sets")
-    rows = described.where("block is null").select("doc_id", "text_key", "n", "sid", "parity")
+    rows = staged(_described(docs, k), "sets")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     own = rows.where("n > 0").groupBy("sid").agg(F.min(key).alias("keeper"), F.max("n").alias("n"), F.first("parity").alias("parity"))
     # four xor-ed quarters of the parity sketch are the sketch of a quarter of its bits
     own = staged(own.withColumns({p: F.col("parity")[i].bitwiseXOR(F.col("parity")[i + 4]).bitwiseXOR(F.col("parity")[i + 8]).bitwiseXOR(F.col("parity")[i + 12]) for i, p in enumerate(PARITY)}), "set-classes")
 
-    # lists with two sets at least, and their two leaders; within a task a set is listed once, whatever its copies
-    whole_list = Window.partitionBy("block")
-    lists = described.where("block is not null").select("block", "sid").withColumns({"first": F.min("sid").over(whole_list), "last": F.max("sid").over(whole_list)}).where("first <> last")
-    lists = staged(lists.distinct(), "lists")
+    members = staged(_lists(_blocks(docs, k, num, den)), "members")
+    # a list's first leader is on its own level, where it can meet all others
+    led = members.groupBy("block").agg(F.min(F.struct("up", "sid"))["sid"].alias("first"), F.max(F.struct("up", "sid"))["sid"].alias("last"))
+    led = staged(led.where("first <> last"), "leaders")
+    lists = staged(members.join(led.hint("merge"), "block"), "lists")
 
     involved = lists.select("sid").distinct().join(own.select("sid", F.coalesce("keeper.doc_id", F.lit(NO_ID)).alias("id"), "keeper.text_key").hint("merge"), "sid")
     texts = _of_class(_packed(docs).join(involved.hint("merge"), ["id", "text_key"]), k)
@@ -238,17 +288,33 @@ def keyed(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFra
     links = staged(_verified(likely(to_leader), texts, k, num, den), "leader-links")
     component = staged(connected_components(links), "leader-components")
 
-    # lists that still hold two components
-    labelled = lists.select("block", "sid").join(component.select(F.col("node").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_lists = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("block")
-    rest = staged(labelled.join(open_lists.hint("merge"), "block").join(own.select("sid", "n", *PARITY).hint("merge"), "sid"), "open-lists")
-    named = lambda s: rest.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "component", *PARITY)])
-    found = named("a").hint("merge").join(named("b"), "block").where((F.col("component_a") != F.col("component_b")) & (F.col("sid_a") < F.col("sid_b")) & size_ok & close)
-    more = _verified(likely(found.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()), texts, k, num, den)
-
-    whole = connected_components(links.union(more)).withColumnsRenamed({"node": "sid"})
-    ids = own.select("sid", "keeper").join(whole.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = ids.groupBy("component").agg(F.min("keeper").alias("keeper"))
+    def open_lists(lists: DataFrame) -> DataFrame:
+        """The rows, with their components, of lists that still hold two."""
+        labelled = lists.select("block", "sid", "up", "c").join(component.select(F.col("node").alias("sid"), "component").hint("merge"), "sid", "left")
+        labelled = staged(labelled.withColumn("component", F.coalesce("component", "sid")), "labelled")
+        still = labelled.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("block")
+        return labelled.join(staged(still, "open").hint("merge"), "block")
+
+    unsettled = staged(texts.join(open_lists(lists).select("sid").distinct().hint("merge"), "sid"), "unsettled")
+    rest = open_lists(_lists(_blocks(unsettled.select("packed"), k, num, den, FINER)))
+    shorter = Window.partitionBy("sid", "up").orderBy("c", F.desc("block")).rowsBetween(-EARLIER, -1)
+    rest = rest.withColumn("earlier", F.collect_list("block").over(shorter)).join(own.select("sid", "n", *PARITY).hint("merge"), "sid")
+    rest = staged(rest, "open-lists")
+    named = lambda s: rest.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "up", "n", "component", "earlier", *PARITY)])
+    other = (F.col("component_a") != F.col("component_b")) & (F.col("sid_a") < F.col("sid_b")) & (F.least("up_a", "up_b") == 0)
+    found = named("a").hint("merge").join(named("b"), "block").where(other & size_ok & close & ~F.arrays_overlap("earlier_a", "earlier_b"))
+    more = staged(_verified(likely(found.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()), texts, k, num, den), "more-links")
+
+    ids = own.select("sid", "keeper").join(component.select(F.col("node").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    if not more.isEmpty():
+        # the few links found last join components
+        of = component.select("node", F.col("component").alias("of"))
+        named = more.join(of.hint("merge"), F.col("a") == F.col("node"), "left").select(F.coalesce("of", "a").alias("a"), "b")
+        named = named.join(of.hint("merge"), F.col("b") == F.col("node"), "left").select("a", F.coalesce("of", "b").alias("b"))
+        merged = connected_components(named).toDF("component", "merged")
+        ids = ids.join(merged.hint("merge"), "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged")
+    ids = staged(ids, "class-components")
+    least = staged(ids.groupBy("component").agg(F.min("keeper").alias("keeper")), "keepers")
     answer = staged(ids.select("sid", "component").join(least.hint("merge"), "component").select("sid", "keeper.doc_id", "keeper.text_key").toDF("sid", "keeper_id", "keeper_key"), "answers")
     out = rows.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "sid").join(answer.hint("merge"), "sid", "left")
     of = lambda own, shared: F.when(F.col("n_shingles") == 0, F.col(own)).otherwise(F.col(shared))

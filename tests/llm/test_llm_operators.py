@@ -190,7 +190,8 @@ def test_curve_search(spark):
     data = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
     data += [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0] * 3), (None, data[0][1]), (2080, [None] * 16), data[3]]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumnsRenamed({}).repartition(3)
-    out = rows(curve_search.search(frame, 20, 20, chunk=64))
+    frame = frame.withColumn("x", frame.vec_id).withColumn("block", frame.vec_id)
+    out = rows(curve_search.search(frame, 20, 20, block=40))  # 23 blocks a curve, of which a query sees three
     m = np.array([v for _, v in data[:900]], dtype=np.float64)
     by = defaultdict(dict)
     for r in out:
@@ -414,11 +415,26 @@ def test_toxicity(spark):
 def test_toxicity_defined_cases(spark, docs, empty, corpus):
     nothing = toxicity.fit(docs.selectExpr("doc_id", "text", "cast(null as int) toxic"))
     assert {r["score"] for r in rows(nothing.score(docs, ["doc_id"]))} == {0.0}
-    assert len(rows(toxicity.with_features(docs, {"hand": 3, "thor*": 1}, ["doc_id"]))) == len(corpus)
+    assert len(rows(toxicity.with_features(docs, [{"hand": 3, "thor*": 1}], ["doc_id"]))) == len(corpus)
     words = toxicity.Words({"idiot": 3, "veju*": 2})
     assert [words[w] for w in ("Idiot!", "1d1ot", "vejuxx", "you", "hello", "idiooot")] == [3, 3 | 8, 2, 4, 0, 3 | 8]
 
 
+def test_toxicity_of_few_labels_and_clashing_names(spark, empty):
+    """Fewer rows of a label than parts still make a model; columns named like the operator's own do no harm."""
+    from pyspark.sql import functions as F
+
+    known = [(i, ["you stupid vile idiot " * 3, "a calm day at the sea side"][i % 4 > 0], int(i % 4 == 0)) for i in range(14)]
+    model = toxicity.fit(spark.createDataFrame(known, "doc_id long, text string, toxic int"))
+    assert model.trees is not None and toxicity.fit(empty.withColumn("toxic", F.lit(1))).trees is None
+    docs = spark.createDataFrame([*known, (99, None, 0), (None, "", 0)], "doc_id long, text string, toxic int")
+    docs = docs.withColumns({"x": F.lit("x"), "score": F.lit(7), "_raw": F.lit("r"), "lexicon": F.lit(9), "_features": F.lit(0)})
+    got = rows(model.score(docs, ["doc_id"]))
+    assert len(got) == 16 and all(0 <= r["score"] <= 1 for r in got)
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert score[0] > score[1] and rows(model.score(empty, ["doc_id"])) == []
+
+
 # ------------------------------------------------------------------ 9 sharding
 
 
