@@ -156,6 +156,8 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """(doc, tkey, low, end) of ``keyed(doc, tkey, text)``: byte stretches that repeat, possibly overlapping."""
     positions = _positions(keyed, length, seed)
     tied = positions.groupBy("rank1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank1")
+    # ranks that are tied are written before each join, so that Spark can split the rows of a rank that very many share
+    tied = staged(tied, "tied-ranks")
     # a position's place: its first window start, where its string begins after it, how many more windows it has, and
     # whether its text has the same earlier
     part = lambda shift, mask: F.shiftright("place", shift).bitwiseAND(mask).cast("int")
@@ -167,15 +169,16 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     ranked = tied.join(classes.hint("merge"), ["rank1", "rank2"])
     whole = ranked.where("again or doc > first_doc").select("doc", "tkey", "low", (F.col("high") + length).alias("end"))
 
-    open_ranks = classes.groupBy("rank1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank1")
+    open_ranks = staged(classes.groupBy("rank1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank1"), "open-ranks")
     open_spans = ranked.where("not again and doc = first_doc").join(open_ranks.hint("merge"), "rank1")
     spans_of = lambda df, *cols: df.groupBy("doc", "tkey").agg(F.collect_list(F.struct(*cols)).alias("spans"))  # noqa: E731  at most a text's own positions
     with_text = lambda listed: _pack(keyed).join(listed.hint("merge"), ["doc", "tkey"])
     quarters = staged(_quarters(with_text(spans_of(open_spans, "low", "high", "at")), length, seed), "round-3")
     tied_quarters = quarters.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    quarters = quarters.join(tied_quarters.hint("merge"), "name")
+    quarters = quarters.join(staged(tied_quarters, "tied-quarters").hint("merge"), "name")
     windows = staged(_windows(with_text(spans_of(quarters, "low", "high")), length), "round-4")
     first = windows.where("not again").groupBy("name").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").select("name", "first_doc")
+    first = staged(first, "tied-windows")
     late = windows.where("not again").join(first.hint("merge"), "name").where("doc > first_doc").select("doc", "tkey", "low").union(windows.where("again").select("doc", "tkey", "low"))
     return staged(whole.union(late.select("doc", "tkey", "low", (F.col("low") + length).alias("end"))), "removed")
 
