@@ -1,8 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Labelled rows (at most ``sample``, those with the smallest hash of doc_id; a documented bound of the fit) are dealt in
-three by a hash: the lexicon is learned on the first part, the trees on the second, the calibration on the third, so no
-part judges what it has itself chosen.  Scoring uses the lexicon learned in the same way on all parts.
+five parts, each label's rows evenly.  A row's features for the fit come from the lexicon learned on the other parts, so no
+row is described by what it has itself supplied; the trees learn from four parts and the calibration from the fifth (from
+all, if a label has fewer rows than parts).  Scoring uses the lexicon learned in the same way on all parts.
 
 Lexicon: words and word beginnings whose share among toxic rows is many times that among the rest, in three grades.
 Features: density and number of hits of each grade, hits near a second-person word, capitals, punctuation, and
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, read_table, staged, table, texts
 
-SAMPLE, LEXICON = 30_000, 3_000
+SAMPLE, LEXICON, PARTS = 30_000, 3_000, 5
 #: least occurrences among toxic rows, and least log ratio of shares, of the grades 1 to 3
 GRADES = ((3, 2.0), (6, 3.0), (12, 4.0))
 PREFIXES = (4, 5)
@@ -58,35 +59,45 @@ def units(word: str) -> list[str]:
 
 
 def lexicon_counts(rows: DataFrame) -> DataFrame:
-    """(unit, toxic, n): rows of each label that hold a unit, of ``rows(text, toxic)``."""
+    """(unit, toxic, part, n): rows of each label and part that hold a unit, of ``rows(text, toxic, part)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part, seen = batch.slice(at, 1000), {0: Counter(), 1: Counter()}
-                for text, toxic in zip(texts(part), column(part, "toxic").to_pylist()):
-                    seen[toxic].update({u for w in {bare(w) for w in text.lower().split()} if w for u in units(w)})
-                for toxic, counter in seen.items():
-                    yield table({"unit": (list(counter), pa.string()), "toxic": ([toxic] * len(counter), pa.int32()), "n": (list(counter.values()), pa.int64())})
-
-    return rows.select("text", "toxic").mapInArrow(run, "unit string, toxic int, n long")
-
-
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """Unit -> grade, at most ``size`` of them, the most telling first."""
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    n = lexicon_counts(rows).groupBy("unit").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    ratio = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
-    top = n.withColumn("ratio", ratio).where((F.col("bad") >= GRADES[0][0]) & (F.col("ratio") >= GRADES[0][1])).orderBy(F.desc(F.col("bad") * F.col("ratio")), "unit").limit(size)
-    return {r["unit"]: sum(r["bad"] >= least and r["ratio"] >= edge for least, edge in GRADES) for r in top.collect()}
+                rows, seen = batch.slice(at, 1000), defaultdict(Counter)
+                for text, toxic, part in zip(texts(rows), column(rows, "toxic").to_pylist(), column(rows, "part").to_pylist()):
+                    seen[toxic, part].update({u for w in {bare(w) for w in text.lower().split()} if w for u in units(w)})
+                for (toxic, part), counter in seen.items():
+                    yield table({"unit": (list(counter), pa.string()), "toxic": ([toxic] * len(counter), pa.int32()), "part": ([part] * len(counter), pa.int32()), "n": (list(counter.values()), pa.int64())})
+
+    return rows.select("text", "toxic", "part").mapInArrow(run, "unit string, toxic int, part int, n long")
+
+
+def learn_lexicons(rows: DataFrame, size: int = LEXICON) -> list[dict[str, int]]:
+    """Unit -> grade, at most ``size`` of them, the most telling first: learned on all parts but one, for each part of
+    ``rows(text, toxic, part)``, and last on all parts.
+    """
+    totals = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    number = lambda toxic, part: F.sum(F.when((F.col("toxic") == toxic) & (F.col("part") == part), F.col("n")).otherwise(0))
+    counts = lexicon_counts(rows).groupBy("unit").agg(*[number(t, p).alias(f"n{t}_{p}") for t in (0, 1) for p in range(PARTS)])
+    # units that no lexicon can take go before anything is written
+    counts = staged(counts.where(sum(F.col(f"n1_{p}") for p in range(PARTS)) >= GRADES[0][0]), "toxicity-units")
+    out = []
+    for left_out in [*range(PARTS), None]:
+        used = [p for p in range(PARTS) if p != left_out]
+        n = counts.select("unit", *[sum(F.col(f"n{t}_{p}") for p in used).alias(c) for t, c in ((0, "good"), (1, "bad"))])
+        bad, good = (sum(totals.get((p, t), 0) for p in used) for t in (1, 0))
+        ratio = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
+        top = n.withColumn("ratio", ratio).where((F.col("bad") >= GRADES[0][0]) & (F.col("ratio") >= GRADES[0][1])).orderBy(F.desc(F.col("bad") * F.col("ratio")), "unit").limit(size)
+        out.append({r["unit"]: sum(r["bad"] >= least and r["ratio"] >= edge for least, edge in GRADES) for r in top.collect()})
+    return out
 
 
 class Words(dict):
     """Code of a word as written: its lexicon grade (two bits), 4 for second person, 8 for obfuscation."""
 
-    def __init__(self, lexicon: dict[str, int], keep: int = 200_000):
-        self.lexicon, self.keep = lexicon, keep
+    def __init__(self, lexicon: dict[str, int], keep: int = 200_000, longest: int = 60):
+        self.lexicon, self.keep, self.longest = lexicon, keep, longest
 
     def grade(self, word: str) -> int:
         return max((self.lexicon.get(u, 0) for u in units(word)), default=0)
@@ -99,7 +110,7 @@ class Words(dict):
             plain = re.sub(r"\W|_", "", plain)
             if plain != low and plain.isalpha():
                 code = max(code & 3, self.grade(plain)) | (code & 4) | 8
-        if len(self) < self.keep:
+        if len(self) < self.keep and len(word) <= self.longest:
             self[word] = code
         return code
 
@@ -127,21 +138,23 @@ def feature_row(text: str, words: Words) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, int], passed: list[str]) -> DataFrame:
-    """``passed`` columns and ``x``, the features of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    chosen = docs.select(*passed, F.col("text").cast("string").alias("text"))
+def with_features(docs: DataFrame, lexicons: list[dict[str, int]], passed: list[str], part: Column | None = None) -> DataFrame:
+    """``passed`` columns and ``x``, the features of the whole text, by the lexicon that ``part`` names (the last, if not given)."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+    number = F.lit(len(lexicons) - 1) if part is None else part
+    chosen = docs.select(*[F.col(c).alias(f"passed_{i}") for i, c in enumerate(passed)], F.col("text").cast("string").alias("text"), number.cast("int").alias("lexicon"))
+    kept = [f"passed_{i}" for i in range(len(passed))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared.value)
+        words = [Words(lexicon) for lexicon in shared.value]
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                x = pa.array([feature_row(t, words) for t in texts(part)], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(passed))), x], names=[*passed, "x"])
+                rows = batch.slice(at, 2000)
+                x = pa.array([feature_row(t, words[i]) for t, i in zip(texts(rows), column(rows, "lexicon").to_pylist())], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), x], names=[*kept, "x"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.select(*passed).schema) + ", x array<double>"
-    return chosen.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.select(*kept).schema) + ", x array<double>"
+    return chosen.mapInArrow(run, schema).withColumnsRenamed(dict(zip(kept, passed)))
 
 
 class Model:
@@ -154,9 +167,8 @@ class Model:
         """``passed`` columns and ``score`` for every row of ``docs``."""
         if self.trees is None:
             return docs.select(*passed, F.lit(float(self.constant)).alias("score"))
-        raw = _raw(self.trees, with_features(docs, self.lexicon, passed), passed)
-        # a trace of the trees' own probability orders the rows of a calibration step
-        score = 0.999 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))) + 0.001 * F.col("_raw")
+        raw = _raw(self.trees, with_features(docs, [self.lexicon], passed), passed)
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_calibrated")))
         return self.calibration.transform(raw).select(*passed, score.alias("score"))
 
 
@@ -171,19 +183,22 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
     total = known.count()
     if total > sample:
         known = known.where(F.col("draw") <= known.agg(F.percentile_approx("draw", sample / total, 10_000)).first()[0])
-    known = staged(known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5))), "toxicity-fit")  # at most ``sample`` rows
-    mean = known.agg(F.avg("toxic")).first()[0]
-    seen = known.groupBy("part").agg(F.countDistinct("toxic").alias("kinds"))
-    if mean is None or seen.where("kinds = 2").count() < 5:
-        return Model(constant=mean or 0.0)
-    lexicon = learn_lexicon(known.where("part in (0, 1)"))
-    featured = staged(with_features(known.where("part > 1"), lexicon, ["part", "toxic"]).withColumn("label", F.col("toxic").cast("double")).coalesce(4), "toxicity-features")
+    dealt = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text")))  # at most ``sample`` rows
+    known = staged(known.withColumn("part", (dealt % PARTS).cast("int")), "toxicity-fit")
+    seen = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(seen) < 2:
+        return Model(constant=float(next(iter(seen), 0)))
+    *others, lexicon = learn_lexicons(known)
+    featured = with_features(known, others, ["part", "toxic"], F.col("part"))
+    featured = staged(featured.withColumn("label", F.col("toxic").cast("double")), "toxicity-features").coalesce(4)
+    enough = min(seen.values()) >= PARTS
+    held = featured.where(F.col("part") == PARTS - 1) if enough else featured
+    taught = featured.where(F.col("part") < PARTS - 1) if enough else featured
     booster = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_prediction", maxIter=25, maxDepth=3, stepSize=0.25, seed=seed)
     booster = booster.setProbabilityCol("_probability").setRawPredictionCol("_margin")
-    trees = booster.fit(featured.where("part in (2, 3)").withColumn("_features", array_to_vector("x")))
-    held = _raw(trees, featured.where("part = 4"), ["label"])
-    # the trees know what hits of a lexicon of strange rows mean; scoring takes the fuller lexicon of all parts
-    return Model(learn_lexicon(known), trees, IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="calibrated").fit(held))
+    trees = booster.fit(taught.withColumn("_features", array_to_vector("x")))
+    calibration = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_calibrated")
+    return Model(lexicon, trees, calibration.fit(_raw(trees, held, ["label"])))
 
 
 def remainder(doc_id: str, of: int) -> Column:
