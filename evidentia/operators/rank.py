@@ -70,12 +70,36 @@ def rrf_pair(dense: DataFrame, structural: DataFrame, w: float = W_LEAF, k: int
     return rrf(long, {"dense": 1 - w, "structural": w}, k)
 
 
+_RUNS = r"[\p{L}0-9]+"
+
+
+def query_terms(queries: DataFrame, least: int = 4) -> DataFrame:
+    """(query_id, terms): a query's distinct terms of ``least`` characters at least."""
+    return queries.select("query_id", F.array_distinct(F.filter(F.regexp_extract_all(F.lower("question"), F.lit(_RUNS), F.lit(0)), lambda t: F.length(t) >= least)).alias("terms"))
+
+
+def lexical_hits(queries: DataFrame, chunks: DataFrame, least: int = 4) -> DataFrame:
+    """(query_id, id, score) above 0: share of a query's distinct terms that a chunk contains, inside words too.
+
+    A term has no separators, so a chunk contains it if one of its words does.  The vocabulary's words are found by the
+    term's first ``least`` characters, an equality, and chunks by the words; no text is compared with a query.
+    """
+    asked = query_terms(queries, least)
+    term = asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(_RUNS), F.lit(0))
+    words = chunks.select("id", F.explode(F.array_distinct(F.filter(runs, lambda w: F.length(w) >= least))).alias("word"))
+    heads = term.select("term", F.substring("term", 1, least).alias("head")).distinct()
+    grams = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - (least - 1)), lambda i: F.substr(F.col("word"), i, F.lit(least))))).alias("head"))
+    found = grams.join(heads.hint("shuffle_hash"), "head").where(F.contains("word", "term")).select("word", "term").distinct()
+    held = words.join(found.hint("shuffle_hash"), "word").select("id", "term").distinct()
+    counted = held.join(term.hint("shuffle_hash"), "term").groupBy("query_id", "id", "n_terms").agg(F.count(F.lit(1)).alias("hits"))
+    return counted.select("query_id", "id", (F.col("hits") / F.col("n_terms")).alias("score"))
+
+
 def lexical_coverage(queries: DataFrame, chunks: DataFrame, least: int = 4) -> DataFrame:
-    """(query_id, id, score): share of a query's distinct terms (``least`` characters at least) that a chunk contains."""
-    terms = queries.select("query_id", F.array_distinct(F.filter(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}0-9]+"), F.lit(0)), lambda t: F.length(t) >= least)).alias("terms"))
-    pairs = chunks.select("id", F.lower("text").alias("low")).crossJoin(if_small(terms))
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    return pairs.select("query_id", "id", F.when(F.size("terms") > 0, hits / F.size("terms")).otherwise(0.0).alias("score"))
+    """(query_id, id, score) of every query and chunk: ``lexical_hits``, and 0 for all other pairs of ids."""
+    pairs = chunks.select("id").crossJoin(if_small(queries.select("query_id")))
+    return pairs.join(lexical_hits(queries, chunks, least).hint("shuffle_hash"), ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def channel_informative(df: DataFrame, score: str = "score") -> DataFrame:
