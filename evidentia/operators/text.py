@@ -119,12 +119,46 @@ def headings(doc_lines: DataFrame, rules: list[tuple[str, str, int | None]] = HE
 
 
 def close_spans(entries: DataFrame) -> DataFrame:
-    """Outline of ``(doc_id, id, start, depth, text_end)``: an entry ends at the next of no greater depth; its parent is the nearest before of smaller depth."""
-    e = entries
-    later = e.select("doc_id", F.col("start").alias("s2"), F.col("depth").alias("d2"), F.col("id").alias("id2"))
-    ends = e.join(later, "doc_id").where((F.col("s2") > F.col("start")) & (F.col("d2") <= F.col("depth"))).groupBy("doc_id", "id").agg(F.min("s2").alias("next"))
-    parents = e.join(later, "doc_id").where((F.col("s2") < F.col("start")) & (F.col("d2") < F.col("depth"))).groupBy("doc_id", "id").agg(F.max_by("id2", "s2").alias("parent"))
-    return e.join(ends, ["doc_id", "id"], "left").join(parents, ["doc_id", "id"], "left").select("doc_id", "id", "start", F.coalesce("next", "text_end").alias("end"), "depth", "parent")
+    """Outline of ``(doc_id, id, start, depth, text_end)``: an entry ends at the next of no greater depth; its parent is the nearest before of smaller depth.
+
+    One pass over a document's entries in order, with a stack of those still open; memory is bounded by a document's entries.
+    """
+    rows = entries.select("doc_id", "id", "start", "depth", "text_end").repartition("doc_id").sortWithinPartitions("doc_id", "start", "depth", "id")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches):
+        import pyarrow as pa
+
+        def closed(doc, of):
+            end, parent, open_, at = [e[3] for e in of], [None] * len(of), [], 0
+            while at < len(of):
+                upto = at + 1  # entries of one start don't close one another
+                while upto < len(of) and of[upto][1] == of[at][1]:
+                    upto += 1
+                for i in range(at, upto):
+                    parent[i] = next((of[o][0] for o in reversed(open_) if of[o][2] < of[i][2]), None)
+                while open_ and of[open_[-1]][2] >= of[at][2]:
+                    end[open_.pop()] = of[at][1]
+                open_ += range(at, upto)
+                at = upto
+            names = ["id", "start", "depth"]
+            columns = [pa.array([doc] * len(of), types[0]), *(pa.array([e[i] for e in of], types[1 + i]) for i in range(3)), pa.array(end, types[4]), pa.array(parent, types[1])]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "end", "parent"])
+
+        here, of, types, any_ = None, [], None, False
+        for batch in batches:
+            types = batch.schema.types
+            for doc, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+                if any_ and doc != here:
+                    yield closed(here, of)
+                    of = []
+                here, any_ = doc, True
+                of.append(entry)
+        if any_:
+            yield closed(here, of)
+
+    schema = f"doc_id {kind['doc_id']}, id {kind['id']}, start {kind['start']}, depth {kind['depth']}, end {kind['text_end']}, parent {kind['id']}"
+    return rows.mapInArrow(run, schema).select("doc_id", "id", "start", "end", "depth", "parent")
 
 
 def subitems(items: DataFrame) -> DataFrame:

@@ -68,9 +68,9 @@ def t6(t: Tables):
     return X.headings(X.lines(t("documents")).where(~F.col("body").rlike("^([A-Z][A-Z]+)()")), [("capital", r"^([A-Z][a-z]+) (\w+)", 1)])
 
 
-@query("t7_close_spans", f'WITH {_LINES}, {_ENTRIES}, {_OUTLINE} SELECT doc_id, id, start, "end", depth, parent FROM ol WHERE doc_id % 3 = 0')
+@query("t7_close_spans", f'WITH {_LINES}, {_ENTRIES}, {_OUTLINE} SELECT doc_id, id, start, "end", depth, parent FROM ol')
 def t7(t: Tables):
-    return X.close_spans(entries(t).where("doc_id % 3 = 0").drop("line_end"))
+    return X.close_spans(entries(t).drop("line_end"))
 
 
 @query("t8_subitems")
@@ -144,9 +144,9 @@ def t31(t: Tables):
     return X.best_excerpt(t("documents"), terms(t), 300)
 
 
-@query("t14_precedence_edges", f"""WITH {_LINES}, {_ENTRIES.replace('1 + line % 3', '1 + (line % 4 > 0)::INT')}, {_OUTLINE}, p AS (SELECT doc_id, id AS before, lead(id) OVER (PARTITION BY doc_id, parent ORDER BY start, id) AS after FROM ol WHERE parent IS NOT NULL AND doc_id % 3 = 0) SELECT * FROM p WHERE after IS NOT NULL""")
+@query("t14_precedence_edges", f"""WITH {_LINES}, {_ENTRIES.replace('1 + line % 3', '1 + (line % 4 > 0)::INT')}, {_OUTLINE}, p AS (SELECT doc_id, id AS before, lead(id) OVER (PARTITION BY doc_id, parent ORDER BY start, id) AS after FROM ol WHERE parent IS NOT NULL) SELECT * FROM p WHERE after IS NOT NULL""")
 def t14(t: Tables):
-    e = entries(t).where("doc_id % 3 = 0").drop("line_end").withColumn("depth", F.when(F.col("id") % 4 > 0, 2).otherwise(1))
+    e = entries(t).drop("line_end").withColumn("depth", F.when(F.col("id") % 4 > 0, 2).otherwise(1))
     return X.precedence_edges(X.close_spans(e))
 
 
@@ -157,16 +157,16 @@ def t15(t: Tables):
     return X.chunk_provenance(chunks(t).selectExpr("doc_id", "idx id", "start", "end"), spans)
 
 
-@query("t16_enclosing_unit", f"""WITH {_LINES}, {_ENTRIES}, {_OUTLINE}, {_CHUNKS}, j AS (SELECT ch.doc_id, idx AS id, ol.id AS unit, row_number() OVER (PARTITION BY ch.doc_id, idx ORDER BY ol."end" - ol.start, ol.start, ol.id) AS r FROM ch JOIN ol ON ch.doc_id = ol.doc_id AND ch.start >= ol.start AND ch.start < ol."end" WHERE ch.doc_id % 3 = 0) SELECT doc_id, id, unit FROM j WHERE r = 1""")
+@query("t16_enclosing_unit", f"""WITH {_LINES}, {_ENTRIES}, {_OUTLINE}, {_CHUNKS}, j AS (SELECT ch.doc_id, idx AS id, ol.id AS unit, row_number() OVER (PARTITION BY ch.doc_id, idx ORDER BY ol."end" - ol.start, ol.start, ol.id) AS r FROM ch JOIN ol ON ch.doc_id = ol.doc_id AND ch.start >= ol.start AND ch.start < ol."end") SELECT doc_id, id, unit FROM j WHERE r = 1""")
 def t16(t: Tables):
-    units = X.close_spans(entries(t).where("doc_id % 3 = 0").drop("line_end"))
+    units = X.close_spans(entries(t).drop("line_end"))
     return X.enclosing_unit(chunks(t).selectExpr("doc_id", "idx id", "start at"), units.select("doc_id", "id", "start", "end")).selectExpr("doc_id", "id", "b_id unit")
 
 
-@query("t17_composite_units", f"""WITH RECURSIVE {_LINES}, {_ENTRIES}, {_OUTLINE}, w AS (SELECT doc_id, id, id AS at_id, 0 AS depth FROM ol WHERE doc_id % 3 = 0 UNION ALL SELECT w.doc_id, w.id, ol.parent, w.depth + 1 FROM w JOIN ol ON ol.doc_id = w.doc_id AND ol.id = w.at_id WHERE w.at_id % 4 <> 0 AND ol.parent IS NOT NULL AND w.depth < 5),
- g AS (SELECT doc_id, id, at_id, depth FROM w WHERE at_id % 4 = 0) SELECT o.doc_id, o.id, g.at_id AS governing, coalesce(g.depth, 0) AS depth FROM (SELECT * FROM ol WHERE doc_id % 3 = 0) o LEFT JOIN g USING (doc_id, id)""")
+@query("t17_composite_units", f"""WITH RECURSIVE {_LINES}, {_ENTRIES}, {_OUTLINE}, w AS (SELECT doc_id, id, id AS at_id, 0 AS depth FROM ol UNION ALL SELECT w.doc_id, w.id, ol.parent, w.depth + 1 FROM w JOIN ol ON ol.doc_id = w.doc_id AND ol.id = w.at_id WHERE w.at_id % 4 <> 0 AND ol.parent IS NOT NULL AND w.depth < 5),
+ g AS (SELECT doc_id, id, at_id, depth FROM w WHERE at_id % 4 = 0) SELECT o.doc_id, o.id, g.at_id AS governing, coalesce(g.depth, 0) AS depth FROM ol o LEFT JOIN g USING (doc_id, id)""")
 def t17(t: Tables):
-    units = X.close_spans(entries(t).where("doc_id % 3 = 0").drop("line_end"))
+    units = X.close_spans(entries(t).drop("line_end"))
     return X.composite_units(units.withColumn("duty", F.col("id") % 4 == 0)).withColumn("governing", F.col("governing").cast("int"))
 
 
