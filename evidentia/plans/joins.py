@@ -62,9 +62,9 @@ def j8(t: Tables):
     return J.latest_by(t("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("j9_cross", "SELECT n_name, c_custkey FROM nation, customer WHERE c_custkey % 10 = 0")
+@query("j9_cross", "SELECT n_name, c_custkey FROM nation, customer")
 def j9(t: Tables):
-    return J.cross(t("customer").where("c_custkey % 10 = 0").select("c_custkey"), t("nation").select("n_name"))
+    return J.cross(t("customer").select("c_custkey"), t("nation").select("n_name"))
 
 
 @query("j10_greedy_match")

@@ -32,11 +32,11 @@ def s4(t: Tables):
     return S.gate_documents(t("pages").selectExpr("page_id id", "if(page_id % 9 = 0, ' ', url) name", "html text", "if(page_id % 7 = 0, 'image/png', 'text/html') media_type"), ["text/html", "text/plain"], 1500)
 
 
-@query("s5_slice_passages", """WITH pg AS (SELECT doc_id, unnest(string_split(replace(text, 'and', chr(12)), chr(12))) AS body, unnest(range(len(string_split(replace(text, 'and', chr(12)), chr(12))))) AS page FROM documents WHERE doc_id % 3 = 0),
+@query("s5_slice_passages", """WITH pg AS (SELECT doc_id, unnest(string_split(replace(text, 'and', chr(12)), chr(12))) AS body, unnest(range(len(string_split(replace(text, 'and', chr(12)), chr(12))))) AS page FROM documents),
  o AS (SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page_offset FROM pg)
  SELECT doc_id, page * 10 AS passage, CAST(page AS INTEGER) AS page, CAST(page_offset AS BIGINT) AS page_offset, sha256(array_to_string(string_split(body, chr(10))[1:2], chr(10))) AS sha FROM o WHERE page < 3""")
 def s5(t: Tables):
-    texts = t("documents").where("doc_id % 3 = 0").select("doc_id", F.replace("text", F.lit("and"), F.lit("\f")).alias("text"))
+    texts = t("documents").select("doc_id", F.replace("text", F.lit("and"), F.lit("\f")).alias("text"))
     plan = texts.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("page")).selectExpr("doc_id", "cast(page * 10 as bigint) passage", "page", "0 line_start", "2 line_end")
     return S.slice_passages(texts, plan).select("doc_id", "passage", "page", "page_offset", "sha")
 
