@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from ..operators import admission as A
 from .registry import Tables, query
 
-_C = """c AS (SELECT o_orderkey % 40 AS request_id, l_orderkey * 10 + l_linenumber AS id, l_quantity / 50 AS semantic, l_discount * 10 AS structural, l_tax * 12 AS sequence, CASE WHEN l_returnflag = 'R' THEN 1.5 ELSE 0.5 END::DOUBLE AS authority, l_linenumber / 7 AS recency, CASE WHEN l_linestatus = 'F' THEN 0.3 ELSE 0 END::DOUBLE AS stale, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE 0.1 END::DOUBLE AS conflict, (l_suppkey % 5) / 5 AS redundant, CASE WHEN l_partkey % 4 = 0 THEN 1.0::DOUBLE / (60 + l_linenumber) END AS rrf, l_partkey % 400 + 20 AS size, l_partkey % 50 = 0 AS mandatory, CASE l_suppkey % 5 WHEN 0 THEN 'authority' WHEN 1 THEN 'constraints' WHEN 2 THEN 'decisions' WHEN 3 THEN 'evidence' ELSE 'history' END AS section, l_suppkey % 5 AS place FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 8 = 0)"""
+_C = """c AS (SELECT o_orderkey % 40 AS request_id, l_orderkey * 10 + l_linenumber AS id, l_quantity / 50 AS semantic, l_discount * 10 AS structural, l_tax * 12 AS sequence, CASE WHEN l_returnflag = 'R' THEN 1.5 ELSE 0.5 END::DOUBLE AS authority, l_linenumber / 7 AS recency, CASE WHEN l_linestatus = 'F' THEN 0.3 ELSE 0 END::DOUBLE AS stale, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE 0.1 END::DOUBLE AS conflict, (l_suppkey % 5) / 5 AS redundant, CASE WHEN l_partkey % 4 = 0 THEN 1.0::DOUBLE / (60 + l_linenumber) END AS rrf, l_partkey % 400 + 20 AS size, l_partkey % 50 = 0 AS mandatory, CASE l_suppkey % 5 WHEN 0 THEN 'authority' WHEN 1 THEN 'constraints' WHEN 2 THEN 'decisions' WHEN 3 THEN 'evidence' ELSE 'history' END AS section, l_suppkey % 5 AS place FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _CL = lambda c: f"greatest(0, least(1, coalesce({c}, 0)))"
 _S = f"""s AS (SELECT *, round(CASE WHEN rrf IS NOT NULL THEN greatest(0, least(1, 61 * rrf)) * 0.55::DOUBLE ELSE {_CL('semantic')} * 0.25::DOUBLE + {_CL('structural')} * 0.30::DOUBLE END + {_CL('sequence')} * 0.15::DOUBLE + {_CL('authority')} * 0.20::DOUBLE + {_CL('recency')} * 0.10::DOUBLE + {_CL('stale')} * -0.45::DOUBLE + {_CL('conflict')} * -0.40::DOUBLE + {_CL('redundant')} * -0.20::DOUBLE, 9) AS score FROM c)"""
 
 
 def candidates(t: Tables):
-    li = t("lineitem").where("l_orderkey % 8 = 0").join(t("orders").selectExpr("o_orderkey l_orderkey"), "l_orderkey", "left_semi")
+    li = t("lineitem").join(t("orders").selectExpr("o_orderkey l_orderkey"), "l_orderkey", "left_semi")
     return li.selectExpr(
         "l_orderkey % 40 request_id", "l_orderkey * 10 + l_linenumber id", "l_quantity / 50 semantic", "l_discount * 10 structural", "l_tax * 12 sequence", "if(l_returnflag = 'R', 1.5D, 0.5D) authority", "l_linenumber / 7 recency",
         "if(l_linestatus = 'F', 0.3D, 0D) stale", "if(l_partkey % 9 = 0, null, 0.1D) conflict", "(l_suppkey % 5) / 5 redundant", "if(l_partkey % 4 = 0, 1D / (60 + l_linenumber), null) rrf", "l_partkey % 400 + 20 size", "l_partkey % 50 = 0 mandatory",
@@ -42,13 +42,13 @@ def a3(t: Tables):
 _DEPS = "ed AS (SELECT DISTINCT p_partkey AS a, (p_partkey * 7 + 3) % 2000 + 1 AS b FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey, (p_partkey * 5 + 1) % 2000 + 1 FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 40 = 0)"
 
 
-@query("a4_close_dependencies", f"""WITH {_DEPS}, av AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 11 <> 0), l1 AS (SELECT p_partkey AS origin, a, b, 1 AS level, [p_partkey] AS path FROM part JOIN ed ON a = p_partkey WHERE p_partkey % 20 = 0),
+@query("a4_close_dependencies", f"""WITH {_DEPS}, av AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 11 <> 0), l1 AS (SELECT p_partkey AS origin, a, b, 1 AS level, [p_partkey] AS path FROM part JOIN ed ON a = p_partkey),
  l2 AS (SELECT origin, ed.a, ed.b, 2 AS level, list_append(path, l1.b) AS path FROM l1 JOIN ed ON ed.a = l1.b WHERE NOT list_contains(path, l1.b) AND l1.b IN (SELECT id FROM av)), l3 AS (SELECT origin, ed.a, ed.b, 3 AS level, list_append(path, l2.b) AS path FROM l2 JOIN ed ON ed.a = l2.b WHERE NOT list_contains(path, l2.b) AND l2.b IN (SELECT id FROM av)),
  u AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) SELECT origin, b AS id, CASE WHEN list_contains(path, b) THEN 'dependency-cycle' WHEN level > 2 THEN 'depth-cap' WHEN b NOT IN (SELECT id FROM av) THEN 'unavailable' ELSE 'added' END AS outcome, min(level) AS level FROM u GROUP BY ALL""")
 def a4(t: Tables):
     p = t("part")
     edges = p.where("p_partkey % 3 <> 0").selectExpr("p_partkey a", "(p_partkey * 7 + 3) % 2000 + 1 b").union(p.where("p_partkey % 4 = 0").selectExpr("p_partkey", "(p_partkey * 5 + 1) % 2000 + 1")).union(p.where("p_partkey % 40 = 0").selectExpr("p_partkey", "p_partkey")).distinct()
-    return A.close_dependencies(p.where("p_partkey % 20 = 0").selectExpr("p_partkey id"), edges, p.where("p_partkey % 11 <> 0").selectExpr("p_partkey id"))
+    return A.close_dependencies(p.selectExpr("p_partkey id"), edges, p.where("p_partkey % 11 <> 0").selectExpr("p_partkey id"))
 
 
 @query("a5_coverage_rows", "SELECT DISTINCT o_custkey AS request_id, 'not covered: ' || o_orderpriority AS text, true AS mandatory FROM orders WHERE o_orderstatus <> 'F'")
@@ -71,11 +71,11 @@ def a8(t: Tables):
     return A.mark_admitted(candidates(t).select("request_id", "id").distinct(), a3(t).distinct())
 
 
-@query("a9_match_roles", """WITH q AS (SELECT o_orderkey AS query_id, unnest(['actor', 'status']) AS role, unnest([o_orderpriority, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderstatus END]) AS value FROM orders WHERE o_orderkey % 5 = 0), s AS (SELECT o_custkey AS source_id, unnest(['actor', 'status']) AS role, unnest([min(o_orderpriority), max(o_orderstatus)]) AS value FROM orders WHERE o_custkey % 97 = 0 GROUP BY o_custkey),
+@query("a9_match_roles", """WITH q AS (SELECT o_orderkey AS query_id, unnest(['actor', 'status']) AS role, unnest([o_orderpriority, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderstatus END]) AS value FROM orders), s AS (SELECT o_custkey AS source_id, unnest(['actor', 'status']) AS role, unnest([min(o_orderpriority), max(o_orderstatus)]) AS value FROM orders WHERE o_custkey % 97 = 0 GROUP BY o_custkey),
  n AS (SELECT query_id, count(*) AS need FROM q WHERE value IS NOT NULL GROUP BY ALL), g AS (SELECT query_id, source_id, count(*) AS got FROM q JOIN s USING (role, value) GROUP BY ALL), f AS (SELECT query_id, count(*) AS n, min(source_id) AS source_id FROM g JOIN n USING (query_id) WHERE got = need GROUP BY ALL)
  SELECT query_id, CASE WHEN n IS NULL THEN 'not_supported' WHEN n = 1 THEN 'supported' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN source_id END AS source_id FROM (SELECT DISTINCT query_id FROM q) LEFT JOIN f USING (query_id)""")
 def a9(t: Tables):
-    q = t("orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey query_id", "stack(2, 'actor', o_orderpriority, 'status', if(o_orderkey % 6 = 0, null, o_orderstatus)) as (role, value)")
+    q = t("orders").selectExpr("o_orderkey query_id", "stack(2, 'actor', o_orderpriority, 'status', if(o_orderkey % 6 = 0, null, o_orderstatus)) as (role, value)")
     s = t("orders").where("o_custkey % 97 = 0").groupBy("o_custkey").agg(F.min("o_orderpriority").alias("p"), F.max("o_orderstatus").alias("s")).selectExpr("o_custkey source_id", "stack(2, 'actor', p, 'status', s) as (role, value)")
     return A.match_roles(q, s)
 
