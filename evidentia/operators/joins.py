@@ -24,14 +24,14 @@ def interval_join(a: DataFrame, b: DataFrame, on: list[str], bucket: int = 512)
     """Pairs of overlapping half-open intervals ``(start, end)``; ``b``'s columns come as ``b_start``, ``b_end`` and so on.
 
     Both sides are dealt over the buckets that they touch and joined on them, so a long document is many small joins;
-    of the buckets that a pair shares, the first keeps it.
+    of the buckets that a pair shares, the first keeps it.  Both sides come from explode, whose size Spark cannot tell: sort-merge.
     """
     touch = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor((F.greatest(F.col(e), F.col(s) + 1) - 1) / bucket)))
     right = b.select(*on, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in on]).withColumn("_bucket", touch("b_start", "b_end"))
     left = a.withColumn("_bucket", touch("start", "end"))
     overlap = (F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start"))
     first = F.col("_bucket") == F.floor(F.greatest(F.col("start"), F.col("b_start")) / bucket)
-    return left.join(right, [*on, "_bucket"]).where(overlap & first).drop("_bucket")
+    return left.join(right.hint("merge"), [*on, "_bucket"]).where(overlap & first).drop("_bucket")
 
 
 def innermost(points: DataFrame, spans: DataFrame, on: list[str], point: str = "at", bucket: int = 512) -> DataFrame:

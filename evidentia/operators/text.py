@@ -184,24 +184,91 @@ def flag_duplicate_ids(entries: DataFrame) -> DataFrame:
     return entries.withColumn("malformed", times > 1)
 
 
-REFERENCE = r"(?i)\b(?:clause|section|schedule)s?\s+(\d+(?:\.\d+)*(?:\s*(?:,|and)\s*\d+(?:\.\d+)*)*)"
+def spans(df: DataFrame, keys: list[str], pieces: Column, hits: Column, *more: str) -> DataFrame:
+    """(*keys, i, start, end, hit, after, *more): matches of a pattern that is never empty, each with the text up to the next.
+
+    ``pieces`` are the text split at the pattern and ``hits`` its matches, so offsets are sums of lengths; ``keys`` name one text.
+    """
+    cut = df.select(*keys, *more, pieces.alias("piece"), hits.alias("hit"))
+    rows = cut.select(*keys, *more, F.posexplode(F.arrays_zip("piece", "hit")).alias("i", "p")).select(*keys, *more, "i", "p.piece", "p.hit")
+    order = Window.partitionBy(*keys).orderBy("i")
+    end = F.sum(F.length("piece") + F.coalesce(F.length("hit"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumns({"end": end, "after": F.lead("piece").over(order)}).where("hit is not null")
+    return placed.select(*keys, "i", (F.col("end") - F.length("hit")).alias("start"), "end", "hit", "after", *more)
+
+
+# Kind, keyword, identifier, what stands before it in an entry's identifier; a section is never a list
+_CLAUSE_ID, _SCHEDULE_ID, _SECTION_ID = r"[0-9]{1,3}(?:\.[0-9]{1,3}[A-Z]?)*(?:\([A-Za-z0-9]{1,4}\))*", r"(?:[A-Z][0-9]{1,3}[A-Z]?|[0-9]{1,3})", r"[0-9]{1,3}(?:\.[0-9]{1,3})*(?:\([A-Za-z0-9]{1,4}\))*"
+REFERENCE_FORMS = [
+    ("clause", "clauses?", _CLAUSE_ID, ""), ("schedule", "schedules?", _SCHEDULE_ID, "Schedule "), ("section", "sections?", _SECTION_ID, ""),
+    ("exhibit", "exhibits?", _SCHEDULE_ID, "Exhibit "), ("appendix", "appendices", _SCHEDULE_ID, "Appendix "), ("attachment", "attachments?", _SCHEDULE_ID, "Attachment "),
+]
+REFERENCE_SEPARATOR = r"[ \t]*(?i:,|and|or|to)[ \t]*"
+OTHER_DOCUMENT = r"[ \t]+of[ \t]+the[ \t]+([A-Z][A-Za-z0-9 &'’/\-]{1,100}?(?:Specification|Act(?:[ \t]+[0-9]{4})?)(?:[ \t]+\([A-Za-z]+\))?)"
 
 
 def resolve_references(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(doc_id, identifier, times, status, target): cited identifiers, one row each; the first valid entry is the target."""
-    cited = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1))).alias("list")).select("doc_id", F.explode(F.regexp_extract_all("list", F.lit(r"\d+(?:\.\d+)*"), F.lit(0))).alias("identifier"))
-    n = cited.groupBy("doc_id", "identifier").agg(F.count(F.lit(1)).alias("times"))
+    """(doc_id, start, end, kind, identifier, status, target): one row for each cited identifier.
+
+    A keyword and the list of identifiers behind it; the first row's span begins at the keyword.  A section may name another
+    document.  A keyword without identifier is ``unparsed``, its span ends before punctuation, 120 characters on at most.
+    The target is the first entry ``(doc_id, id, identifier, start, malformed)`` that is not malformed.
+    """
+    word = r"\b(?i:" + "|".join(w for _, w, _, _ in REFERENCE_FORMS) + r")\b"
+    found = spans(docs, ["doc_id"], F.split("text", word), F.regexp_extract_all("text", F.lit(word), F.lit(0)))
+    order = Window.partitionBy("doc_id").orderBy("i")
+    ahead = F.concat(F.substring("after", 1, 300), F.when(F.length("after") < 300, F.concat_ws("", F.lead("hit").over(order), F.substring(F.lead("after").over(order), 1, 300))).otherwise(""))
+    kind = F.coalesce(*[F.when(F.col("hit").rlike(rf"^(?i:{w})$"), k) for k, w, _, _ in REFERENCE_FORMS])
+    of = lambda f: F.coalesce(*[F.when(F.col("kind") == k, f(k, i, b)) for k, _, i, b in REFERENCE_FORMS])
+    listed = of(lambda k, i, _: F.regexp_extract("after", rf"^[ \t]*{i}" + ("" if k == "section" else f"(?:{REFERENCE_SEPARATOR}{i})*"), 0))
+    words = found.select("doc_id", F.col("start").alias("at"), F.col("end").alias("from"), "after", ahead.alias("ahead"), kind.alias("kind")).withColumn("list", listed)
+
+    other = F.regexp_extract("ahead", rf"^[ \t]*{_SECTION_ID}({OTHER_DOCUMENT})", 1)
+    title = F.regexp_extract("ahead", rf"^[ \t]*{_SECTION_ID}{OTHER_DOCUMENT}", 1)
+    named = words.where("list <> ''").withColumns({"other": F.when(F.col("kind") == "section", other).otherwise(""), "title": F.when(F.col("kind") == "section", title).otherwise("")})
+    ids = spans(named, ["doc_id", "at"], of(lambda k, i, _: F.split("list", i)), of(lambda k, i, _: F.regexp_extract_all("list", F.lit(i), F.lit(0))), "from", "kind", "other", "title")
+    whole = F.when(F.col("title") != "", F.concat("title", F.lit("§"), "hit")).otherwise(F.concat(of(lambda k, i, b: F.lit(b)), "hit"))
+    items = ids.select("doc_id", F.when(F.col("i") == 0, F.col("at")).otherwise(F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("end") + F.length("other")).alias("end"), "kind", whole.alias("identifier"))
+    tail = F.regexp_replace(F.regexp_extract("ahead", r"^[^;,.\n]{0,120}", 0), r"\s+$", "")
+    bare = words.where("list = ''").select("doc_id", F.col("at").alias("start"), (F.col("from") + F.length(tail)).alias("end"), "kind", F.lit(None).cast("string").alias("identifier"))
+
     target = entries.where("not malformed").groupBy("doc_id", "identifier").agg(F.min_by("id", "start").alias("target"))
-    return n.join(target, ["doc_id", "identifier"], "left").withColumn("status", F.when(F.col("target").isNull(), "unresolved_absent").otherwise("resolved"))
+    status = F.when(F.col("identifier").isNull(), "unparsed").when(F.col("target").isNull(), "unresolved_absent").otherwise("resolved")
+    return items.unionByName(bare).join(target.hint("merge"), ["doc_id", "identifier"], "left").select("doc_id", "start", "end", "kind", "identifier", status.alias("status"), "target")
 
 
-DEFINITION = r'^\W*["“]([^"”]{1,160})["”]\s+(?:means|shall mean|has the meaning)\b'
+# Fixed value: what stands between a term and its definition
+DEFINITION_DELIMITER = r"\s+(?i:means|has the meaning(?: given)?(?: to that term)?(?: given)?(?: in| under| set out| assigned)?|includes|is the process)\b"
 
 
-def definitions(doc_lines: DataFrame) -> DataFrame:
-    """(doc_id, term, start, end): lines that define a term; the body runs to the next definition or the text's end."""
-    found = doc_lines.withColumn("term", F.regexp_extract("body", DEFINITION, 1)).withColumn("stop", F.max("end").over(Window.partitionBy("doc_id"))).where("term <> ''")
-    return found.select("doc_id", "term", "start", F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")), "stop").alias("end"))
+def definitions(docs: DataFrame, entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, term, start, end, body_start, body_end, clause, scope): terms that blank-line blocks define.
+
+    A term is the first usable one of the last three lines before the block's first delimiter: 1 to 160 characters, a capital
+    first, no full stop or colon.  It counts if the innermost of ``entries (doc_id, id, start, end, title)`` around it has
+    "definition" in its title and begins in the same of ``parts (doc_id, scope, start, end)``.  The body runs from the
+    delimiter to the clause's next definition, the clause's end or the scope's end, whichever is first, without white space.
+    """
+    gap = r"\n[ \t]*\n"
+    text = F.concat(F.lit("\n\n"), "text")  # so that the first block follows a gap too
+    blocks = spans(docs, ["doc_id"], F.split(text, gap), F.regexp_extract_all(text, F.lit(gap), F.lit(0))).select("doc_id", (F.col("end") - 2).alias("block"), F.col("after").alias("body"))
+    split = blocks.withColumn("head", F.regexp_extract("body", rf"(?s)^(.*?){DEFINITION_DELIMITER}", 1)).where(F.col("body").rlike(rf"(?s)^.*?{DEFINITION_DELIMITER}"))
+    last = split.withColumn("lines", F.slice(F.reverse(F.split("head", "\n")), 1, 3))
+    reach = lambda i: F.aggregate(F.slice("lines", 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + i
+    lines_ = F.transform("lines", lambda x, i: F.struct(F.length("head") - reach(i) + F.length(x) - F.length(F.regexp_replace(x, r"^\s+", "")), F.regexp_replace(x, r"^\s+|\s+$", "")))
+    tidy = lambda x: F.regexp_replace(x, r"\s+", " ")
+    usable = F.filter(lines_, lambda x: F.length(tidy(x["col2"])).between(1, 160) & x["col2"].rlike(r"^\p{Lu}") & ~x["col2"].rlike(r"[.;:]|ME_"))
+    terms = last.withColumn("t", F.array_min(usable)).where("t is not null").select(
+        "doc_id", tidy(F.col("t.col2")).alias("term"), (F.col("block") + F.col("t.col1")).alias("start"), (F.col("block") + F.col("t.col1") + F.length("t.col2")).alias("end"), (F.col("block") + F.length("head")).alias("body_start"))
+
+    at = terms.select("doc_id", F.col("start").alias("id"), F.col("start").alias("at"))
+    around = innermost(at, entries, ["doc_id"]).where(F.contains(F.lower("b_title"), F.lit("definition"))).selectExpr("doc_id", "at start", "b_id clause", "b_start clause_start", "b_end clause_end")
+    inside = innermost(at, parts.withColumn("id", F.col("scope")), ["doc_id"]).selectExpr("doc_id", "at start", "b_id scope", "b_start scope_start", "b_end scope_end")
+    kept = terms.join(around.hint("merge"), ["doc_id", "start"]).join(inside.hint("merge"), ["doc_id", "start"]).where("clause_start >= scope_start")
+    stop = F.least(F.lead("start").over(Window.partitionBy("doc_id", "clause").orderBy("start")), "clause_end", "scope_end")
+    body = slice_text("text", F.col("body_start").cast("int"), F.col("stop").cast("int"))
+    ended = kept.withColumn("stop", stop).join(docs.select("doc_id", "text").hint("merge"), "doc_id")
+    return ended.select("doc_id", "term", "start", "end", "body_start", (F.col("stop") - F.length(F.regexp_extract(body, r"\s*$", 0))).alias("body_end"), "clause", "scope")
 
 
 def scopes(doc_lines: DataFrame, opens: Column) -> DataFrame:
@@ -220,19 +287,26 @@ def word_table(docs: DataFrame, pattern: str = r"[A-Za-z0-9]+") -> DataFrame:
     return numbered(placed, ["doc_id"], ["i"], "n").select("doc_id", "n", "start", (F.col("start") + F.length("part")).alias("end"), F.lower("part").alias("word"))
 
 
-def bind_terms(docs: DataFrame, terms: DataFrame, longest: int = 3) -> DataFrame:
-    """(doc_id, term_id, start, end): whole-word occurrences of a dictionary ``(term_id, surface)`` of up to ``longest`` words.
+def bind_terms(docs: DataFrame, terms: DataFrame, longest: int | None = None) -> DataFrame:
+    """(doc_id, term_id, start, end): whole-word occurrences of a dictionary ``(term_id, surface)``, whatever the case.
 
-    Runs of words are joined with the dictionary on their text, so the dictionary may be of any size.
+    Runs of words are joined with the dictionary on their text, so the dictionary may be of any size; a small one is
+    broadcast.  ``longest``, the words of the longest term, is counted if absent.  A dictionary with ``(doc_id, scope_start,
+    scope_end)`` binds within these spans only.
     """
+    known = terms.withColumn("surface", F.array_join(tokens(F.col("surface")), " "))
+    if longest is None:
+        longest = known.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
     w = word_table(docs)
     order = Window.partitionBy("doc_id").orderBy("n")
-    grams = None
-    for k in range(1, longest + 1):
-        ahead = [F.lead("word", i).over(order) for i in range(1, k)]
-        g = w.select("doc_id", "start", F.lead("end", k - 1).over(order).alias("end") if k > 1 else F.col("end"), F.concat_ws(" ", "word", *ahead).alias("surface"), F.size(F.array_compact(F.array("word", *ahead))).alias("k")).where(F.col("k") == k).drop("k")
-        grams = g if grams is None else grams.unionByName(g)
-    return grams.join(terms.select("term_id", F.lower("surface").alias("surface")), "surface").select("doc_id", "term_id", "start", "end")
+    ahead = lambda c, k: F.lead(c, k).over(order) if k else F.col(c)
+    runs = F.filter(F.array(*[F.struct(ahead("end", k).alias("end"), F.concat_ws(" ", *[ahead("word", i) for i in range(k + 1)]).alias("surface")) for k in range(longest)]), lambda r: r["end"].isNotNull())
+    grams = w.select("doc_id", "start", runs.alias("runs")).select("doc_id", "start", F.explode("runs").alias("r")).select("doc_id", "start", "r.*")
+    small = known.limit(20_001).count() <= 20_000
+    found = grams.join(known.hint("broadcast" if small else "merge"), ["surface", *(["doc_id"] if "scope_start" in terms.columns else [])])
+    if "scope_start" in terms.columns:
+        found = found.where("scope_start <= start and end <= scope_end")
+    return found.select("doc_id", "term_id", "start", "end")
 
 
 def precedence_edges(entries: DataFrame) -> DataFrame:
@@ -286,20 +360,39 @@ def glossary(docs: DataFrame, least: int = 2, most: int = 64) -> DataFrame:
     return top(best, ["doc_id"], [F.desc("n"), "term"], most)
 
 
-def scan_relations(chunks: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """(doc_id, relation, weight, start, end): all matches of rules ``(relation, phrase, weight)``, phrases in lower case.
-
-    A text is cut at the phrase; the pieces' lengths give the offsets.
+# Relation, weight, pattern; relations that bind the whole project; patterns of the reasons against a relation
+RELATION_RULES = [
+    ("parties_commencement_condition", 1.00, r"\b(?:rights\s+and\s+obligations|obligations)\b.{0,120}?\b(?:will|must|shall)\s+not\s+commence\b.{0,160}?\bunless\s+and\s+until\b"),
+    ("noncommencement_until", 1.00, r"\b(?:must|may|shall|will)\s+not\s+commence\b.{0,220}?\b(?:until|unless)\b"),
+    ("before_commencing", 1.00, r"\bbefore\s+(?:commencing|starting|undertaking)\b.{0,220}"),
+    ("prior_to_commencing", 0.98, r"\bprior\s+to\s+(?:the\s+)?(?:commencement|start|performance|commencing|starting|undertaking|performing)\b.{0,220}"),
+    ("access_withheld_until", 0.97, r"\bnot\s+obliged\s+to\s+give\b.{0,140}?\baccess\b.{0,100}?\buntil\s+(?:the\s+)?(?:SCAW\s+)?Contractor\s+has\b.{0,220}"),
+    ("deadline_prerequisite", 0.94, r"\bon\s+or\s+before\b.{0,100}?\b(?:deadline|commencement|start)\b.{0,220}"),
+    ("in_force_before_work", 0.94, r"\b(?:in\s+force|completed|satisfied|approved)\b.{0,100}?\bbefore\b.{0,100}?\b(?:work|activities|construction|access|commenc\w*)\b.{0,180}"),
+    ("condition_precedent_to_start", 0.92, r"\bcondition\s+precedent\s+to\s+(?:the\s+)?(?:commenc\w*|access|(?:[^.;]{0,80}\s)?obligations?|activities|work)\b.{0,220}"),
+    ("before_access_or_work", 0.90, r"\bbefore\b.{0,160}?\b(?:access|work|commenc\w*|start\w*)\b.{0,220}"),
+    ("unless_until_commencement", 0.88, r"\bunless\s+and\s+until\b.{0,220}?\b(?:commenc\w*|activities|work|access)\b"),
+]
+PROJECT_WIDE = ("parties_commencement_condition", "deadline_prerequisite", "access_withheld_until", "condition_precedent_to_start")
+PROJECT_WIDE_WORDING = r"\bany\s+construction\s+work\s+under\s+(?:this|the)\s+(?:deed|contract)\b"
+ACKNOWLEDGEMENT, MODAL = r"\backnowledg(?:e|es|ed|ing)\s+that\b", r"\b(?:must|shall|may\s+not|will\s+not)\b"
+BASELINE = r"\b(?:state|condition|position|status|level|baseline)\b[^.;:]{0,180}\b(?:agreed|existing|prevailing|was|were)\b[^.;:]{0,100}$"
+BOUNDARY = r"\n[ \t]*\n[ \t]*(?:\([A-Za-z0-9]{1,5}\)|[0-9]{1,3}(?:\.[0-9]{1,3}[A-Z]?)+)[ \t]+"
+START_EVENT = r"\b(?:construction|work|activities|access|performance|obligations?|rights?)\b"
+POST_START = r"\bcondition\s+precedent\s+to\s+(?:substantial\s+)?completion\b|\b(?:substantial|final)\s+completion|\bdefects?\s+correction\b|\bwarrant"
+
+
+def scan_relations(chunks: DataFrame, rules: list[tuple[str, float, str]] = RELATION_RULES) -> DataFrame:
+    """(doc_id, relation, weight, start, end, conditionality): all matches of rules ``(relation, weight, pattern)``, whatever the case.
+
+    One pass over the texts; a relation binds the whole project by its kind or by its wording, else an activity.
     """
-    low = chunks.select("doc_id", F.lower("text").alias("low"))
-    out = None
-    for relation, phrase, weight in rules:
-        hits = low.where(F.contains("low", F.lit(phrase))).select("doc_id", F.posexplode(F.split("low", "\\Q" + phrase + "\\E")).alias("i", "part"))
-        upto = Window.partitionBy("doc_id").orderBy("i")
-        found = hits.withColumns({"start": F.sum(F.length("part")).over(upto) + F.col("i") * len(phrase), "last": F.lead("i").over(upto).isNull()}).where("not last")
-        found = found.select("doc_id", F.lit(relation).alias("relation"), F.lit(weight).alias("weight"), F.col("start").cast("long").alias("start"), (F.col("start") + len(phrase)).cast("long").alias("end"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    flagged = [(r, w, "(?is)" + p) for r, w, p in rules]
+    cut = F.array(*[F.struct(F.lit(r).alias("relation"), F.lit(w).alias("weight"), F.split("text", p).alias("pieces"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("hits")) for r, w, p in flagged])
+    rows = chunks.select("doc_id", F.explode(F.filter(cut, lambda r: F.size(r["hits"]) > 0)).alias("r")).select("doc_id", "r.*")
+    found = spans(rows, ["doc_id", "relation"], F.col("pieces"), F.col("hits"), "weight")
+    wide = F.col("relation").isin(*PROJECT_WIDE) | F.col("hit").rlike("(?i)" + PROJECT_WIDE_WORDING)
+    return found.select("doc_id", "relation", "weight", "start", "end", F.when(wide, "project_wide").otherwise("activity_conditional").alias("conditionality"))
 
 
 def resolve_relations(relations: DataFrame) -> DataFrame:
@@ -311,12 +404,24 @@ def resolve_relations(relations: DataFrame) -> DataFrame:
     return r.join(inside, ["doc_id", "id"], "left").select("doc_id", "id", first_reason((F.col("nth") > 1, "weaker_at_start"), (F.col("within"), "inside_gate"), otherwise="kept").alias("status"))
 
 
-def exclude_relations(relations: DataFrame, texts: DataFrame, reach: int = 40) -> DataFrame:
-    """Reason against relations by the words around them: acknowledgement, baseline time, crosses a line; else null."""
-    j = relations.join(texts.select("doc_id", "text"), "doc_id")
-    around = F.lower(F.substring(F.col("text"), F.greatest(F.col("start") - reach, F.lit(0)).cast("int") + 1, (F.col("end") - F.greatest(F.col("start") - reach, F.lit(0)) + reach).cast("int")))
-    own = slice_text(F.col("text"), F.col("start").cast("int"), F.col("end").cast("int"))
-    return j.select("doc_id", "id", first_reason((own.contains("\n"), "crosses_boundary"), (around.rlike(r"acknowledg|note that"), "acknowledgement"), (around.rlike(r"\bas of\b|baseline"), "baseline_time")).alias("reason"))
+def exclude_relations(relations: DataFrame, texts: DataFrame) -> DataFrame:
+    """First reason against relations ``(doc_id, id, relation, start, end)``, by the words of and before them; else null.
+
+    Before them: the paragraph so far, or 320 characters of a text's first paragraph.
+    """
+    j = relations.join(texts.select("doc_id", "text").hint("merge"), "doc_id").withColumn("own", slice_text("text", F.col("start").cast("int"), F.col("end").cast("int")))
+    j = j.withColumn("lead", F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))).drop("text")
+    j = j.withColumn("frame", F.when(F.contains("lead", F.lit("\n\n")), F.substring_index("lead", "\n\n", -1)).otherwise(F.right("lead", F.lit(320)))).drop("lead")
+    upto_event = F.regexp_extract("own", rf"(?is)^.*?\b(?:before|unless\s+and\s+until)\b.*?{START_EVENT}", 0)
+    core = F.when(upto_event == "", F.col("own")).otherwise(upto_event)
+    after = F.regexp_extract("frame", rf"(?is)^.*{ACKNOWLEDGEMENT}(.*)$", 1)
+    target = F.concat(F.right("frame", F.lit(180)), F.regexp_extract("own", r"(?is)^.*?(?=\b(?:until|unless)\b)", 0))
+    return j.select("doc_id", "id", first_reason(
+        (F.col("relation").isin("before_access_or_work", "unless_until_commencement") & core.rlike(BOUNDARY), "crosses_boundary"),
+        (F.col("frame").rlike("(?i)" + ACKNOWLEDGEMENT) & ~after.rlike("(?i)" + MODAL), "acknowledgement"),
+        (F.col("relation").isin("prior_to_commencing", "before_access_or_work") & F.right("frame", F.lit(320)).rlike("(?is)" + BASELINE), "baseline_time"),
+        ((F.col("relation") == "noncommencement_until") & ~target.rlike("(?i)" + START_EVENT), "other_target"),
+        (F.regexp_extract("own", r"(?s)^[^.;]*[.;]?", 0).rlike("(?i)" + POST_START), "post_start")).alias("reason"))
 
 
 def attribute_actor(modals: DataFrame, actors: DataFrame) -> DataFrame:
@@ -404,7 +509,7 @@ def verbatim_overlap(pairs: DataFrame) -> DataFrame:
     Words of both sides are joined within the pair on the word, and a diagonal's consecutive hits are one island.
     """
     side = lambda c, name: pairs.select("pair_id", F.posexplode(tokens(F.col(c))).alias(name, "w"))
-    hits = side("a", "i").join(side("b", "j"), ["pair_id", "w"]).withColumn("d", F.col("i") - F.col("j"))
+    hits = side("a", "i").join(side("b", "j").hint("merge"), ["pair_id", "w"]).withColumn("d", F.col("i") - F.col("j"))
     island = hits.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("pair_id", "d").orderBy("i")))
     runs = island.groupBy("pair_id", "d", "g").agg(F.count(F.lit(1)).alias("n")).groupBy("pair_id").agg(F.max("n").alias("words"))
     return pairs.select("pair_id").join(runs, "pair_id", "left").select("pair_id", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
@@ -414,7 +519,7 @@ def align_spans(spans: DataFrame, words: DataFrame) -> DataFrame:
     """Word numbers of spans whose ends are word boundaries, else null."""
     first = words.select("doc_id", "start", F.col("n").alias("first"))
     last = words.select("doc_id", "end", F.col("n").alias("last"))
-    return spans.join(first, ["doc_id", "start"], "left").join(last, ["doc_id", "end"], "left").select("doc_id", "id", "first", "last", (F.col("first").isNotNull() & F.col("last").isNotNull()).alias("aligned"))
+    return spans.join(first.hint("merge"), ["doc_id", "start"], "left").join(last.hint("merge"), ["doc_id", "end"], "left").select("doc_id", "id", "first", "last", (F.col("first").isNotNull() & F.col("last").isNotNull()).alias("aligned"))
 
 
 def audit_counts(questions: DataFrame, counts: DataFrame) -> DataFrame:

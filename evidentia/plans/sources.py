@@ -47,6 +47,25 @@ def s6(t: Tables):
     return S.through_parent(t("lineitem").selectExpr("l_orderkey key", "l_linenumber"), t("orders").selectExpr("o_orderkey key", "o_custkey project_id"), "key", projects).selectExpr("key l_orderkey", "l_linenumber")
 
 
+@query("s7_write_manifest")
+def s7(t: Tables):
+    """Digests of the files that hold the documents."""
+    files = S.write_manifest(t.spark, f"{t.sf_dir}/documents.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "sha256")
+
+
+@query("s10_messages", """SELECT CASE WHEN conv_id % 10 = 0 THEN 'eval' ELSE 'train' END AS split, conv_id, turn, question, answer FROM (SELECT *, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE answer IS NOT NULL""")
+def s10(t: Tables):
+    from pyspark.sql import Window
+
+    asked = t("conversations").withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("answer is not null")
+    split = F.when(F.col("conv_id") % 10 == 0, "eval").otherwise("train")
+    key = F.concat_ws(":", split, "conv_id", "turn")
+    made = S.messages(asked.select(key.alias("split"), F.col("text").alias("question"), "answer"))
+    part = F.split("split", ":")
+    return made.select(part[0].alias("split"), part[1].cast("long").alias("conv_id"), part[2].cast("int").alias("turn"), F.col("messages")[0]["content"].alias("question"), F.col("messages")[1]["content"].alias("answer"))
+
+
 @query("s8_verify_manifest", "SELECT p_name || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 THEN 'unexpected' WHEN p_partkey % 3 = 0 THEN 'checksum_mismatch' ELSE 'ok' END AS status FROM part WHERE p_partkey % 35 <> 0")
 def s8(t: Tables):
     p = t("part").selectExpr("concat(p_name, cast(p_partkey as string)) path", "sha2(p_name, 256) sha256", "p_partkey k")

@@ -93,7 +93,7 @@ def t12(t: Tables):
 
 _WORDS = """pt AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+')) AS part, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), 1) AS i FROM documents),
  pl AS (SELECT *, CAST(coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM pt),
- wd AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS n, start, start + length(part) AS "end", lower(part) AS word FROM pl WHERE regexp_matches(part, '^[A-Za-z0-9]+$'))"""
+ wd AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS n, start, start + length(part) AS "end", lower(part) AS word FROM pl WHERE regexp_matches(part, '^[A-Za-z0-9]+$'))"""
 
 
 @query("t33_token_table", f"WITH {_WORDS} SELECT * FROM wd")
@@ -183,12 +183,53 @@ def t19(t: Tables):
     return X.glossary(t("documents"))
 
 
-_RULES = [("before", " that ", 1.0), ("after", " of the ", 2.0), ("during", "und", 1.5)]
+#: documents with wording that the tables lack, by their number
+_CLAUSES = r"""concat(text, case doc_id % 6 when 0 then '\n\nThe Contractor must not commence any construction work under this deed until approved.' when 1 then '\n\nThe parties acknowledge that access is given prior to the start of work; no more.'
+ when 2 then '\n\nBefore commencing the work, see clause 2.1, 3(a) and 4; Section 5 of the Water Act 1999 or sections of it.' when 3 then '\n\nThe condition of the site agreed before access to it.' when 4 then '\n\nOn or before the deadline for final completion, give schedules A1 and 2.' else '' end)"""
 
 
-@query("t20_scan_relations")
+def clauses(t: Tables):
+    return t("documents").select("doc_id", F.expr(_CLAUSES).alias("text"))
+
+
+def _rule_sql(relation: str, weight: float, pattern: str) -> str:
+    p = "'(?is)" + pattern + "'"
+    return f"SELECT doc_id, '{relation}' AS relation, {weight}::DOUBLE AS weight, unnest(string_split_regex(text, {p})) AS piece, unnest(regexp_extract_all(text, {p})) AS hit, unnest(range(len(string_split_regex(text, {p})))) AS i FROM d"
+
+
+_D = "d AS (SELECT doc_id, " + _CLAUSES.replace("'\\n\\n", "chr(10) || chr(10) || '") + " AS text FROM documents)"
+_SCAN = f"""{_D}, h AS ({" UNION ALL ".join(_rule_sql(*r) for r in X.RELATION_RULES)}), e AS (SELECT *, CAST(sum(length(piece) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id, relation ORDER BY i) AS BIGINT) AS stop FROM h)
+ SELECT doc_id, relation, weight, stop - length(hit) AS start, stop AS "end", CASE WHEN relation IN {X.PROJECT_WIDE} OR regexp_matches(hit, '(?i){X.PROJECT_WIDE_WORDING}') THEN 'project_wide' ELSE 'activity_conditional' END AS conditionality FROM e WHERE hit IS NOT NULL"""
+
+
+@query("t20_scan_relations", f"WITH {_SCAN}")
 def t20(t: Tables):
-    return X.scan_relations(t("documents"), _RULES)
+    return X.scan_relations(clauses(t))
+
+
+def numbers(t: Tables):
+    """An outline entry for each of a few identifiers of every third document."""
+    return t("documents").where("doc_id % 3 = 2").selectExpr("doc_id", "stack(4, 1L, '2.1', 40L, false, 2L, '2.1', 10L, false, 3L, '4', 0L, true, 4L, 'Schedule 2', 5L, false) as (id, identifier, start, malformed)")
+
+
+@query("t10_resolve_references")
+def t10(t: Tables):
+    return X.resolve_references(clauses(t), numbers(t))
+
+
+@query("t11_definitions")
+def t11(t: Tables):
+    d = t("documents").selectExpr("doc_id", r"concat(text, if(doc_id % 4 = 0, '\n\n', ''), '\n\nGoods\nmeans things; and\n\nThe Price includes tax.\n \nend') text")
+    whole = d.selectExpr("doc_id", "0L id", "0L start", "cast(length(text) as bigint) end", "if(doc_id % 5 = 0, 'Terms', 'Definitions') title")
+    return X.definitions(d, whole, d.selectExpr("doc_id", "0 scope", "0L start", "cast(length(text) as bigint) end"))
+
+
+@query("t26_cited_clause", """WITH q AS (SELECT conv_id * 1000 + turn AS query_id, CAST(conv_id AS VARCHAR) || '.' || turn AS identifier FROM conversations WHERE turn % 5 <> 4), e AS (SELECT (doc_id // 3) || '.' || (doc_id % 3) AS identifier, doc_id, 0::BIGINT AS start, CAST(length(text) AS BIGINT) AS "end" FROM documents)
+ SELECT query_id, q.identifier, doc_id, start, "end" FROM q JOIN e USING (identifier) QUALIFY count(*) OVER (PARTITION BY query_id) = 1""")
+def t26(t: Tables):
+    q = t("conversations").selectExpr("conv_id * 1000 + turn query_id", "concat('What do ', conv_id, '.', turn, if(turn % 5 = 4, ' and 1', ''), ' say?') question")
+    e = t("documents").selectExpr("concat(doc_id div 3, '.', doc_id % 3) identifier", "doc_id", "0L start", "cast(length(text) as bigint) end")
+    return X.cited_clause(q, e)
 
 
 _REL = """rl AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS id, l_returnflag AS relation, CAST(l_partkey % 4 AS DOUBLE) AS weight, l_partkey % 20 AS start, l_partkey % 20 + 2 + l_suppkey % 30 AS "end", l_suppkey % 3 = 0 AS gate FROM lineitem)"""
@@ -208,8 +249,8 @@ def t21(t: Tables):
 
 @query("t22_exclude_relations")
 def t22(t: Tables):
-    found = X.scan_relations(t("documents"), _RULES).withColumn("id", F.col("start"))
-    return X.exclude_relations(found, t("documents"))
+    found = X.scan_relations(clauses(t)).withColumn("id", F.concat_ws(":", "relation", "start"))
+    return X.exclude_relations(found, clauses(t))
 
 
 @query("t23_attribute_actor", f"""WITH {_WORDS}, p AS (SELECT doc_id, n // 30 AS line, n AS at_n, word FROM wd), m AS (SELECT * FROM p WHERE word IN ('of', 'de', 'und')), a AS (SELECT * FROM p WHERE word IN ('the', 'la', 'der')),

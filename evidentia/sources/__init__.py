@@ -109,10 +109,15 @@ def renumber(bundle: DataFrame, target: DataFrame, surrogate: str) -> DataFrame:
     return bundle.withColumn("_nth", nth).join(starts, "project_id").crossJoin(largest).withColumn(surrogate, F.col("_base") + F.col("_start") + F.col("_nth")).drop("_nth", "_start", "_base")
 
 
-def export_messages(df: DataFrame, path: str) -> None:
-    """Rows ``(split, question, answer)`` as chat messages, one JSON line each, a folder per split."""
+def messages(df: DataFrame) -> DataFrame:
+    """Rows ``(split, question, answer)`` as chat messages."""
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    df.select("split", F.array(turn("user", "question"), turn("assistant", "answer")).alias("messages")).write.mode("overwrite").partitionBy("split").json(path)
+    return df.select("split", F.array(turn("user", "question"), turn("assistant", "answer")).alias("messages"))
+
+
+def export_messages(df: DataFrame, path: str) -> None:
+    """:func:`messages` as JSON lines, a folder per split."""
+    messages(df).write.mode("overwrite").partitionBy("split").json(path)
 
 
 def events_after(df: DataFrame, after: int, n: int, id_: str = "event_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact arithmetic, invariants, readers and streams on literal tables."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,12 +85,79 @@ def test_headings_and_references(spark):
     heads = text.headings(text.lines(docs))
     assert [(r["kind"], r["identifier"], r["depth"]) for r in heads.orderBy("line").collect()] == [("numbered", "1", 1), ("numbered", "2.1", 2), ("schedule", "A", 1), ("named", "GENERAL TERMS", 2)]
     entries = heads.selectExpr("doc_id", "line id", "identifier", "start", "false malformed")
-    assert [(r["identifier"], r["status"]) for r in text.resolve_references(docs, entries).orderBy("identifier").collect()] == [("2.1", "resolved"), ("9", "unresolved_absent")]
+    assert [(r["identifier"], r["status"]) for r in text.resolve_references(docs, entries).orderBy("start").collect()] == [("2.1", "resolved"), ("9", "unresolved_absent"), (None, "unparsed")]
+
+
+def test_references_by_hand(spark):
+    body = "Clauses 1, 2(a) and 3.1B apply.\nSee schedules A1 to 4; exhibit B.\nsection 7 of the Fire Act 1999 and clause of it, or Sections 8, 9 clause 2(a)"
+    docs = spark.createDataFrame([(1, body), (2, ""), (3, None), (4, "clause"), (5, "no keyword: clausex 1")], "doc_id long, text string")
+    entries = spark.createDataFrame([(1, 7, "2(a)", 9, False), (1, 8, "2(a)", 3, False), (1, 9, "1", 0, True), (1, 5, "Schedule 4", 0, False)], "doc_id long, id long, identifier string, start long, malformed boolean")
+    got = sorted(map(tuple, text.resolve_references(docs, entries).collect()))
+    cited = lambda r: (body[r[1] : r[2]], *r[3:])
+    assert [cited(r) for r in got if r[0] == 1] == [
+        ("Clauses 1", "clause", "1", "unresolved_absent", None), ("2(a)", "clause", "2(a)", "resolved", 8), ("3.1B", "clause", "3.1B", "unresolved_absent", None),
+        ("schedules A1", "schedule", "Schedule A1", "unresolved_absent", None), ("4", "schedule", "Schedule 4", "resolved", 5), ("exhibit B", "exhibit", None, "unparsed", None),
+        ("section 7 of the Fire Act 1999", "section", "Fire Act 1999§7", "unresolved_absent", None), ("clause of it", "clause", None, "unparsed", None),
+        ("Sections 8", "section", "8", "unresolved_absent", None), ("clause 2(a)", "clause", "2(a)", "resolved", 8)]
+    assert [r for r in got if r[0] != 1] == [(4, 0, 6, "clause", None, "unparsed", None)]
+
+
+def test_relations_against_brute_force(spark):
+    parts = [
+        "The Contractor must not commence any construction work under this deed until approved.", "It must not commence the song until noon.",
+        "The parties acknowledge that access is given prior to the start of work.", "They acknowledge that it must be done prior to the start of work.", "The condition of the site agreed before access to it.",
+        "On or before the deadline for final completion; ok.", "BEFORE commencing, read.\n\nUnless and until\n\n2.1 approved, no access", "before it\n\n(a) starts work",
+        "x", "", "\n\n", "A condition precedent to the work is insurance completed before any access.",
+    ]
+    texts = [(i, " ".join(parts[j % len(parts)] + ("\n\n" if (i + j) % 3 == 0 else "") for j in range(i, i + 4))) for i in range(24)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = text.scan_relations(docs).withColumn("id", F.concat_ws(":", "relation", "start"))
+    want, reasons = [], []
+    for doc, body in texts:
+        for name, weight, pattern in text.RELATION_RULES:
+            for m in re.finditer(pattern, body or "", re.I | re.S):
+                wide = name in text.PROJECT_WIDE or re.search(text.PROJECT_WIDE_WORDING, m[0], re.I)
+                want.append((doc, name, weight, m.start(), m.end(), "project_wide" if wide else "activity_conditional", f"{name}:{m.start()}"))
+                cut = body.rfind("\n\n", 0, m.start())
+                frame = body[cut + 2 if cut >= 0 else max(0, m.start() - 320) : m.start()]
+                says = [a.end() for a in re.finditer(text.ACKNOWLEDGEMENT, frame, re.I)]
+                core = re.match(r"(.*?\b(?:before|unless\s+and\s+until)\b.*?" + text.START_EVENT + ")", m[0], re.I | re.S)
+                until = re.search(r"\b(?:until|unless)\b", m[0], re.I)
+                why = None
+                if name in ("before_access_or_work", "unless_until_commencement") and re.search(text.BOUNDARY, core[1] if core else m[0]):
+                    why = "crosses_boundary"
+                elif says and not re.search(text.MODAL, frame[says[-1] :], re.I):
+                    why = "acknowledgement"
+                elif name in ("prior_to_commencing", "before_access_or_work") and re.search(text.BASELINE, frame[-320:], re.I | re.S):
+                    why = "baseline_time"
+                elif name == "noncommencement_until" and not re.search(text.START_EVENT, frame[-180:] + m[0][: until.start()], re.I):
+                    why = "other_target"
+                elif re.search(text.POST_START, re.match(r"[^.;]*[.;]?", m[0])[0], re.I):
+                    why = "post_start"
+                reasons.append((doc, f"{name}:{m.start()}", why))
+    assert rows(found) == sorted(want)
+    assert {r[2] for r in reasons} == {None, "crosses_boundary", "acknowledgement", "baseline_time", "other_target", "post_start"}
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, text.exclude_relations(found, docs).collect()), key=key) == sorted(reasons, key=key)
+
+
+def test_terms_of_any_length_within_their_scope(spark):
+    docs = spark.createDataFrame([(1, "Net Sale Price of Goods is net sale price, of-goods"), (2, "goods"), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(1, "net sale price of goods"), (2, "Goods"), (3, "sale price")], "term_id long, surface string")
+    assert rows(text.bind_terms(docs, terms)) == [(1, 1, 0, 23), (1, 1, 27, 51), (1, 2, 18, 23), (1, 2, 46, 51), (1, 3, 4, 14), (1, 3, 31, 41), (2, 2, 0, 5)]
+    scoped = terms.selectExpr("term_id", "surface", "1L doc_id", "10L scope_start", "51L scope_end")
+    assert rows(text.bind_terms(docs, scoped)) == [(1, 1, 27, 51), (1, 2, 18, 23), (1, 2, 46, 51), (1, 3, 31, 41)]
 
 
 def test_definitions(spark):
-    docs = spark.createDataFrame([(1, '“Goods” means things.\nmore\n"Price" has the meaning below\nend')], "doc_id long, text string")
-    assert [(r["term"], r["start"], r["end"]) for r in text.definitions(text.lines(docs)).orderBy("start").collect()] == [("Goods", 0, 27), ("Price", 27, 60)]
+    body = "1 Definitions\n\nGoods\nmeans things; and\nmore\n \n(a) x\nThe Price includes tax.  \n\nno. term means y\n\n2 Other\n\nLate means z"
+    docs = spark.createDataFrame([(1, body), (2, "Goods means x"), (3, ""), (4, None)], "doc_id long, text string")
+    clause = body.index("2 Other")
+    entries = spark.createDataFrame([(1, 1, 0, clause, "Definitions"), (1, 2, clause, len(body), "Other"), (2, 1, 0, 13, "Definitions")], "doc_id long, id long, start long, end long, title string")
+    parts = spark.createDataFrame([(1, 0, 0, 200), (2, 0, 0, 5), (2, 1, 5, 13)], "doc_id long, scope long, start long, end long")
+    got = sorted(map(tuple, text.definitions(docs, entries, parts).collect()))
+    assert [(r[1], body[r[2] : r[3]], body[r[4] : r[5]]) for r in got if r[0] == 1] == [("Goods", "Goods", "\nmeans things; and\nmore\n \n(a) x"), ("The Price", "The Price", " includes tax.  \n\nno. term means y")]
+    assert [r for r in got if r[0] != 1] == [(2, "Goods", 0, 5, 5, 5, 1, 0)]
 
 
 def test_cited_clause(spark):
