@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,6 +99,17 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the folder that ``spark.checkpoint.dir`` names, without their lineage; lost executors cost no rows.
+
+    Where the setting is absent (tests), the folder is a local one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows (counted now); else leave the strategy to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import if_small, top
+from ..functions import if_small, settled, top
 from .fold import fold
 
 
@@ -85,12 +85,12 @@ def fixpoint(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -
         return _walked(start, edges, max_depth)
     step = edges.groupBy("a").agg(F.min("b").alias("b")).where("b is not null")
     ends = step.select(F.col("a").alias("b"), F.lit(True).alias("goes_on"))
-    at = step.join(ends, "b", "left").select("a", "b", F.lit(1).cast("long").alias("n"), F.coalesce("goes_on", F.lit(False)).alias("open")).localCheckpoint()
+    at = settled(step.join(ends.hint("merge"), "b", "left").select("a", "b", F.lit(1).cast("long").alias("n"), F.coalesce("goes_on", F.lit(False)).alias("open")))
     left = at.where("open").count()
     while left:
         further = at.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"), F.col("open").alias("goes_on"))
         moved = at.where("open").join(further, "b").select("a", F.col("c").alias("b"), (F.col("n") + F.col("m")).alias("n"), F.col("goes_on").alias("open"))
-        at = at.where("not open").unionByName(moved).localCheckpoint()
+        at = settled(at.where("not open").unionByName(moved))
         before, left = left, at.where("open").count()
         if left == before:  # a longer chain would have nodes that end in this round
             break

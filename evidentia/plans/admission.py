@@ -31,12 +31,12 @@ def a2(t: Tables):
 
 _P = "p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY mandatory DESC, place, score DESC, id) AS nth FROM s)"
 _ADMIT = f"""{_C}, {_S}, {_P}, f AS (SELECT request_id, 0::BIGINT AS id, 0::BIGINT AS nth, 0::BIGINT AS used, '' AS decision FROM (SELECT DISTINCT request_id FROM p)
- UNION ALL SELECT f.request_id, p.id, p.nth, f.used + CASE WHEN p.mandatory OR f.used + p.size <= 2000 THEN p.size ELSE 0 END, CASE WHEN p.mandatory THEN 'mandatory' WHEN f.used + p.size <= 2000 THEN 'admitted' ELSE 'budget' END FROM f JOIN p ON p.request_id = f.request_id AND p.nth = f.nth + 1 WHERE p.nth <= 64)"""
+ UNION ALL SELECT f.request_id, p.id, p.nth, f.used + CASE WHEN p.mandatory OR f.used + p.size <= 2000 THEN p.size ELSE 0 END, CASE WHEN p.mandatory THEN 'mandatory' WHEN f.used + p.size <= 2000 THEN 'admitted' ELSE 'budget' END FROM f JOIN p ON p.request_id = f.request_id AND p.nth = f.nth + 1)"""
 
 
 @query("a3_admit", f"WITH RECURSIVE {_ADMIT} SELECT request_id, id, decision FROM f WHERE nth > 0")
 def a3(t: Tables):
-    return A.admit(A.score_candidates(candidates(t)), page=64)
+    return A.admit(A.score_candidates(candidates(t)))
 
 
 _DEPS = "ed AS (SELECT DISTINCT p_partkey AS a, (p_partkey * 7 + 3) % 2000 + 1 AS b FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey, (p_partkey * 5 + 1) % 2000 + 1 FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 40 = 0)"

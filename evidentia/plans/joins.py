@@ -74,10 +74,10 @@ def j10(t: Tables):
 
 
 @query("j11_fixpoint", """WITH RECURSIVE n AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders), e AS (SELECT * FROM n WHERE b IS NOT NULL),
- w AS (SELECT a AS origin, a AS last, 0 AS depth FROM n UNION ALL SELECT origin, e.b, depth + 1 FROM w JOIN e ON e.a = w.last WHERE depth < 4)
- SELECT origin, arg_max(last, depth) AS last, max(depth) AS depth, false AS cycle FROM w GROUP BY origin""")
+ w AS (SELECT a AS origin, a AS last, 0 AS depth FROM n UNION ALL SELECT origin, e.b, depth + 1 FROM w JOIN e ON e.a = w.last)
+ SELECT origin, arg_max(last, depth) AS last, CAST(max(depth) AS BIGINT) AS depth, false AS cycle FROM w GROUP BY origin""")
 def j11(t: Tables):
     from pyspark.sql import Window
 
     o = t("orders").withColumn("b", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-    return J.fixpoint(o.selectExpr("o_orderkey origin"), o.where("b is not null").selectExpr("o_orderkey a", "b"), 4)
+    return J.fixpoint(o.selectExpr("o_orderkey origin"), o.where("b is not null").selectExpr("o_orderkey a", "b"))

@@ -162,7 +162,7 @@ def v13(t: Tables):
 @query("v14_greedy_budget", f"""WITH RECURSIVE {_TEXTS}, s AS (SELECT query_id, 0::BIGINT AS id, 0 AS rank, 0::BIGINT AS used, 0 AS n, '' AS reason FROM (SELECT DISTINCT query_id FROM x)
  UNION ALL SELECT s.query_id, x.id, x.rank, s.used + CASE WHEN s.n < 20 AND s.used + length(x.text) <= 20000 THEN length(x.text) ELSE 0 END, s.n + CASE WHEN s.n < 20 AND s.used + length(x.text) <= 20000 THEN 1 ELSE 0 END,
    CASE WHEN s.n >= 20 THEN 'limit' WHEN s.used + length(x.text) > 20000 THEN 'budget' ELSE 'admitted' END FROM s JOIN x ON x.query_id = s.query_id AND x.rank = s.rank + 1)
- SELECT query_id, id, rank, reason FROM s WHERE rank BETWEEN 1 AND 512""")
+ SELECT query_id, id, rank, reason FROM s WHERE rank > 0""")
 def v14(t: Tables):
     return R.greedy_budget(_texts(t).select("query_id", "id", "rank", F.length("text").cast("long").alias("size")), 20_000, 20)
 
