@@ -504,15 +504,49 @@ def best_excerpt(chunks: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
 
 
 def verbatim_overlap(pairs: DataFrame) -> DataFrame:
-    """(pair_id, words): longest common run of words of two texts.
+    """(pair_id, words): longest common run of words of two texts ``(pair_id, a, b)``; 0 if a text is null or has no words.
 
-    Words of both sides are joined within the pair on the word, and a diagonal's consecutive hits are one island.
+    Runs of a length are numbered from the numbers of runs of half the length, so a pair takes sorts of its words, a
+    logarithm of them, and no pairs of equal words.
     """
-    side = lambda c, name: pairs.select("pair_id", F.posexplode(tokens(F.col(c))).alias(name, "w"))
-    hits = side("a", "i").join(side("b", "j").hint("merge"), ["pair_id", "w"]).withColumn("d", F.col("i") - F.col("j"))
-    island = hits.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("pair_id", "d").orderBy("i")))
-    runs = island.groupBy("pair_id", "d", "g").agg(F.count(F.lit(1)).alias("n")).groupBy("pair_id").agg(F.max("n").alias("words"))
-    return pairs.select("pair_id").join(runs, "pair_id", "left").select("pair_id", F.coalesce("words", F.lit(0)).cast("long").alias("words"))
+    def longest(a, b) -> int:
+        import numpy as np
+
+        names: dict[str, int] = {}
+        word = lambda of: np.array([names.setdefault(w, len(names)) for w in of or ()], dtype=np.int64)
+        levels = [(word(a), word(b))]
+
+        def runs(x, y, apart):
+            """Numbers for runs made of two numbered runs ``apart`` places from each other, and whether both texts have one."""
+            made = [np.stack([v[: len(v) - apart], v[apart:]], axis=1) for v in (x, y)]
+            ids = np.unique(np.concatenate(made), axis=0, return_inverse=True)[1].ravel()
+            mine, other = ids[: len(made[0])], ids[len(made[0]) :]
+            return mine, other, bool(np.isin(mine, other).any())
+
+        if not np.isin(*levels[0]).any():
+            return 0
+        shorter = min(map(len, levels[0]))
+        while 2 ** len(levels) <= shorter:
+            mine, other, shared = runs(*levels[-1], 2 ** (len(levels) - 1))
+            if not shared:
+                break
+            levels.append((mine, other))
+        size = 2 ** (len(levels) - 1)
+        low, high = size, min(2 * size - 1, shorter)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if runs(*levels[-1], middle - size)[2] else (low, middle - 1)
+        return low
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [longest(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["pair_id", "words"])
+
+    cut = pairs.select("pair_id", tokens(F.col("a")).alias("a"), tokens(F.col("b")).alias("b"))
+    return cut.mapInArrow(each, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, words long")
 
 
 def align_spans(spans: DataFrame, words: DataFrame) -> DataFrame:

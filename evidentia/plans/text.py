@@ -295,12 +295,12 @@ def t30(t: Tables):
     return X.extract_marked(c, {"Decision": "decision", "Constraint": "constraint"})
 
 
-@query("t32_verbatim_overlap", """WITH p AS (SELECT d.doc_id AS pair_id, regexp_extract_all(lower(d.text), '[A-Za-z0-9]+') AS a, regexp_extract_all(lower(e.text), '[A-Za-z0-9]+') AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.doc_id % 10 = 0 AND length(d.text) < 4000 AND length(e.text) < 4000),
+@query("t32_verbatim_overlap", """WITH p AS (SELECT d.doc_id AS pair_id, regexp_extract_all(lower(d.text), '[A-Za-z0-9]+') AS a, regexp_extract_all(lower(e.text), '[A-Za-z0-9]+') AS b FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1),
  h AS (SELECT x.pair_id, x.i, x.i - y.j AS d FROM (SELECT pair_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM p) x JOIN (SELECT pair_id, unnest(b) AS w, generate_subscripts(b, 1) AS j FROM p) y ON x.pair_id = y.pair_id AND x.w = y.w),
  g AS (SELECT pair_id, d, i - row_number() OVER (PARTITION BY pair_id, d ORDER BY i) AS g FROM h), r AS (SELECT pair_id, max(n) AS n FROM (SELECT pair_id, d, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL) SELECT p.pair_id, coalesce(n, 0) AS words FROM p LEFT JOIN r USING (pair_id)""")
 def t32(t: Tables):
-    d = t("documents").where("length(text) < 4000")
-    pairs = d.where("doc_id % 10 = 0").selectExpr("doc_id pair_id", "text a").join(d.selectExpr("doc_id - 1 pair_id", "text b"), "pair_id")
+    d = t("documents")
+    pairs = d.selectExpr("doc_id pair_id", "text a").join(d.selectExpr("doc_id - 1 pair_id", "text b"), "pair_id")
     return X.verbatim_overlap(pairs)
 
 

@@ -141,6 +141,21 @@ def test_relations_against_brute_force(spark):
     assert sorted(map(tuple, text.exclude_relations(found, docs).collect()), key=key) == sorted(reasons, key=key)
 
 
+def test_verbatim_overlap_against_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("a b c the".split()) for _ in range(draw.randrange(0, 60))) for _ in range(40)]
+    pairs = [(i, texts[i], texts[(i * 7 + 3) % 40]) for i in range(40)] + [(50, texts[0] + " x y", "z " + texts[0] + " w"), (51, texts[1], texts[1]), (52, None, "a"), (53, "", ""), (54, "A", "a!")]
+
+    def run(a, b):
+        a, b = (re.findall(r"[a-z0-9]+", (t or "").lower()) for t in (a, b))
+        seen = lambda t, k: {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+        return max([k for k in range(1, min(len(a), len(b)) + 1) if seen(a, k) & seen(b, k)], default=0)
+
+    assert rows(text.verbatim_overlap(spark.createDataFrame(pairs, "pair_id long, a string, b string"))) == [(i, run(a, b)) for i, a, b in pairs]
+
+
 def test_terms_of_any_length_within_their_scope(spark):
     docs = spark.createDataFrame([(1, "Net Sale Price of Goods is net sale price, of-goods"), (2, "goods"), (3, None)], "doc_id long, text string")
     terms = spark.createDataFrame([(1, "net sale price of goods"), (2, "Goods"), (3, "sale price")], "term_id long, surface string")
