@@ -65,6 +65,55 @@ def close_dependencies(selected: DataFrame, edges: DataFrame, available: DataFra
     return out.groupBy("origin", "id", "outcome").agg(F.min("level").alias("level"))
 
 
+def fit_dependencies(selected: DataFrame, edges: DataFrame, available: DataFrame, budget: int, depth: int = 2) -> DataFrame:
+    """(request_id, a, id, outcome): dependencies of a request's selected ids, as far as they fit what its ``budget`` has left.
+
+    ``selected (request_id, id)`` and ``available (id, size, mandatory)``; ids in order, each followed down to ``depth`` before
+    the next.  An added one takes its size from the budget, a mandatory one always; one that is refused (``budget``) isn't
+    followed; one already there is followed without a row.  The walk starts at the ids that no other selected one depends
+    on, or at all.  Others are ``unavailable``, ``depth-cap`` (not looked behind) or ``dependency-cycle``.
+    """
+    known = available.select(F.col("id").alias("b"), F.col("size").cast("long").alias("size"), F.coalesce("mandatory", F.lit(False)).alias("mandatory")).dropDuplicates(["b"])
+    links = edges.select("a", "b").distinct()
+    own = selected.select("request_id", "id").distinct()
+    below = own.withColumnRenamed("id", "a").join(links, "a").select("request_id", F.col("b").alias("id"))
+    free = own.join(below.hint("merge"), ["request_id", "id"], "left_anti")
+    roots = free.unionByName(own.join(free.select("request_id").distinct().hint("merge"), "request_id", "left_anti"))
+    none = F.array().cast("array<long>")
+    chosen = own.join(known, F.col("id") == F.col("b"), "left").select("request_id", none.alias("path"), "id", "size", "mandatory", F.lit(0).alias("level"), F.lit(True).alias("there"), F.lit(False).alias("cycle"))
+    frontier, out = roots.select("request_id", F.col("id").alias("a"), F.array(F.col("id").cast("long")).alias("path")), chosen
+    for level in range(1, depth + 2):
+        step = frontier.join(links, "a").join(known.hint("merge"), "b", "left").withColumn("cycle", F.array_contains("path", F.col("b"))).withColumn("path", F.concat("path", F.array(F.col("b").cast("long"))))
+        found = step.withColumns({"id": F.col("b"), "level": F.lit(level), "there": F.col("size").isNotNull()})
+        out = out.unionByName(found.select(*chosen.columns))
+        frontier = found.where("there and not cycle").select("request_id", F.col("b").alias("a"), "path")
+
+    def fresh() -> dict:
+        return {"ids": set(), "used": 0, "shut": None}
+
+    def step_(state: dict, r: dict) -> tuple:
+        path, id_, size, outcome = r["path"], r["id"], r["size"] or 0, None
+        shut = state["shut"]
+        if r["level"] == 0:
+            state["ids"].add(id_)
+            state["used"] += size
+        elif shut is not None and path[: len(shut)] == shut:
+            pass  # below one that was refused
+        elif r["cycle"]:
+            outcome = "dependency-cycle"
+        elif id_ not in state["ids"]:
+            outcome = "depth-cap" if r["level"] > depth else "unavailable" if not r["there"] else "added"
+            if outcome == "added" and state["used"] + size > budget and not r["mandatory"]:
+                outcome, state["shut"] = "budget", path
+            if outcome == "added":
+                state["ids"].add(id_)
+                state["used"] += size
+        return path[-2] if len(path) > 1 else None, id_, outcome
+
+    done = fold(out.withColumn("id", F.col("id").cast("long")), "request_id", ["path", "id"], fresh, step_, "a long, id long, outcome string")
+    return done.where("outcome is not null").distinct()
+
+
 def coverage_rows(references: DataFrame) -> DataFrame:
     """One mandatory row for every unresolved reference ``(request_id, identifier, status)``."""
     return references.where("status <> 'resolved'").select("request_id", F.concat_ws(" ", F.lit("not covered:"), F.col("identifier")).alias("text"), F.lit(True).alias("mandatory")).distinct()

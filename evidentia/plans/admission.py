@@ -47,8 +47,19 @@ _DEPS = "ed AS (SELECT DISTINCT p_partkey AS a, (p_partkey * 7 + 3) % 2000 + 1 A
  u AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) SELECT origin, b AS id, CASE WHEN list_contains(path, b) THEN 'dependency-cycle' WHEN level > 2 THEN 'depth-cap' WHEN b NOT IN (SELECT id FROM av) THEN 'unavailable' ELSE 'added' END AS outcome, min(level) AS level FROM u GROUP BY ALL""")
 def a4(t: Tables):
     p = t("part")
-    edges = p.where("p_partkey % 3 <> 0").selectExpr("p_partkey a", "(p_partkey * 7 + 3) % 2000 + 1 b").union(p.where("p_partkey % 4 = 0").selectExpr("p_partkey", "(p_partkey * 5 + 1) % 2000 + 1")).union(p.where("p_partkey % 40 = 0").selectExpr("p_partkey", "p_partkey")).distinct()
-    return A.close_dependencies(p.selectExpr("p_partkey id"), edges, p.where("p_partkey % 11 <> 0").selectExpr("p_partkey id"))
+    return A.close_dependencies(p.selectExpr("p_partkey id"), dependencies(t), p.where("p_partkey % 11 <> 0").selectExpr("p_partkey id"))
+
+
+def dependencies(t: Tables):
+    p = t("part")
+    return p.where("p_partkey % 3 <> 0").selectExpr("p_partkey a", "(p_partkey * 7 + 3) % 2000 + 1 b").union(p.where("p_partkey % 4 = 0").selectExpr("p_partkey", "(p_partkey * 5 + 1) % 2000 + 1")).union(p.where("p_partkey % 40 = 0").selectExpr("p_partkey", "p_partkey")).distinct()
+
+
+@query("a4_fit_dependencies")
+def a4b(t: Tables):
+    p = t("part")
+    selected = p.where("p_partkey % 3 = 0").selectExpr("p_partkey div 60 request_id", "p_partkey id")
+    return A.fit_dependencies(selected, dependencies(t), p.where("p_partkey % 11 <> 0").selectExpr("p_partkey id", "p_size size", "p_partkey % 17 = 0 mandatory"), 700)
 
 
 @query("a5_coverage_rows", "SELECT DISTINCT o_custkey AS request_id, 'not covered: ' || o_orderpriority AS text, true AS mandatory FROM orders WHERE o_orderstatus <> 'F'")

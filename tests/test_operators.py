@@ -64,6 +64,49 @@ def test_greedy_choices_have_no_page(spark):
     assert rows(joins.greedy_match(pairs)) == sorted(want)
 
 
+def test_dependencies_within_a_budget(spark):
+    """Against a recursive walk, on random graphs with cycles, missing and mandatory ids."""
+    import random
+
+    draw = random.Random(5)
+    edges = sorted({(draw.randrange(40), draw.randrange(44)) for _ in range(90)} | {(2, 30), (30, 2)})
+    sizes = {i: (draw.randrange(1, 9), i % 7 == 0) for i in range(40) if i % 9}
+    selected = sorted({(r, draw.randrange(40)) for r in range(6) for _ in range(3)}) + [(9, 2)]
+    want = set()
+    for request in {r for r, _ in selected}:
+        mine = {i for r, i in selected if r == request}
+        used = sum(sizes.get(i, (0, 0))[0] for i in mine)
+        roots = sorted(mine - {b for a, b in edges if a in mine}) or sorted(mine)
+
+        def walk(path):
+            nonlocal used
+            for b in [b for a, b in edges if a == path[-1]]:
+                if b in path:
+                    want.add((request, path[-1], b, "dependency-cycle"))
+                elif b not in mine:
+                    if len(path) > 2 or b not in sizes:
+                        want.add((request, path[-1], b, "depth-cap" if len(path) > 2 else "unavailable"))
+                        continue
+                    size, mandatory = sizes[b]
+                    if used + size > 25 and not mandatory:
+                        want.add((request, path[-1], b, "budget"))
+                        continue
+                    want.add((request, path[-1], b, "added"))
+                    mine.add(b)
+                    used += size
+                    if len(path) <= 2:
+                        walk([*path, b])
+                elif b in sizes and len(path) <= 2:
+                    walk([*path, b])
+
+        for root in roots:
+            walk([root])
+    got = admission.fit_dependencies(
+        spark.createDataFrame(selected, "request_id long, id long"), spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(i, *v) for i, v in sizes.items()], "id long, size long, mandatory boolean"), 25)
+    assert rows(got) == sorted(want)
+    assert {r[3] for r in want} == {"added", "budget", "depth-cap", "unavailable", "dependency-cycle"}
+
+
 def test_fixpoint_reaches_the_end(spark):
     """Long chains, a cycle longer than the former cap with a tail into it, a self link and a node without a successor."""
     edges = [(i, i + 1) for i in range(45)] + [(100 + i, 100 + (i + 1) % 20) for i in range(20)] + [(150, 151), (151, 103), (200, 200)]
