@@ -69,9 +69,9 @@ def test_dependencies_within_a_budget(spark):
     import random
 
     draw = random.Random(5)
-    edges = sorted({(draw.randrange(40), draw.randrange(44)) for _ in range(90)} | {(2, 30), (30, 2)})
-    sizes = {i: (draw.randrange(1, 9), i % 7 == 0) for i in range(40) if i % 9}
-    selected = sorted({(r, draw.randrange(40)) for r in range(6) for _ in range(3)}) + [(9, 2)]
+    edges = sorted({(draw.randrange(40), draw.randrange(44)) for _ in range(90)} | {(50, 51), (51, 50)})
+    sizes = {i: (draw.randrange(1, 9), i % 7 == 0) for i in (*range(40), 50, 51) if i % 9}
+    selected = sorted({(r, draw.randrange(40)) for r in range(6) for _ in range(3)}) + [(9, 50)]
     want = set()
     for request in {r for r, _ in selected}:
         mine = {i for r, i in selected if r == request}
