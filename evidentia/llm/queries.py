@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import decontamination, jaccard_join
 from .curve_search import op3_curve_search
+from .decontamination import op12_decontamination
 from .fingerprints import op5_fingerprints
 from .jaccard_join import op1_ngram_jaccard_join
 from .language_id import op8_language_id
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op12_decontamination": op12_decontamination,
 }
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard_join.SQL}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard_join.SQL, "op12_decontamination": decontamination.SQL}
