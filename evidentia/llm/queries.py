@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join
+from . import decontamination, jaccard_join, prefix_trie
 from .curve_search import op3_curve_search
 from .decontamination import op12_decontamination
 from .fingerprints import op5_fingerprints
@@ -13,6 +13,7 @@ from .language_id import op8_language_id
 from .license_scan import op4_license_scan
 from .packing import op2_best_fit_packing
 from .pieces import op7_sentencepiece
+from .prefix_trie import op13_prefix_trie
 from .sharding import op9_sharding
 from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op10_toxicity
@@ -29,6 +30,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op12_decontamination": op12_decontamination,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard_join.SQL, "op12_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": jaccard_join.SQL,
+    "op12_decontamination": decontamination.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
+}
