@@ -16,6 +16,7 @@ from .pieces import op7_sentencepiece
 from .prefix_trie import op13_prefix_trie
 from .sharding import op9_sharding
 from .suffix_dedup import op6_suffix_dedup
+from .token_alignment import op11_token_alignment
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
     "op12_decontamination": op12_decontamination,
     "op13_prefix_trie": op13_prefix_trie,
 }
