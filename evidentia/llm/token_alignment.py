@@ -304,11 +304,12 @@ def overlaps(docs: DataFrame, json_path: str, model_path: str) -> DataFrame:
                 start, last = start if doc == last else (0, 0, 0), doc
                 part = Batch([stretch], len_a, len_b)
                 a, b = part.overlaps()
-                side_a, side_b = part.a.iloc[a], part.b.iloc[b]
+                of = lambda df, at: {c: df[c].to_numpy()[at] for c in ("id", "start", "end")}
+                side_a, side_b = of(part.a, a), of(part.b, b)
                 group = part.a["start"].to_numpy()[(np.cumsum(part.size_a) - part.size_a)[part.group_a[a]]]
                 n = len(a)
-                begin, end = np.maximum(side_a["start"], side_b["start"]).to_numpy(), np.minimum(side_a["end"], side_b["end"]).to_numpy()
-                values = {"a_token": a + start[0], "b_token": b + start[1], "a_id": side_a["id"].to_numpy(), "b_id": side_b["id"].to_numpy(), "start": begin + start[2], "end": end + start[2], "group_start": group + start[2]}
+                begin, end = np.maximum(side_a["start"], side_b["start"]), np.minimum(side_a["end"], side_b["end"])
+                values = {"a_token": a + start[0], "b_token": b + start[1], "a_id": side_a["id"], "b_id": side_b["id"], "start": begin + start[2], "end": end + start[2], "group_start": group + start[2]}
                 yield table({"row": (np.full(n, base + doc), pa.int64()), "doc_id": (pa.repeat(ids[doc], n), None), **{k: (v, pa.int64()) for k, v in values.items()}})
                 start = (start[0] + len(part.a), start[1] + len(part.b), start[2] + int(part.a["end"].iloc[-1]))
             base += batch.num_rows
