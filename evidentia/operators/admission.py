@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clamp, first_reason, sha, slice_text, squash, top
-from .fold import fold
+from ..functions import clamp, first_reason, settled, sha, slice_text, squash, top
+from .fold import fold, skip_ahead
 
 #: weights of the score's components
 WEIGHTS = {"semantic": 0.25, "structural": 0.30, "sequence": 0.15, "authority": 0.20, "recency": 0.10, "stale": -0.45, "conflict": -0.40, "redundant": -0.20}
 SECTIONS = ("authority", "constraints", "decisions", "evidence", "history")
 
+# Sections in packet order with their headers, budgets in tokens, and what a packet's frame and marks take.
+HEADERS = {
+    "objective": "ACTIVE_OBJECTIVE",
+    "concepts": "LOAD_BEARING_CONCEPTS",
+    "constraints": "BINDING_CONSTRAINTS",
+    "decisions": "HELD_DECISIONS",
+    "rejected": "REJECTED_OR_SUPERSEDED - DO NOT REVIVE WITHOUT EXPLICIT RECONSIDERATION",
+    "completed": "COMPLETED_WORK - DO NOT REPROPOSE AS OPEN",
+    "dependencies": "UNRESOLVED_DEPENDENCIES",
+    "evidence": "EVIDENCE_BOUNDARY",
+    "coverage": "DOCUMENT_COVERAGE_LIMITS",
+    "supersession": "SUPERSESSION_NOTES",
+    "anchors": "RETRIEVED_ANCHORS",
+}
+MANDATORY = ("objective", "constraints", "rejected")
+DEFAULT_TOKENS, CEILINGS = 500, {"standard": 1_200, "research": 9_000}
+FRAME, DOCUMENT_FRAME = 650, 400
+STATE_MARK, PROVENANCE_MARK, NO_PROVENANCE = "- [state_id=] ", " - provenance: ", "not supplied"
+
 
 def score_candidates(df: DataFrame) -> DataFrame:
     """Weighted score of components clamped to [0, 1] (not a number counts as 0); an RRF value replaces the first two."""
@@ -35,19 +54,64 @@ def admit(df: DataFrame, tokens: int = 500, cap: int = 1200, page: int | None =
     """
     order = F.coalesce(*[F.when(F.col("section") == s, F.lit(i)) for i, s in enumerate(SECTIONS)], F.lit(len(SECTIONS)))
     placed = df.withColumn("place", order)
-    ranks = [F.desc("mandatory"), "place", F.desc("score"), "id"]
     if page is not None:
-        placed = top(placed, ["request_id"], ranks, page, "nth")
-    budget = 4 * min(tokens, cap)
+        placed = top(placed, ["request_id"], [F.desc("mandatory"), "place", F.desc("score"), "id"], page, "nth")
+    rows = placed.select("request_id", F.col("id").cast("long").alias("id"), "mandatory", "place", "score", "size")
+    return _fit(rows, F.lit(4 * min(tokens, cap)))
 
-    def step(used: list, r: dict) -> tuple:
-        fits = r["size"] is not None and used[0] + r["size"] <= budget
-        if r["mandatory"] or fits:
-            used[0] += r["size"] or 0
-        return r["id"], "mandatory" if r["mandatory"] else "admitted" if fits else "budget"
 
-    rows = placed.select("request_id", F.col("id").cast("long").alias("id"), "mandatory", "place", "score", "size")
-    return fold(rows, "request_id", ranks, lambda: [0], step, "id long, decision string")
+def _fit(rows: DataFrame, room: Column, rooms: DataFrame | None = None) -> DataFrame:
+    """Decisions on ``rows (request_id, id, mandatory, place, score, size)``: mandatory ones are in and take their size from
+    ``room`` first (a column of ``rooms`` by request, if given); the others follow by place, score from above and id."""
+    forced = F.coalesce("mandatory", F.lit(False))
+    sums = rows.where(forced).groupBy("request_id").agg(F.sum("size").alias("taken"))
+    free = rows.where(~forced)
+    for small in (sums, rooms) if rooms is not None else (sums,):  # a row a request
+        free = free.join(settled(small).hint("merge"), "request_id", "left")
+    free = free.select("request_id", "id", "place", F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("down"), F.col("size").cast("long").alias("size"), (room - F.coalesce("taken", F.lit(0))).cast("long").alias("room"))
+    decided = skip_ahead(free, "request_id", ["place", "unscored", "down", "id"], unsized="budget")
+    return rows.where(forced).select("request_id", "id", F.lit("mandatory").alias("decision")).unionByName(decided.select("request_id", "id", F.col("reason").alias("decision")))
+
+
+def request_rooms(requests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(request_id, tokens, room): a request's budget, and the characters that its frame leaves for rendered rows.
+
+    ``requests (request_id, budget_tokens, profile, project, workstream)``; no budget, or 0, means the default, others end at
+    the profile's ceiling.  The frame grows by the boundary of documents where a candidate stems from one.
+    """
+    ceiling = F.coalesce(*[F.when(F.col("profile") == p, F.lit(n)) for p, n in CEILINGS.items()], F.lit(CEILINGS["standard"]))
+    asked = F.coalesce("budget_tokens", F.lit(0))
+    tokens = F.when(asked == 0, DEFAULT_TOKENS).otherwise(F.least(asked, ceiling)).cast("long")
+    documents = candidates.where(_from_document() | (F.col("pool") == "coverage_limit")).select("request_id", F.lit(True).alias("documents")).distinct()
+    frame = FRAME + sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in ("project", "workstream")), F.when(F.col("documents"), DOCUMENT_FRAME).otherwise(0))
+    return requests.join(documents.hint("merge"), "request_id", "left").select("request_id", tokens.alias("tokens"), (4 * tokens - frame).alias("room"))
+
+
+def _from_document() -> Column:
+    return F.coalesce(F.col("pool") == "evidence", F.lit(False)) | F.coalesce(F.col("authority") == "user_supplied_document", F.lit(False))
+
+
+def rendered_cost() -> Column:
+    """Characters that a candidate ``(id, text, section, pool, authority, provenance)`` takes in a packet: its text, id and
+    section's header, the mark before it, and its provenance if it stems from a document."""
+    chars = lambda c: F.length(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    header = F.coalesce(*[F.when(F.col("section") == s, F.lit(len(h))) for s, h in HEADERS.items()], F.lit(0))
+    provenance = F.length(F.coalesce("provenance", F.lit(NO_PROVENANCE))) + len(PROVENANCE_MARK) + 3
+    return (chars("text") + chars("id") + header + len(STATE_MARK) + F.when(_from_document(), provenance).otherwise(0)).cast("long")
+
+
+def admit_rendered(candidates: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, id, decision, cost): candidates within what their request's budget leaves, each counted as it is rendered.
+
+    ``candidates (request_id, id, text, section, score, pool, authority, provenance, binding)``.  Binding ones, coverage limits
+    and the sections of objective, constraints and rejected are in whatever the budget.  Candidates of unknown requests are left out.
+    """
+    forced = F.coalesce("binding", F.lit(False)) | F.coalesce(F.col("pool") == "coverage_limit", F.lit(False)) | F.coalesce(F.col("section").isin(*MANDATORY), F.lit(False))
+    place = F.coalesce(*[F.when(F.col("section") == s, F.lit(i)) for i, s in enumerate(HEADERS)], F.lit(len(HEADERS)))
+    known = candidates.join(requests.select("request_id").distinct().hint("merge"), "request_id", "left_semi")
+    rows = settled(known.select("request_id", "id", forced.alias("mandatory"), place.alias("place"), "score", rendered_cost().alias("size")))
+    decided = _fit(rows, F.col("room"), request_rooms(requests, candidates).select("request_id", "room"))
+    return decided.join(rows.select("request_id", "id", F.col("size").alias("cost")).hint("merge"), ["request_id", "id"])
 
 
 def close_dependencies(selected: DataFrame, edges: DataFrame, available: DataFrame, depth: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import if_small, settled, top
-from .fold import fold
+from .fold import first_free
 
 
 def full_by_id(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -59,19 +59,11 @@ def cross(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(if_small(b))
 
 
-def greedy_match(pairs: DataFrame, case: str = "case_id") -> DataFrame:
+def greedy_match(pairs: DataFrame, case: str = "case_id", **sizes) -> DataFrame:
     """One-to-one matches in order: a pair of ``(case_id, left, right, turn)`` is kept if both sides are known and still free."""
-    def step(taken: tuple, r: dict) -> tuple:
-        lefts, rights = taken
-        free = r["left"] not in lefts and r["right"] not in rights
-        if free:
-            lefts.add(r["left"])
-            rights.add(r["right"])
-        return r["left"], r["right"], r["turn"], free
-
     known = pairs.where("left is not null and right is not null").select(case, *[F.col(c).cast("long").alias(c) for c in ("left", "right", "turn")])
-    decided = fold(known, case, [F.asc_nulls_last("turn"), "left", "right"], lambda: (set(), set()), step, "left long, right long, turn long, free boolean")
-    return decided.where("free").drop("free")
+    late = known.withColumn("late", F.col("turn").isNull())
+    return first_free(late, case, ("left", "right"), ["late", "turn", "left", "right"], **sizes).select(case, "left", "right", "turn")
 
 
 def fixpoint(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:

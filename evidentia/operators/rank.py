@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import RRF_K, W_LEAF, clamp, cosine, dot, if_small, norm, numbered, rrf_term, sha, squash, top, union
-from .fold import fold
+from .fold import skip_ahead
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 16) -> DataFrame:
@@ -170,20 +170,8 @@ def greedy_budget(ranked: DataFrame, max_chars: int, limit: int = 64) -> DataFra
 
     Every row gets a reason; one of unknown size takes nothing.
     """
-    def step(s: list, r: dict) -> tuple:
-        used, n = s
-        if n >= limit:
-            reason = "limit"
-        elif r["size"] is None:
-            reason = "admitted"
-        elif used + r["size"] > max_chars:
-            reason = "budget"
-        else:
-            reason, s[:] = "admitted", [used + r["size"], n + 1]
-        return r["id"], r["rank"], reason
-
-    rows = ranked.select("query_id", F.col("id").cast("long").alias("id"), F.col("rank").cast("int").alias("rank"), "size")
-    return fold(rows, "query_id", ["rank", "id", "size"], lambda: [0, 0], step, "id long, rank int, reason string")
+    rows = ranked.select("query_id", F.col("id").cast("long").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("size").cast("long").alias("size"), F.lit(max_chars).cast("long").alias("room"))
+    return skip_ahead(rows, "query_id", ["rank", "id", "size"], limit=limit).select("query_id", "id", "rank", "reason")
 
 
 def merge_duplicate_units(df: DataFrame) -> DataFrame:

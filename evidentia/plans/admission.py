@@ -39,6 +39,23 @@ def a3(t: Tables):
     return A.admit(A.score_candidates(candidates(t)))
 
 
+_HEADER = "list_extract([16, 21, 19, 14, 71, 41, 23, 17, 24, 18, 17], CAST(doc_id % 11 AS INT) + 1)"
+
+
+@query("a3_admit_rendered", f"""WITH RECURSIVE c AS (SELECT doc_id % 200 AS request_id, 'doc-' || doc_id AS id, (doc_id * 37 % 101) / 100 AS score, doc_id % 11 AS place, doc_id % 40 = 0 OR doc_id % 11 IN (0, 2, 4) AS mandatory,
+  length(coalesce(text, '')) + length('doc-' || doc_id) + {_HEADER} + 14 + CASE WHEN doc_id % 3 = 0 THEN length(coalesce(source, 'not supplied')) + 18 ELSE 0 END AS cost, doc_id % 3 = 0 AS document FROM documents),
+ r AS (SELECT request_id, 4 * CASE WHEN request_id % 25 = 0 THEN 500 ELSE least(request_id % 25 * 400, CASE WHEN request_id % 2 = 0 THEN 9000 ELSE 1200 END) END - 650 - length('project ' || request_id) - 4 - CASE WHEN bool_or(document) THEN 400 ELSE 0 END AS room FROM c GROUP BY request_id),
+ p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY mandatory DESC, place, score DESC, id) AS nth FROM c JOIN r USING (request_id)),
+ f AS (SELECT request_id, '' AS id, 0::BIGINT AS nth, 0::BIGINT AS used, '' AS decision, 0::BIGINT AS cost FROM r
+  UNION ALL SELECT f.request_id, p.id, p.nth, f.used + CASE WHEN p.mandatory OR f.used + p.cost <= room THEN p.cost ELSE 0 END, CASE WHEN p.mandatory THEN 'mandatory' WHEN f.used + p.cost <= room THEN 'admitted' ELSE 'budget' END, p.cost FROM f JOIN p ON p.request_id = f.request_id AND p.nth = f.nth + 1)
+ SELECT request_id, id, decision, cost FROM f WHERE nth > 0""")
+def a3_rendered(t: Tables):
+    names = ", ".join(f"'{s}'" for s in A.HEADERS)
+    c = t("documents").selectExpr("doc_id % 200 request_id", "concat('doc-', doc_id) id", "text", f"array({names})[cast(doc_id % 11 as int)] section", "(doc_id * 37 % 101) / 100 score", "if(doc_id % 3 = 0, 'evidence', 'authoritative_state') pool", "'user' authority", "source provenance", "doc_id % 40 = 0 binding")
+    r = c.select("request_id").distinct().selectExpr("request_id", "request_id % 25 * 400 budget_tokens", "if(request_id % 2 = 0, 'research', 'standard') profile", "concat('project ', request_id) project", "'main' workstream")
+    return A.admit_rendered(c, r)
+
+
 _DEPS = "ed AS (SELECT DISTINCT p_partkey AS a, (p_partkey * 7 + 3) % 2000 + 1 AS b FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey, (p_partkey * 5 + 1) % 2000 + 1 FROM part WHERE p_partkey % 4 = 0 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 40 = 0)"
 
 
