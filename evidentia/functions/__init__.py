@@ -23,9 +23,12 @@ def norm(a) -> Column:
 
 
 def cosine(a, b) -> Column:
-    """Cosine of two arrays rounded to nine digits, so that order does not hang on the order of additions; 0 for a zero vector."""
+    """Cosine of two arrays rounded to nine digits, so that order does not hang on the order of additions.
+
+    0 for a zero vector, one that holds nulls, and vectors of unequal length.
+    """
     size = norm(a) * norm(b)
-    return F.round(F.when(size > 0, dot(a, b) / size).otherwise(0.0), 9)
+    return F.round(F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0)), 9)
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:

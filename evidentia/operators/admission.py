@@ -200,11 +200,22 @@ def mark_admitted(units: DataFrame, trace: DataFrame) -> DataFrame:
 
 
 def match_roles(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """Evidence roles ``(query_id, role, value)`` against ``(source_id, role, value)``: a source must have every role's value."""
-    need = queries.where("value is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    got = queries.where("value is not null").join(sources, ["role", "value"]).groupBy("query_id", "source_id").agg(F.count(F.lit(1)).alias("got"))
-    full = got.join(need, "query_id").where("got = need").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("source_id"))
-    j = queries.select("query_id").distinct().join(full, "query_id", "left")
+    """Evidence roles ``(query_id, role, value)`` against ``(source_id, role, value)``: a source must have every role's value.
+
+    Queries that want the same values are one class, and so are sources that have the same of the wanted ones; classes are
+    matched, not queries and sources, so a value that very many share joins once a pair of classes.
+    """
+    pair = F.struct("role", "value")
+    wants = queries.where("value is not null").groupBy("query_id").agg(F.array_sort(F.collect_set(pair)).alias("wants"))
+    asked = settled(wants.select("wants").distinct().withColumn("asked", F.monotonically_increasing_id()))
+    each = asked.select("asked", F.size("wants").alias("need"), F.inline("wants"))
+    useful = sources.join(each.select("role", "value").distinct().hint("merge"), ["role", "value"], "left_semi")
+    has = useful.groupBy("source_id").agg(F.array_sort(F.collect_set(pair)).alias("has"))
+    kinds = settled(has.groupBy("has").agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("first")).withColumn("kind", F.monotonically_increasing_id()))
+    got = each.join(kinds.select("kind", F.inline("has")).hint("merge"), ["role", "value"]).groupBy("asked", "kind", "need").agg(F.count(F.lit(1)).alias("got"))
+    full = got.where("got = need").join(kinds.select("kind", "n", "first").hint("merge"), "kind").groupBy("asked").agg(F.sum("n").alias("n"), F.min("first").alias("source_id"))
+    answers = asked.join(full.hint("merge"), "asked").select("wants", "n", "source_id")
+    j = queries.select("query_id").distinct().join(wants.join(answers.hint("merge"), "wants"), "query_id", "left")
     return j.select("query_id", F.when(F.col("n").isNull(), "not_supported").when(F.col("n") == 1, "supported").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("source_id")).alias("source_id"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cosine, digest, first_reason, if_small, top, union, uuid_from
+from ..functions import digest, first_reason, if_small, top, union, uuid_from
+from .rank import cosine_topk
 
 
 def rule_hits(responses: DataFrame, rules: DataFrame, least: int = 4) -> DataFrame:
@@ -33,11 +34,16 @@ def interventions(hits: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFr
     return found, found.groupBy("response_id").agg(F.count(F.lit(1)).alias("findings"), F.when(worst == 2, "conflict").otherwise("review").alias("state"))
 
 
-def guardrail_hits(spans: DataFrame, anchors: DataFrame, direct: DataFrame, least: float = 0.98) -> DataFrame:
-    """Best response span of each anchor ``(anchor_id, embedding)`` with a cosine of ``least``; anchors hit directly are left out."""
-    open_ = anchors.join(direct, "anchor_id", "left_anti").select("anchor_id", F.col("embedding").alias("a"))
-    pairs = spans.select("span_id", "embedding").crossJoin(if_small(open_)).select("anchor_id", "span_id", cosine("a", "embedding").alias("score")).where(F.col("score") >= least)
-    return top(pairs, ["anchor_id"], [F.desc("score"), "span_id"], 1).select("anchor_id", "span_id", "score", F.lit("review").alias("state"))
+def guardrail_hits(spans: DataFrame, anchors: DataFrame, direct: DataFrame, least: float = 0.98, own_rows: bool = False) -> DataFrame:
+    """Best response span of each anchor ``(anchor_id, embedding)`` with a cosine of ``least``; anchors hit directly are left out.
+
+    ``own_rows``: anchors are rows of ``spans`` themselves, by id (once each); an anchor's own row is no span of it.
+    """
+    open_ = anchors.join(direct, "anchor_id", "left_anti").select(F.col("anchor_id").alias("query_id"), "embedding")
+    best = cosine_topk(open_, spans.select(F.col("span_id").alias("id"), "embedding"), 2 if own_rows else 1)
+    others = best.where("query_id <> id") if own_rows else best
+    first = top(others.where(F.col("score") >= least).drop("rank"), ["query_id"], [F.desc("score"), "id"], 1)
+    return first.select(F.col("query_id").alias("anchor_id"), F.col("id").alias("span_id"), "score", F.lit("review").alias("state"))
 
 
 def guardrail_anchors(objects: DataFrame) -> DataFrame:

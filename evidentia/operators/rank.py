@@ -2,33 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import RRF_K, W_LEAF, clamp, cosine, dot, if_small, norm, numbered, rrf_term, sha, squash, top, union
+from ..functions import RRF_K, W_LEAF, cosine, if_small, norm, numbered, rrf_term, sha, squash, top, union
+from . import tiles as T
 from .fold import skip_ahead
 
 
+def cosine_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, id, score): cosines of every query and vector in tiles; with ``k``, at least the ``k`` best of each query."""
+    def prepare(asked: pa.Table) -> Callable[[pa.Table], pa.Table]:
+        a = T.matrices(asked.column("embedding"))
+
+        def keep(rows: pa.Table) -> pa.Table:
+            s = T.cosines(a, asked.num_rows, T.matrices(rows.column("embedding")), rows.num_rows)
+            i, j = T.largest(s, k or rows.num_rows, T.numbers(rows.column("id")))
+            return pa.table({**T.taken(asked, i, query_id="query_id"), **T.taken(rows, j, id="id"), "score": s[i, j]})
+
+        return keep
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, score double"
+    return T.tiled(queries.select("query_id", "embedding"), vectors.select("id", "embedding"), prepare, out)
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 16) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top ``k`` of every query, ties by id."""
-    pairs = vectors.select("id", "embedding").crossJoin(if_small(queries.select("query_id", F.col("embedding").alias("asked"))))
-    return top(pairs.select("query_id", "id", cosine("asked", "embedding").alias("score")), ["query_id"], [F.desc("score"), "id"], k)
+    return top(cosine_scores(queries, vectors, k), ["query_id"], [F.desc("score"), "id"], k)
 
 
 def profile_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     """Multi-vector similarity of profiles ``(owner, idx, embedding)``.
 
     best: the best pair; left/right coverage: mean of the row/column maxima; similarity ``.5 best + .25 l + .25 r``,
-    relevance ``.7 l + .3 best``.  Cosines are clamped to [0, 1].
+    relevance ``.7 l + .3 best``.  Cosines are clamped to [0, 1].  A tile gives, for each of its vectors, the largest cosine
+    with each profile of the other side; a profile may lie in several tiles.
     """
-    a = left.select(F.col("owner").alias("left_id"), F.col("idx").alias("i"), F.col("embedding").alias("a"))
-    b = right.select(F.col("owner").alias("right_id"), F.col("idx").alias("j"), F.col("embedding").alias("b"))
-    pairs = b.crossJoin(if_small(a)).select("left_id", "right_id", "i", "j", clamp(cosine("a", "b")).alias("s"))
-    rows = pairs.groupBy("left_id", "right_id", "i").agg(F.max("s").alias("m"))
-    cols = pairs.groupBy("left_id", "right_id", "j").agg(F.max("s").alias("m"))
+    def prepare(mine: pa.Table) -> Callable[[pa.Table], pa.Table]:
+        mine = mine.take(pc.sort_indices(mine, [("owner", "ascending")]))
+        a, heads_a = T.matrices(mine.column("embedding")), _heads(mine)
+
+        def keep(theirs: pa.Table) -> pa.Table:
+            theirs = theirs.take(pc.sort_indices(theirs, [("owner", "ascending")]))
+            s = np.clip(T.cosines(a, mine.num_rows, T.matrices(theirs.column("embedding")), theirs.num_rows), 0, 1)
+            heads_b, parts = _heads(theirs), []
+            if s.size:
+                for by_left, best in ((True, np.maximum.reduceat(s, heads_b, axis=1)), (False, np.maximum.reduceat(s, heads_a, axis=0))):
+                    i, j = (x.ravel() for x in np.indices(best.shape))
+                    i, j = (i, heads_b[j]) if by_left else (heads_a[i], j)
+                    place = T.taken(mine, i, pos="idx") if by_left else T.taken(theirs, j, pos="idx")
+                    parts.append(pa.table({**T.taken(mine, i, left_id="owner"), **T.taken(theirs, j, right_id="owner"), "by_left": np.full(len(i), by_left), "pos": place["pos"].cast(pa.int64()), "m": best.ravel()}))
+            return pa.concat_tables(parts) if parts else pa.table({"left_id": mine.column("owner")[:0], "right_id": theirs.column("owner")[:0], "by_left": pa.array([], pa.bool_()), "pos": pa.array([], pa.int64()), "m": pa.array([], pa.float64())})
+
+        return keep
+
+    kind = lambda df: df.schema["owner"].dataType.simpleString()
+    columns = ["owner", "idx", "embedding"]
+    parts = T.tiled(left.select(columns), right.select(columns), prepare, f"left_id {kind(left)}, right_id {kind(right)}, by_left boolean, pos long, m double")
     key = ["left_id", "right_id"]
-    l, r = rows.groupBy(key).agg(F.avg("m").alias("l"), F.max("m").alias("best")), cols.groupBy(key).agg(F.avg("m").alias("r"))
-    return l.join(r, key).select(*key, "best", F.col("l").alias("left_coverage"), F.col("r").alias("right_coverage"), (0.5 * F.col("best") + 0.25 * F.col("l") + 0.25 * F.col("r")).alias("similarity"), (0.7 * F.col("l") + 0.3 * F.col("best")).alias("relevance"))
+    best = parts.repartition(*key).groupBy(*key, "by_left", "pos").agg(F.max("m").alias("m"))
+    of = lambda test: F.avg(F.when(test, F.col("m")))
+    both = best.groupBy(key).agg(F.max("m").alias("best"), of(F.col("by_left")).alias("l"), of(~F.col("by_left")).alias("r"))
+    return both.select(*key, "best", F.col("l").alias("left_coverage"), F.col("r").alias("right_coverage"), (0.5 * F.col("best") + 0.25 * F.col("l") + 0.25 * F.col("r")).alias("similarity"), (0.7 * F.col("l") + 0.3 * F.col("best")).alias("relevance"))
+
+
+def _heads(rows: pa.Table, by: str = "owner") -> np.ndarray:
+    """Where each value of a sorted column begins."""
+    n = T.numbers(rows.column(by))
+    return np.flatnonzero(np.diff(n, prepend=-1))
 
 
 def centroids(chunks: DataFrame) -> DataFrame:
@@ -131,12 +178,36 @@ def hybrid_rank(scores: DataFrame, bounded: bool = False) -> DataFrame:
     return numbered(final, ["query_id"], [F.desc("score"), "id"])
 
 
-def best_cohort_match(records: DataFrame, cohort: DataFrame) -> DataFrame:
-    """(query_id, id, member, score, rank): each record's best weighted match in a query's cohort ``(query_id, member, weight, embedding)``."""
-    pairs = records.select("id", "embedding").crossJoin(if_small(cohort.select("query_id", "member", "weight", F.col("embedding").alias("asked"))))
-    scored = pairs.select("query_id", "id", "member", (cosine("asked", "embedding") * F.col("weight")).alias("score"))
-    best = top(scored, ["query_id", "id"], [F.desc("score"), "member"], 1).drop("rank")
-    return numbered(best, ["query_id"], [F.desc("score"), "id"])
+def best_cohort_match(records: DataFrame, cohort: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, id, member, score, rank): each record's best weighted match in a query's cohort ``(query_id, member, weight, embedding)``.
+
+    With ``k``, a query's ``k`` best records.
+    """
+    def prepare(members: pa.Table) -> Callable[[pa.Table], pa.Table]:
+        members = members.take(pc.sort_indices(members, [("query_id", "ascending"), ("member", "ascending")]))
+        a, heads = T.matrices(members.column("embedding")), _heads(members, "query_id")
+        weight = members.column("weight").to_numpy().astype(np.float64)
+
+        def keep(rows: pa.Table) -> pa.Table:
+            s = T.cosines(a, members.num_rows, T.matrices(rows.column("embedding")), rows.num_rows) * weight[:, None]
+            first, best = [], []
+            for at, end in zip(heads, np.append(heads[1:], members.num_rows)):
+                first.append(at + np.argmax(s[at:end], axis=0))  # of equal ones the first member
+                best.append(s[first[-1], np.arange(rows.num_rows)])
+            best = np.array(best).reshape(len(heads), rows.num_rows)
+            i, j = T.largest(best, k or rows.num_rows, T.numbers(rows.column("id")))
+            at = np.array(first).reshape(best.shape)[i, j].astype(np.int64)
+            return pa.table({**T.taken(members, at, query_id="query_id"), **T.taken(rows, j, id="id"), **T.taken(members, at, member="member"), "score": best[i, j]})
+
+        return keep
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = f"query_id {kind(cohort, 'query_id')}, id {kind(records, 'id')}, member {kind(cohort, 'member')}, score double"
+    parts = T.tiled(cohort.select("query_id", "member", "weight", "embedding"), records.select("id", "embedding"), prepare, out)
+    # a cohort may lie in several tiles
+    best = top(parts, ["query_id", "id"], [F.desc("score"), "member"], 1).drop("rank")
+    ranked = numbered(best, ["query_id"], [F.desc("score"), "id"])
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def page(df: DataFrame, broad: bool, size: int = 64, batch: int = 128) -> DataFrame:
@@ -241,9 +312,22 @@ def partner_rank(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(pair_id, forward, backward): rank of each one's partner among all other vectors, both ways, by cosine then id."""
     both = union(pairs.select("pair_id", F.lit("forward").alias("way"), F.col("a").alias("query_id"), F.col("b").alias("partner")), pairs.select("pair_id", F.lit("backward").alias("way"), F.col("b").alias("query_id"), F.col("a").alias("partner")))
     asked = both.join(vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("asked")), "query_id").join(vectors.select(F.col("id").alias("partner"), F.col("embedding").alias("wanted")), "partner")
-    ahead = vectors.select("id", "embedding").crossJoin(if_small(asked)).where(F.col("id") != F.col("query_id"))
-    mine, theirs = cosine("asked", "wanted"), cosine("asked", "embedding")
-    counted = ahead.groupBy("pair_id", "way").agg(F.sum(((theirs > mine) | ((theirs == mine) & (F.col("id") < F.col("partner")))).cast("long")).alias("n"))
+    mine = asked.select("pair_id", "way", "query_id", "partner", F.col("asked").alias("embedding"), cosine("asked", "wanted").alias("mine"))
+
+    def prepare(pairs_: pa.Table) -> Callable[[pa.Table], pa.Table]:
+        a = T.matrices(pairs_.column("embedding"))
+        own = pairs_.column("mine").to_numpy()[:, None]
+        query, partner = (pairs_.column(c).to_numpy()[:, None] for c in ("query_id", "partner"))
+
+        def keep(rows: pa.Table) -> pa.Table:
+            ids = rows.column("id").to_numpy()[None, :]
+            s = T.cosines(a, pairs_.num_rows, T.matrices(rows.column("embedding")), rows.num_rows)
+            ahead = ((s > own) | (s == own) & (ids < partner)) & (ids != query) & (ids != partner)
+            return pa.table({"pair_id": pairs_.column("pair_id"), "way": pairs_.column("way"), "n": ahead.sum(axis=1)})
+
+        return keep
+
+    counted = T.tiled(mine, vectors.select(F.col("id").cast("long").alias("id"), "embedding"), prepare, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, way string, n long").groupBy("pair_id", "way").agg(F.sum("n").alias("n"))
     return counted.groupBy("pair_id").agg(F.max(F.when(F.col("way") == "forward", F.col("n") + 1)).alias("forward"), F.max(F.when(F.col("way") == "backward", F.col("n") + 1)).alias("backward"))
 
 

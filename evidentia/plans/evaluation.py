@@ -44,9 +44,7 @@ def e1m(t: Tables):
  SELECT k.query_id, round(count(l.id) FILTER (rank <= 10) / nullif(count(l.id), 0), 9) AS recall_10, round(count(l.id) FILTER (rank <= 100) / nullif(count(l.id), 0), 9) AS recall_100, CAST(min(rank) FILTER (l.id IS NOT NULL) AS INTEGER) AS first_hit, min(score) AS low, max(score) AS high, round(max(score) - min(score), 9) AS spread,
  string_agg(CASE WHEN rank <= 5 THEN CAST(k.id AS VARCHAR) END, ',' ORDER BY rank) AS top_five FROM k LEFT JOIN lab l USING (query_id, id) GROUP BY k.query_id""")
 def e2(t: Tables):
-    from ..functions import cosine
-
-    scores = t.vectors().crossJoin(F.broadcast(t.asked().select("query_id", F.col("embedding").alias("asked")))).select("query_id", "id", cosine("asked", "embedding").alias("score"))
+    scores = R.cosine_scores(t.asked(), t.vectors())
     return E.recall_metrics(scores, arms(t)[2], [10, 100]).withColumns({c: F.round(c, 9) for c in ("recall_10", "recall_100", "spread")})
 
 

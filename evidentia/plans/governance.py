@@ -37,11 +37,11 @@ def r3(t: Tables):
     return G.interventions(G.rule_hits(responses(t), rules(t)), policy)[1]
 
 
-@query("r4_guardrail_hits", f"WITH p AS (SELECT a.vec_id AS anchor_id, v.vec_id AS span_id, {COS.format(a='a.embedding', b='v.embedding')} AS score FROM embeddings a, embeddings v WHERE a.vec_id % 50 = 0 AND a.vec_id % 100 <> 0 AND v.vec_id % 50 <> 0) SELECT anchor_id, span_id, score, 'review' AS state FROM p WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, span_id) = 1")
+@query("r4_guardrail_hits", f"WITH p AS (SELECT a.vec_id AS anchor_id, v.vec_id AS span_id, {COS.format(a='a.embedding', b='v.embedding')} AS score FROM embeddings a, embeddings v WHERE a.vec_id % 50 = 0 AND a.vec_id % 100 <> 0 AND v.vec_id <> a.vec_id) SELECT anchor_id, span_id, score, 'review' AS state FROM p WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, span_id) = 1")
 def r4(t: Tables):
     v = t.vectors()
     anchors = v.where("id % 50 = 0").selectExpr("id anchor_id", "embedding")
-    return G.guardrail_hits(v.where("id % 50 <> 0").selectExpr("id span_id", "embedding"), anchors, anchors.where("anchor_id % 100 = 0").select("anchor_id"), 0.2)
+    return G.guardrail_hits(v.selectExpr("id span_id", "embedding"), anchors, anchors.where("anchor_id % 100 = 0").select("anchor_id"), 0.2, own_rows=True)
 
 
 @query("r5_guardrail_anchors", "SELECT o_orderkey AS id FROM orders WHERE o_orderpriority[1] IN ('1', '2') AND o_orderstatus = 'O' AND o_custkey % 3 <> 0 AND o_custkey % 5 <> 0")

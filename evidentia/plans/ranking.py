@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import cosine, numbered, top, union
+from ..functions import numbered, top, union
 from ..operators import rank as R
 from .registry import ASKED, COS, DENSE, PROFILES, Tables, query
 
@@ -35,7 +35,7 @@ def v3(t: Tables):
 
 @query("v4_rank_channel", f"WITH {ASKED}, {DENSE} SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM dense WHERE score > 0")
 def v4(t: Tables):
-    return R.rank_channel(t.vectors().crossJoin(F.broadcast(t.asked().select("query_id", F.col("embedding").alias("asked")))).select("query_id", "id", cosine("asked", "embedding").alias("score")).where("score > 0"))
+    return R.rank_channel(R.cosine_scores(t.asked(), t.vectors()).where("score > 0"))
 
 
 def dense(t: Tables):
@@ -82,7 +82,7 @@ def v7(t: Tables):
 
 def mixed(t: Tables):
     """Dense scores with lexical, relation and structural channels made from ids, so that every branch has rows."""
-    d = t.vectors().crossJoin(F.broadcast(t.asked().select("query_id", F.col("embedding").alias("asked")))).select("query_id", "id", cosine("asked", "embedding").alias("dense"))
+    d = R.cosine_scores(t.asked(), t.vectors()).withColumnRenamed("score", "dense")
     return d.withColumns({
         "lexical": (F.greatest(F.col("id") * 7 % 13 - 4, F.lit(0)) / 9.0), "relations": (F.col("id") * 3 % 5).cast("int"), "weight": (F.col("id") % 4).cast("double"),
         "structural": F.when(F.col("query_id") % 100 == 0, (F.col("id") * 11 % 17) / 17.0).otherwise(0.25), "relation_question": F.col("query_id") % 150 == 0,
