@@ -20,8 +20,9 @@ Ranks are 64-bit names of byte strings (fingerprints), so that no round needs a
 them.  A window is a repeat if it also starts in a document of smaller id, or earlier in its own; repeats' bytes go.
 
 Defined cases: a null text is empty and keeps the hash of no bytes; texts shorter than ``length`` keep everything; a
-null id comes after all others; rows that repeat an id don't count as earlier for one another; rows equal in id and text
-have equal results; an empty table gives no rows.
+null id comes after all others; rows that repeat an id (or have none) are told apart by a 64-bit hash of their text and its
+length and don't count as earlier for one another; rows equal in id and text have equal results; a very long text is read
+whole by one task, packed; columns other than those named are not read, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def _positions(keyed: DataFrame, length: int, seed: int) -> DataFrame:
                 new = _first_in_row(row, first, second)
                 yield table({"rank1": (first.view(np.int64), pa.int64()), "rank2": (second.view(np.int64), pa.int64()), "doc": (rows.column(0).take(pa.array(row)), None), "tkey": (rows.column(1).take(pa.array(row)), None), "place": (low << 32 | (at - low) << 16 | (high - low) << 1 | ~new, pa.int64())})
 
-    return keyed.select("doc", "tkey", "text").mapInArrow(run, "rank1 long, rank2 long, doc long, tkey int, place long")
+    return keyed.select("doc", "tkey", "text").mapInArrow(run, "rank1 long, rank2 long, doc long, tkey long, place long")
 
 
 def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
@@ -120,7 +121,7 @@ def _quarters(joined: DataFrame, length: int, seed: int) -> DataFrame:
                 name = mix(span_hash(running, (at - first)[some], (at - last + length)[some]) + np.uint64(i))
                 yield table({"name": (name.view(np.int64), pa.int64()), "doc": _repeat(row, "doc", len(name)), "tkey": _repeat(row, "tkey", len(name)), "low": ((at - farthest)[some].astype(np.int32), pa.int32()), "high": ((at - nearest)[some].astype(np.int32), pa.int32())})
 
-    return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey int, low int, high int")
+    return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey long, low int, high int")
 
 
 def _windows(joined: DataFrame, length: int) -> DataFrame:
@@ -134,7 +135,7 @@ def _windows(joined: DataFrame, length: int) -> DataFrame:
             new = _first_in_row(np.zeros(len(start), dtype=np.int64), name)
             yield table({"name": (name.view(np.int64), pa.int64()), "doc": _repeat(row, "doc", len(name)), "tkey": _repeat(row, "tkey", len(name)), "low": (start.astype(np.int32), pa.int32()), "again": (~new, pa.bool_())})
 
-    return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey int, low int, again boolean")
+    return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey long, low int, again boolean")
 
 
 def _pack(keyed: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, passed: list[
     for, kept_text: the remaining bytes as text, without the halves of characters that a cut went through."""
     passed = passed or ["doc_id"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(_doc_order("doc_id").alias("doc"), F.hash(text).alias("tkey"), *[F.col(c).alias(f"passed_{i}") for i, c in enumerate(passed)], text.alias("text"))
+    keyed = docs.select(_doc_order("doc_id").alias("doc"), F.xxhash64(text, F.length(text)).alias("tkey"), *[F.col(c).alias(f"passed_{i}") for i, c in enumerate(passed)], text.alias("text"))
     spans = removed_spans(keyed.select("doc", "tkey", "text"), length, seed)
     listed = spans.groupBy("doc", "tkey").agg(F.collect_list(F.struct("low", "end")).alias("spans"))  # at most a text's own positions
     joined = _pack(keyed).join(listed.hint("merge"), ["doc", "tkey"], "left").drop("doc", "tkey")
@@ -202,8 +203,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, passed: list[
                 data = np.frombuffer(unpress.decompress(packed.as_py()), dtype=np.uint8)
                 cover = np.zeros(len(data) + 1, dtype=np.int64)
                 if spans.is_valid:
-                    np.add.at(cover, spans.values.field("low").to_numpy(), 1)
-                    np.add.at(cover, spans.values.field("end").to_numpy(), -1)
+                    low, end = (spans.values.field(c).to_numpy() for c in ("low", "end"))
+                    own = end <= len(data)
+                    np.add.at(cover, low[own], 1)
+                    np.add.at(cover, end[own], -1)
                 out = np.cumsum(cover)[:-1] > 0
                 rest = data[~out].tobytes()
                 sizes.append(len(data))

@@ -507,3 +507,18 @@ def test_stage_keeps_one_row_of_each_group(spark, corpus):
         assert len(kept) == 1 and next(iter(kept))[0] == min(ids, default=None)
     linked = {table[i][:2] for g in groups for i in g}
     assert {r[:2] for r in table} - linked == set(got) - linked
+
+
+def test_texts_of_one_id_with_equal_short_hashes_are_told_apart(spark):
+    """Two texts of one id, and two without id, whose 32-bit hashes are equal, beside one that repeats a passage of theirs."""
+    from pyspark.sql import functions as F
+
+    passage = "".join(RNG.choice("abcdefgh ") for _ in range(200))
+    drawn = spark.range(400_000).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit(passage), F.col("id"))).otherwise(F.concat(F.lit("w"), F.col("id"))).alias("text")).withColumn("h", F.hash("text"))
+    both = drawn.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.countDistinct(F.length("text") > 100).alias("n")).where("n = 2").orderBy("h").first()
+    assert both
+    rows_ = [(None, both.a), (None, both.b), (7, both.a), (7, both.b), (1, passage)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.kept_text) for r in suffix_dedup.dedup(frame).collect())
+    long, short = sorted((both.a, both.b), key=len, reverse=True)
+    assert got == sorted([(0, len(long), len(long), ""), (0, len(short), 0, short), (7, len(long), 200, long[200:]), (7, len(short), 0, short), (1, 200, 0, passage)])
