@@ -56,8 +56,9 @@ def tiled(left: DataFrame, right: DataFrame, prepare: Prepare, out: str, tile: i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod("_n", F.lit(n)).cast("int")
     rows = left.withColumn("_row", own(n_rows)).drop("_n").withColumn("_column", every(n_columns))
-    columns = right.withColumn("_column", own(n_columns)).drop("_n").withColumn("_row", every(n_rows)).select("_row", "_column", *right.columns[:-1])
-    rows = rows.select("_row", "_column", *left.columns[:-1])
+    columns = right.withColumn("_column", own(n_columns)).drop("_n").withColumn("_row", every(n_rows))
+    # columns under new names of their own: both sides may stem from one table
+    rows, columns = (df.select("_row", "_column", *[F.col(c).alias(c) for c in held]) for df, held in ((rows, left.columns[:-1]), (columns, right.columns[:-1])))
     return rows.groupBy("_row", "_column").cogroup(columns.groupBy("_row", "_column")).applyInArrow(cell, out)
 
 
