@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import byte_chunks, column, mix, prefix_hash, read_table, span_hash, staged, table
 
 LENGTH, SEED = 100, 32
+#: bytes whose hashes fit a core's cache; rows of names that go out at once
+CACHED_BYTES, ROWS_OUT = 1 << 18, 1 << 16
 
 
 def selected(data: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -83,7 +85,7 @@ def _first_in_row(row: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
 
 def _positions(keyed: DataFrame, length: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, bounds in byte_chunks(batches):
+        for rows, data, bounds in byte_chunks(batches, limit=CACHED_BYTES):
             row, low, high, at, first, second = selected(data, bounds, length, seed)
             if len(row):
                 new = _first_in_row(row, first, second)
@@ -101,8 +103,21 @@ def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
             yield row, np.frombuffer(unpress.decompress(column(row, "packed")[0].as_py()), dtype=np.uint8), column(row, "spans")[0].values
 
 
-def _repeat(row: pa.RecordBatch, name: str, n: int) -> tuple[pa.Array, None]:
-    return pa.repeat(column(row, name)[0], n), None
+def _gathered(found: Iterator[tuple[pa.RecordBatch, dict[str, tuple[np.ndarray, pa.DataType]]]]) -> Iterator[pa.RecordBatch]:
+    """Columns found in single texts, with the texts' doc and tkey, in batches of about ``ROWS_OUT`` rows."""
+    held: list[dict[str, tuple[np.ndarray, pa.DataType]]] = []
+    size = 0
+    joined = lambda: table({c: (np.concatenate([h[c][0] for h in held]), held[0][c][1]) for c in held[0]})
+    for row, cols in found:
+        n = len(cols["name"][0])
+        own = {c: (np.full(n, column(row, c)[0].as_py()), pa.int64()) for c in ("doc", "tkey")}
+        held.append({"name": cols.pop("name"), **own, **cols})
+        size += n
+        if size > ROWS_OUT:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
 
 
 def _quarters(joined: DataFrame, length: int, seed: int) -> DataFrame:
@@ -110,16 +125,22 @@ def _quarters(joined: DataFrame, length: int, seed: int) -> DataFrame:
     extra = length - seed
     step = -(-(extra + 1) // 4)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, tuple[np.ndarray, pa.DataType]]]]:
         for row, data, spans in _each_text(batches):
             running = prefix_hash(data)
             low, high, at = (spans.field(c).to_numpy().astype(np.int64) for c in ("low", "high", "at"))
+            names, nears, fars = [], [], []
             for i in range(4):
                 first, last = i * step, min((i + 1) * step - 1, extra)
                 nearest, farthest = np.maximum(at - high, first), np.minimum(at - low, last)
                 some = nearest <= farthest
-                name = mix(span_hash(running, (at - first)[some], (at - last + length)[some]) + np.uint64(i))
-                yield table({"name": (name.view(np.int64), pa.int64()), "doc": _repeat(row, "doc", len(name)), "tkey": _repeat(row, "tkey", len(name)), "low": ((at - farthest)[some].astype(np.int32), pa.int32()), "high": ((at - nearest)[some].astype(np.int32), pa.int32())})
+                names.append(mix(span_hash(running, (at - first)[some], (at - last + length)[some]) + np.uint64(i)))
+                nears.append((at - nearest)[some])
+                fars.append((at - farthest)[some])
+            yield row, {"name": (np.concatenate(names).view(np.int64), pa.int64()), "low": (np.concatenate(fars).astype(np.int32), pa.int32()), "high": (np.concatenate(nears).astype(np.int32), pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(found(batches))
 
     return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey long, low int, high int")
 
@@ -127,13 +148,16 @@ def _quarters(joined: DataFrame, length: int, seed: int) -> DataFrame:
 def _windows(joined: DataFrame, length: int) -> DataFrame:
     """(name, doc, tkey, low, again) of the single windows listed in ``spans`` of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, tuple[np.ndarray, pa.DataType]]]]:
         for row, data, spans in _each_text(batches):
             low, high = spans.field("low").to_numpy(), spans.field("high").to_numpy()
             start = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist())]))
             name = span_hash(prefix_hash(data), start, start + length)
             new = _first_in_row(np.zeros(len(start), dtype=np.int64), name)
-            yield table({"name": (name.view(np.int64), pa.int64()), "doc": _repeat(row, "doc", len(name)), "tkey": _repeat(row, "tkey", len(name)), "low": (start.astype(np.int32), pa.int32()), "again": (~new, pa.bool_())})
+            yield row, {"name": (name.view(np.int64), pa.int64()), "low": (start.astype(np.int32), pa.int32()), "again": (~new, pa.bool_())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(found(batches))
 
     return joined.select("doc", "tkey", "packed", "spans").mapInArrow(run, "name long, doc long, tkey long, low int, again boolean")
 
