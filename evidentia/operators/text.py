@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import digest, first_reason, numbered, sha, slice_text, tokens, top, uuid_from
+from ..functions import digest, first_reason, numbered, settled, sha, slice_text, tokens, top, uuid_from
 from .joins import innermost, interval_join
 
 
@@ -309,10 +309,54 @@ def bind_terms(docs: DataFrame, terms: DataFrame, longest: int | None = None) ->
     return found.select("doc_id", "term_id", "start", "end")
 
 
-def precedence_edges(entries: DataFrame) -> DataFrame:
-    """(doc_id, before, after): adjacent siblings of ``(doc_id, id, parent, start)`` in order."""
-    after = F.lead("id").over(Window.partitionBy("doc_id", "parent").orderBy("start", "id"))
-    return entries.where("parent is not null").select("doc_id", F.col("id").alias("before"), after.alias("after")).where("after is not null")
+# How a clause on precedence is titled, how a list of parts in order is announced, what an item may end in,
+# and what sets a reference before all else
+PRECEDENCE_TITLE = "order of precedence"
+ANNOUNCES_ORDER = r"\bfollowing(?:\s+(?:order|priority))?\s*:\s*$"
+JOINS_ITEMS = r"(?i)[;,]?\s+(?:and|or)\s*$"
+OVERRIDES = r"\b[Nn]otwithstanding[ \t]+(?:clause|Schedule|section)[ \t]+(?:[0-9]{1,3}(?:\.[0-9]{1,3}[A-Z]?)*(?:\([A-Za-z0-9]{1,4}\))*|[A-Z][0-9]{1,3}[A-Z]?)"
+
+
+def precedence_edges(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc_id, kind, source, higher, lower, target, target_outcome, start, end): which part of a document goes before which.
+
+    ``entries (doc_id, id, parent, kind, title, display, valid, start, end)``.  ``precedes``: neighbours among the valid
+    subclauses of an entry that begins in a clause titled ``PRECEDENCE_TITLE`` and whose text in front of the first of them
+    announces an order; higher and lower are the items' names.  ``notwithstanding``: a reference that opens an entry (behind
+    a clause's heading line, or another entry's own number) and sets it before a clause, schedule or section, whose entry is
+    there or not.
+    """
+    squash_ = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    at = F.struct("start", "id")
+    clauses = entries.where((F.col("kind") == "clause") & F.contains(F.lower("title"), F.lit(PRECEDENCE_TITLE))).select("doc_id", F.col("start").alias("c_start"), F.col("end").alias("c_end")).distinct()
+    within = entries.select("doc_id", F.col("id").alias("parent"), F.col("start").alias("p_start")).join(clauses.hint("merge"), "doc_id").where("c_start <= p_start and p_start < c_end").select("doc_id", "parent", "p_start").distinct()
+    items = entries.where("parent is not null and valid and kind = 'subclause'").join(within.hint("merge"), ["doc_id", "parent"])
+    family = Window.partitionBy("doc_id", "parent").orderBy("start", "id")
+    after = lambda c: F.lead(c).over(family)
+    text = docs.select("doc_id", "text")
+    named = items.join(text.hint("merge"), "doc_id").withColumns({
+        "lead": F.when(F.row_number().over(family) == 1, slice_text("text", F.col("p_start").cast("int"), F.col("start").cast("int"))),
+        "body": slice_text("text", F.col("start").cast("int"), F.col("end").cast("int")),
+    }).drop("text", "title")
+    mark = F.instr("body", ")")
+    name = F.regexp_replace(F.regexp_replace(squash_(F.when(mark > 0, F.substr("body", mark + 1)).otherwise(F.col("body"))), JOINS_ITEMS, ""), r"[;,. ]+$", "")
+    announced = F.max(F.lower(squash_("lead")).rlike(ANNOUNCES_ORDER)).over(Window.partitionBy("doc_id", "parent"))
+    listed = named.withColumns({"name": name, "announced": announced}).withColumns({"lower": after("name"), "stop": after("end"), "last": after(at)})
+    none = F.lit(None).cast("string")
+    precedes = listed.where("announced and last is not null").select("doc_id", F.lit("precedes").alias("kind"), F.col("parent").alias("source"), F.col("name").alias("higher"), "lower", none.alias("target"), none.alias("target_outcome"), "start", F.col("stop").alias("end"))
+
+    found = spans(docs, ["doc_id"], F.split("text", OVERRIDES), F.regexp_extract_all("text", F.lit(OVERRIDES), F.lit(0)))
+    around = interval_join(found.select("doc_id", F.col("start").alias("id"), "start", F.col("end").alias("stop"), (F.col("start") + 1).alias("end"), "hit"), entries.select("doc_id", "id", "start", "end", "kind", "display"), ["doc_id"])
+    owner = around.groupBy("doc_id", "start", "stop", "hit").agg(F.max_by(F.struct("b_id", "b_start", "b_end", "b_kind", "b_display"), F.struct("b_start", "b_id")).alias("o")).select("doc_id", "start", "stop", "hit", "o.*")
+    whole = owner.join(text.hint("merge"), "doc_id")
+    heading = F.locate("\n", F.expr("substring(text, int(b_start) + 1, int(b_end - b_start))"))
+    begin = F.when(F.col("b_kind") == "clause", F.col("b_start") + heading).otherwise(F.col("b_start") + F.length(F.coalesce("b_display", F.lit(""))))
+    opens = F.trim(F.regexp_replace(slice_text("text", begin.cast("int"), F.col("start").cast("int")), r"\s+", " ")) == ""
+    raw = F.regexp_extract("hit", r"(\S+)$", 1)
+    target = F.when(F.regexp_extract("hit", r"(?i)^notwithstanding[ \t]+(\S+)", 1) == "Schedule", F.concat(F.lit("Schedule "), raw)).otherwise(raw)
+    known = entries.where("valid").select("doc_id", F.col("identifier").alias("target"), F.lit(True).alias("there")).distinct()
+    overrides = whole.where(opens).select("doc_id", "b_id", "start", "stop", target.alias("target")).join(known.hint("merge"), ["doc_id", "target"], "left")
+    return precedes.unionByName(overrides.select("doc_id", F.lit("notwithstanding").alias("kind"), F.col("b_id").alias("source"), none.alias("higher"), none.alias("lower"), "target", F.when(F.col("there"), "resolved").otherwise("unresolved_absent").alias("target_outcome"), "start", F.col("stop").alias("end")))
 
 
 def chunk_provenance(chunks: DataFrame, spans: DataFrame, bucket: int = 512) -> DataFrame:
@@ -324,15 +368,78 @@ def enclosing_unit(points: DataFrame, entries: DataFrame) -> DataFrame:
     return innermost(points, entries, ["doc_id"])
 
 
-def composite_units(units: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(doc_id, id, governing, depth): climb from each unit ``(doc_id, id, parent, duty)`` to the nearest ancestor with a duty."""
-    up = units.select("doc_id", F.col("id").alias("a"), F.col("parent").alias("p"), F.col("duty").alias("d"))
-    state = units.select("doc_id", "id", F.col("id").alias("at"), F.lit(None).cast("long").alias("governing"), F.lit(0).alias("depth"))
-    for step in range(max_depth):
-        j = state.join(up, (state["doc_id"] == up["doc_id"]) & (state["at"] == up["a"]), "left").select(state["doc_id"], "id", "at", "governing", "depth", "p", "d")
-        found = F.col("governing").isNull() & F.coalesce("d", F.lit(False))
-        state = j.select("doc_id", "id", F.when(F.col("governing").isNull() & ~found, F.col("p")).alias("at"), F.coalesce("governing", F.when(found, F.col("at"))).alias("governing"), F.when(found, step).otherwise(F.col("depth")).alias("depth"))
-    return state.select("doc_id", "id", "governing", "depth")
+# Who has duties, the words that give them, and how far apart they may stand
+DUTY_ACTORS = ("Contractor", "Principal", "parties", "party")
+DUTY_WORDS = ("must", "shall", r"may\s+not", r"will\s+not", r"will\s+(?:also\s+)?be\s+required\s+to", r"(?:is|are)\s+(?:not\s+obliged|required)\s+to")
+DUTY_REACH = 900
+#: characters of an evidence unit that is returned whole; text behind a position that may hold its unit's duty
+UNIT_CHARS, DUTY_AHEAD = 2400, 400
+
+
+def duty_frames(docs: DataFrame, actors: tuple[str, ...] = DUTY_ACTORS, words: tuple[str, ...] = DUTY_WORDS, reach: int = DUTY_REACH) -> DataFrame:
+    """(doc_id, start, end): from each actor (not in the possessive) to the end of the next duty word within ``reach`` characters.
+
+    Whole words in any case, as they stand in the whole text.
+    """
+    found = lambda p: spans(docs, ["doc_id"], F.split("text", p), F.regexp_extract_all("text", F.lit(p), F.lit(0))).select("doc_id", "start", "end")
+    who = found(rf"(?i)\b(?:{'|'.join(actors)})\b(?!['’]s)").withColumn("duty", F.lit(None).cast("struct<start:bigint,end:bigint>"))
+    what = found(rf"(?i)\b(?:{'|'.join(words)})\b").withColumn("duty", F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    ahead = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(1, Window.unboundedFollowing)
+    both = who.unionByName(what).withColumn("next", F.first("duty", ignorenulls=True).over(ahead))
+    return both.where(F.col("duty").isNull() & (F.col("next.start") - F.col("end") <= reach)).select("doc_id", "start", F.col("next.end").alias("end"))
+
+
+def composite_units(points: DataFrame, entries: DataFrame, frames: DataFrame, most: int = UNIT_CHARS, ahead: int = DUTY_AHEAD) -> DataFrame:
+    """(doc_id, point, relation, unit, start, end, chars, oversize, segments): the text that governs each position.
+
+    ``points (doc_id, point, at)``, ``entries (doc_id, id, parent, kind, valid, start, end)``, ``frames (doc_id, start, end)`` from
+    ``duty_frames``.  From the innermost valid clause or subclause around a position, subclauses climb to their parents.  A
+    parent's lead-in is its text in front of its first child.  The climb ends at the first step where
+
+    * there is no clause or subclause above: the entry reached is the unit,
+    * the parent's lead-in holds a duty: the parent is the unit if it has at most ``most`` characters, else the lead-ins on
+      the way and the innermost entry, as ``segments``,
+    * the entry reached holds a duty up to ``ahead`` characters behind the position: again lead-ins and innermost entry, or
+      the entry reached if there are none.
+
+    Segments are in order, two characters apart; positions in no entry give no row.  Steps are gathered by doubling: each round
+    joins every entry's steps so far with those of the entry they lead to, so a nesting of depth d takes log d rounds.
+    """
+    e = entries.select("doc_id", "id", "parent", "kind", F.coalesce("valid", F.lit(True)).alias("valid"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    first = e.where("parent is not null").groupBy("doc_id", F.col("parent").alias("id")).agg(F.min("start").alias("child"))
+    # the first frame that begins at or behind an entry's start ends first, as later actors have no earlier duty
+    frame = frames.select("doc_id", F.lit(None).cast(e.schema["id"].dataType).alias("id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("duty"), F.lit(1).alias("late"))
+    both = e.select("doc_id", "id", "start", F.lit(None).cast("long").alias("duty"), F.lit(0).alias("late")).unionByName(frame)
+    duty = F.first("duty", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("start", "late").rowsBetween(0, Window.unboundedFollowing))
+    timed = both.withColumn("duty", duty).where("late = 0").select("doc_id", "id", "duty")
+    own = settled(e.join(first.hint("merge"), ["doc_id", "id"], "left").join(timed.hint("merge"), ["doc_id", "id"]).withColumn("lead_end", F.coalesce("child", "end")))
+
+    up = own.where(F.col("kind").isin("clause", "subclause")).select("doc_id", F.col("id").alias("parent"), F.struct("id", "start", "end", "lead_end", "duty").alias("p"))
+    climbs = own.join(up.hint("merge"), ["doc_id", "parent"], "left").withColumn("p", F.when(F.col("kind") == "subclause", F.col("p")))
+    has_lead = F.col("p").isNotNull() & (F.col("p.start") < F.col("p.lead_end")) & (F.col("p.lead_end") <= F.col("start"))
+    lead_duty = has_lead & F.coalesce(F.col("p.duty") <= F.col("p.lead_end"), F.lit(False))
+    one = F.struct("id", "start", "end", "duty", F.when(has_lead, F.struct(F.col("p.start").alias("start"), F.col("p.lead_end").alias("end"), F.col("p.id").alias("entry"))).alias("lead"), lead_duty.alias("lead_duty"), F.struct(F.col("p.id").alias("id"), F.col("p.start").alias("start"), F.col("p.end").alias("end")).alias("above"), F.col("p").isNull().alias("top"))
+    state = settled(climbs.select("doc_id", "id", "kind", "valid", "start", "end", F.array(one).alias("steps"), F.when(~lead_duty, F.col("p.id")).alias("to")))
+    while state.where("to is not null").limit(1).count():
+        further = state.select("doc_id", F.col("id").alias("to"), F.col("steps").alias("more"), F.col("to").alias("then"))
+        joined = state.join(further.hint("merge"), ["doc_id", "to"], "left")
+        state = settled(joined.select("doc_id", "id", "kind", "valid", "start", "end", F.when(F.col("more").isNull(), F.col("steps")).otherwise(F.concat("steps", "more")).alias("steps"), F.col("then").alias("to")))
+
+    usable = state.where(F.col("valid") & F.col("kind").isin("clause", "subclause"))
+    inside = innermost(points.select("doc_id", F.col("point").alias("id"), F.col("at").cast("long").alias("at")), usable.select("doc_id", "id", "start", "end"), ["doc_id"]).select("doc_id", F.col("id").alias("point"), "at", F.col("b_id").alias("id"))
+    j = inside.join(usable.hint("merge"), ["doc_id", "id"])
+    holds = lambda x: F.coalesce(x["duty"] <= F.least(x["end"], F.col("at") + ahead), F.lit(False))
+    marked = j.withColumn("stop", F.array_position(F.transform("steps", lambda x: x["top"] | x["lead_duty"] | holds(x)), True).cast("int"))
+    at = marked.withColumn("s", F.element_at("steps", F.col("stop"))).withColumn("leads", F.filter(F.transform(F.slice("steps", F.lit(1), F.col("stop")), lambda x: x["lead"]), lambda x: x.isNotNull()))
+    above = F.col("s.above")
+    kind = F.when(F.col("s.top"), "own").when(F.col("s.lead_duty"), F.when(above["end"] - above["start"] <= most, "parent").otherwise("segments")).when(F.size("leads") > 0, "segments").otherwise("own")
+    segment = lambda start, end, role, entry: F.struct(start.alias("start"), end.alias("end"), F.lit(role).alias("role"), entry.alias("entry"))
+    parts = F.array_sort(F.concat(F.transform("leads", lambda x: segment(x["start"], x["end"], "lead", x["entry"])), F.array(segment(F.col("start"), F.col("end"), "relation", F.col("id")))))
+    segments = F.when(F.col("as") == "own", F.array(segment(F.col("s.start"), F.col("s.end"), "own", F.col("s.id")))).when(F.col("as") == "parent", F.array(segment(above["start"], above["end"], "parent", above["id"]))).otherwise(parts)
+    done = at.withColumn("as", kind).withColumn("segments", segments)
+    chars = F.aggregate("segments", F.lit(-2).cast("long"), lambda n, x: n + 2 + x["end"] - x["start"])
+    pick = lambda whole, field, else_: F.when(F.col("as") == "own", F.col(f"s.{field}")).when(F.col("as") == "parent", above[field]).otherwise(F.col(else_)).alias(whole)
+    return done.select("doc_id", "point", F.col("id").alias("relation"), pick("unit", "id", "id"), pick("start", "start", "start"), pick("end", "end", "end"), chars.alias("chars"), "segments").withColumn("oversize", F.col("chars") > most)
 
 
 def inventory(entries: DataFrame, kinds: list[str]) -> DataFrame:

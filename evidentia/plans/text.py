@@ -144,10 +144,24 @@ def t31(t: Tables):
     return X.best_excerpt(t("documents"), terms(t), 300)
 
 
-@query("t14_precedence_edges", f"""WITH {_LINES}, {_ENTRIES.replace('1 + line % 3', '1 + (line % 4 > 0)::INT')}, {_OUTLINE}, p AS (SELECT doc_id, id AS before, lead(id) OVER (PARTITION BY doc_id, parent ORDER BY start, id) AS after FROM ol WHERE parent IS NOT NULL) SELECT * FROM p WHERE after IS NOT NULL""")
+#: every document gets a clause on precedence and one that overrides another; offsets follow from the lengths of their parts
+_ORDER = ["Order of precedence\nIn any conflict the documents rank in the following order:\n", "(a) Deed ", ";  and\n", "(b) the Schedules,\n", "(c) all\nothers.\n", "Price\n Notwithstanding clause ", " the Price holds.\n"]
+
+
+@query("t14_precedence_edges", """WITH d AS (SELECT doc_id, length(coalesce(text, '')) + 1 AS base, CAST(doc_id AS VARCHAR) AS n, CAST(doc_id % 7 AS VARCHAR) AS c FROM documents),
+ o AS (SELECT doc_id, base, n, c, base + 79 AS a, base + 79 + 9 + length(n) + 7 AS b FROM d), p AS (SELECT *, b + 19 AS c0, b + 35 AS q FROM o)
+ SELECT doc_id, 'precedes' AS kind, 'order' AS source, 'Deed ' || n AS higher, 'the Schedules' AS lower, NULL::VARCHAR AS target, NULL::VARCHAR AS target_outcome, a AS start, c0 AS "end" FROM p
+ UNION ALL SELECT doc_id, 'precedes', 'order', 'the Schedules', 'all others', NULL, NULL, b, q FROM p
+ UNION ALL SELECT doc_id, 'notwithstanding', 'price', NULL, NULL, c, CASE WHEN doc_id % 7 IN (1, 2) THEN 'resolved' ELSE 'unresolved_absent' END, q + 7, q + 30 + length(c) FROM p""")
 def t14(t: Tables):
-    e = entries(t).drop("line_end").withColumn("depth", F.when(F.col("id") % 4 > 0, 2).otherwise(1))
-    return X.precedence_edges(X.close_spans(e))
+    n, c = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    parts = [F.lit(_ORDER[0]), F.concat(F.lit(_ORDER[1]), n, F.lit(_ORDER[2])), F.lit(_ORDER[3]), F.lit(_ORDER[4]), F.concat(F.lit(_ORDER[5]), c, F.lit(_ORDER[6]))]
+    text = F.coalesce("text", F.lit(""))
+    docs = t("documents").select("doc_id", F.concat(text, F.lit("\n"), *parts).alias("text"), (F.length(text) + 1).alias("base"))
+    starts = [sum((F.length(x) for x in parts[:i]), F.col("base")) for i in range(6)]
+    entry = lambda id_, parent, kind, title, identifier, start, end: F.struct(F.lit(id_).alias("id"), F.lit(parent).cast("string").alias("parent"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), F.lit(identifier).alias("identifier"), F.lit(f"({id_})").alias("display"), F.lit(True).alias("valid"), start.cast("long").alias("start"), end.cast("long").alias("end"))
+    rows = F.array(entry("order", None, "clause", "Order of Precedence", "1", starts[0], starts[4]), *[entry(x, "order", "subclause", "", f"1({x})", starts[i + 1], starts[i + 2]) for i, x in enumerate("abc")], entry("price", None, "clause", "Price", "2", starts[4], starts[5]))
+    return X.precedence_edges(docs, docs.select("doc_id", F.inline(rows)))
 
 
 @query("t15_chunk_provenance", f"""WITH {_LINES}, {_CHUNKS}, s AS (SELECT doc_id, line AS id, start, "end", CASE line % 3 WHEN 0 THEN 'reference' WHEN 1 THEN 'edge' ELSE 'clause' END AS kind FROM lines WHERE "end" > start)
@@ -163,11 +177,24 @@ def t16(t: Tables):
     return X.enclosing_unit(chunks(t).selectExpr("doc_id", "idx id", "start at"), units.select("doc_id", "id", "start", "end")).selectExpr("doc_id", "id", "b_id unit")
 
 
-@query("t17_composite_units", f"""WITH RECURSIVE {_LINES}, {_ENTRIES}, {_OUTLINE}, w AS (SELECT doc_id, id, id AS at_id, 0 AS depth FROM ol UNION ALL SELECT w.doc_id, w.id, ol.parent, w.depth + 1 FROM w JOIN ol ON ol.doc_id = w.doc_id AND ol.id = w.at_id WHERE w.at_id % 4 <> 0 AND ol.parent IS NOT NULL AND w.depth < 5),
- g AS (SELECT doc_id, id, at_id, depth FROM w WHERE at_id % 4 = 0) SELECT o.doc_id, o.id, g.at_id AS governing, coalesce(g.depth, 0) AS depth FROM ol o LEFT JOIN g USING (doc_id, id)""")
+#: outline entries of depth 1 are clauses; every fourth line holds a duty; every line is a position
+@query("t17_composite_units", f"""WITH RECURSIVE {_LINES}, {_ENTRIES}, {_OUTLINE}, fr AS (SELECT doc_id, start, "end" AS stop FROM lines WHERE line % 4 = 0),
+ ch AS (SELECT doc_id, parent AS id, min(start) AS child FROM ol WHERE parent IS NOT NULL GROUP BY ALL),
+ k AS (SELECT ol.doc_id, ol.id, ol.parent, ol.start, ol."end", depth = 1 AS clause, ol.id % 11 <> 0 AS valid, coalesce(child, ol."end") AS lead_end, (SELECT arg_min(stop, fr.start) FROM fr WHERE fr.doc_id = ol.doc_id AND fr.start >= ol.start) AS duty FROM ol LEFT JOIN ch ON ch.doc_id = ol.doc_id AND ch.id = ol.id),
+ x AS (SELECT k.*, p.id AS pid, p.start AS ps, p."end" AS pe, p.lead_end AS pl, coalesce(p.start < p.lead_end AND p.lead_end <= k.start, false) AS has_lead, coalesce(p.start < p.lead_end AND p.lead_end <= k.start AND p.duty <= p.lead_end, false) AS lead_duty FROM k LEFT JOIN k p ON p.doc_id = k.doc_id AND p.id = k.parent AND NOT k.clause),
+ inn AS (SELECT l.doc_id, l.line AS point, l.start AS at_, k.id FROM lines l JOIN k ON k.doc_id = l.doc_id AND k.valid AND k.start <= l.start AND l.start < k."end" QUALIFY row_number() OVER (PARTITION BY l.doc_id, l.line ORDER BY k."end" - k.start, k.start, k.id) = 1),
+ w AS (SELECT doc_id, point, at_, id AS rel, id AS cur, []::STRUCT(s BIGINT, e BIGINT, r VARCHAR, i INTEGER)[] AS leads FROM inn
+  UNION ALL SELECT w.doc_id, point, at_, rel, x.pid, CASE WHEN has_lead THEN list_append(leads, {{'s': ps, 'e': pl, 'r': 'lead', 'i': pid}}) ELSE leads END FROM w JOIN x ON x.doc_id = w.doc_id AND x.id = cur WHERE pid IS NOT NULL AND NOT lead_duty AND NOT coalesce(duty <= least("end", at_ + 400), false)),
+ f AS (SELECT w.doc_id, point, rel, x.*, CASE WHEN has_lead THEN list_append(leads, {{'s': ps, 'e': pl, 'r': 'lead', 'i': pid}}) ELSE leads END AS ls FROM w JOIN x ON x.doc_id = w.doc_id AND x.id = cur WHERE pid IS NULL OR lead_duty OR coalesce(duty <= least("end", at_ + 400), false)),
+ g AS (SELECT f.doc_id, f.point, f.rel, CASE WHEN pid IS NULL THEN 'own' WHEN lead_duty THEN CASE WHEN pe - ps <= 2400 THEN 'parent' ELSE 'segments' END WHEN len(ls) > 0 THEN 'segments' ELSE 'own' END AS as_, f.id, f.start, f."end", pid, ps, pe, ls, r.start AS rs, r."end" AS re FROM f JOIN k r ON r.doc_id = f.doc_id AND r.id = f.rel),
+ s AS (SELECT *, CASE as_ WHEN 'own' THEN [{{'s': start, 'e': "end", 'r': 'own', 'i': id}}] WHEN 'parent' THEN [{{'s': ps, 'e': pe, 'r': 'parent', 'i': pid}}] ELSE list_sort(list_append(ls, {{'s': rs, 'e': re, 'r': 'relation', 'i': rel}})) END AS seg FROM g)
+ SELECT doc_id, point, rel AS relation, CASE as_ WHEN 'own' THEN id WHEN 'parent' THEN pid ELSE rel END AS unit, CASE as_ WHEN 'own' THEN start WHEN 'parent' THEN ps ELSE rs END AS start, CASE as_ WHEN 'own' THEN "end" WHEN 'parent' THEN pe ELSE re END AS "end",
+  CAST(list_sum(list_transform(seg, lambda q: q.e - q.s)) + 2 * len(seg) - 2 AS BIGINT) AS chars, array_to_string(list_transform(seg, lambda q: q.s || '-' || q.e || ' ' || q.r || ' ' || q.i), ';') AS segments, list_sum(list_transform(seg, lambda q: q.e - q.s)) + 2 * len(seg) - 2 > 2400 AS oversize FROM s""")
 def t17(t: Tables):
-    units = X.close_spans(entries(t).drop("line_end"))
-    return X.composite_units(units.withColumn("duty", F.col("id") % 4 == 0)).withColumn("governing", F.col("governing").cast("int"))
+    lines = X.lines(t("documents"))
+    outline = X.close_spans(entries(t).drop("line_end")).selectExpr("doc_id", "id", "parent", "if(depth = 1, 'clause', 'subclause') kind", "id % 11 <> 0 valid", "start", "end")
+    out = X.composite_units(lines.selectExpr("doc_id", "line point", "start at"), outline, lines.where("line % 4 = 0").select("doc_id", "start", "end"))
+    return out.withColumn("segments", F.array_join(F.transform("segments", lambda s: F.concat_ws(" ", F.concat_ws("-", s["start"], s["end"]), s["role"], s["entry"])), ";"))
 
 
 @query("t18_inventory", f"WITH {_LINES} SELECT doc_id, count(*) AS entries, CAST(sum((line % 3 = 0)::INT) AS BIGINT) AS a, CAST(sum((line % 3 = 1)::INT) AS BIGINT) AS b, CAST(sum((body = '')::INT) AS BIGINT) AS malformed FROM lines GROUP BY doc_id")
