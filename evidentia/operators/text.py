@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import digest, first_reason, numbered, settled, sha, slice_text, tokens, top, uuid_from
+from . import dictionary
 from .joins import innermost, interval_join
 
 
@@ -287,26 +288,12 @@ def word_table(docs: DataFrame, pattern: str = r"[A-Za-z0-9]+") -> DataFrame:
     return numbered(placed, ["doc_id"], ["i"], "n").select("doc_id", "n", "start", (F.col("start") + F.length("part")).alias("end"), F.lower("part").alias("word"))
 
 
-def bind_terms(docs: DataFrame, terms: DataFrame, longest: int | None = None) -> DataFrame:
+def bind_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term_id, start, end): whole-word occurrences of a dictionary ``(term_id, surface)``, whatever the case.
 
-    Runs of words are joined with the dictionary on their text, so the dictionary may be of any size; a small one is
-    broadcast.  ``longest``, the words of the longest term, is counted if absent.  A dictionary with ``(doc_id, scope_start,
-    scope_end)`` binds within these spans only.
+    A dictionary with ``(doc_id, scope_start, scope_end)`` binds within these spans only.
     """
-    known = terms.withColumn("surface", F.array_join(tokens(F.col("surface")), " "))
-    if longest is None:
-        longest = known.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
-    w = word_table(docs)
-    order = Window.partitionBy("doc_id").orderBy("n")
-    ahead = lambda c, k: F.lead(c, k).over(order) if k else F.col(c)
-    runs = F.filter(F.array(*[F.struct(ahead("end", k).alias("end"), F.concat_ws(" ", *[ahead("word", i) for i in range(k + 1)]).alias("surface")) for k in range(longest)]), lambda r: r["end"].isNotNull())
-    grams = w.select("doc_id", "start", runs.alias("runs")).select("doc_id", "start", F.explode("runs").alias("r")).select("doc_id", "start", "r.*")
-    small = known.limit(20_001).count() <= 20_000
-    found = grams.join(known.hint("broadcast" if small else "merge"), ["surface", *(["doc_id"] if "scope_start" in terms.columns else [])])
-    if "scope_start" in terms.columns:
-        found = found.where("scope_start <= start and end <= scope_end")
-    return found.select("doc_id", "term_id", "start", "end")
+    return (dictionary.bind_scoped if "scope_start" in terms.columns else dictionary.bind)(docs, terms)
 
 
 # How a clause on precedence is titled, how a list of parts in order is announced, what an item may end in,
@@ -584,9 +571,9 @@ def quantities(fields: DataFrame, units: DataFrame) -> DataFrame:
     return every.select("id", F.when(one, F.col("amount")).alias("amount"), F.when(one, F.col("base")).alias("base"), F.when(F.coalesce("n", F.lit(0)) == 0, "none").when(F.col("n") > 1, "several").otherwise("ok").alias("reason"))
 
 
-def link_entities(docs: DataFrame, registry: DataFrame, longest: int = 3) -> DataFrame:
+def link_entities(docs: DataFrame, registry: DataFrame) -> DataFrame:
     """Whole-word labels of a registry ``(identity, surface)``: linked, ambiguous (two identities), or overlapped by a longer one."""
-    found = bind_terms(docs, registry.withColumnRenamed("identity", "term_id"), longest)
+    found = settled(bind_terms(docs, registry.withColumnRenamed("identity", "term_id")))
     spans = found.groupBy("doc_id", "start", "end").agg(F.countDistinct("term_id").alias("n"), F.min("term_id").alias("identity")).withColumn("id", F.col("start"))
     over = interval_join(spans, spans.select("doc_id", "start", "end"), ["doc_id"]).where(((F.col("b_end") - F.col("b_start")) > (F.col("end") - F.col("start")))).select("doc_id", "start", "end", F.lit(True).alias("covered")).distinct()
     j = spans.join(over, ["doc_id", "start", "end"], "left")
@@ -603,7 +590,7 @@ def extract_marked(turns: DataFrame, markers: dict[str, str]) -> DataFrame:
 
 def best_excerpt(chunks: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """Window of ``limit`` characters per document with most distinct terms ``(term_id, surface)``, then hits, then the earliest."""
-    hits = bind_terms(chunks, terms, 1)
+    hits = settled(bind_terms(chunks, terms))
     starts = hits.select("doc_id", F.col("start").alias("w")).distinct().withColumns({"id": F.col("w"), "start": F.col("w"), "end": F.col("w") + limit})
     inside = interval_join(starts, hits, ["doc_id"], 1024).where(F.col("b_end") <= F.col("end"))
     n = inside.where(F.col("b_start") >= F.col("start")).groupBy("doc_id", "w").agg(F.countDistinct("b_term_id").alias("terms"), F.count(F.lit(1)).alias("hits"))

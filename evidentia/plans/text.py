@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import tokens
 from ..operators import text as X
 from .registry import Tables, query
 
@@ -116,16 +117,24 @@ _BOUND = """bd AS (SELECT doc_id, term_id, start, "end" FROM wd JOIN tm ON surfa
 def terms(t: Tables):
     from pyspark.sql import Window
 
-    w = X.word_table(t("documents"))
-    two = w.select(F.concat_ws(" ", "word", F.lead("word").over(Window.partitionBy("doc_id").orderBy("n"))).alias("surface")).where(F.contains("surface", F.lit(" ")))
-    n = w.where("length(word) > 2").select(F.col("word").alias("surface")).unionByName(two).groupBy("surface").agg(F.count(F.lit(1)).alias("c"))
-    first = n.orderBy(F.desc("c"), "surface").limit(120)
+    w = t("documents").select(tokens(F.col("text")).alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    every = w.where("size(w) > 0").select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) > 2), pairs)).alias("surface"))
+    first = every.groupBy("surface").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "surface").limit(120)
     return first.withColumn("term_id", F.row_number().over(Window.orderBy(F.desc("c"), "surface")).cast("long")).where("term_id >= 20").select("term_id", "surface")
 
 
 @query("t13_bind_terms", f"WITH {_WORDS}, {_TERMS}, {_BOUND} SELECT doc_id, term_id, start, \"end\" FROM bd")
 def t13(t: Tables):
-    return X.bind_terms(t("documents"), terms(t), 2)
+    return X.bind_terms(t("documents"), terms(t))
+
+
+@query("t13_bind_scoped", f"WITH {_WORDS}, {_TERMS}, {_BOUND} SELECT doc_id, term_id, start, \"end\" FROM bd WHERE (term_id + doc_id) % 3 = 0 AND start >= doc_id % 90 AND \"end\" <= 100 * term_id")
+def t13_scoped(t: Tables):
+    """Every document defines a third of the terms, each for a span of its own."""
+    d = t("documents")
+    own = d.select("doc_id").join(F.broadcast(terms(t)), (F.col("term_id") + F.col("doc_id")) % 3 == 0)
+    return X.bind_terms(d, own.selectExpr("doc_id", "term_id", "surface", "doc_id % 90 scope_start", "100 * term_id scope_end"))
 
 
 @query("t29_link_entities", f"""WITH {_WORDS}, {_TERMS}, tm2 AS (SELECT surface, term_id % 60 AS term_id FROM tm UNION ALL SELECT surface, 1000 FROM tm WHERE term_id % 9 = 0), {_BOUND.replace('JOIN tm ON', 'JOIN tm2 AS tm ON')},
@@ -135,7 +144,7 @@ def t13(t: Tables):
 def t29(t: Tables):
     r = terms(t)
     registry = r.selectExpr("term_id % 60 identity", "surface").unionByName(r.where("term_id % 9 = 0").selectExpr("1000L identity", "surface"))
-    return X.link_entities(t("documents"), registry, 2)
+    return X.link_entities(t("documents"), registry)
 
 
 @query("t31_best_excerpt", f"""WITH {_WORDS}, {_TERMS}, h AS (SELECT doc_id, term_id, start, "end" FROM wd JOIN tm ON surface = word), n AS (SELECT a.doc_id, a.start AS w, count(DISTINCT b.term_id) AS terms, count(*) AS hits FROM (SELECT DISTINCT doc_id, start FROM h) a JOIN h b ON a.doc_id = b.doc_id AND b.start >= a.start AND b."end" <= a.start + 300 GROUP BY ALL)
@@ -263,7 +272,7 @@ _REL = """rl AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_
 
 
 def relations(t: Tables):
-    from ..functions import numbered
+    from ..functions import tokens, numbered
 
     return numbered(t("lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "id").selectExpr("l_orderkey doc_id", "cast(id as bigint) id", "l_returnflag relation", "cast(l_partkey % 4 as double) weight", "l_partkey % 20 start", "l_partkey % 20 + 2 + l_suppkey % 30 end", "l_suppkey % 3 = 0 gate")
 
