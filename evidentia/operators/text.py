@@ -242,13 +242,15 @@ def resolve_references(docs: DataFrame, entries: DataFrame) -> DataFrame:
 DEFINITION_DELIMITER = r"\s+(?i:means|has the meaning(?: given)?(?: to that term)?(?: given)?(?: in| under| set out| assigned)?|includes|is the process)\b"
 
 
-def definitions(docs: DataFrame, entries: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc_id, term, start, end, body_start, body_end, clause, scope): terms that blank-line blocks define.
-
-    A term is the first usable one of the last three lines before the block's first delimiter: 1 to 160 characters, a capital
-    first, no full stop or colon.  It counts if the innermost of ``entries (doc_id, id, start, end, title)`` around it has
-    "definition" in its title and begins in the same of ``parts (doc_id, scope, start, end)``.  The body runs from the
-    delimiter to the clause's next definition, the clause's end or the scope's end, whichever is first, without white space.
+def definitions(docs: DataFrame, entries: DataFrame, parts: DataFrame, unusable: str = r"[.;:]") -> DataFrame:
+    """(doc_id, term, start, end, body_start, body_end, clause, scope, repeated): terms that blank-line blocks define.
+
+    A term is what stands between the beginning of one of the last three lines in front of the block's first delimiter and
+    the delimiter, white space as one blank; of usable ones the one that begins first: 1 to 160 characters, a capital first,
+    nothing ``unusable``.  It counts if the innermost of ``entries (doc_id, id, start, end, title)`` around it has "definition"
+    in its title and begins in the same of ``parts (doc_id, scope, start, end)``.  The body runs from the delimiter to the
+    clause's next definition, the clause's end or the scope's end, whichever is first, without white space.  ``repeated``: the
+    scope defines the same term again, which makes both invalid.
     """
     gap = r"\n[ \t]*\n"
     text = F.concat(F.lit("\n\n"), "text")  # so that the first block follows a gap too
@@ -256,9 +258,10 @@ def definitions(docs: DataFrame, entries: DataFrame, parts: DataFrame) -> DataFr
     split = blocks.withColumn("head", F.regexp_extract("body", rf"(?s)^(.*?){DEFINITION_DELIMITER}", 1)).where(F.col("body").rlike(rf"(?s)^.*?{DEFINITION_DELIMITER}"))
     last = split.withColumn("lines", F.slice(F.reverse(F.split("head", "\n")), 1, 3))
     reach = lambda i: F.aggregate(F.slice("lines", 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + i
-    lines_ = F.transform("lines", lambda x, i: F.struct(F.length("head") - reach(i) + F.length(x) - F.length(F.regexp_replace(x, r"^\s+", "")), F.regexp_replace(x, r"^\s+|\s+$", "")))
+    from_line = lambda i: F.right("head", reach(i))
+    begun = F.transform("lines", lambda x, i: F.struct(F.length("head") - F.length(F.regexp_replace(from_line(i), r"^\s+", "")), F.regexp_replace(from_line(i), r"^\s+|\s+$", "")))
     tidy = lambda x: F.regexp_replace(x, r"\s+", " ")
-    usable = F.filter(lines_, lambda x: F.length(tidy(x["col2"])).between(1, 160) & x["col2"].rlike(r"^\p{Lu}") & ~x["col2"].rlike(r"[.;:]|ME_"))
+    usable = F.filter(begun, lambda x: F.length(tidy(x["col2"])).between(1, 160) & x["col2"].rlike(r"^\p{Lu}") & ~x["col2"].rlike(unusable))
     terms = last.withColumn("t", F.array_min(usable)).where("t is not null").select(
         "doc_id", tidy(F.col("t.col2")).alias("term"), (F.col("block") + F.col("t.col1")).alias("start"), (F.col("block") + F.col("t.col1") + F.length("t.col2")).alias("end"), (F.col("block") + F.length("head")).alias("body_start"))
 
@@ -268,8 +271,9 @@ def definitions(docs: DataFrame, entries: DataFrame, parts: DataFrame) -> DataFr
     kept = terms.join(around.hint("merge"), ["doc_id", "start"]).join(inside.hint("merge"), ["doc_id", "start"]).where("clause_start >= scope_start")
     stop = F.least(F.lead("start").over(Window.partitionBy("doc_id", "clause").orderBy("start")), "clause_end", "scope_end")
     body = slice_text("text", F.col("body_start").cast("int"), F.col("stop").cast("int"))
-    ended = kept.withColumn("stop", stop).join(docs.select("doc_id", "text").hint("merge"), "doc_id")
-    return ended.select("doc_id", "term", "start", "end", "body_start", (F.col("stop") - F.length(F.regexp_extract(body, r"\s*$", 0))).alias("body_end"), "clause", "scope")
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "scope", "term")) > 1
+    ended = kept.withColumns({"stop": stop, "repeated": repeated}).join(docs.select("doc_id", "text").hint("merge"), "doc_id")
+    return ended.select("doc_id", "term", "start", "end", "body_start", (F.col("stop") - F.length(F.regexp_extract(body, r"\s*$", 0))).alias("body_end"), "clause", "scope", "repeated")
 
 
 def scopes(doc_lines: DataFrame, opens: Column) -> DataFrame:
@@ -460,7 +464,7 @@ RELATION_RULES = [
     ("noncommencement_until", 1.00, r"\b(?:must|may|shall|will)\s+not\s+commence\b.{0,220}?\b(?:until|unless)\b"),
     ("before_commencing", 1.00, r"\bbefore\s+(?:commencing|starting|undertaking)\b.{0,220}"),
     ("prior_to_commencing", 0.98, r"\bprior\s+to\s+(?:the\s+)?(?:commencement|start|performance|commencing|starting|undertaking|performing)\b.{0,220}"),
-    ("access_withheld_until", 0.97, r"\bnot\s+obliged\s+to\s+give\b.{0,140}?\baccess\b.{0,100}?\buntil\s+(?:the\s+)?(?:SCAW\s+)?Contractor\s+has\b.{0,220}"),
+    ("access_withheld_until", 0.97, r"\bnot\s+obliged\s+to\s+give\b.{0,140}?\baccess\b.{0,100}?\buntil\s+(?:the\s+)?Contractor\s+has\b.{0,220}"),
     ("deadline_prerequisite", 0.94, r"\bon\s+or\s+before\b.{0,100}?\b(?:deadline|commencement|start)\b.{0,220}"),
     ("in_force_before_work", 0.94, r"\b(?:in\s+force|completed|satisfied|approved)\b.{0,100}?\bbefore\b.{0,100}?\b(?:work|activities|construction|access|commenc\w*)\b.{0,180}"),
     ("condition_precedent_to_start", 0.92, r"\bcondition\s+precedent\s+to\s+(?:the\s+)?(?:commenc\w*|access|(?:[^.;]{0,80}\s)?obligations?|activities|work)\b.{0,220}"),
@@ -590,7 +594,7 @@ def extract_marked(turns: DataFrame, markers: dict[str, str]) -> DataFrame:
 
 def best_excerpt(chunks: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """Window of ``limit`` characters per document with most distinct terms ``(term_id, surface)``, then hits, then the earliest."""
-    hits = settled(bind_terms(chunks, terms))
+    hits = settled(bind_terms(chunks, terms.where(F.size(tokens(F.col("surface"))) == 1)))
     starts = hits.select("doc_id", F.col("start").alias("w")).distinct().withColumns({"id": F.col("w"), "start": F.col("w"), "end": F.col("w") + limit})
     inside = interval_join(starts, hits, ["doc_id"], 1024).where(F.col("b_end") <= F.col("end"))
     n = inside.where(F.col("b_start") >= F.col("start")).groupBy("doc_id", "w").agg(F.countDistinct("b_term_id").alias("terms"), F.count(F.lit(1)).alias("hits"))

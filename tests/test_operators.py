@@ -215,7 +215,7 @@ def test_definitions(spark):
     parts = spark.createDataFrame([(1, 0, 0, 200), (2, 0, 0, 5), (2, 1, 5, 13)], "doc_id long, scope long, start long, end long")
     got = sorted(map(tuple, text.definitions(docs, entries, parts).collect()))
     assert [(r[1], body[r[2] : r[3]], body[r[4] : r[5]]) for r in got if r[0] == 1] == [("Goods", "Goods", "\nmeans things; and\nmore\n \n(a) x"), ("The Price", "The Price", " includes tax.  \n\nno. term means y")]
-    assert [r for r in got if r[0] != 1] == [(2, "Goods", 0, 5, 5, 5, 1, 0)]
+    assert [r for r in got if r[0] != 1] == [(2, "Goods", 0, 5, 5, 5, 1, 0, False)]
 
 
 def test_cited_clause(spark):
