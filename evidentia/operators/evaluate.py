@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import first_reason, numbered, sha, top, union, wilson
+from ..functions import first_reason, numbered, settled, sha, top, union, wilson
+from .sets import similar_sets
 
 
 def ir_metrics(rankings: DataFrame, labels: DataFrame, ks: list[int]) -> DataFrame:
@@ -231,13 +232,14 @@ def audit_cases(cases: DataFrame) -> DataFrame:
     return cases.groupBy("family", "mode").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("group").alias("groups"), (F.count(F.lit(1)) - F.countDistinct("case_id")).alias("repeated_ids"))
 
 
-def region_comparison(selected: DataFrame) -> DataFrame:
-    """Pairs of queries that share a selected id of ``(query_id, family, id)``: Jaccard of their sets, identical, same family."""
-    size = selected.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("family").alias("family"))
-    a, b = selected.select(F.col("query_id").alias("a"), "id"), selected.select(F.col("query_id").alias("b"), "id")
-    shared = a.join(b, "id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    j = shared.join(size.select(F.col("query_id").alias("a"), F.col("n").alias("na"), F.col("family").alias("fa")), "a").join(size.select(F.col("query_id").alias("b"), F.col("n").alias("nb"), F.col("family").alias("fb")), "b")
-    return j.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), ((F.col("shared") == F.col("na")) & (F.col("na") == F.col("nb"))).alias("identical"), (F.col("fa") == F.col("fb")).alias("same_family"))
+def region_comparison(selected: DataFrame, least: float = 0.02) -> DataFrame:
+    """Pairs of queries of ``(query_id, family, id)`` whose sets of ids have a Jaccard of ``least``: it, identical, same family."""
+    j = similar_sets(*[selected.select(F.col("query_id").alias("id"), F.col("id").alias("element"))] * 2, least, ordered=True)
+    family = settled(selected.groupBy("query_id").agg(F.min("family").alias("family")))
+    of = lambda side, name: family.select(F.col("query_id").alias(side), F.col("family").alias(name)).hint("merge")
+    j = j.withColumnsRenamed({"left_id": "a", "right_id": "b"}).join(of("a", "fa"), "a").join(of("b", "fb"), "b")
+    whole = (F.col("shared") == F.col("left_size")) & (F.col("shared") == F.col("right_size"))
+    return j.select("a", "b", (F.col("shared") / (F.col("left_size") + F.col("right_size") - F.col("shared"))).alias("jaccard"), whole.alias("identical"), (F.col("fa") == F.col("fb")).alias("same_family"))
 
 
 def stage_summary(df: DataFrame) -> DataFrame:

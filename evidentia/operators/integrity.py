@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import digest, dot, first_reason, sha, slice_text, union, uuid_from
+from ..functions import digest, dot, first_reason, settled, sha, slice_text, union, uuid_from
 
 
 def active_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -49,21 +53,88 @@ def check_spans(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return j.select("id", first_reason((F.col("text").isNull(), "no_text"), ((F.col("start") < 0) | (F.col("start") >= F.col("end")) | (F.col("end") > F.length("text")), "bounds"), (slice_text("text", "start", "end") != F.col("quote"), "mismatch"), otherwise="ok").alias("reason"))
 
 
+#: quotes that one task searches in one text at once
+QUOTES_AT_ONCE = 4096
+
+
 def occurrences(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, doc_id, at): every place of a quote in its document."""
-    j = quotes.join(texts.select("doc_id", "text"), "doc_id").where((F.length("quote") > 0) & F.contains("text", F.col("quote")))
-    places = F.filter(F.sequence(F.lit(0), F.length("text") - F.length("quote")), lambda i: F.substring(F.col("text"), i + 1, F.length("quote")) == F.col("quote"))
-    return j.select("id", "doc_id", F.explode(places).alias("at"))
-
-
-def bind_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bind ``(id, doc_id, quote, hint)``: a unique place; else the one nearest the hint if no other is as near; else ambiguous; missing."""
-    at = occurrences(quotes, texts).join(quotes.select("id", "hint"), "id").withColumn("far", F.abs(F.col("at") - F.col("hint")))
-    least = F.min("far").over(Window.partitionBy("id"))
-    seen = at.withColumn("near", F.col("far") == least).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("near"), 1)).alias("nearest"), F.min("at").alias("only"), F.min(F.when(F.col("near"), F.col("at"))).alias("hinted"))
-    j = quotes.select("id").join(seen, "id", "left")
-    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "unique").when(F.col("nearest") == 1, "hinted").otherwise("ambiguous")
-    return j.select("id", status.alias("status"), F.when(F.col("n") == 1, F.col("only")).when(F.col("nearest") == 1, F.col("hinted")).alias("start"))
+    """(id, doc_id, at): every place of a quote ``(id, doc_id, quote)`` in its document, overlapping ones too; empty quotes have none.
+
+    Equal quotes of a document are searched once, all of a document's in one pass a power of two: a rolling hash of the first
+    2^k characters finds the places of all quotes with 2^k to 2^(k+1) - 1 characters, and each is compared in full.
+    """
+    distinct = quotes.where(F.length("quote") > 0).select("doc_id", "quote").distinct()
+    n = distinct.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / QUOTES_AT_ONCE).alias("parts"))
+    dealt = distinct.join(n.hint("merge"), "doc_id").withColumn("part", F.pmod(F.xxhash64("quote"), F.col("parts")))
+    lists = dealt.groupBy("doc_id", "part").agg(F.collect_list("quote").alias("quotes"))
+    joined = lists.join(texts.select("doc_id", "text").where("text is not null").hint("merge"), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, held, text in zip(batch.column("doc_id"), batch.column("quotes"), batch.column("text")):
+                wanted = held.as_py()
+                which, at = places(text.as_py(), wanted)
+                yield pa.RecordBatch.from_arrays([pa.repeat(doc, len(at)), held.values.take(pa.array(which)), pa.array(at)], names=["doc_id", "quote", "at"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = joined.select("doc_id", "quotes", "text").mapInArrow(run, f"doc_id {kind}, quote string, at long")
+    return quotes.select("id", "doc_id", "quote").join(found.hint("merge"), ["doc_id", "quote"]).select("id", "doc_id", "at")
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _rolling(text: str, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` characters, equal for equal runs of any text; ``n`` is a power of two."""
+    run = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    run ^= run >> np.uint64(29)
+    width = 1
+    while width < n:  # two neighbours of half the length
+        run = (run[:-width] * _STEP) ^ (run[width:] + (run[:-width] >> np.uint64(31)))
+        width *= 2
+    return run
+
+
+def places(text: str, quotes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the quote, place) of every occurrence of distinct, non-empty quotes."""
+    which, at = [], []
+    classes: dict[int, list[int]] = {}
+    for i, q in enumerate(quotes):
+        classes.setdefault(len(q).bit_length() - 1, []).append(i)
+    for k, members in classes.items():
+        size = 1 << k
+        if size > len(text):
+            continue
+        run = _rolling(text, size)
+        heads = np.array([_rolling(quotes[i][:size], size)[0] for i in members], dtype=np.uint64)
+        order = np.argsort(heads, kind="stable")
+        heads = heads[order]
+        low, high = np.searchsorted(heads, run, "left"), np.searchsorted(heads, run, "right")
+        for p in np.flatnonzero(high > low).tolist():
+            for m in order[low[p] : high[p]].tolist():
+                if text.startswith(quotes[members[m]], p):
+                    which.append(members[m])
+                    at.append(p)
+    return np.array(which, dtype=np.int64), np.array(at, dtype=np.int64)
+
+
+def bind_quotes(quotes: DataFrame, texts: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Bind ``(id, doc_id, quote, hint)``: a unique place; else the one nearest the hint if no other is as near; else the only
+    one within a span of ``anchors (id, start, end)``; else ambiguous; missing if there is none."""
+    at = settled(occurrences(quotes, texts)).join(quotes.select("id", "hint").hint("merge"), "id").withColumn("far", F.abs(F.col("at") - F.col("hint")))
+    least = at.groupBy("id").agg(F.min("far").alias("least"))
+    seen = at.join(least.hint("merge"), "id").withColumn("near", F.col("far") == F.col("least")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("near"), 1)).alias("nearest"), F.min("at").alias("only"), F.min(F.when(F.col("near"), F.col("at"))).alias("hinted"))
+    j = quotes.select("id").join(seen.hint("merge"), "id", "left")
+    if anchors is None:
+        j = j.withColumns({"inside": F.lit(0), "anchored": F.lit(None).cast("long")})
+    else:
+        sized = quotes.select("id", F.length("quote").alias("size"))
+        spans = at.join(sized.hint("merge"), "id").join(anchors.select("id", "start", "end").distinct().hint("merge"), "id").where("start <= at and at + size <= end")
+        inside = spans.groupBy("id").agg(F.countDistinct("at").alias("inside"), F.min("at").alias("anchored"))
+        j = j.join(inside.hint("merge"), "id", "left")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "unique").when(F.col("nearest") == 1, "hinted").when(F.col("inside") == 1, "anchored").otherwise("ambiguous")
+    place = F.when(F.col("n") == 1, F.col("only")).when(F.col("nearest") == 1, F.col("hinted")).when(F.col("inside") == 1, F.col("anchored"))
+    return j.select("id", status.alias("status"), place.cast("int").alias("start"))
 
 
 def validate_candidates(entities: DataFrame, relations: DataFrame, kinds: list[str], cap: int = 64) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import first_reason, numbered, sha, top, union
+from ..functions import first_reason, numbered, settled, sha, top, union
 
 
 def append_events(log: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -64,17 +64,55 @@ def state_diff(log: DataFrame, a: int, b: int) -> DataFrame:
     return both.withColumn("change", F.when(F.col("old_event").isNull(), "added").when(F.col("new_event").isNull(), "removed").otherwise("changed"))
 
 
-def snapshot(objects: DataFrame) -> DataFrame:
-    """(project_id, objects, digest): order-independent digest of a project's objects, whose rows' digests are sorted first."""
+#: digits of an object id's digest that name its bucket: 16 ** DIGITS buckets a project
+DIGITS = 3
+
+
+def snapshot_buckets(objects: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(project_id, bucket, objects, digest): digests of a project's objects by bucket, in no order of the objects.
+
+    An object's bucket follows from its id alone, so a changed object changes one bucket.  Only a bucket's rows are gathered.
+    """
     row = sha(F.concat_ws("|", F.col("object_id").cast("string"), F.col("event_id").cast("string"), "kind"))
-    return objects.groupBy("project_id").agg(F.count(F.lit(1)).alias("objects"), sha(F.concat_ws(",", F.array_sort(F.collect_list(row)))).alias("digest"))
+    bucket = F.substring(sha(F.col("object_id").cast("string")), 1, digits)
+    return objects.select("project_id", bucket.alias("bucket"), row.alias("row")).groupBy("project_id", "bucket").agg(F.count(F.lit(1)).alias("objects"), sha(F.concat_ws(",", F.array_sort(F.collect_list("row")))).alias("digest"))
+
+
+def snapshot_root(buckets: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(project_id, objects, digest) of bucket digests: a tree of sixteen branches, digit by digit, up to one root a project."""
+    for _ in range(digits):
+        branch = F.concat_ws(":", F.right("bucket", F.lit(1)), "digest")
+        parent = F.substring("bucket", F.lit(1), F.length("bucket") - 1)
+        buckets = buckets.select("project_id", parent.alias("bucket"), "objects", branch.alias("branch")).groupBy("project_id", "bucket").agg(F.sum("objects").alias("objects"), sha(F.concat_ws(",", F.array_sort(F.collect_list("branch")))).alias("digest"))
+    return buckets.select("project_id", "objects", "digest")
+
+
+def snapshot(objects: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(project_id, objects, digest): order-independent digest of a project's objects, from those of its buckets."""
+    return snapshot_root(snapshot_buckets(objects, digits), digits)
 
 
 def verify_snapshot(objects: DataFrame, stored: DataFrame) -> DataFrame:
     """(project_id, status): ok, changed, missing (not stored) or unexpected (stored without objects)."""
     now = snapshot(objects).select("project_id", F.col("digest").alias("now"))
-    both = now.join(stored.select("project_id", "digest"), "project_id", "full")
-    return both.select("project_id", F.when(F.col("now").isNull(), "unexpected").when(F.col("digest").isNull(), "missing").when(F.col("now") == F.col("digest"), "ok").otherwise("changed").alias("status"))
+    return _compared(now, stored.select("project_id", "digest"), ["project_id"])
+
+
+def differing_buckets(objects: DataFrame, stored: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(project_id, bucket, status) of the buckets that differ from those stored by ``snapshot_buckets``.
+
+    Roots are compared first; only projects whose roots differ are looked into.
+    """
+    now = settled(snapshot_buckets(objects, digits))
+    roots = lambda df, name: snapshot_root(df, digits).select("project_id", F.col("digest").alias(name))
+    differ = settled(_compared(roots(now, "now"), roots(stored, "digest"), ["project_id"]).where("status <> 'ok'").select("project_id"))
+    own = lambda df, name: df.join(differ.hint("merge"), "project_id", "left_semi").select("project_id", "bucket", F.col("digest").alias(name))
+    return _compared(own(now, "now"), own(stored, "digest"), ["project_id", "bucket"]).where("status <> 'ok'")
+
+
+def _compared(now: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    both = now.join(stored.hint("merge"), key, "full")
+    return both.select(*key, F.when(F.col("now").isNull(), "unexpected").when(F.col("digest").isNull(), "missing").when(F.col("now") == F.col("digest"), "ok").otherwise("changed").alias("status"))
 
 
 def history(objects: DataFrame, key: str, at: str, id_: str) -> DataFrame:

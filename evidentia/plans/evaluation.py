@@ -267,7 +267,7 @@ def e27(t: Tables):
 
 
 @query("e28_region_comparison", f"""WITH {_ARMS}, s AS (SELECT query_id, query_id % 3 AS family, id FROM ca), n AS (SELECT query_id, count(*) AS n, min(family) AS f FROM s GROUP BY ALL), p AS (SELECT x.query_id AS a, y.query_id AS b, count(*) AS k FROM s x JOIN s y USING (id) WHERE x.query_id < y.query_id GROUP BY ALL)
- SELECT a, b, round(k / (u.n + v.n - k), 9) AS jaccard, k = u.n AND u.n = v.n AS identical, u.f = v.f AS same_family FROM p JOIN n u ON u.query_id = a JOIN n v ON v.query_id = b""")
+ SELECT a, b, round(k / (u.n + v.n - k), 9) AS jaccard, k = u.n AND u.n = v.n AS identical, u.f = v.f AS same_family FROM p JOIN n u ON u.query_id = a JOIN n v ON v.query_id = b WHERE k >= 0.02 * (u.n + v.n - k)""")
 def e28(t: Tables):
     return E.region_comparison(arms(t)[0].select("query_id", (F.col("query_id") % 3).alias("family"), "id")).withColumn("jaccard", F.round("jaccard", 9))
 

@@ -54,15 +54,17 @@ def f7(t: Tables):
     return I.check_spans(spans, t("documents").where("doc_id % 13 <> 0"))
 
 
-_QUOTES = "q AS (SELECT doc_id AS id, doc_id, CASE WHEN doc_id % 10 = 0 OR length(text) < 60 THEN '#@!' ELSE substring(text, CAST(doc_id % 40 + 1 AS BIGINT), 5) END AS quote, doc_id % 300 AS hint, text FROM documents)"
+_QUOTES = "q AS (SELECT doc_id AS id, doc_id, CASE WHEN doc_id % 10 = 0 OR length(text) < 60 THEN '#@!' ELSE substring(text, CAST(doc_id % 40 + 1 AS BIGINT), 5) END AS quote, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 300 END AS hint, text FROM documents)"
 
 
-@query("f8_bind_quotes", f"""WITH {_QUOTES}, o AS (SELECT id, hint, unnest(list_filter(range(0, length(text) - length(quote) + 1), lambda i: substring(text, i + 1, length(quote)) = quote)) AS at FROM q),
- n AS (SELECT *, abs(at - hint) = min(abs(at - hint)) OVER (PARTITION BY id) AS near FROM o), g AS (SELECT id, count(*) AS n, count(*) FILTER (near) AS k, min(at) AS sole, min(at) FILTER (near) AS hinted FROM n GROUP BY id)
- SELECT q.id, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'unique' WHEN k = 1 THEN 'hinted' ELSE 'ambiguous' END AS status, CAST(CASE WHEN n = 1 THEN sole WHEN k = 1 THEN hinted END AS INTEGER) AS start FROM q LEFT JOIN g ON g.id = q.id""".replace(" AS at FROM q", " AS place FROM q").replace("abs(at - hint)", "abs(place - hint)").replace("min(at)", "min(place)"))
+#: the only place within the anchor, a document's first 150 characters, where the hint decides nothing
+@query("f8_bind_quotes", f"""WITH {_QUOTES}, o AS (SELECT id, hint, length(quote) AS size, unnest(list_filter(range(0, length(text) - length(quote) + 1), lambda i: substring(text, i + 1, length(quote)) = quote)) AS place FROM q),
+ n AS (SELECT *, abs(place - hint) = min(abs(place - hint)) OVER (PARTITION BY id) AS near, place + size <= 150 AS inside FROM o), g AS (SELECT id, count(*) AS n, count(*) FILTER (near) AS k, count(*) FILTER (inside) AS a, min(place) AS sole, min(place) FILTER (near) AS hinted, min(place) FILTER (inside) AS anchored FROM n GROUP BY id)
+ SELECT q.id, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'unique' WHEN k = 1 THEN 'hinted' WHEN a = 1 THEN 'anchored' ELSE 'ambiguous' END AS status, CAST(CASE WHEN n = 1 THEN sole WHEN k = 1 THEN hinted WHEN a = 1 THEN anchored END AS INTEGER) AS start FROM q LEFT JOIN g ON g.id = q.id""")
 def f8(t: Tables):
     d = t("documents")
-    return I.bind_quotes(d.selectExpr("doc_id id", "doc_id", "if(doc_id % 10 = 0 or length(text) < 60, '#@!', substring(text, cast(doc_id % 40 + 1 as int), 5)) quote", "doc_id % 300 hint"), d)
+    quotes = d.selectExpr("doc_id id", "doc_id", "if(doc_id % 10 = 0 or length(text) < 60, '#@!', substring(text, cast(doc_id % 40 + 1 as int), 5)) quote", "if(doc_id % 3 = 0, null, doc_id % 300) hint")
+    return I.bind_quotes(quotes, d, d.selectExpr("doc_id id", "0 start", "150 end"))
 
 
 @query("f9_validate_candidates", """WITH e AS (SELECT DISTINCT l_orderkey AS chunk, l_partkey % 10 AS id FROM lineitem WHERE l_linenumber <> 3), e2 AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE chunk % 50 = 0 AND id = 1),

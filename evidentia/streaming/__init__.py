@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,23 +35,56 @@ def latest_turns(turns: DataFrame) -> DataFrame:
     return best.select("conversation", "ordinal", F.col("s.complete").alias("complete"), F.col("s.capture_id").alias("capture_id"))
 
 
-def into_ledger(path: str, late_path: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: appends events whose ``(project_id, key)`` the table lacks, and late ones to their own table."""
+def into_ledger(path: str, late_path: str, delay_seconds: int, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer: appends events whose ``(project_id, key)`` the ledger lacks, and late ones to their own table.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch is an epoch.  Its rows go to ``path/epoch=N``, by bucket of their key, and late ones to ``late_path/epoch=N``; a marker
+    in ``path/_commits`` is written last.  Both folders are overwritten whole, so an epoch that failed midway leaves nothing
+    behind when it is run again, and one that has its marker is not run again.  New rows are compared with committed epochs
+    in their own buckets only.  ``read_ledger`` reads what is committed.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        newest = batch.agg(F.max("ts").alias("newest"))
-        judged = batch.crossJoin(F.broadcast(newest)).withColumn("late", F.col("ts") < F.col("newest") - F.expr(f"interval {delay_seconds} seconds")).drop("newest")
-        judged.where("late").drop("late").write.mode("append").parquet(late_path)
-        new = judged.where("not late").drop("late").dropDuplicates(["project_id", "key"])
-        exists = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
-        if exists:
-            new = new.join(spark.read.schema(new.schema).parquet(path).select("project_id", "key"), ["project_id", "key"], "left_anti")
-        new.write.mode("append").parquet(path)
+        done = committed(spark, path)
+        if epoch in done:
+            return
+        newest = batch.agg(F.max("ts")).first()[0]
+        late = F.coalesce(F.col("ts") < F.lit(newest) - F.expr(f"interval {delay_seconds} seconds"), F.lit(False))
+        batch.where(late).write.mode("overwrite").parquet(f"{late_path}/epoch={epoch}")
+        keyed = batch.where(~late).withColumn("bucket", F.pmod(F.xxhash64("project_id", "key"), F.lit(buckets)).cast("int"))
+        new = keyed.dropDuplicates(["project_id", "key"])
+        if done:
+            held = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most ``buckets``
+            known = read_ledger(spark, path).where(F.col("bucket").isin(held)).select("bucket", "project_id", "key")
+            new = new.join(known.hint("merge"), ["bucket", "project_id", "key"], "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+        fs, at = _file_system(spark, f"{path}/_commits/{epoch}")
+        fs.create(at, True).close()
 
     return write
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Epochs of a ledger whose marker is written."""
+    fs, at = _file_system(spark, f"{path}/_commits")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_ledger(spark: SparkSession, path: str, late_path: str | None = None) -> DataFrame:
+    """Committed rows of a ledger with their bucket, or its committed late rows."""
+    epochs = committed(spark, path)
+    if not epochs:
+        raise ValueError(f"{path} has no committed epoch")
+    base = late_path or path
+    return spark.read.option("basePath", base).option("mergeSchema", "false").parquet(*[f"{base}/epoch={e}" for e in epochs]).drop("epoch")
+
+
 def reassemble(frames: DataFrame, timeout_ms: int = 60_000, max_frames: int = 1024) -> DataFrame:
     """Messages of a stream ``frames(message, seq, total, body)``: emitted once all numbers came; incomplete ones expire.
 

@@ -234,6 +234,11 @@ def test_semantic_hash_ignores_ids(spark):
 def test_snapshot_is_order_independent(spark):
     log = spark.range(200).selectExpr("id % 3 project_id", "id event_id", "id ts", "id % 7 object_id", "'k' kind")
     a = ledger.snapshot(ledger.replay(log))
+    changed = ledger.replay(log.withColumn("kind", F.when((F.col("project_id") == 1) & (F.col("object_id") == 4), "z").otherwise(F.col("kind"))))
+    found = ledger.differing_buckets(changed, ledger.snapshot_buckets(ledger.replay(log))).collect()
+    import hashlib
+
+    assert [tuple(r) for r in found] == [(1, hashlib.sha256(b"4").hexdigest()[:3], "changed")]
     assert rows(a) == rows(ledger.snapshot(ledger.replay(log.repartition(7).orderBy(F.rand(1)))))
 
 
@@ -291,10 +296,40 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_ledger_sink_is_idempotent(spark, tmp_path):
     log = spark.range(60).selectExpr("id % 4 project_id", "cast(id % 20 as string) key", "timestamp_seconds(10000 + id) ts")
-    write = streaming.into_ledger(str(tmp_path / "ledger"), str(tmp_path / "late"), 3600)
-    write(log, 0)
-    write(log, 1)
-    assert spark.read.parquet(str(tmp_path / "ledger")).count() == log.select("project_id", "key").distinct().count()
+    path, late = str(tmp_path / "ledger"), str(tmp_path / "late")
+    write = streaming.into_ledger(path, late, 3600)
+    for epoch in (0, 1, 1):
+        write(log, epoch)
+    assert streaming.committed(spark, path) == [0, 1]
+    assert streaming.read_ledger(spark, path).count() == log.select("project_id", "key").distinct().count()
+
+
+@pytest.mark.parametrize("step", ["late", "new", "marker"])
+def test_ledger_sink_survives_a_batch_that_fails_midway(spark, tmp_path, monkeypatch, step):
+    """Epoch 1 fails while it writes its late rows, its rows or its marker, and is run again: no row twice, none lost."""
+    path, late = str(tmp_path / "ledger"), str(tmp_path / "late")
+    batch = lambda a, b: spark.range(a, b).selectExpr("id % 3 project_id", "cast(id as string) key", "timestamp_seconds(if(id % 10 = 0, 0, 100000 + id)) ts")
+    write = streaming.into_ledger(path, late, 3600, buckets=4)
+    write(batch(0, 50), 0)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        if step == "marker":
+            m.setattr(streaming, "_file_system", lambda s, p, real=streaming._file_system: broken() if p.endswith("/1") else real(s, p))
+        else:
+            udf = F.udf(broken, "string")
+            bad = batch(30, 90).withColumn("key", F.when((F.col("key") == "80" if step == "late" else F.col("key") == "85"), udf("key")).otherwise(F.col("key")))
+        with pytest.raises(Exception, match="lost"):
+            write(batch(30, 90) if step == "marker" else bad, 1)
+    assert streaming.committed(spark, path) == [0] and streaming.read_ledger(spark, path).count() == 45
+    write(batch(30, 90), 1)
+    write(batch(30, 90), 1)
+    write(batch(80, 95), 2)
+    rows_ = [r["key"] for r in streaming.read_ledger(spark, path).collect()]
+    assert sorted(map(int, rows_)) == [i for i in range(95) if i % 10]
+    assert sorted(int(r["key"]) for r in streaming.read_ledger(spark, path, late).collect()) == sorted([*range(0, 50, 10), *range(30, 90, 10), 80, 90])
 
 
 def test_stream_reassembly(spark, tmp_path):
@@ -310,3 +345,41 @@ def test_stream_reassembly(spark, tmp_path):
     finally:
         q.stop()
     assert done == [(1, "ab"), (3, "c")]
+
+
+def test_quotes_of_all_lengths(spark):
+    """Every place of many quotes, against str.find, and the last resort of an anchor."""
+    import random
+
+    from evidentia.operators import integrity
+
+    draw = random.Random(8)
+    texts = [(i, "".join(draw.choice("abé日\n") for _ in range(draw.randrange(0, 400)))) for i in range(6)] + [(7, "aaaa"), (8, None), (9, "")]
+    quotes = []
+    for i in range(400):
+        doc, text = texts[draw.randrange(len(texts))]
+        n = draw.choice([1, 2, 3, 5, 8, 17, 60, 300])
+        at = draw.randrange(max(1, len(text or "")))
+        quotes.append((i, doc, draw.choice([(text or "")[at : at + n], "".join(draw.choice("abé") for _ in range(n))]), draw.choice([None, 5, 50])))
+    quotes += [(900, 7, "aa", None), (901, 7, "", None), (902, 7, None, None), (903, 99, "a", None), (904, 8, "a", None)]
+    df = spark.createDataFrame(quotes, "id long, doc_id long, quote string, hint int").repartition(3)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    body = dict(texts)
+    want = sorted((i, d, p) for i, d, q, _ in quotes if q and body.get(d) for p in range(len(body[d])) if body[d].startswith(q, p))
+    assert sorted(map(tuple, integrity.occurrences(df, docs).select("id", "doc_id", "at").collect())) == want
+    anchors = spark.createDataFrame([(900, 1, 3), (900, 1, 3), (903, 0, 9)], "id long, start long, end long")
+    got = {r["id"]: (r["status"], r["start"]) for r in integrity.bind_quotes(df, docs, anchors).collect()}
+    assert got[900] == ("anchored", 1) and got[901] == got[903] == ("missing", None) and len(got) == len(quotes)
+
+
+def test_a_thousand_quotes_in_a_long_text():
+    import time
+
+    from evidentia.operators import integrity
+
+    text = "".join(f"w{i * 7919 % 10007} " for i in range(160_000))[:1_000_000]
+    quotes = list(dict.fromkeys(text[i * 997 : i * 997 + 20 + i] for i in range(900)))
+    began = time.time()
+    which, at = integrity.places(text, quotes)
+    assert time.time() - began < 20 and {quotes[w] for w in which.tolist()} == set(quotes)
+    assert all(text.startswith(quotes[w], p) for w, p in zip(which.tolist(), at.tolist()))
