@@ -224,11 +224,63 @@ def test_cited_clause(spark):
     assert rows(text.cited_clause(q, e)) == [(1, "2.1", 1, 5, 9)]
 
 
-def test_semantic_hash_ignores_ids(spark):
-    n = spark.createDataFrame([(1, 1, "A"), (1, 2, "b"), (2, 8, "B"), (2, 9, "a"), (3, 1, "A"), (3, 2, "b")], "graph long, id long, label string")
-    e = spark.createDataFrame([(1, 1, 2, "k"), (2, 9, 8, "k"), (3, 2, 1, "k")], "graph long, a long, b long, kind string")
-    h = {r["graph"]: r["hash"] for r in graphs.semantic_hash(n, e).collect()}
-    assert h[1] == h[2] != h[3]
+def meaning(g):
+    """What a graph of plain records says, without its ids."""
+    names, preds, conds, at = dict(g["entities"]), {p[0]: p for p in g["predicates"]}, {c[0]: c for c in g["conditions"]}, {e[0]: i for i, e in enumerate(g["events"])}
+
+    def code(k):
+        if k is None or k in at:
+            return k and ("event", at[k])
+        if k in preds:
+            _, s, comparator, value, unit, negated = preds[k]
+            return names[s], comparator, *((24 * value, "hours") if unit == "days" else (value, unit)), negated
+        return conds[k][1], tuple(sorted(map(repr, map(code, conds[k][2]))))
+
+    return [(e[1], sorted((r, names.get(x)) for r, x in e[2].items()), *map(code, e[3:6])) for e in g["events"]], [(k, at[a], at[b]) for k, a, b in g["links"]]
+
+
+def test_semantic_hash_says_what_a_graph_means(spark):
+    """Equal where meanings are: renamed ids, shuffled arguments; unequal for other order, nesting, numbers, links and roles."""
+    import copy
+    import random
+
+    draw = random.Random(6)
+    base = {
+        "entities": [("x", "Contractor"), ("y", "Principal"), ("z", "Contractor")], "predicates": [("p1", "x", "GE", 5.0, "days", False), ("p2", "y", "LT", 10.5, "AUD", True)],
+        "conditions": [("c1", "all", ["p1", "p2"]), ("c2", "any", ["c1", "e1", "p2"]), ("c3", "not", ["c2"]), ("c4", "all", ["c3", "c1"])],
+        "events": [(f"e{i}", f"act{i % 3}", {"actor": draw.choice("xyz"), "recipient": None}, draw.choice(["c4", "c2", "p1", None]), None, "e1" if i == 4 else None) for i in range(6)],
+        "links": [("before", f"e{i}", f"e{(i + 1) % 6}") for i in range(6)],
+    }
+    graphs_ = [base]
+    renamed = lambda v: f"n{v}" if isinstance(v, str) else [renamed(x) for x in v] if isinstance(v, list) else v
+    other = {"entities": [(renamed(a), b) for a, b in base["entities"]], "predicates": [(renamed(p[0]), renamed(p[1]), *p[2:]) for p in base["predicates"]], "conditions": [(renamed(c[0]), c[1], renamed(c[2][::-1])) for c in base["conditions"]][::-1], "events": [(renamed(e[0]), e[1], {r: renamed(x) for r, x in e[2].items()}, *map(renamed, e[3:])) for e in base["events"]], "links": [(k, renamed(a), renamed(b)) for k, a, b in base["links"]]}
+    graphs_.append(other)
+    changes = [
+        lambda g: g["events"].insert(2, g["events"].pop(3)), lambda g: g["links"].__setitem__(slice(None), [("before", f"e{a}", f"e{b}") for a, b in ((0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3))]),
+        lambda g: g["predicates"].__setitem__(0, ("p1", "x", "GE", 5.25, "days", False)), lambda g: g["predicates"].__setitem__(0, ("p1", "z", "GE", 120.0, "hours", False)), lambda g: g["conditions"].__setitem__(2, ("c3", "not", ["c1"])),
+        lambda g: g["events"].__setitem__(0, (*g["events"][0][:2], {"actor": "y", "recipient": "x"}, *g["events"][0][3:])), lambda g: g["links"].pop(), lambda g: g["entities"].__setitem__(1, ("y", "Owner")),
+    ]
+    for change in changes:
+        g = copy.deepcopy(base)
+        change(g)
+        graphs_.append(g)
+    broken = copy.deepcopy(base)
+    broken["conditions"][0] = ("c1", "all", ["c4"])
+    rows_ = {k: [] for k in ("entities", "predicates", "conditions", "args", "events", "roles", "links")}
+    for n, g in enumerate([*graphs_, broken]):
+        rows_["entities"] += [(n, *e) for e in g["entities"]]
+        rows_["predicates"] += [(n, *p[:3], float(p[3]), *p[4:]) for p in g["predicates"]]
+        rows_["conditions"] += [(n, *c[:2]) for c in g["conditions"]]
+        rows_["args"] += [(n, c[0], a) for c in g["conditions"] for a in c[2]]
+        rows_["events"] += [(n, e[0], i, e[1], "obligation", False, *e[3:], None, None) for i, e in enumerate(g["events"])]
+        rows_["roles"] += [(n, e[0], r, x) for e in g["events"] for r, x in e[2].items()]
+        rows_["links"] += [(n, i, *x) for i, x in enumerate(g["links"])]
+    ddl = {"entities": "id string, name string", "predicates": "id string, subject string, comparator string, value double, unit string, negated boolean", "conditions": "id string, operator string", "args": "id string, arg string", "events": "id string, seq long, action string, modality string, negated boolean, condition string, exception string, complement string, revision string, time string", "roles": "id string, role string, entity string", "links": "seq long, kind string, source string, target string"}
+    frames = {k: spark.createDataFrame(v, "graph long, " + ddl[k]).repartition(3) for k, v in rows_.items()}
+    got = {r["graph"]: r["hash"] for r in graphs.semantic_hash(frames["events"], frames["roles"], frames["entities"], frames["predicates"], frames["conditions"], frames["args"], frames["links"], {"days": ("hours", 24)}).collect()}
+    says = [repr(meaning(g)) for g in graphs_]
+    assert got[len(graphs_)] is None and None not in [got[i] for i in range(len(graphs_))]
+    assert all((got[i] == got[j]) == (says[i] == says[j]) for i in range(len(graphs_)) for j in range(i)) and says[0] == says[1] and len(set(says)) > 7
 
 
 def test_snapshot_is_order_independent(spark):
