@@ -102,8 +102,10 @@ def t33(t: Tables):
     return X.word_table(t("documents"))
 
 
-@query("t33_align_spans", f"""WITH {_WORDS}, sp AS (SELECT doc_id, n AS id, start + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS start, "end" FROM wd WHERE n % 10 = 0)
- SELECT sp.doc_id, sp.id, a.n AS first, b.n AS last, a.n IS NOT NULL AND b.n IS NOT NULL AS aligned FROM sp LEFT JOIN wd a ON a.doc_id = sp.doc_id AND a.start = sp.start LEFT JOIN wd b ON b.doc_id = sp.doc_id AND b."end" = sp."end" """)
+@query("t33_align_spans", f"""WITH {_WORDS}, ws AS MATERIALIZED (SELECT doc_id * 100000000 + start AS k, n FROM wd), we AS MATERIALIZED (SELECT doc_id * 100000000 + "end" AS k, n FROM wd),
+ sp AS MATERIALIZED (SELECT doc_id, n AS id, doc_id * 100000000 + start + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS ks, doc_id * 100000000 + "end" AS ke FROM wd WHERE n % 10 = 0),
+ f AS MATERIALIZED (SELECT sp.*, ws.n AS first FROM sp LEFT JOIN ws ON ws.k = sp.ks)
+ SELECT doc_id, id, first, we.n AS last, first IS NOT NULL AND we.n IS NOT NULL AS aligned FROM f LEFT JOIN we ON we.k = f.ke""")
 def t33a(t: Tables):
     w = X.word_table(t("documents"))
     return X.align_spans(w.where("n % 10 = 0").selectExpr("doc_id", "n id", "start + if(n % 3 = 0, 1, 0) start", "end"), w)
