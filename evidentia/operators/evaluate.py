@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +112,57 @@ def cluster_bootstrap(rows: DataFrame, draws: DataFrame, base: str, other: str)
     per = draws.join(cell, "domain").groupBy("replicate", "family", "arm").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("rate"))
     pair = per.groupBy("replicate", "family").agg(F.max(F.when(F.col("arm") == other, F.col("rate"))).alias("o"), F.max(F.when(F.col("arm") == base, F.col("rate"))).alias("b"))
     rep = pair.groupBy("replicate").agg(F.count(F.col("o") - F.col("b")).alias("families"), F.avg(F.col("o") - F.col("b")).alias("difference"))
+    return _interval(rep, families)
+
+
+def _interval(replicates: DataFrame, families: int) -> DataFrame:
     ok = F.when(F.col("families") == families, F.col("difference"))
-    return rep.agg(F.count(ok).alias("valid"), F.sum((F.col("families") != families).cast("long")).alias("invalid"), F.percentile(ok, F.lit(0.025)).alias("low"), F.percentile(ok, F.lit(0.975)).alias("high"), F.avg(ok).alias("mean"))
+    return replicates.agg(F.count(ok).alias("valid"), F.sum((F.col("families") != families).cast("long")).alias("invalid"), F.percentile(ok, F.lit(0.025)).alias("low"), F.percentile(ok, F.lit(0.975)).alias("high"), F.avg(ok).alias("mean"))
+
+
+#: sums of a domain, family and arm that tasks hold, and weights that a task holds at once
+CELLS, WEIGHTS = 1_000_000, 4_000_000
+
+
+def bootstrap(rows: DataFrame, replicates: int, base: str, other: str) -> DataFrame:
+    """``cluster_bootstrap`` on ``hash_draws`` of the rows' domains, without a table of replicates and draws.
+
+    A task turns a batch of replicates into weight vectors, how often each domain is drawn, and multiplies them with the sums of
+    all domains.  Beyond ``CELLS`` sums the draws are joined instead.
+    """
+    both = rows.where(F.col("arm").isin(base, other)).groupBy("domain", "family").agg(*[F.sum(F.when(F.col("arm") == arm, value)).alias(f"{arm_}{name}") for arm, arm_ in ((base, "b"), (other, "o")) for name, value in (("s", F.col("success").cast("long")), ("n", F.lit(1)))])
+    # domains and families that have rows of other arms alone count too
+    every = rows.select("domain", "family").distinct().join(both.hint("merge"), ["domain", "family"], "left")
+    held = every.orderBy("domain", "family").limit(CELLS + 1).toArrow()
+    if held.num_rows > CELLS:
+        return cluster_bootstrap(rows, hash_draws(rows, replicates), base, other)
+    places = [np.unique(held.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), return_inverse=True) for c in ("domain", "family")]
+    (domains, at), (kinds, family) = places
+    sums = np.zeros((4, len(kinds), len(domains)))
+    for i, c in enumerate(("bs", "bn", "os", "on")):
+        sums[i, family, at] = held.column(c).fill_null(0).to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = shared.value
+        n = sums.shape[2]
+        for batch in batches:
+            step = max(1, WEIGHTS // max(n, 1))
+            for first in range(0, batch.num_rows, step):
+                ids = batch.column(0).slice(first, step)
+                weights = np.zeros((len(ids), n))
+                for row, replicate in enumerate(ids.to_pylist()):
+                    picks = [int(hashlib.md5(f"{replicate}:{draw}".encode()).hexdigest()[:8], 16) % n for draw in range(1, n + 1)]
+                    weights[row] = np.bincount(picks, minlength=n)
+                bs, bn, os, on = (weights @ sums[i].T for i in range(4))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    difference = os / on - bs / bn
+                seen = (on > 0) & (bn > 0)
+                count = seen.sum(axis=1)
+                mean = np.where(seen, difference, 0).sum(axis=1) / np.maximum(count, 1)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(count), pa.array(mean, mask=count == 0)], names=["replicate", "families", "difference"])
+
+    return _interval(rows.sparkSession.range(replicates).mapInArrow(run, "replicate long, families long, difference double"), len(kinds))
 
 
 def hash_draws(domains: DataFrame, replicates: int) -> DataFrame:

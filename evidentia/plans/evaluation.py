@@ -125,7 +125,7 @@ def e10h(t: Tables):
 
 
 @query("e11_cluster_bootstrap", f"""WITH {_SRC}, dom AS (SELECT domain, row_number() OVER (ORDER BY domain) AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT domain FROM src)),
- dr AS (SELECT r AS replicate, CAST('0x' || substring(md5(r || ':' || nth), 1, 8) AS BIGINT) % n + 1 AS pick FROM dom, (SELECT unnest(range(200)) AS r)),
+ dr AS (SELECT r AS replicate, CAST('0x' || substring(md5(r || ':' || nth), 1, 8) AS BIGINT) % n + 1 AS pick FROM dom, (SELECT unnest(range(10000)) AS r)),
  tm AS (SELECT replicate, d.domain, count(*) AS times FROM dr JOIN dom d ON d.nth = pick GROUP BY ALL),
  cell AS (SELECT domain, family, arm, sum(success::INT) AS s, count(*) AS n FROM src GROUP BY ALL),
  per AS (SELECT replicate, family, arm, sum(s * times) / sum(n * times) AS rate FROM tm JOIN cell USING (domain) GROUP BY ALL),
@@ -134,7 +134,7 @@ def e10h(t: Tables):
  SELECT count(*) FILTER (f = nf) AS valid, count(*) FILTER (f <> nf) AS invalid, round(quantile_cont(d, 0.025) FILTER (f = nf), 9) AS low, round(quantile_cont(d, 0.975) FILTER (f = nf), 9) AS high, round(avg(d) FILTER (f = nf), 9) AS mean FROM ok""")
 def e11(t: Tables):
     rows = observations(t)
-    out = E.cluster_bootstrap(rows, E.hash_draws(rows, 200), "A", "R")
+    out = E.bootstrap(rows, 10_000, "A", "R")
     return out.withColumns({c: F.round(c, 9) for c in ("low", "high", "mean")})
 
 

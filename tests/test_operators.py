@@ -435,3 +435,15 @@ def test_a_thousand_quotes_in_a_long_text():
     which, at = integrity.places(text, quotes)
     assert time.time() - began < 20 and {quotes[w] for w in which.tolist()} == set(quotes)
     assert all(text.startswith(quotes[w], p) for w, p in zip(which.tolist(), at.tolist()))
+
+
+def test_bootstrap_by_weights_equals_joined_draws(spark, monkeypatch):
+    from evidentia.operators import evaluate
+
+    df = spark.range(3000).selectExpr("concat('d', id * 7919 % 13) domain", "concat('f', id % 13 % 3, if(id % 13 = 5, 'x', '')) family", "array('A', 'R', 'N')[id % 7 % 3] arm", "id % 11 < 4 success")
+    want = evaluate.cluster_bootstrap(df, evaluate.hash_draws(df, 300), "A", "R").first()
+    monkeypatch.setattr(evaluate, "WEIGHTS", 50)
+    got = evaluate.bootstrap(df, 300, "A", "R").first()
+    assert tuple(got) == pytest.approx(tuple(want)) and got["valid"] and got["invalid"]
+    monkeypatch.setattr(evaluate, "CELLS", 3)
+    assert tuple(evaluate.bootstrap(df, 300, "A", "R").first()) == pytest.approx(tuple(want))
