@@ -5,10 +5,14 @@ directions and shift.  Spark range-partitions every curve's keys, which gives ea
 is cut by rank into blocks of about ``block`` rows, a query looks through its own and the two neighbouring blocks of every
 curve, and the blocks' best candidates are merged and ranked by the exact inner product of the original vectors.
 
-A query is compared with at most ``3 * curves * block`` rows, however large the table is.  Recall at that cost depends on
-the data: the fewer directions they really vary in, the better a curve keeps neighbours together.  Candidates are chosen
-in single precision, four more than are needed.  Equal vectors are searched once, as one row with its ``k + 1`` smallest
-ids, which is all that a result can name.
+A round of curves compares a query with at most ``3 * curves * block`` rows, however large the table is.  What that finds
+depends on the data: the fewer directions they really vary in, the better a curve keeps neighbours together.  So the recall
+is measured: ``measured`` queries, drawn by a hash, are also compared with all vectors, and as long as fewer than ``recall`` of
+their neighbours are found, another round runs on fresh curves with blocks twice as long (up to ``LONGEST`` rows), whose
+finds join those before.  Blocks that reach the table's length find everything.  ``recall=0`` is one round.
+
+Candidates are chosen in single precision, four more than are needed.  Equal vectors are searched once, as one row with
+its ``k + 1`` smallest ids, which is all that a result can name.
 
 Largest inner product is made nearest by the usual added component ``sqrt(M^2 - |x|^2)`` (M: the largest norm).
 
@@ -32,6 +36,8 @@ from .common import column, read_table, staged, table
 CURVES, BLOCK, DIRECTIONS, BITS = 32, 448, 12, 5
 #: candidates taken beyond those needed, as they are chosen in single precision
 MARGIN = 4
+#: share of neighbours that the measured queries must find, and how many of them are drawn; rows of the longest block
+RECALL, MEASURED, LONGEST = 0.93, 200, 1 << 16
 
 
 def hilbert_key(point: np.ndarray, bits: int) -> np.ndarray:
@@ -106,31 +112,19 @@ def _fit(points: DataFrame, dim: int, largest: float, curves: int, directions: i
     return model
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int = CURVES, block: int = BLOCK, directions: int = DIRECTIONS, bits: int = BITS, seed: int = 11) -> DataFrame:
-    """(query_id, rank, vec_id, score) of ``vectors(vec_id, embedding)``; queries: ids divisible by ``query_every``."""
-    x = F.col("x")
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(
-        F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(x, lambda v: v != 0)
-    )
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    valid = valid.where(norm < float("inf"))
-    facts = valid.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).orderBy(F.desc("n"), F.desc("dim")).first()
-    dim, largest = (facts["dim"], facts["largest"]) if facts else (1, 1.0)
-    valid = valid.where(F.size("x") == dim)
-    directions = min(directions, dim + 1)
-    # equal vectors: the k + 1 smallest ids stand for all; the partial limit runs before the shuffle
-    members = valid.distinct().withColumn("turn", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("turn") <= k + 1)
-    members = staged(members.withColumn("point", F.min("vec_id").over(Window.partitionBy("x"))), "members")
-    points = members.where("turn = 1").select("point", "x")
-    asked = staged(valid.where(F.pmod("vec_id", F.lit(query_every)) == 0).select(F.col("vec_id").alias("query_id"), "x").distinct().join(points.hint("merge"), "x").select("query_id", "point"), "queries")
-    asking = points.join(asked.select("point").distinct().hint("merge"), "point")
-    model = _fit(points, dim, largest, curves, directions, seed)
-    both = points.withColumn("is_query", F.lit(False)).union(asking.withColumn("is_query", F.lit(True)))
+def _largest(scores: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of largest score of every query of ``scores(query, found, score)``."""
+    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "found")
+    return scores.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= k).drop("turn")
+
+
+def _round(points: DataFrame, both: DataFrame, model: Curves, dim: int, k: int, block: int, bits: int) -> DataFrame:
+    """(query, found, score): the best of every query's own and neighbouring blocks of all curves of ``model``."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = model.keys(model.project(_matrix(batch, "x", dim), column(batch, "is_query").to_numpy(zero_copy_only=False)), bits)
-            for c in range(curves):
+            for c in range(model.curves):
                 yield table({"curve": (np.full(batch.num_rows, c, dtype=np.int32), pa.int32()), "key": (key[:, c].copy(), pa.int64()), "point": (column(batch, "point"), None), "is_query": (column(batch, "is_query"), None)})
 
     keyed = both.mapInArrow(place, "curve int, key long, point long, is_query boolean")
@@ -185,8 +179,63 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int =
                     yield table({"query": (point[s + q], pa.int64()), "found": (names[n], pa.int64()), "score": (score[q, n].astype(np.float64), pa.float64())})
 
     found = dealt.mapInArrow(best, "query long, found long, score double").groupBy("query", "found").agg(F.max("score").alias("score"))
-    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "found")
-    found = found.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= k + 1 + MARGIN)
+    return _largest(found, k + 1 + MARGIN)
+
+
+def _neighbours(points: DataFrame, asking: DataFrame, dim: int, k: int, measured: int) -> DataFrame:
+    """(query, found): the ``k`` nearest other points of at most ``measured`` queries, by comparison with all points."""
+    drawn = asking.orderBy(F.xxhash64("point"), "point").limit(measured).collect()  # a bounded number of vectors
+    names = np.array([r["point"] for r in drawn], dtype=np.int64)
+    vectors = np.array([r["x"] for r in drawn], dtype=np.float64).reshape(len(drawn), dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, found = np.full((len(names), k), -np.inf), np.full((len(names), k), -1, dtype=np.int64)
+        for batch in batches:
+            point = column(batch, "point").to_numpy()
+            product = vectors @ _matrix(batch, "x", dim).T
+            product[names[:, None] == point] = -np.inf  # not itself
+            score, found = np.hstack([score, product]), np.hstack([found, np.broadcast_to(point, product.shape)])
+            keep = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, found = np.take_along_axis(score, keep, axis=1), np.take_along_axis(found, keep, axis=1)
+        q, n = np.nonzero(score > -np.inf)
+        yield table({"query": (names[q], pa.int64()), "found": (found[q, n], pa.int64()), "score": (score[q, n], pa.float64())})
+
+    return _largest(points.select("point", "x").mapInArrow(run, "query long, found long, score double"), k).select("query", "found")
+
+
+def search(vectors: DataFrame, query_every: int = 20, k: int = 20, curves: int = CURVES, block: int = BLOCK, directions: int = DIRECTIONS, bits: int = BITS, seed: int = 11, recall: float = RECALL, measured: int = MEASURED) -> DataFrame:
+    """(query_id, rank, vec_id, score) of ``vectors(vec_id, embedding)``; queries: ids divisible by ``query_every``."""
+    x = F.col("x")
+    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where(
+        F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(x, lambda v: v != 0)
+    )
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    valid = valid.where(norm < float("inf"))
+    facts = valid.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("largest")).orderBy(F.desc("n"), F.desc("dim")).first()
+    dim, largest = (facts["dim"], facts["largest"]) if facts else (1, 1.0)
+    valid = valid.where(F.size("x") == dim)
+    directions = min(directions, dim + 1)
+    # equal vectors: the k + 1 smallest ids stand for all; the partial limit runs before the shuffle
+    members = valid.distinct().withColumn("turn", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("turn") <= k + 1)
+    members = staged(members.withColumn("point", F.min("vec_id").over(Window.partitionBy("x"))), "members")
+    points = members.where("turn = 1").select("point", "x")
+    asked = staged(valid.where(F.pmod("vec_id", F.lit(query_every)) == 0).select(F.col("vec_id").alias("query_id"), "x").distinct().join(points.hint("merge"), "x").select("query_id", "point"), "queries")
+    asking = staged(points.join(asked.select("point").distinct().hint("merge"), "point"), "asking")
+    both = points.withColumn("is_query", F.lit(False)).union(asking.withColumn("is_query", F.lit(True)))
+    found, truth, rounds = None, None, 0
+    while True:
+        longer = min(block << rounds, max(block, LONGEST))
+        model = _fit(points, dim, largest, curves, directions, seed + rounds)
+        now = staged(_round(points, both, model, dim, k, longer, bits), "round")
+        found = now if found is None else staged(_largest(found.union(now).groupBy("query", "found").agg(F.max("score").alias("score")), k + 1 + MARGIN), "merged")
+        rounds += 1
+        if recall <= 0 or not facts or facts["n"] <= longer:  # then all are in two blocks at most
+            break
+        if truth is None:
+            truth = staged(_neighbours(points, asking, dim, k, measured), "measured")
+        # at most k rows of each measured query
+        if found.join(F.broadcast(truth), ["query", "found"]).count() >= recall * truth.count():
+            break
     exact = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     pair = found.select("query", "found").join(points.select(F.col("point").alias("query"), "x").hint("merge"), "query").join(points.select(F.col("point").alias("found"), F.col("x").alias("y")).hint("merge"), "found")
     found = staged(pair.select("query", "found", exact.alias("score")), "found")

@@ -210,6 +210,37 @@ def test_curve_search(spark):
     assert hit / (20 * len(by)) >= 0.9
 
 
+def curve_recall(x, out):
+    by = defaultdict(set)
+    for r in out:
+        by[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q, found in by.items():
+        score = x @ x[q]
+        hit += len(found & set([i for i in np.lexsort((np.arange(len(x)), -score)) if i != q][:20]))
+    return hit / (20 * len(by))
+
+
+def test_curve_recall_within_a_fifth_of_the_table(spark):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(6000, 4)) @ rng.normal(size=(4, 24)) + 0.05 * rng.normal(size=(6000, 24))).astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = rows(curve_search.search(frame, 20, 20, curves=10, block=40, recall=0))  # one round: at most 1,200 comparisons a query
+    assert curve_recall(x, out) >= 0.9
+
+
+def test_curve_rounds_until_recall(spark):
+    """Vectors without structure: one round finds too little, so rounds follow until the measured recall is reached."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 32)).astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    once = curve_recall(x, rows(curve_search.search(frame, 20, 20, curves=6, block=30, recall=0)))
+    out = rows(curve_search.search(frame, 20, 20, curves=6, block=30))
+    assert once < 0.6 and curve_recall(x, out) >= 0.9
+    assert all(abs(r["score"] - x[r["query_id"]] @ x[r["vec_id"]]) < 1e-9 for r in out)
+    assert len(out) == 20 * 250 == len({(r["query_id"], r["rank"]) for r in out})
+
+
 def test_curve_search_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(curve_search.search(few))] == [(0, 1, 1, 1.0), (0, 2, 2, 0.5)]
