@@ -38,7 +38,28 @@ def t2(t: Tables):
     return c.groupBy("doc_id").agg((F.min("gapless") & (F.max("end") == F.max("n"))).alias("lossless"), F.min(F.col("end") - F.col("start") <= 1500).alias("bounded"))
 
 
-@query("t3_token_chunks")
+@query("t2_section_cuts", f"""WITH RECURSIVE {_LINES}, {_ENTRIES},
+ marks AS (SELECT doc_id, start AS p, CASE WHEN depth <= 2 THEN 0 ELSE 1 END AS kind FROM en WHERE id % 5 = 0 AND start > 0 UNION ALL SELECT doc_id, start, 2 FROM lines WHERE start > 0),
+ own AS (SELECT doc_id, coalesce(list(p) FILTER (kind = 0), []) AS a, coalesce(list(p) FILTER (kind = 1), []) AS b, coalesce(list(p) FILTER (kind = 2), []) AS c FROM marks GROUP BY doc_id),
+ w AS (SELECT d.doc_id, length(text) AS n, coalesce(a, []) AS a, coalesce(b, []) AS b, coalesce(c, []) AS c, CAST(0 AS BIGINT) AS prior, CAST(0 AS BIGINT) AS pos FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id WHERE length(text) > 0
+  UNION ALL SELECT doc_id, n, a, b, c, pos, CAST(coalesce(list_min(list_filter(a, lambda p: p > pos AND p <= least(n, pos + 1500))), CASE WHEN n <= pos + 1500 THEN n END,
+   list_max(list_filter(b, lambda p: p > pos + 750 AND p <= pos + 1500)), list_max(list_filter(c, lambda p: p > pos + 750 AND p <= pos + 1500)), pos + 1500) AS BIGINT) FROM w WHERE pos < n)
+ SELECT doc_id, CAST(prior AS INTEGER) AS start, CAST(pos AS INTEGER) AS "end" FROM w WHERE pos > 0""")
+def t2_cuts(t: Tables):
+    """The cuts themselves: every fifth line is a heading."""
+    return X.section_chunks(t("documents"), entries(t).where("id % 5 = 0 and start > 0").selectExpr("doc_id", "start", "depth"), 1500)
+
+
+#: tokens with their places, whether a token ends a sentence or paragraph, and the last such end of every possible window
+@query("t3_token_chunks", r"""WITH RECURSIVE ps AS (SELECT doc_id, length(text) AS n_chars, regexp_extract_all(text, '[\p{L}\p{N}_]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|.') AS l FROM documents),
+ pc AS (SELECT doc_id, n_chars, unnest(l) AS piece, generate_subscripts(l, 1) AS o FROM ps),
+ pl AS (SELECT *, coalesce(sum(length(piece)) OVER w, 0) AS start, lead(piece) OVER (PARTITION BY doc_id ORDER BY o) AS after FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ gp AS (SELECT *, CASE WHEN regexp_full_match(after, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+') THEN after ELSE '' END AS gap FROM pl WHERE NOT regexp_full_match(piece, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+')),
+ tk AS (SELECT doc_id, n_chars, start, start + length(piece) AS stop, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, lag(contains(gap, chr(10)) OR (piece IN ('.', '!', '?') AND trim(gap, ' ') = ''), 1, false) OVER o AS good FROM gp WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+ jump AS (SELECT *, CASE WHEN i + 192 >= n THEN n ELSE coalesce(max(CASE WHEN good THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 96 FOLLOWING AND 191 FOLLOWING), i + 192) END AS upto FROM tk),
+ w AS (SELECT doc_id, 0 AS idx, i, upto, n FROM jump WHERE i = 0 UNION ALL SELECT j.doc_id, w.idx + 1, j.i, j.upto, j.n FROM w JOIN jump j ON j.doc_id = w.doc_id AND j.i = greatest(w.i + 1, w.upto - 32) WHERE w.upto < w.n)
+ SELECT w.doc_id, CAST(idx AS INTEGER) AS idx, CAST(CASE WHEN idx = 0 THEN 0 ELSE a.start END AS INTEGER) AS start, CAST(CASE WHEN w.upto = w.n THEN a.n_chars ELSE b.stop END AS INTEGER) AS "end" FROM w JOIN jump a ON a.doc_id = w.doc_id AND a.i = w.i JOIN jump b ON b.doc_id = w.doc_id AND b.i = w.upto - 1
+ UNION ALL SELECT d.doc_id, 0, 0, CAST(length(text) AS INTEGER) FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM tk) k ON k.doc_id = d.doc_id WHERE k.doc_id IS NULL AND length(text) > 0""")
 def t3(t: Tables):
     return X.token_chunks(t("documents"))
 
@@ -59,7 +80,10 @@ def t4(t: Tables):
     return X.audit_chunks(c.drop("text"), t("documents"))
 
 
-@query("t5_sentence_spans")
+@query("t5_sentence_spans", r"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS l FROM documents), pc AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM l),
+ pl AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM pc), ct AS (SELECT doc_id, base, raw, unnest(range(0, length(raw), 320)) AS o FROM pl),
+ pe AS (SELECT doc_id, base + o AS base, substring(raw, o + 1, 320) AS piece FROM ct), st AS (SELECT doc_id, base + length(piece) - length(ltrim(piece, e' \t\r\n')) AS start, length(trim(piece, e' \t\r\n')) AS n FROM pe)
+ SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end" FROM st WHERE n > 0""")
 def t5(t: Tables):
     return X.sentence_spans(t("documents"))
 
@@ -74,7 +98,10 @@ def t7(t: Tables):
     return X.close_spans(entries(t).drop("line_end"))
 
 
-@query("t8_subitems")
+@query("t8_subitems", f"""WITH RECURSIVE {_LINES}, it AS (SELECT doc_id, CAST(line // 8 AS VARCHAR) AS base, CAST(line AS BIGINT) AS seq, CAST(line % 8 AS VARCHAR) AS marker, 1 + (line * 5) % 4 AS level, row_number() OVER (PARTITION BY doc_id, line // 8 ORDER BY line) AS n FROM lines),
+ w AS (SELECT doc_id, base, seq, n, [marker] AS path, level > 1 AS jumped FROM it WHERE n = 1
+  UNION ALL SELECT it.doc_id, it.base, it.seq, it.n, list_append(w.path[1:least(it.level, len(w.path) + 1) - 1], it.marker), it.level > len(w.path) + 1 FROM w JOIN it ON it.doc_id = w.doc_id AND it.base = w.base AND it.n = w.n + 1)
+ SELECT doc_id, base, seq, base || '.' || array_to_string(path, '.') AS identifier, jumped FROM w""")
 def t8(t: Tables):
     rows = X.lines(t("documents")).selectExpr("doc_id", "cast(line div 8 as string) base", "cast(line as bigint) seq", "cast(line % 8 as string) marker", "1 + line * 5 % 4 level")
     return X.subitems(rows)
