@@ -267,6 +267,25 @@ def test_license_scan(spark, docs, corpus):
     assert out == Counter((i, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t)))) for i, t, *_ in corpus)
 
 
+def test_license_base_places(spark, docs, corpus):
+    """Base columns against a walk over the words: repeated rows, long texts, phrases torn apart or run together."""
+    parts = [w for phrase, _ in license_scan.BASE for w in phrase.split()] + ["Under THE mit license", "cc-by-nc", "cc by nc", "word", "é"]
+    drawn = [(i % 90, " ".join(RNG.choice(parts) for _ in range(RNG.randrange(0, 40))), None, None, 0) for i in range(120)]
+    drawn += [drawn[3], drawn[3], (500, "cc by nc " * 9000, None, None, 0), (None, "Apache license version 2", None, None, 0), (501, None, None, None, 0)]
+    want = Counter()
+    for doc, text, *_ in drawn:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+        places = [(i, label) for phrase, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        starts = [i for i, _ in places]
+        want[doc, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    out = rows(license_scan.scan(spark.createDataFrame(drawn, DOC).repartition(3)))
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in out) == want
+    for r in out:
+        labels = r["labels"].split(",") if r["labels"] else []
+        assert labels == sorted(set(labels)) and set(filter(None, r["base_labels"].split(","))) <= set(labels) and 0 <= r["score"] <= 1
+        assert r["score"] == 1 or not r["n_base"]
+
+
 # ------------------------------------------------------------------ 5 fingerprints
 
 
@@ -479,6 +498,25 @@ def test_sharding(docs, corpus):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_sharding_draws(docs, corpus):
+    """Shards by an independent descent: at each level the child of least exponential draw."""
+
+    def descend(key, shards):
+        at, tree = "", defaultdict(dict)
+        for s in range(shards):
+            region, rack = (f"r{s // 20}", f"k{s // 5}") if s < 40 else (f"g{s}", f"k{s}")
+            for parent, child in (("", region), (region, f"{region}/{rack}"), (f"{region}/{rack}", f"{region}/{rack}/s{s}")):
+                tree[parent][child] = tree[parent].get(child, 0) + 1  # weight: shards below
+        while at in tree:
+            unit = {c: (int(hashlib.md5(f"{key}/{c}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48 for c in tree[at]}
+            at = min(tree[at], key=lambda c: -np.log(unit[c]) / tree[at][c])
+        return int(at.rsplit("s", 1)[1])
+
+    keys = {i: "null" if i is None else str(i) for i, *_ in corpus}
+    want = {i: (descend(key, 40), descend(key, 41)) for i, key in keys.items()}
+    assert all((r["shard"], r["grown_shard"]) == want[r["doc_id"]] for r in rows(sharding.shard(docs)))
+
+
 def test_sharding_weights(spark):
     from pyspark.sql import functions as F
 
