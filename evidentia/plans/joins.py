@@ -67,7 +67,11 @@ def j9(t: Tables):
     return J.cross(t("customer").select("c_custkey"), t("nation").select("n_name"))
 
 
-@query("j10_greedy_match")
+@query("j10_greedy_match", """WITH RECURSIVE p AS (SELECT l_orderkey AS case_id, l_partkey % 4 AS a, l_suppkey % 4 AS b, CAST(l_linenumber AS BIGINT) AS turn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 4, l_suppkey % 4) AS n FROM lineitem),
+ w AS (SELECT case_id, n, a, b, turn, true AS free, [a] AS las, [b] AS rbs FROM p WHERE n = 1
+  UNION ALL SELECT p.case_id, p.n, p.a, p.b, p.turn, f, CASE WHEN f THEN list_append(las, p.a) ELSE las END, CASE WHEN f THEN list_append(rbs, p.b) ELSE rbs END
+   FROM (SELECT p.*, las, rbs, NOT list_contains(las, p.a) AND NOT list_contains(rbs, p.b) AS f FROM w JOIN p ON p.case_id = w.case_id AND p.n = w.n + 1) p)
+ SELECT case_id, a AS "left", b AS "right", turn FROM w WHERE free""")
 def j10(t: Tables):
     pairs = t("lineitem").selectExpr("l_orderkey case_id", "l_partkey % 4 left", "l_suppkey % 4 right", "cast(l_linenumber as bigint) turn")
     return J.greedy_match(pairs)
