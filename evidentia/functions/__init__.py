@@ -105,11 +105,14 @@ def union(*frames: DataFrame) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """The rows written once to the folder that ``spark.checkpoint.dir`` names, without their lineage; lost executors cost no rows.
 
-    Where the setting is absent (tests), the folder is a local one.
+    Where the setting is absent on one machine (tests), the folder is a local one; on a cluster, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
