@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import first_reason, numbered, settled, sha, top, union, wilson
+from . import lists as L
 from .sets import similar_sets
 
 
@@ -37,6 +38,20 @@ def recall_metrics(scores: DataFrame, labels: DataFrame, ks: list[int]) -> DataF
     return ranked.groupBy("query_id").agg(*at, F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_hit"), F.min("score").alias("low"), F.max("score").alias("high"), (F.max("score") - F.min("score")).alias("spread"), five.alias("top_five"))
 
 
+def recall_lists(lists: DataFrame, ks: list[int], scale: int = L.NINE) -> DataFrame:
+    """``recall_metrics`` of packed lists, whose marked rows are the relevant ones."""
+    def each(query, ids, codes, hit):
+        order = L.largest_first(codes)
+        at = np.flatnonzero(hit[order]) + 1
+        known = codes[codes != L.NULL]
+        low, high = (float(L.scores(np.array([x]), scale)[0].as_py()) for x in (known.min(), known.max())) if len(known) else (None, None)
+        recall = {f"recall_{k}": int((at <= k).sum()) / len(at) if len(at) else None for k in ks}
+        return {"query_id": query, **recall, "first_hit": int(at[0]) if len(at) else None, "low": low, "high": high, "spread": None if low is None else high - low, "top_five": ",".join(str(i) for i in ids[order[:5]].tolist() if i != L.NO_ID)}
+
+    recall = ", ".join(f"recall_{k} double" for k in ks)
+    return L.per_query(lists, each, f"query_id {L._kind(lists, 'query_id')}, {recall}, first_hit int, low double, high double, spread double, top_five string")
+
+
 def rank_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
     """Absolute rank difference of every id; an absent rank is one more than the list's length."""
     n = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))

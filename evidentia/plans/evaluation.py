@@ -1,9 +1,12 @@
 """Queries of evaluation."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import numbered, union
 from ..operators import evaluate as E
+from ..operators import lists as L
 from ..operators import rank as R
 from .registry import ASKED, DENSE, Tables, query
 
@@ -22,6 +25,18 @@ def arms(t: Tables):
     return current, proposed, labels
 
 
+def same_label(asked: pa.Table):
+    """Relevant pairs: equal labels, but not the query itself."""
+    def marks(rows: pa.Table) -> np.ndarray:
+        both = pa.chunked_array([*asked.column("label").chunks, *rows.column("label").chunks]).combine_chunks().dictionary_encode()
+        label = both.indices.fill_null(-1).to_numpy()
+        a, b = label[: asked.num_rows, None], label[None, asked.num_rows :]
+        query, ids = asked.column("query_id").to_numpy(), rows.column("id").fill_null(L.NO_ID).to_numpy()
+        return (a == b) & (a >= 0) & (ids[None, :] != query[:, None]) & (ids[None, :] != L.NO_ID)
+
+    return marks
+
+
 _METRICS = "m AS (SELECT query_id, arm, count(l.id) FILTER (rank <= 5) / 5 AS p_at_5, count(l.id) FILTER (rank <= 10) / 10 AS p_at_10, coalesce(1 / min(rank) FILTER (l.id IS NOT NULL), 0) AS rr FROM arms LEFT JOIN lab l USING (query_id, id) GROUP BY ALL)"
 
 
@@ -44,8 +59,8 @@ def e1m(t: Tables):
  SELECT k.query_id, round(count(l.id) FILTER (rank <= 10) / nullif(count(l.id), 0), 9) AS recall_10, round(count(l.id) FILTER (rank <= 100) / nullif(count(l.id), 0), 9) AS recall_100, CAST(min(rank) FILTER (l.id IS NOT NULL) AS INTEGER) AS first_hit, min(score) AS low, max(score) AS high, round(max(score) - min(score), 9) AS spread,
  string_agg(CASE WHEN rank <= 5 THEN CAST(k.id AS VARCHAR) END, ',' ORDER BY rank) AS top_five FROM k LEFT JOIN lab l USING (query_id, id) GROUP BY k.query_id""")
 def e2(t: Tables):
-    scores = R.cosine_scores(t.asked(), t.vectors())
-    return E.recall_metrics(scores, arms(t)[2], [10, 100]).withColumns({c: F.round(c, 9) for c in ("recall_10", "recall_100", "spread")})
+    lists = L.cosine_lists(t.asked(), t.vectors(), same_label, ["label"])
+    return E.recall_lists(lists, [10, 100]).withColumns({c: F.round(c, 9) for c in ("recall_10", "recall_100", "spread")})
 
 
 _TWO = f"{_ARMS}, a AS (SELECT * FROM ca WHERE rank <= 12), b AS (SELECT * FROM cb WHERE rank <= 12), j AS (SELECT query_id, id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b USING (query_id, id))"
