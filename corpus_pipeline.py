@@ -20,9 +20,8 @@ LEAST_LANGUAGE = 0.1
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language: those predicted ``und`` go, and those of hardly any known n-gram."""
     model = language_id.fit(docs)
-    rows = docs.withColumn("kept_text", F.col("text"))
-    kept = language_id.predict(rows, model, ["doc_id", "kept_text", "lang", "source", "n_chars"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.withColumnRenamed("kept_text", "text").select(COLUMNS)
+    kept = language_id.predict(docs, model, COLUMNS).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
+    return kept.select(COLUMNS)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,16 +44,16 @@ def _letters() -> np.ndarray:
     return _letter
 
 
-def gram_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def gram_rows(batches: Iterator[pa.RecordBatch], n: int, limit: int = CHUNK_BYTES // 2) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, the hashes of all their n-grams that hold a letter, each row's first one (rows + 1 values), letters a row."""
     letter = _letters()
     for batch in batches:
-        every = column(batch, "text").to_pylist()
+        every = column(batch, "text")
         at = 0
         while at < len(every):
             part, size = [], 0
-            while at + len(part) < len(every) and (size < CHUNK_BYTES // 2 or not part):
-                part.append(f" {(every[at + len(part)] or '').lower()} ")
+            while at + len(part) < len(every) and (size < limit or not part):
+                part.append(f" {(every[at + len(part)].as_py() or '').lower()} ")
                 size += len(part[-1])
             code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in part])])
@@ -173,11 +173,13 @@ def fit(labelled: DataFrame, n: int = N, sample: int = SAMPLE, keep: int = KEEP,
 def predict(docs: DataFrame, model: Filter, passed: list[str], n: int = N) -> DataFrame:
     """``passed`` columns, lang_pred and score for every row of ``docs``; only ``text`` is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*passed, F.col("text").cast("string").alias("text"))
+    # a text that is passed on goes to the task once
+    text = [] if "text" in passed else [F.col("text").cast("string").alias("text")]
+    chosen = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in passed], *text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part, gram, first, letters in gram_rows(batches, n):
+        for part, gram, first, letters in gram_rows(batches, n, CHUNK_BYTES // 8):
             share = model.shares(gram, first) if model.langs else np.zeros((part.num_rows, 1))
             known = (letters > 0) & bool(model.langs)
             best = share.argmax(axis=1)

@@ -110,3 +110,17 @@ def test_whole_chain(spark):
         found[r["doc_id"]] += r["length"]
     assert found == lengths and max(filled.values()) <= 2048
     assert len(filled) <= -(-sum(lengths.values()) // 2048) + 1
+
+
+def test_language_passes_the_text_once(spark):
+    """A task gets each text once, and passes it on as it was."""
+    from evidentia.llm import language_id
+
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the house and the garden", "en"), ("das Haus und der Garten", "de"), (None, "en"), ("  ", None), ("Der GARTEN", "de")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    got = language_id.predict(docs, model, ["doc_id", "text"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS text#") == 0 and "kept_text" not in plan
+    once = {r["doc_id"]: r for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    assert {r["doc_id"]: (r["text"], r["lang_pred"], r["score"]) for r in got.collect()} == {i: (t, once[i]["lang_pred"], once[i]["score"]) for i, t, _ in rows}
