@@ -45,3 +45,21 @@ def test_a_common_element_joins_nothing(spark, monkeypatch):
     assert plan.count() == 0
     with pytest.raises(ValueError):
         sets.similar_sets(df, df, 0)
+
+
+@pytest.mark.parametrize("tile", [None, 3])
+def test_graph_similarity_of_all_pairs(spark, monkeypatch, tile):
+    """Every pair that shares an edge, however unlike; nothing but graphs is shuffled."""
+    from evidentia.operators import graphs, tiles
+
+    if tile:
+        monkeypatch.setattr(tiles, "TILE", tile)
+        monkeypatch.setattr(tiles, "RIGHT_TILE", 7)
+    monkeypatch.setattr(tiles, "SLICE", 5)
+    rng = random.Random(3)
+    sets = {i: {f"e{rng.randrange(30)}" for _ in range(rng.choice([1, 2, 25]))} for i in range(40)}
+    rows = [(i, e) for i, s in sets.items() for e in sorted(s)]
+    b = spark.createDataFrame(rows + rows[:5] + [(3, None)], "graph long, edge string")
+    got = {(r["left_id"], r["right_id"]): r["similarity"] for r in graphs.graph_similarity(b.where("graph % 5 = 0"), b).collect()}
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i % 5 == 0 and sets[i] & sets[j]}
+    assert got == want and min(want.values()) < 0.1
