@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions import numbered, union
+from ..functions import numbered, settled, union
 from ..operators import evaluate as E
 from ..operators import lists as L
 from ..operators import rank as R
@@ -17,11 +17,13 @@ _ARMS = f"""{ASKED}, {DENSE}, lab AS (SELECT a.query_id, e.vec_id AS id FROM ask
 
 
 def arms(t: Tables):
-    """Two rankings of the same cohort: by cosine, and shuffled in a fixed way; relevant are vectors of the query's label."""
-    base = R.cosine_topk(t.asked(), t.vectors(), 17).where("id <> query_id")
+    """Two rankings of the same cohort: by cosine, and shuffled in a fixed way; relevant are those of its vectors that have the query's label."""
+    base = settled(R.cosine_topk(t.asked(), t.vectors(), 17).where("id <> query_id"))
     current = numbered(base.drop("rank"), ["query_id"], [F.desc("score"), "id"]).where("rank <= 16").select("query_id", "id", "rank")
     proposed = numbered(current.drop("rank"), ["query_id"], [(F.col("id") * 7 + F.col("query_id")) % 101, "id"]).select("query_id", "id", "rank")
-    labels = t.asked().select("query_id", "label").join(t.vectors().select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
+    asked, held = t.asked().select("query_id", "label"), t.vectors().select("id", F.col("label").alias("own"))
+    # only ranked pairs are looked up, on ids: a label may be that of a tenth of all vectors
+    labels = current.select("query_id", "id").join(asked.hint("merge"), "query_id").join(held.hint("merge"), "id").where("own = label and id <> query_id").select("query_id", "id")
     return current, proposed, labels
 
 
