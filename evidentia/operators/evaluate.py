@@ -38,7 +38,7 @@ def recall_metrics(scores: DataFrame, labels: DataFrame, ks: list[int]) -> DataF
     return ranked.groupBy("query_id").agg(*at, F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_hit"), F.min("score").alias("low"), F.max("score").alias("high"), (F.max("score") - F.min("score")).alias("spread"), five.alias("top_five"))
 
 
-def recall_lists(lists: DataFrame, ks: list[int], scale: int = L.NINE) -> DataFrame:
+def recall_lists(lists: L.Lists, ks: list[int], scale: int = L.NINE) -> DataFrame:
     """``recall_metrics`` of packed lists, whose marked rows are the relevant ones."""
     def each(query, ids, codes, hit):
         order = L.largest_first(codes)
