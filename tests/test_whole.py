@@ -13,7 +13,7 @@ def exchanges(df) -> list[str]:
     return plan[: next(i for i, line in enumerate(plan) if "MapInArrow" in line)]
 
 
-@pytest.mark.parametrize("name", ["v4_rank_channel", "v5_dense_with_tail", "v6_rrf", "v8_hybrid_rank", "v11_page", "v17_discover"])
+@pytest.mark.parametrize("name", ["v4_rank_channel", "v5_dense_with_tail", "v6_rrf", "v8_hybrid_rank", "v11_page", "v17_discover", "v2_profile_similarity"])
 def test_pairs_are_not_shuffled(spark, name):
     """Before, a query's blocks, or parts of pairs of profiles, were grouped after they had been multiplied."""
     plan = exchanges(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
@@ -30,6 +30,19 @@ def vectors(spark):
     return spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3).cache()
 
 
+def test_large_profiles_beside_small_ones(spark, monkeypatch, vectors):
+    """Profiles of 1 to 40 chunks, some of equal place, whole and in parts."""
+    profiles = vectors.selectExpr("cast(sqrt(id) as long) owner", "id % 9 idx", "embedding").unionAll(vectors.where("id < 30").selectExpr("99L", "id % 20", "embedding"))
+    left = profiles.where("owner % 3 = 0")
+    key = ["left_id", "right_id"]
+    whole = numbers(rank.profile_similarity(left, profiles), *key)
+    monkeypatch.setattr(rank, "CHUNKS", 12)
+    mixed = numbers(rank.profile_similarity(left, profiles), *key)
+    monkeypatch.setattr(rank, "CHUNKS", 0)
+    parts = numbers(rank.profile_similarity(left, profiles), *key)
+    assert whole == mixed == parts and len(whole) == 7 * 17
+
+
 def test_tasks_hold_few_queries(spark, monkeypatch, vectors):
     """Rows of one query in one task, however few fit; a list of no rows beside dense rows is still fused."""
     asked = vectors.where("id % 12 = 0").withColumnRenamed("id", "query_id")
