@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia import plans
-from evidentia.operators import lists, rank
+from evidentia.operators import lists, rank, tiles
 
 
 def exchanges(df) -> list[str]:
@@ -13,7 +13,7 @@ def exchanges(df) -> list[str]:
     return plan[: next(i for i, line in enumerate(plan) if "MapInArrow" in line)]
 
 
-@pytest.mark.parametrize("name", ["v4_rank_channel", "v5_dense_with_tail", "v6_rrf", "v8_hybrid_rank", "v11_page", "v17_discover", "v2_profile_similarity"])
+@pytest.mark.parametrize("name", ["v4_rank_channel", "v5_dense_with_tail", "v6_rrf", "v8_hybrid_rank", "v11_page", "v17_discover", "v2_profile_similarity", "v7_lexical_coverage", "g2_graph_similarity"])
 def test_pairs_are_not_shuffled(spark, name):
     """Before, a query's blocks, or parts of pairs of profiles, were grouped after they had been multiplied."""
     plan = exchanges(plans.QUERIES[name](spark, "/root/testdata/sf0.001"))
@@ -30,6 +30,22 @@ def vectors(spark):
     return spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3).cache()
 
 
+def test_a_left_side_of_many_bytes_is_met_in_cells(spark, monkeypatch, vectors):
+    """Cells are read as streams: batches that begin and end within a cell, several left parts, more cells than rows."""
+    asked = vectors.where("id % 2 = 0").withColumnRenamed("id", "query_id")
+    want = [numbers(rank.cosine_topk(asked, vectors, k), "query_id", "id") for k in (1, 5)], numbers(rank.cosine_scores(asked, vectors), "query_id", "id")
+    monkeypatch.setattr(tiles, "TILE", 8)
+    monkeypatch.setattr(tiles, "HELD", 700)
+    monkeypatch.setattr(tiles, "KEPT", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = [numbers(rank.cosine_topk(asked, vectors, k), "query_id", "id") for k in (1, 5)], numbers(rank.cosine_scores(asked, vectors), "query_id", "id")
+        assert "RepartitionBy" in rank.cosine_scores(asked, vectors)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_large_profiles_beside_small_ones(spark, monkeypatch, vectors):
     """Profiles of 1 to 40 chunks, some of equal place, whole and in parts."""
     profiles = vectors.selectExpr("cast(sqrt(id) as long) owner", "id % 9 idx", "embedding").unionAll(vectors.where("id < 30").selectExpr("99L", "id % 20", "embedding"))
